@@ -27,7 +27,8 @@ def history_text(frequency: Column, monetary: Column, recency: Column, medium_fr
         F.lit(", gasto acumulado "),
         level,
         F.lit(" de R$"),
-        F.bround(monetary, 0).cast("long").cast("string"),
+        # Cents first: a sum of doubles may miss a half by its last digit.
+        F.bround(F.round(monetary, 2), 0).cast("long").cast("string"),
         F.lit(", inactivo hace "),
         recency.cast("string"),
         F.lit(" dias."),

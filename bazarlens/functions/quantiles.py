@@ -56,13 +56,15 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], sma
     inside; should a sketch ever miss, the job fails instead of guessing.
     """
     bounds: Column = percentile_bounds(df, columns, probs, small_input).scalar()
+    # One reference to the subquery; its fields are read from the column.
+    bounded = df.select(*columns, bounds.alias("_bounds"))
     aggregates, results = [], []
     for column in columns:
         value = F.col(column).cast("double")
         aggregates.append(F.count(value).alias(f"{column}_n"))
         for p in probs:
             name = _name(column, p)
-            lo, hi = bounds[name + "_lo"], bounds[name + "_hi"]
+            lo, hi = F.col(f"_bounds.{name}_lo"), F.col(f"_bounds.{name}_hi")
             aggregates += [
                 F.percentile(F.greatest(F.least(value, hi), lo), p).alias(name),
                 F.count_if(value < lo).alias(name + "_below"),
@@ -77,4 +79,4 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], sma
                 .otherwise(F.raise_error(F.lit(f"percentile bracket missed for {name}")).cast("double"))
                 .alias(name)
             )
-    return df.agg(*aggregates).select(*results)
+    return bounded.agg(*aggregates).select(*results)

@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from bazarlens.session import materialize
 SEED = 42
 RESTARTS = 10
 SILHOUETTE_SAMPLE = 15_000
+# Rows that the starting centres are drawn from.
+SEED_SAMPLE = 2_000
 RECURRENT_KS = range(2, 6)
 SINGLE_KS = range(2, 7)
 
@@ -50,9 +51,11 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
     The parameters enter as a scalar subquery, not through a join.
     """
-    p = robust_parameters(df, columns).select(F.struct("*")).scalar()
-    scaled = {f"{c}_s": (F.col(c) - p[f"{c}_median"]) / p[f"{c}_scale"] for c in columns}
-    return df.select("*", *[value.alias(name) for name, value in scaled.items()])
+    parameters = robust_parameters(df, columns).select(F.struct("*")).scalar()
+    scaled = [
+        ((F.col(c) - F.col(f"_p.{c}_median")) / F.col(f"_p.{c}_scale")).alias(f"{c}_s") for c in columns
+    ]
+    return df.select("*", parameters.alias("_p")).select(*df.columns, *scaled)
 
 
 # --- k-means -----------------------------------------------------------------
@@ -94,24 +97,99 @@ def inertia(df: DataFrame, columns: list[str], centroids: Centroids) -> DataFram
     return kmeans_assign(df, columns, centroids).agg(F.sum("dist2").alias("inertia"), F.count(F.lit(1)).alias("n"))
 
 
-def kmeans_fit(df: DataFrame, columns: list[str], k: int, seed: int = SEED, restarts: int = RESTARTS) -> tuple[Centroids, float]:
-    """The best of several seeded fits; returns (centroids, cost).
+def _seed_centers(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting points of a small sample, far ones with higher probability."""
+    centers = [points[rng.integers(len(points))]]
+    for _ in range(1, k):
+        gap = np.min([((points - c) ** 2).sum(axis=1) for c in centers], axis=0)
+        total = gap.sum()
+        chosen = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
+        centers.append(points[chosen])
+    return np.array(centers)
+
+
+def _update_all(df: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """One Lloyd update of every model in a single pass over ``df``.
+
+    Each task adds its rows up to one partial row per (model, cluster); the
+    shuffle and the driver see a number of rows fixed by the models.
+    """
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = [np.zeros(len(m)) for m in models]
+        sums = [np.zeros(m.shape) for m in models]
+        costs = [np.zeros(len(m)) for m in models]
+        for batch in batches:
+            x = batch[columns].to_numpy(dtype=float)
+            for i, centers in enumerate(models):
+                gap = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+                own = gap.argmin(axis=1)
+                counts[i] += np.bincount(own, minlength=len(centers))
+                costs[i] += np.bincount(own, weights=gap[np.arange(len(x)), own], minlength=len(centers))
+                for d in range(x.shape[1]):
+                    sums[i][:, d] += np.bincount(own, weights=x[:, d], minlength=len(centers))
+        for i, centers in enumerate(models):
+            part = pd.DataFrame(sums[i], columns=columns)
+            yield part.assign(model=i, cluster=np.arange(len(centers)), n=counts[i], cost=costs[i])
+
+    schema = ", ".join(f"{c} double" for c in columns) + ", model long, cluster long, n double, cost double"
+    totals = (
+        df.select(*columns)
+        .mapInPandas(add_up, schema)
+        .groupBy("model", "cluster")
+        .agg(*[F.sum(c).alias(c) for c in [*columns, "n", "cost"]])
+        .toPandas()
+    )
+    updated, costs = [], np.zeros(len(models))
+    for i, centers in enumerate(models):
+        mine = totals[totals["model"] == i].set_index("cluster").reindex(range(len(centers))).fillna(0.0)
+        n = mine["n"].to_numpy()[:, None]
+        # A cluster that lost all points stays where it was.
+        updated.append(np.where(n > 0, mine[columns].to_numpy() / np.maximum(n, 1.0), centers))
+        costs[i] = mine["cost"].sum()
+    return updated, costs
+
 
-    ``df`` is scanned in every iteration: hand over a written or cached table.
+def kmeans_fit_all(
+    df: DataFrame,
+    columns: list[str],
+    key: str,
+    ks: Sequence[int],
+    seed: int = SEED,
+    restarts: int = RESTARTS,
+    max_passes: int = 100,
+    tolerance: float = 1e-4,
+) -> dict[int, tuple[Centroids, float]]:
+    """Best of several seeded fits for every k: {k: (centroids, cost)}.
+
+    All restarts of all k advance together, one scan of ``df`` a pass, instead
+    of one scan per model and pass. Starting points come from a small fixed
+    sample; every update uses all rows. A model stops when its centres move
+    less than ``tolerance`` times the mean variance. ``df`` is read once a
+    pass: hand over a written table.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.select(*columns)).select("features")
-    vectors.persist()
-    try:
-        best = None
-        for restart in range(restarts):
-            model = KMeans(k=k, seed=seed + restart, initMode="k-means||", featuresCol="features").fit(vectors)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model.clusterCenters(), cost)
-    finally:
-        vectors.unpersist()
-    centers = sorted(tuple(float(x) for x in center) for center in best[0])
-    return list(enumerate(centers)), best[1]
+    start = sample_fixed(df.select(key, *columns), key, SEED_SAMPLE, seed)[columns].toPandas().to_numpy(dtype=float)
+    rng = np.random.default_rng(seed)
+    models = [(k, _seed_centers(start, k, rng)) for k in ks for _ in range(restarts)]
+    limit = tolerance * float(np.mean(start.var(axis=0)))
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for done in range(1, max_passes + 1):
+        updated, costs = _update_all(df, columns, [centers for _, centers in models])
+        going = []
+        for (k, centers), moved, cost in zip(models, updated, costs):
+            if done == max_passes or ((moved - centers) ** 2).sum() <= limit:
+                if k not in best or cost < best[k][1]:
+                    best[k] = (centers, float(cost))
+            else:
+                going.append((k, moved))
+        models = going
+        if not models:
+            break
+    return {k: (list(enumerate(sorted(tuple(map(float, c)) for c in centers))), cost) for k, (centers, cost) in best.items()}
+
+
+def kmeans_fit(df: DataFrame, columns: list[str], key: str, k: int, seed: int = SEED, restarts: int = RESTARTS) -> tuple[Centroids, float]:
+    """(centroids, cost) of the best of several seeded fits."""
+    return kmeans_fit_all(df, columns, key, [k], seed, restarts)[k]
 
 
 # --- silhouette --------------------------------------------------------------
@@ -180,12 +258,11 @@ def k_search(
 ) -> list[tuple[int, float, Centroids]]:
     """(k, silhouette, centroids) for every k.
 
-    A driver loop over Spark jobs; only k centroids and one score a round come
-    back. The model of the chosen k is returned, so it is not fitted again.
+    Only centroids and one score a k come back to the driver. The model of
+    the chosen k is returned, so it is not fitted again.
     """
     results = []
-    for k in ks:
-        centroids, _ = kmeans_fit(df, columns, k, restarts=restarts)
+    for k, (centroids, _) in sorted(kmeans_fit_all(df, columns, key, list(ks), restarts=restarts).items()):
         score = silhouette(kmeans_assign(df, columns, centroids), columns, key, sample_size=sample_size).first()["silhouette"]
         results.append((k, score, centroids))
     return results

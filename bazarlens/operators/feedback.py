@@ -31,7 +31,7 @@ def feedback_join(served: DataFrame, actions: DataFrame, window_seconds: int = 8
     right = actions.select(
         "customer_id", "product_id", none.cast("long").alias("served_id"), micros.alias("us"),
         F.explode(F.array(bucket, bucket - 1)).alias("bucket"),
-        F.struct(micros.alias("us"), F.col("action_id").cast("long"), F.col("action")).alias("next"),
+        F.struct(micros.alias("us"), F.col("action_id").cast("long").alias("action_id"), F.col("action")).alias("next"),
     )
     # Backward in time; at equal times the served row comes first and so does
     # not see the action, and of equal actions the lowest id is seen last.

@@ -46,7 +46,7 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         ]
     )
     quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
-    q = quartiles.select(F.struct("*")).scalar()
+    moments = moments.select("*", quartiles.select(F.struct("*")).scalar().alias("q"))
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -54,9 +54,9 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
             F.col(f"{c}_mean").alias("mean"),
             F.col(f"{c}_std").alias("std"),
             F.col(f"{c}_min").alias("min"),
-            q[f"{c}_p25"].alias("p25"),
-            q[f"{c}_p50"].alias("p50"),
-            q[f"{c}_p75"].alias("p75"),
+            F.col(f"q.{c}_p25").alias("p25"),
+            F.col(f"q.{c}_p50").alias("p50"),
+            F.col(f"q.{c}_p75").alias("p75"),
             F.col(f"{c}_max").alias("max"),
         )
         for c in columns

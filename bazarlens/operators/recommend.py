@@ -114,7 +114,7 @@ def basket_parts(bought: DataFrame, part_size: int = BASKET_PART) -> DataFrame:
     """
     salt = F.pmod(F.xxhash64("product"), F.lit(BASKET_SALTS))
     large = bought.groupBy("customer").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > part_size)
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BASKET_SALTS - 1))).cast("long"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASKET_SALTS - 1).cast("long"))))
     sized = bought.select("customer", "product", salt.alias("salt")).join(large, ["customer", "salt"], "left")
     parts = F.coalesce(F.ceil(F.col("d") / F.lit(part_size)), F.lit(1)).cast("int")
     placed = sized.select("customer", "product", parts.alias("parts")).withColumn(
@@ -176,7 +176,7 @@ def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_p
         .agg(F.count(F.lit(1)).alias("buyers"))
         .filter(F.col("buyers") > buyers_per_part)
         .select("product", F.ceil(F.col("buyers") / F.lit(buyers_per_part)).cast("int").alias("hot_parts"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BASKET_SALTS - 1))).cast("long"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASKET_SALTS - 1).cast("long"))))
     )
     seeds = bought.select("customer", "product", F.pmod(F.xxhash64("customer"), F.lit(BASKET_SALTS)).alias("salt")).join(
         hot, ["product", "salt"], "left"
@@ -201,23 +201,29 @@ def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_p
 def content_similarity(product_features: DataFrame, k: int = 5) -> DataFrame:
     """The k products of the same category with the nearest price.
 
-    ``product_features`` is (product, categoria, price). In price order the k
-    nearest lie among the k places before and after, so each product looks at
+    ``product_features`` is (product, categoria, price). Equal gaps go to the
+    nearer place in (price, product) order, then to the lower id. So the k
+    nearest lie among the k places before and after, and each product looks at
     2k others instead of at its whole category.
     """
     order = Window.partitionBy("categoria").orderBy("price", "product")
     other = F.struct("product", "price")
-    around = [F.lag(other, i).over(order) for i in range(1, k + 1)] + [F.lead(other, i).over(order) for i in range(1, k + 1)]
-    looked = product_features.withColumn("around", F.array_compact(F.array(*around)))
-    neighbours = looked.select("product", "categoria", "price", F.explode("around").alias("other")).select(
-        "product",
-        "categoria",
-        F.col("other.product").alias("neighbour"),
-        F.abs(F.col("other.price") - F.col("price")).alias("price_gap"),
-        F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("other.price") - F.col("price"))),
-    ).toDF("product", "categoria", "neighbour", "price_gap", "similarity")
-    rank = F.row_number().over(Window.partitionBy("product").orderBy("price_gap", "neighbour"))
-    return neighbours.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    places = [p for i in range(1, k + 1) for p in ((F.lag(other, i), i), (F.lead(other, i), i))]
+    around = F.array(*[F.struct(value.over(order).alias("other"), F.lit(i).alias("places")) for value, i in places])
+    gap = F.abs(F.col("other.price") - F.col("price"))
+    neighbours = (
+        product_features.select("product", "categoria", "price", around.alias("around"))
+        .select("product", "categoria", "price", F.inline("around"))
+        .filter(F.col("other").isNotNull())
+        .select("product", "categoria", F.col("other.product").alias("neighbour"), gap.alias("price_gap"), "places")
+    )
+    rank = F.row_number().over(Window.partitionBy("product").orderBy("price_gap", "places", "neighbour"))
+    return (
+        neighbours.withColumn("rank", rank.cast("long"))
+        .filter(F.col("rank") <= k)
+        .withColumn("similarity", F.lit(1.0) / (F.lit(1.0) + F.col("price_gap")))
+        .drop("places")
+    )
 
 
 # --- routing -----------------------------------------------------------------------

@@ -137,11 +137,11 @@ VIEWS: dict[str, str] = {
     # --- text
     "clean_tokens": f"""SELECT review_id, review_score, review_comment_message, list_filter(string_split_regex(regexp_replace(regexp_replace(
         lower(review_comment_message), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', ' ', 'g'), '\\p{{Nd}}+', '', 'g'), '[\\s\\p{{Z}}]+'),
-        x -> length(x) > 2 AND NOT list_contains([{_list(STOPWORDS_PT)}], x)) AS tokens FROM reviews_p""",
+        lambda x: length(x) > 2 AND NOT list_contains([{_list(STOPWORDS_PT)}], x)) AS tokens FROM reviews_p""",
     "cleaned": "SELECT review_id, review_score, review_comment_message, array_to_string(tokens, ' ') AS limpio FROM clean_tokens",
     "terms": """SELECT review_id, 1 AS n, unnest(tokens) AS term FROM clean_tokens
-      UNION ALL SELECT review_id, 2, unnest(list_transform(range(1, len(tokens)), i -> array_to_string(tokens[i:i+1], ' '))) FROM clean_tokens
-      UNION ALL SELECT review_id, 3, unnest(list_transform(range(1, len(tokens) - 1), i -> array_to_string(tokens[i:i+2], ' '))) FROM clean_tokens""",
+      UNION ALL SELECT review_id, 2, unnest(list_transform(range(1, len(tokens)), lambda i: array_to_string(tokens[i:i+1], ' '))) FROM clean_tokens
+      UNION ALL SELECT review_id, 3, unnest(list_transform(range(1, len(tokens) - 1), lambda i: array_to_string(tokens[i:i+2], ' '))) FROM clean_tokens""",
     "ngrams_t": """SELECT CAST(n AS BIGINT) AS n, term, count(*) AS freq, count(DISTINCT review_id) AS doc_freq
       FROM terms GROUP BY n, term HAVING count(DISTINCT review_id) >= 3""",
     # --- customers
@@ -193,7 +193,7 @@ VIEWS: dict[str, str] = {
     "history": """SELECT customer_unique_id, concat(CASE WHEN frequency >= 2 THEN concat('cliente recurrente (', frequency, ' compras)')
         ELSE concat('comprador de primera vez (', frequency, ' compra)') END, ', gasto acumulado ',
         CASE WHEN monetary >= 400000 THEN 'alto' WHEN monetary >= 100000 THEN 'medio' ELSE 'bajo' END, ' de R$',
-        CAST(round_even(monetary, 0) AS BIGINT), ', inactivo hace ', recency, ' dias.') AS historial_compras,
+        CAST(round_even(round(monetary, 2), 0) AS BIGINT), ', inactivo hace ', recency, ' dias.') AS historial_compras,
         concat('Ultimo pedido hace ', recency, ' dias. ', CASE WHEN recency <= 365 THEN 'Hay un pedido reciente en el sistema.'
         ELSE 'Sin pedidos recientes en el sistema.' END) AS orden_status FROM rfm_t""",
     "profiles": """SELECT *, CASE WHEN queja_categoria IS NOT NULL OR segmento = 'Cliente_Fiel_En_Riesgo' THEN 'Marco'
@@ -205,7 +205,7 @@ VIEWS: dict[str, str] = {
         '    "precio_promedio_R$": ', precio_promedio_real, ',', chr(10), '    "rango_precios_R$": {', chr(10),
         '      "minimo": ', minimo, ',', chr(10), '      "maximo": ', maximo, chr(10), '    },', chr(10),
         '    "unidades_vendidas": ', unidades_vendidas, ',', chr(10), '    "tags": [', chr(10), '      ',
-        array_to_string(list_transform(tags, t -> CAST(to_json(t) AS VARCHAR)), concat(',', chr(10), '      ')), chr(10), '    ]', chr(10), '  }') AS block
+        array_to_string(list_transform(tags, lambda t: CAST(to_json(t) AS VARCHAR)), concat(',', chr(10), '      ')), chr(10), '    ]', chr(10), '  }') AS block
       FROM products_t)""",
     "prompts": f"""SELECT customer_unique_id, persona, concat(opening, chr(10), chr(10), {_q(HEADING_PROFILE)}, chr(10), '{{', chr(10),
         array_to_string(list_filter([
@@ -213,7 +213,7 @@ VIEWS: dict[str, str] = {
           concat('  "historial_compras": ', to_json(historial_compras)),
           CASE WHEN queja_categoria IS NOT NULL THEN concat('  "experiencia_negativa_previa": {{', chr(10), '    "categoria": ',
             to_json(queja_categoria), ',', chr(10), '    "detalle_original": ', to_json(queja_detalle), chr(10), '  }}') END
-        ], x -> x IS NOT NULL), concat(',', chr(10))), chr(10), '}}', chr(10), chr(10), {_q(HEADING_CATALOG)}, chr(10), catalogo, chr(10), chr(10),
+        ], lambda x: x IS NOT NULL), concat(',', chr(10))), chr(10), '}}', chr(10), chr(10), {_q(HEADING_CATALOG)}, chr(10), catalogo, chr(10), chr(10),
         {_q(HEADING_STATUS)}, chr(10), orden_status, chr(10), chr(10), closing) AS prompt
       FROM profiles JOIN (VALUES {_PERSONA_VALUES}) p(persona, opening, closing) USING (persona), catalog_t""",
     # --- recommendations
@@ -231,17 +231,18 @@ VIEWS: dict[str, str] = {
       FROM popular_seg WINDOW s AS (PARTITION BY segmento)""",
     "pairs": """SELECT a.product AS product_a, b.product AS product_b, count(*) AS n_customers
       FROM bought a JOIN bought b ON a.customer = b.customer AND a.product < b.product GROUP BY 1, 2""",
-    "similar": """SELECT product_a, product_b, n_customers / sqrt(a.buyers * CAST(b.buyers AS DOUBLE)) AS similarity
+    "similar_t": """SELECT product_a, product_b, n_customers / sqrt(a.buyers * CAST(b.buyers AS DOUBLE)) AS similarity
       FROM pairs JOIN popular a ON a.product = product_a JOIN popular b ON b.product = product_b""",
-    "similar_both": """SELECT product_a AS product, product_b AS neighbour, similarity FROM similar
-      UNION ALL SELECT product_b, product_a, similarity FROM similar""",
+    "similar_both": """SELECT product_a AS product, product_b AS neighbour, similarity FROM similar_t
+      UNION ALL SELECT product_b, product_a, similarity FROM similar_t""",
     "cf_scores": """SELECT customer, neighbour AS product, round_even(sum(similarity), 6) AS score
       FROM bought JOIN similar_both USING (product) GROUP BY 1, 2""",
     "cf_ranked": """SELECT customer, product, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, product) AS rank
       FROM cf_scores ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10""",
-    "features": "SELECT p_partkey AS product, p_brand AS categoria, p_retailprice AS price FROM part",
+    "features": """SELECT p_partkey AS product, p_brand AS categoria, p_retailprice AS price,
+      row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS place FROM part""",
     "content": """SELECT a.product, a.categoria, b.product AS neighbour, abs(b.price - a.price) AS price_gap,
-        row_number() OVER (PARTITION BY a.product ORDER BY abs(b.price - a.price), b.product) AS rank
+        row_number() OVER (PARTITION BY a.product ORDER BY abs(b.price - a.price), abs(a.place - b.place), b.product) AS rank
       FROM features a JOIN features b ON a.categoria = b.categoria AND a.product <> b.product QUALIFY rank <= 5""",
     "routes": """SELECT customer_unique_id AS customer, coalesce(n, 0) AS n_products,
         CASE WHEN coalesce(n, 0) >= 3 THEN 'item_cf' WHEN coalesce(n, 0) >= 1 THEN 'content' ELSE 'popular' END AS route
@@ -338,7 +339,7 @@ BODIES: dict[str, str] = {
     "circle_radius": """SELECT customer_city, customer_state, round(ingresos, 2) AS ingresos,
       round(8000 + ingresos / (SELECT max(ingresos) FROM city_geo_t) * 55000, 4) AS radio_m,
       customer_city = (SELECT customer_city FROM best) AS es_top FROM city_geo_t ORDER BY ingresos DESC, customer_city, customer_state LIMIT 20""",
-    "title_case": """SELECT array_to_string(list_transform(string_split(lower(customer_city), ' '), w -> upper(w[1]) || w[2:]), ' ') AS title,
+    "title_case": """SELECT array_to_string(list_transform(string_split(lower(customer_city), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title,
       upper(customer_city) AS upper, count(*) AS n FROM customers_p GROUP BY 1, 2""",
     "history_text": "SELECT customer_unique_id, historial_compras FROM history",
     "order_status_text": "SELECT customer_unique_id, orden_status FROM history",
@@ -354,7 +355,7 @@ BODIES: dict[str, str] = {
     "join_order_revenue": "SELECT order_id, customer_unique_id, round(ingresos, 2) AS ingresos FROM order_rows",
     "join_rate": "SELECT categoria, total_resenas, resenas_negativas FROM rates",
     "join_pain_rate": "SELECT categoria, pain, total_resenas, resenas_negativas_pain, round(tasa, 6) AS tasa FROM pain_rates",
-    "join_geo": "SELECT order_id, customer_zip_code_prefix, round(ingresos, 2) AS ingresos, round(lat, 6) AS lat, round(lng, 6) AS lng FROM geo_rows",
+    "join_geo": "SELECT order_id, customer_zip_code_prefix, round(ingresos, 2) AS ingresos, round(lat, 9) AS lat, round(lng, 9) AS lng FROM geo_rows",
     "anti_done": "SELECT review_id, review_score FROM corpus WHERE review_id NOT IN (SELECT review_id FROM corpus WHERE review_score = 1)",
     "exclude_purchased": """SELECT customer, segmento, count(*) AS n_candidates, CAST(sum(rank) AS BIGINT) AS rank_sum FROM buyer_segments JOIN (
         SELECT *, row_number() OVER (PARTITION BY segmento ORDER BY score DESC, product) AS rank FROM pool_plain QUALIFY rank <= 50) USING (segmento)
@@ -384,10 +385,10 @@ BODIES: dict[str, str] = {
       round(avg(monetary), 4) AS monetary_med, round(count(*) * 100e0 / sum(count(*)) OVER (), 6) AS pct,
       (SELECT count(*) FROM segmented WHERE segmento IS NULL) AS sin_segmento FROM segmented GROUP BY segmento) WHERE segmento IS NOT NULL""",
     "city_stats": "SELECT customer_city, customer_state, ordenes, round(ingresos_totales, 2) AS ingresos_totales, clientes_unicos FROM cities",
-    "city_geo": "SELECT customer_city, customer_state, round(ingresos, 2) AS ingresos, ordenes, round(lat, 6) AS lat, round(lng, 6) AS lng FROM city_geo_t",
-    "zip_centroid": "SELECT zip, round(lat, 6) AS lat, round(lng, 6) AS lng FROM zips",
-    "weighted_centroid": """SELECT round(lat_opt, 6) AS lat_opt, round(lng_opt, 6) AS lng_opt, round(lat_simple, 6) AS lat_simple,
-      round(lng_simple, 6) AS lng_simple, n_orders, round(ingresos, 2) AS ingresos FROM center""",
+    "city_geo": "SELECT customer_city, customer_state, round(ingresos, 2) AS ingresos, ordenes, round(lat, 9) AS lat, round(lng, 9) AS lng FROM city_geo_t",
+    "zip_centroid": "SELECT zip, round(lat, 9) AS lat, round(lng, 9) AS lng FROM zips",
+    "weighted_centroid": """SELECT round(lat_opt, 9) AS lat_opt, round(lng_opt, 9) AS lng_opt, round(lat_simple, 9) AS lat_simple,
+      round(lng_simple, 9) AS lng_simple, n_orders, round(ingresos, 2) AS ingresos FROM center""",
     "coverage_stats": """SELECT count(*) AS n_orders, round(avg(km), 6) AS km_mean, round(quantile_cont(km, 0.5), 6) AS km_median,
       round(quantile_cont(km, 0.8), 6) AS km_p80 FROM city_km""",
     "centroid_shift": """SELECT round(sqrt(power((lat_simple - lat_opt) * 111, 2)
@@ -438,7 +439,7 @@ BODIES: dict[str, str] = {
     # --- set operations and reshaping
     "union_segments": "SELECT customer_unique_id, recency, frequency, round(monetary, 2) AS monetary, segmento FROM segmented",
     "union_results": "SELECT review_id, pain_point_category, CASE WHEN review_id % 2 = 1 THEN 2 END AS run FROM classified",
-    "zip_points": "SELECT round(lat, 6) AS lat, round(lng, 6) AS lng, round(ingresos, 2) AS weight FROM city_rows",
+    "zip_points": "SELECT round(lat, 9) AS lat, round(lng, 9) AS lng, round(ingresos, 2) AS weight FROM city_rows",
     "heat_grid": """SELECT CAST(floor(lat / 0.05e0) AS BIGINT) AS cell_lat, CAST(floor(lng / 0.05e0) AS BIGINT) AS cell_lng,
       round(sum(ingresos), 2) AS ingresos, count(*) AS ordenes FROM geo_rows GROUP BY 1, 2""",
     "catalog_doc": """SELECT '1.0' AS version, count(*) OVER () AS total_productos, row_number() OVER (ORDER BY id) - 1 AS pos, id, precio_promedio_real,
@@ -451,7 +452,7 @@ BODIES: dict[str, str] = {
     "silhouette": "SELECT * FROM sil2 UNION ALL SELECT * FROM sil3",
     "segment_refresh": "SELECT customer_unique_id, cluster FROM rec2 WHERE recency <= 730",
     "item_cooccurrence": "SELECT product_a, product_b, n_customers FROM pairs",
-    "item_cf_similarity": "SELECT product_a, product_b, round(similarity, 6) AS similarity FROM similar",
+    "item_cf_similarity": "SELECT product_a, product_b, round(similarity, 6) AS similarity FROM similar_t",
     "item_cf_rank": "SELECT customer, product, score, rank FROM cf_ranked",
     "content_similarity": "SELECT product, neighbour, round(price_gap, 4) AS price_gap, rank FROM content",
     "recommend_route": "SELECT customer, n_products, route FROM routes",

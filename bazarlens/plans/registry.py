@@ -508,7 +508,7 @@ def join_pain_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def join_geo(spark: SparkSession, sf: str) -> DataFrame:
     joined = geo.join_geo(_order_rows(spark, sf), geo.zip_centroid(proxies.geolocation_p(spark, sf)))
-    return joined.select("order_id", "customer_zip_code_prefix", rnd("ingresos", 2), rnd("lat"), rnd("lng"))
+    return joined.select("order_id", "customer_zip_code_prefix", rnd("ingresos", 2), rnd("lat", 9), rnd("lng", 9))
 
 
 @query
@@ -611,18 +611,18 @@ def city_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def city_geo(spark: SparkSession, sf: str) -> DataFrame:
     cities = geo.city_geo(_all_points(spark, sf))
-    return cities.select("customer_city", "customer_state", rnd("ingresos", 2), "ordenes", rnd("lat"), rnd("lng"))
+    return cities.select("customer_city", "customer_state", rnd("ingresos", 2), "ordenes", rnd("lat", 9), rnd("lng", 9))
 
 
 @query
 def zip_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    return geo.zip_centroid(proxies.geolocation_p(spark, sf)).select("zip", rnd("lat"), rnd("lng"))
+    return geo.zip_centroid(proxies.geolocation_p(spark, sf)).select("zip", rnd("lat", 9), rnd("lng", 9))
 
 
 @query
 def weighted_centroid(spark: SparkSession, sf: str) -> DataFrame:
     center = geo.weighted_centroid(_city_points(spark, sf))
-    return center.select(rnd("lat_opt"), rnd("lng_opt"), rnd("lat_simple"), rnd("lng_simple"), "n_orders", rnd("ingresos", 2))
+    return center.select(rnd("lat_opt", 9), rnd("lng_opt", 9), rnd("lat_simple", 9), rnd("lng_simple", 9), "n_orders", rnd("ingresos", 2))
 
 
 @query
@@ -801,7 +801,7 @@ def zip_points(spark: SparkSession, sf: str) -> DataFrame:
     totals = _zip_totals(spark, sf)
     rows = geo.in_city(_order_rows(spark, sf), _best_city(totals))
     points = geo.join_geo(rows, geo.zip_centroid(proxies.geolocation_p(spark, sf)))
-    return points.select(rnd("lat"), rnd("lng"), F.round("ingresos", 2).alias("weight"))
+    return points.select(rnd("lat", 9), rnd("lng", 9), F.round("ingresos", 2).alias("weight"))
 
 
 @query
@@ -830,7 +830,7 @@ def robust_scale(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Centres of the best of ten seeded fits, applied to the recurrent customers."""
     scaled = materialize(_scaled(spark, sf), "scaled")
-    centroids, _ = cluster.kmeans_fit(scaled, SCALED, 2)
+    centroids, _ = cluster.kmeans_fit(scaled, SCALED, "customer_unique_id", 2)
     return cluster.kmeans_step(scaled, SCALED, centroids)
 
 
