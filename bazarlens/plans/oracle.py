@@ -361,7 +361,7 @@ BODIES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY segmento ORDER BY score DESC, product) AS rank FROM pool_plain QUALIFY rank <= 50) USING (segmento)
       ANTI JOIN bought USING (customer, product) GROUP BY customer, segmento""",
     "customer_complaint": "SELECT customer_unique_id, review_id, queja_categoria, md5(queja_detalle) AS detalle_md5 FROM latest",
-    "feedback_join": f"SELECT served_id, customer_id, product_id, action, round(delay_seconds, 3) AS delay_seconds FROM ({_feedback(86400)})",
+    "feedback_join": f"SELECT served_id, customer_id, product_id, action, round(delay_seconds, 6) AS delay_seconds FROM ({_feedback(86400)})",
     # --- aggregations
     "order_revenue": "SELECT order_id, round(ingresos, 2) AS revenue FROM order_revenue_t",
     "reviews_by_category": "SELECT categoria, total_resenas FROM totals",
@@ -474,7 +474,7 @@ BODIES: dict[str, str] = {
       FROM (SELECT date_trunc('day', ts) AS w, * FROM events_p) WHERE w + INTERVAL 1 DAY <= (SELECT wm FROM watermark) GROUP BY ALL""",
     "stream_implicit_scores": "SELECT customer_id, product_id, score, n_events FROM scores",
     "stream_sessions": f"""SELECT customer_id, strftime(first_ts, '{_COLS}') AS session_start, n_events,
-      round(date_diff('microsecond', first_ts, last_ts) / 1000000e0, 3) AS dwell_seconds FROM visits
+      round(date_diff('microsecond', first_ts, last_ts) / 1000000e0, 6) AS dwell_seconds FROM visits
       WHERE last_ts + INTERVAL 12 HOUR <= (SELECT wm FROM watermark)""",
     "stream_dedup": "SELECT event_id, customer_id, event_type, product_id FROM events_p",
     "stream_feedback": f"SELECT served_id, action FROM ({_feedback(86400)}) WHERE action IS NOT NULL",

@@ -536,7 +536,7 @@ def customer_complaint(spark: SparkSession, sf: str) -> DataFrame:
 def feedback_join(spark: SparkSession, sf: str) -> DataFrame:
     events = proxies.events_p(spark, sf)
     joined = feedback.feedback_join(_served(events), _actions(events))
-    return joined.select("served_id", "customer_id", "product_id", "action", rnd("delay_seconds", 3))
+    return joined.select("served_id", "customer_id", "product_id", "action", rnd("delay_seconds"))
 
 
 # --- aggregations -----------------------------------------------------------------
@@ -977,7 +977,7 @@ def stream_implicit_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     visits = stream.run_append(stream.sessions(stream.read_events(spark, sf)), *stream.scratch(spark, "sessions"))
-    return visits.select("customer_id", stamp(F.col("session_start")).alias("session_start"), "n_events", rnd("dwell_seconds", 3))
+    return visits.select("customer_id", stamp(F.col("session_start")).alias("session_start"), "n_events", rnd("dwell_seconds"))
 
 
 @query
