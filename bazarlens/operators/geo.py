@@ -1,9 +1,9 @@
 """Best city, revenue-weighted centre and coverage.
 
-The analysis runs on one row per (city, state, zip) with its orders and
-revenue. All results are sums over orders, and percentiles take the number of
-orders as frequency, so they equal those over single orders, while a zip that
-holds a third of all orders is one row.
+Orders are combined per customer account first, then per (city, state, zip).
+All results are sums over orders, and percentiles take the number of orders as
+frequency, so they equal those over single orders, while an account or a zip
+that holds a third of all orders is one row.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from bazarlens.functions.scalars import circle_radius, geo_valid, planar_km
 from bazarlens.operators.profiling import top_k
 
 
-def city_stats(order_rows: DataFrame) -> DataFrame:
+def city_stats(accounts: DataFrame) -> DataFrame:
     """Orders, revenue and distinct persons per city and state."""
     return (
-        order_rows.filter(F.col("customer_city").isNotNull() & F.col("customer_state").isNotNull())
+        accounts.filter(F.col("customer_city").isNotNull() & F.col("customer_state").isNotNull())
         .groupBy("customer_city", "customer_state")
         .agg(
-            F.count("order_id").alias("ordenes"),
+            F.sum("n_orders").alias("ordenes"),
             F.sum("ingresos").alias("ingresos_totales"),
             F.countDistinct("customer_unique_id").alias("clientes_unicos"),
         )
@@ -52,10 +52,10 @@ def join_geo(order_rows: DataFrame, centroids: DataFrame) -> DataFrame:
     return joined.filter(geo_valid(F.col("lat"), F.col("lng")))
 
 
-def zip_totals(order_rows: DataFrame) -> DataFrame:
+def zip_totals(accounts: DataFrame) -> DataFrame:
     """(city, state, zip, n_orders, revenue): the grain of the analysis."""
-    return order_rows.groupBy("customer_city", "customer_state", F.col("customer_zip_code_prefix").alias("zip")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum("ingresos").alias("ingresos")
+    return accounts.groupBy("customer_city", "customer_state", F.col("customer_zip_code_prefix").alias("zip")).agg(
+        F.sum("n_orders").alias("n_orders"), F.sum("ingresos").alias("ingresos")
     )
 
 

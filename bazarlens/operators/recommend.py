@@ -70,7 +70,8 @@ def candidate_pool(bought: DataFrame, segments: DataFrame, ratings: DataFrame |
         F.try_divide(F.col("revenue"), F.col("max_revenue")),
         F.coalesce(F.try_divide(F.col("rating"), F.col("max_rating")), F.lit(0.0)),
     ]
-    scored = rated.join(largest, "segmento").withColumn("score", F.bround((shares[0] + shares[1] + shares[2]) / 3, 6))
+    # One row per segment, so it is broadcast and a large segment is not moved.
+    scored = rated.join(F.broadcast(largest), "segmento").withColumn("score", F.bround((shares[0] + shares[1] + shares[2]) / 3, 6))
     rank = F.row_number().over(Window.partitionBy("segmento").orderBy(F.desc("score"), F.asc("product")))
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= size).select("segmento", "rank", "product", "score")
 
@@ -97,8 +98,11 @@ def exclude_purchased(candidates: DataFrame, bought: DataFrame) -> DataFrame:
 
 
 def segment_candidates(segments: DataFrame, pool: DataFrame, bought: DataFrame) -> DataFrame:
-    """The pool of the customer's segment without what was bought."""
-    return exclude_purchased(segments.join(pool.select("segmento", "product", "rank"), "segmento"), bought)
+    """The pool of the customer's segment without what was bought.
+
+    The pools hold a fixed number of rows a segment, so they are broadcast.
+    """
+    return exclude_purchased(segments.join(F.broadcast(pool.select("segmento", "product", "rank")), "segmento"), bought)
 
 
 # --- item based collaborative filtering ----------------------------------------
@@ -186,13 +190,19 @@ def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_p
         "product",
         F.pmod(F.xxhash64("customer", F.lit("part")), F.coalesce("hot_parts", F.lit(1))).cast("int").alias("part"),
     )
+    # What was bought goes into the same aggregate as a row without a score, so
+    # that leaving it out needs no second join on (customer, product).
+    scores = seeds.join(neighbours, ["product", "part"]).select("customer", F.col("neighbour").alias("product"), "similarity")
+    owned = bought.select("customer", "product", F.lit(None).cast("double").alias("similarity"))
     scored = (
-        seeds.join(neighbours, ["product", "part"])
-        .groupBy("customer", F.col("neighbour").alias("product"))
-        .agg(F.bround(F.sum("similarity"), 6).alias("score"))
+        scores.unionByName(owned)
+        .groupBy("customer", "product")
+        .agg(F.sum("similarity").alias("total"), F.count("similarity").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+        .filter(F.col("n") == F.col("n_rows"))
+        .select("customer", "product", F.bround("total", 6).alias("score"))
     )
     rank = F.row_number().over(Window.partitionBy("customer").orderBy(F.desc("score"), F.asc("product")))
-    return exclude_purchased(scored, bought).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
 # --- content based ---------------------------------------------------------------

@@ -9,30 +9,40 @@ from bazarlens.functions.scalars import pct_rate, recency_days, reference_date
 from bazarlens.operators.sales import filter_delivered, order_revenue
 
 
-def rfm(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
-    """(customer_unique_id, recency, frequency, monetary) of delivered orders.
+def account_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Delivered orders combined per customer account.
 
-    The reference date looks at all delivered orders, also those without
-    items. Orders are combined per customer_id before the customer join, which
-    needs the same partitioning and so adds no shuffle; a customer with very
-    many orders travels as partial rows.
+    Done before any customer join: the join needs the same partitioning and so
+    adds no shuffle, and an account with very many orders is one row in it.
     """
     delivered = filter_delivered(orders).select("order_id", "customer_id", "order_purchase_timestamp")
-    reference = delivered.select(reference_date(F.max("order_purchase_timestamp"))).scalar()
-    per_customer = (
-        delivered.join(order_revenue(items, "monetary"), "order_id")
+    return (
+        delivered.join(order_revenue(items, "ingresos"), "order_id")
         .groupBy("customer_id")
         .agg(
             F.max("order_purchase_timestamp").alias("latest"),
-            F.count("order_id").alias("frequency"),
-            F.sum("monetary").alias("monetary"),
+            F.count("order_id").alias("n_orders"),
+            F.sum("ingresos").alias("ingresos"),
         )
     )
+
+
+def customer_accounts(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
+    """Account totals with the person, city, state and zip of the account."""
+    return account_totals(orders, items).join(customers, "customer_id")
+
+
+def rfm(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
+    """(customer_unique_id, recency, frequency, monetary) of delivered orders.
+
+    The reference date looks at all delivered orders, also those without items.
+    """
+    reference = filter_delivered(orders).select(reference_date(F.max("order_purchase_timestamp"))).scalar()
     per_person = (
-        per_customer.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+        customer_accounts(orders, items, customers)
         .filter(F.col("customer_unique_id").isNotNull())
         .groupBy("customer_unique_id")
-        .agg(F.max("latest").alias("latest"), F.sum("frequency").alias("frequency"), F.sum("monetary").alias("monetary"))
+        .agg(F.max("latest").alias("latest"), F.sum("n_orders").alias("frequency"), F.sum("ingresos").alias("monetary"))
     )
     return per_person.select(
         "customer_unique_id", recency_days(reference, F.col("latest")).alias("recency"), "frequency", "monetary"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bazarlens.operators import catalog, cluster, complaints, context, geo, ngrams, recommend, reviews, rfm, sales
 from bazarlens.functions.text import clean_tokens
-from bazarlens.session import materialize
+from bazarlens.session import materialize, spread
 from bazarlens.sources.tables import Marketplace
 
 
@@ -39,7 +39,8 @@ def complaint_report(
     corpus = reviews.filter_bad_reviews(m.reviews)
     classified = materialize(classifier(corpus), "classified")
     counts = materialize(reviews.category_pain_counts(m.reviews, classified, m.items, m.products, m.translation), "pain-counts")
-    tokens = corpus.select(clean_tokens(F.col("review_comment_message")).alias("tokens"))
+    texts = spread(corpus.select("review_id", "review_comment_message"), "review_id")
+    tokens = texts.select(clean_tokens(F.col("review_comment_message")).alias("tokens"))
     return ComplaintReport(
         distribution=reviews.pain_distribution(classified),
         delivery_share=reviews.combined_share(classified),
@@ -69,10 +70,10 @@ def store_location(m: Marketplace) -> LocationReport:
 
     The best city enters the later steps as a scalar subquery.
     """
-    rows = rfm.customer_orders(m.orders, m.items, m.customers)
-    stats = geo.city_stats(rows)
+    accounts = materialize(rfm.customer_accounts(m.orders, m.items, m.customers), "accounts")
+    stats = geo.city_stats(accounts)
     city = geo.best_city(stats).select("customer_city").scalar()
-    totals = materialize(geo.zip_totals(rows), "zip-totals")
+    totals = materialize(geo.zip_totals(accounts), "zip-totals")
     centroids = geo.zip_centroid(m.geolocation)
     chosen = geo.in_city(totals, city)
     points = geo.located(chosen, centroids)

@@ -28,7 +28,7 @@ from bazarlens.operators import (
     sales,
 )
 from bazarlens.plans import questions
-from bazarlens.session import fresh_path, materialize
+from bazarlens.session import fresh_path, materialize, spread
 from bazarlens.sources import documents, proxies, tables
 from bazarlens.streaming import complaints as stream_complaints
 from bazarlens.streaming import events as stream
@@ -111,8 +111,12 @@ def _order_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rfm.customer_orders(proxies.orders_p(spark, sf), proxies.items_p(spark, sf), proxies.customers_p(spark, sf))
 
 
+def _accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return rfm.customer_accounts(proxies.orders_p(spark, sf), proxies.items_p(spark, sf), proxies.customers_p(spark, sf))
+
+
 def _zip_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(geo.zip_totals(_order_rows(spark, sf)), "zip-totals")
+    return materialize(geo.zip_totals(_accounts(spark, sf)), "zip-totals")
 
 
 def _best_city(totals: DataFrame) -> Column:
@@ -151,7 +155,8 @@ def _catalog_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _latest_complaints(spark: SparkSession, sf: str) -> DataFrame:
-    return context.customer_complaint(_classified(spark, sf), proxies.orders_p(spark, sf), proxies.customers_p(spark, sf))
+    classified = materialize(_classified(spark, sf), "classified")
+    return context.customer_complaint(classified, proxies.orders_p(spark, sf), proxies.customers_p(spark, sf))
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +180,7 @@ def _ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").select(
+    return proxies.read_table(spark, sf, "part").select(
         F.col("p_partkey").alias("product"), F.col("p_brand").alias("categoria"), F.col("p_retailprice").alias("price")
     )
 
@@ -605,7 +610,7 @@ def segment_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def city_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return geo.city_stats(_order_rows(spark, sf)).withColumn("ingresos_totales", F.round("ingresos_totales", 2))
+    return geo.city_stats(_accounts(spark, sf)).withColumn("ingresos_totales", F.round("ingresos_totales", 2))
 
 
 @query
@@ -653,7 +658,8 @@ def ticket_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = proxies.reviews_p(spark, sf).select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
+    texts = spread(proxies.reviews_p(spark, sf).select("review_id", "review_comment_message"), "review_id")
+    tokens = texts.select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
     return ngrams.ngram_counts(tokens)
 
 
@@ -714,7 +720,7 @@ def top_k_revenue(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def top_cities(spark: SparkSession, sf: str) -> DataFrame:
     """Top 10 by revenue and top 10 by orders."""
-    stats = materialize(geo.city_stats(_order_rows(spark, sf)), "city-stats")
+    stats = materialize(geo.city_stats(_accounts(spark, sf)), "city-stats")
     parts = [
         geo.top_cities(stats, by).select(F.lit(by).alias("criterio"), "customer_city", "customer_state", "ordenes", rnd("ingresos_totales", 2))
         for by in ("ingresos_totales", "ordenes")
@@ -724,7 +730,7 @@ def top_cities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def best_city(spark: SparkSession, sf: str) -> DataFrame:
-    return geo.best_city(geo.city_stats(_order_rows(spark, sf))).withColumn("ingresos_totales", F.round("ingresos_totales", 2))
+    return geo.best_city(geo.city_stats(_accounts(spark, sf))).withColumn("ingresos_totales", F.round("ingresos_totales", 2))
 
 
 @query

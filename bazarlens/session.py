@@ -25,6 +25,8 @@ def build_session(app: str = "bazarlens", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # No Python call site is recorded for each column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Sessions of one hot user are merged before the shuffle.
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
@@ -67,3 +69,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input that has fewer partitions than there are cores.
+
+    Meant for costly work per row (long texts). Such an input is small against
+    the cluster, at most one split per core, so the shuffle is cheap; a larger
+    one is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -30,7 +30,7 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
     spark = build_session(
-        "bazarlens-bench", f"local[{cpus}]", max(8, int(cpus)), **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "bazarlens-bench", f"local[{cpus}]", 4 * int(cpus), **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Start-up cost of the JVM and of the Python workers is not a query's.

@@ -287,7 +287,7 @@ def test_location_report_against_pandas(spark):
     lat, lng = np.average(valid.lat, weights=valid.ingresos), np.average(valid.lng, weights=valid.ingresos)
     km = np.sqrt(((valid.lat - lat) * 111) ** 2 + ((valid.lng - lng) * 111 * np.cos(np.radians(lat))) ** 2)
 
-    totals = geo.zip_totals(order_rows)
+    totals = geo.zip_totals(order_rows.withColumn("n_orders", F.lit(1).cast("long")))
     points = geo.located(totals, centroids)
     center = geo.weighted_centroid(points)
     c = center.first()
