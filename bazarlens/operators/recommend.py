@@ -14,6 +14,9 @@ BASKET_PART = 64
 BASKET_SALTS = 16
 # A product with more buyers than this is joined in several parts.
 BUYERS_PER_PART = 100_000
+# A category with more products than this is sorted in price bands.
+BAND_SIZE = 1_000_000
+BANDS = 256
 
 
 # --- purchases and popularity -------------------------------------------------
@@ -208,21 +211,57 @@ def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_p
 # --- content based ---------------------------------------------------------------
 
 
-def content_similarity(product_features: DataFrame, k: int = 5) -> DataFrame:
+def price_bands(product_features: DataFrame, k: int, band_size: int = BAND_SIZE) -> DataFrame:
+    """Adds ``band`` and ``own``: price bands of the categories that are too large.
+
+    A category of more than ``band_size`` products is cut at approximate price
+    percentiles. The cut points are prices that occur, so every band but the
+    last holds a row. Each band also gets, as rows that are not its own, the k
+    outer rows of each of the k bands on either side: whatever the sizes of the
+    bands, the k rows before and after each own row are then present.
+    """
+    shares = [i / BANDS for i in range(1, BANDS)]
+    large = (
+        product_features.groupBy("categoria")
+        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("price", shares).alias("cuts"))
+        .filter(F.col("n") > band_size)
+        .select("categoria", F.array_distinct("cuts").alias("cuts"))
+    )
+    # At most rows / band_size categories, so their cut points are broadcast.
+    placed = product_features.join(F.broadcast(large), "categoria", "left")
+    below = F.size(F.filter("cuts", lambda cut: cut < F.col("price")))
+    own = placed.select("product", "categoria", "price", F.when(F.col("cuts").isNull(), 0).otherwise(below).alias("band"), F.col("cuts").isNotNull().alias("cut"))
+    group = Window.partitionBy("categoria", "band")
+    low = F.row_number().over(group.orderBy("price", "product"))
+    high = F.row_number().over(group.orderBy(F.desc("price"), F.desc("product")))
+    outer = own.filter("cut")
+    lows = outer.withColumn("place", low).filter(F.col("place") <= k)
+    highs = outer.withColumn("place", high).filter(F.col("place") <= k)
+    columns = ["product", "categoria", "price"]
+    halo = lows.select(*columns, F.explode(F.sequence(F.col("band") - k, F.col("band") - 1)).alias("band")).unionByName(
+        highs.select(*columns, F.explode(F.sequence(F.col("band") + 1, F.col("band") + k)).alias("band"))
+    )
+    return own.select(*columns, "band", F.lit(True).alias("own")).unionByName(halo.withColumn("own", F.lit(False)))
+
+
+def content_similarity(product_features: DataFrame, k: int = 5, band_size: int = BAND_SIZE) -> DataFrame:
     """The k products of the same category with the nearest price.
 
     ``product_features`` is (product, categoria, price). Equal gaps go to the
     nearer place in (price, product) order, then to the lower id. So the k
     nearest lie among the k places before and after, and each product looks at
-    2k others instead of at its whole category.
+    2k others instead of at its whole category. Very large categories are
+    sorted in bands, see :func:`price_bands`.
     """
-    order = Window.partitionBy("categoria").orderBy("price", "product")
+    order = Window.partitionBy("categoria", "band").orderBy("price", "product")
     other = F.struct("product", "price")
     places = [p for i in range(1, k + 1) for p in ((F.lag(other, i), i), (F.lead(other, i), i))]
     around = F.array(*[F.struct(value.over(order).alias("other"), F.lit(i).alias("places")) for value, i in places])
     gap = F.abs(F.col("other.price") - F.col("price"))
     neighbours = (
-        product_features.select("product", "categoria", "price", around.alias("around"))
+        price_bands(product_features.select("product", "categoria", "price"), k, band_size)
+        .withColumn("around", around)
+        .filter("own")
         .select("product", "categoria", "price", F.inline("around"))
         .filter(F.col("other").isNotNull())
         .select("product", "categoria", F.col("other.product").alias("neighbour"), gap.alias("price_gap"), "places")

@@ -431,18 +431,31 @@ def test_item_cf_against_brute_force(spark, buyers_per_part):
     assert got == {c: r for c, r in want.items() if r}
 
 
-def test_content_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("band_size", [10, 1_000_000])
+def test_content_neighbours_against_brute_force(spark, band_size):
     rng = np.random.default_rng(2)
     rows = [(i, "hot" if rng.random() < 0.4 else f"k{i % 5}", float(rng.integers(0, 60))) for i in range(200)]
     frame = spark.createDataFrame(rows, "product long, categoria string, price double")
     got = {}
-    for r in recommend.content_similarity(frame, 3).orderBy("product", "rank").collect():
+    for r in recommend.content_similarity(frame, 3, band_size).orderBy("product", "rank").collect():
         got.setdefault(r["product"], []).append(r["price_gap"])
     for i, kind, price in rows:
         gaps = sorted(abs(p - price) for j, k, p in rows if k == kind and j != i)[:3]
         assert got.get(i, []) == gaps
 
 
+def test_price_bands_do_not_change_the_neighbours(spark):
+    rng = np.random.default_rng(6)
+    # Many equal prices, so that bands differ much in size.
+    rows = [(i, "one", float(min(rng.integers(0, 400), 300))) for i in range(500)]
+    frame = spark.createDataFrame(rows, "product long, categoria string, price double")
+    columns = ["product", "neighbour", "rank"]
+    banded, plain = (sorted(map(tuple, recommend.content_similarity(frame, 4, size).select(columns).collect())) for size in (50, 10_000))
+    assert banded == plain
+    own = recommend.price_bands(frame, 4, 50).filter("own")
+    assert own.count() == 500 and own.select("band").distinct().count() > 100
+
+
 def test_routes_cover_every_customer(spark):
     frame, by_customer = baskets(spark, 3)
     everyone = frame.select("customer").distinct().unionByName(spark.createDataFrame([("new",)], "customer string"))
