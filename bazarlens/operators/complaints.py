@@ -128,7 +128,9 @@ def classify_resume(
         try:
             done = spark.read.parquet(results_path)
             pending = anti_done(corpus, done)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             pending = corpus
         if slices > 1:
             pending = pending.filter(F.pmod(F.xxhash64("review_id"), F.lit(slices)) == part)

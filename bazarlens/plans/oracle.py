@@ -467,6 +467,8 @@ BODIES: dict[str, str] = {
       FROM pool_plain QUALIFY rank <= 100""",
     # --- user functions
     "classify_complaints": "SELECT review_id, order_id, review_score, pain_point_category FROM classified",
+    "classify_plugged": f"""SELECT review_id, list_extract([{_list(TAXONOMY)}], CAST(length(p) % {len(TAXONOMY)} AS INTEGER) + 1) AS pain_point_category
+      FROM (SELECT review_id, concat({_q(_PROMPT_HEAD)}, regexp_replace(review_comment_message, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), {_q(_PROMPT_TAIL)}) AS p FROM corpus)""",
     "apply_clean": "SELECT review_id, substring(limpio, 1, 200) AS limpio_200, md5(limpio) AS clean_md5 FROM cleaned WHERE review_score IN (1, 2)",
     "agg_lambda": "SELECT customer_unique_id, recency FROM rfm_t",
     # --- streaming, against the batch definition of what is closed

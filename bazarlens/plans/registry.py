@@ -658,7 +658,8 @@ def ticket_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    texts = spread(proxies.reviews_p(spark, sf).select("review_id", "review_comment_message"), "review_id")
+    scan = proxies.read_table(spark, sf, "documents").select("doc_id")
+    texts = spread(proxies.reviews_p(spark, sf).select("review_id", "review_comment_message"), "review_id", scan)
     tokens = texts.select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
     return ngrams.ngram_counts(tokens)
 

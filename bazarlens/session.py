@@ -71,14 +71,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input that has fewer partitions than there are cores.
+def spread(df: DataFrame, key: str, scan: DataFrame) -> DataFrame:
+    """Use all cores for ``df`` if its text comes from a scan of few splits.
 
-    Meant for costly work per row (long texts). Such an input is small against
-    the cluster, at most one split per core, so the shuffle is cheap; a larger
-    one is left as it is.
+    Meant for costly work per row (long texts). ``scan`` is the plain table
+    read below ``df``; counting its splits starts no job. With fewer splits
+    than cores the input is small against the cluster and the shuffle cheap; a
+    larger one is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if scan.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
