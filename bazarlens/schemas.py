@@ -24,7 +24,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 # File names of the CSV form of the data set.
 CSV_FILES = {
     "orders": ("orders_dataset.csv", ORDERS),
-    "order_items": ("order_items_dataset.csv", ORDER_ITEMS),
+    "items": ("order_items_dataset.csv", ORDER_ITEMS),
     "products": ("products_dataset.csv", PRODUCTS),
     "translation": ("product_category_name_translation.csv", TRANSLATION),
     "reviews": ("order_reviews_dataset.csv", ORDER_REVIEWS),
