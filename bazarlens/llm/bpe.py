@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazarlens.llm.words import PieceCache
 
 
-def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank from a rank file of one vocabulary (a bounded file)."""
     lines = open(path, "rb").read().split(b"\n")
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
