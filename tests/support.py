@@ -25,7 +25,7 @@ def session() -> SparkSession:
         "bazarlens-tests",
         "local[8]",
         8,
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.sql.streaming.stateStore.maintenanceInterval": "600s"},
+        **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.streaming.stateStore.maintenanceInterval": "600s"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
