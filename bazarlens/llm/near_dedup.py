@@ -21,6 +21,7 @@ from bazarlens.session import materialize
 
 SLICE = 4096
 MEMBERS_PER_TASK = 2000
+OUTSIDERS_PER_TASK = 250
 
 
 @dataclass(frozen=True)
@@ -169,6 +170,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDuplicates) -> Data
     return rows.repartition("centre", "task").sortWithinPartitions("centre", "task", "later").mapInArrow(run, "u long, v long")
 
 
+def confirm_across(pairs: DataFrame, components: DataFrame, docs: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Links between members of one centre that are in different components, as (u, v).
+
+    All that share a bucket share its centre. Under each centre the members
+    outside its largest component are compared with all its members, in groups
+    of up to ``OUTSIDERS_PER_TASK`` of the former and ``MEMBERS_PER_TASK`` of
+    the latter; only confirmed links become rows, pairs never do. Two members
+    of one component need no comparison.
+    """
+    under = pairs.unionByName(pairs.select(F.col("centre").alias("member"), "centre").distinct())
+    named = components.select(F.col("node").alias("member"), "component")
+    under = under.join(named, "member", "left").select("centre", "member", F.coalesce("component", "member").alias("component"))
+    under = materialize(under, "under-centres")
+    sizes = under.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("centre").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    # With two members the only pair is that with the centre.
+    groups = groups.where("n > inside AND n > 2").select(
+        "centre",
+        "largest",
+        F.ceil((F.col("n") - F.col("inside")) / OUTSIDERS_PER_TASK).cast("int").alias("chunks"),
+        F.ceil(F.col("n") / MEMBERS_PER_TASK).cast("int").alias("splits"),
+    )
+    under = under.join(groups, "centre")
+    chunk, split = F.expr("CAST(pmod(xxhash64(member, 1), chunks) AS INT)"), F.expr("CAST(pmod(xxhash64(member, 2), splits) AS INT)")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    outside = under.where(F.col("component") != F.col("largest")).select("centre", chunk.alias("chunk"), every("splits").alias("split"), F.lit(0).alias("role"), "member", "component")
+    inside = under.select("centre", every("chunks").alias("chunk"), split.alias("split"), F.lit(1).alias("role"), "member", "component")
+    wanted = outside.unionByName(inside)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
+    texts = texts.join(under.select(F.col("member").alias("id")).distinct(), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher, group = Sketcher(settings), None
+        outsiders: list[tuple] = []
+        index = None
+        for batch in batches:
+            u, v = [], []
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for centre, chunk_, split_, role, member, component, text in zip(*columns, strict=True):
+                if group != (centre, chunk_, split_):
+                    group, outsiders, index = (centre, chunk_, split_), [], None
+                found = sketcher.shingles(text)
+                if role == 0:
+                    outsiders.append((member, component, found))
+                    continue
+                if not outsiders:
+                    continue
+                if index is None:
+                    values = np.concatenate([x[2] for x in outsiders])
+                    owners = np.repeat(np.arange(len(outsiders)), [len(x[2]) for x in outsiders])
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], owners[order], np.array([x[1] for x in outsiders]), np.array([len(x[2]) for x in outsiders])
+                values, owners, named_, lengths = index
+                lo, hi = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+                many = hi - lo
+                hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                shared = np.bincount(owners[hit], minlength=len(outsiders))
+                near = 100 * shared >= settings.percent * (lengths + len(found) - shared)
+                for i in np.flatnonzero(near & (named_ != component) & (shared > 0)).tolist():
+                    u.append(outsiders[i][0])
+                    v.append(member)
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    rows = wanted.join(texts, F.col("member") == F.col("id")).select("centre", "chunk", "split", "role", "member", "component", "text")
+    return rows.repartition("centre", "chunk", "split").sortWithinPartitions("centre", "chunk", "split", "role").mapInArrow(run, "u long, v long")
+
+
 def _sift(pairs: DataFrame, classes: DataFrame, settings: NearDuplicates) -> DataFrame:
     """Drop pairs whose set sizes or odd sketches rule the similarity out."""
     side = lambda name: classes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
@@ -182,10 +250,10 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicates = NearDuplicates()
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents whose shingle sets are equal form a class at once. In every band
-    bucket each class is compared with the least class; then, as far as a
-    bucket still holds several components, with all classes of the other
-    components, so no link that the bands propose is lost and a large group of
-    near copies costs one comparison a member and not all pairs.
+    bucket each class is compared with the least class, its centre; then, as
+    far as the classes under a centre are still several components, those
+    outside the largest with all the others, so no link that the bands propose
+    is lost and a large group of near copies does not become all pairs.
 
     A null or blank text has no shingles and stands alone. A row without
     doc_id takes no part in links; it is returned with a null component and
@@ -203,29 +271,17 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicates = NearDuplicates()
     members = classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("member"))
     buckets = members.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("last")).where("centre < last").select("bucket", "centre")
     shared = materialize(members.join(buckets, "bucket"), "buckets")
-    first = shared.where("member <> centre").select("member", "centre").distinct()
+    first = materialize(shared.where("member <> centre").select("member", "centre").distinct(), "under-centre")
     # An id that repeats with another text has several classes.
     repeated = with_set.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     repeated = repeated.join(classes.select(F.col("node").alias("u")), "u", "left_semi")
     links = materialize(confirm(materialize(_sift(first, classes, settings), "pairs"), docs, settings).unionByName(repeated), "confirmed")
     found = materialize(connected_components(links), "components")
 
-    # Second round: what a bucket holds of other components than its centre's.
-    labelled = shared.join(found.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.coalesce("component", "member").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    labelled = labelled.join(mixed, "bucket", "left_semi")
-    slim = classes.select(F.col("node").alias("member"), "n_shingles", "sketch")
-    labelled = materialize(labelled.join(slim, "member"), "mixed")
-    other = labelled.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("member", "component", "n_shingles", "sketch")])
-    sizes = F.least("n_shingles", "o_n_shingles") * 100 >= settings.percent * F.greatest("n_shingles", "o_n_shingles")
-    similar = estimated_similarity(F.col("sketch"), F.col("o_sketch"), settings) >= settings.margin
-    crossing = labelled.join(other, (labelled["bucket"] == other["bucket"]) & (F.col("component") < F.col("o_component")) & sizes & similar)
-    crossing = crossing.select(F.col("o_member").alias("member"), F.col("member").alias("centre")).distinct()
-    checked = _sift(first, classes, settings).select("member", "centre")
-    both_ways = checked.unionByName(checked.select(F.col("centre").alias("member"), F.col("member").alias("centre")))
-    crossing = materialize(crossing.join(both_ways, ["member", "centre"], "left_anti"), "pairs")
-    if not crossing.isEmpty():
-        links = materialize(confirm(crossing, docs, settings).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))), "confirmed")
+    # Second round: what meets in a bucket, and so under its centre, but is not in one component yet.
+    more = materialize(confirm_across(first, found, docs, settings), "confirmed")
+    if not more.isEmpty():
+        links = more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
         found = materialize(connected_components(links), "components")
 
     nodes = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
