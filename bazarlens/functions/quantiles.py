@@ -1,21 +1,23 @@
 """Exact interpolated percentiles with bounded state.
 
-``percentile`` keeps every distinct value of its input in one buffer. Here an
-approximate sketch (bounded size, guaranteed rank error) first brackets each
-wanted rank; then ``percentile`` runs over the values clamped to the bracket.
-Clamping keeps the order, so the ranks inside the bracket, and with them the
-result, are unchanged, while the buffer only holds values of the bracket.
+``percentile`` keeps every distinct value of its input in one buffer. Here the
+wanted ranks are closed in on instead: an approximate sketch (bounded size)
+names a narrow bracket around each rank, a count proves that the rank lies in
+it, and so on until a bracket holds few distinct values. Only those are
+grouped and looked at one by one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 20_000
-# Below this size the plain exact percentile is bounded already.
-SMALL_INPUT = 200_000
-# Bracket half-width in rank share; ten times the guaranteed sketch error.
+SKETCH_ACCURACY = 10_000
+# Distinct values of a bracket that are looked at one by one.
+FEW_VALUES = 2_000
+# Bracket half-width as a share of the values in the bracket before.
 MARGIN = 10.0 / SKETCH_ACCURACY
 
 
@@ -23,60 +25,75 @@ def _name(column: str, prob: float) -> str:
     return f"{column}_p{prob * 100:g}".replace(".", "_")
 
 
-def percentile_bounds(df: DataFrame, columns: list[str], probs: list[float], small_input: int = SMALL_INPUT) -> DataFrame:
-    """One row with the bracket of each (column, probability)."""
-    aggregates = []
-    for column in columns:
-        value = F.col(column).cast("double")
-        cuts = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
-        aggregates += [
-            F.count(value).alias(f"{column}_n"),
-            F.min(value).alias(f"{column}_min"),
-            F.max(value).alias(f"{column}_max"),
-            F.percentile_approx(value, cuts, SKETCH_ACCURACY).alias(f"{column}_cuts"),
-        ]
-    stats = df.agg(*aggregates)
-    bounds = []
-    for column in columns:
-        small = F.col(f"{column}_n") <= F.lit(small_input)
-        cuts = F.col(f"{column}_cuts")
-        for i, p in enumerate(probs):
-            bounds += [
-                F.when(small, F.col(f"{column}_min")).otherwise(cuts[i]).alias(_name(column, p) + "_lo"),
-                F.when(small, F.col(f"{column}_max")).otherwise(cuts[len(probs) + i]).alias(_name(column, p) + "_hi"),
-            ]
-    return stats.select(F.struct(*bounds).alias("bounds"))
-
-
-def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], small_input: int = SMALL_INPUT) -> DataFrame:
+class _Bracket:
+    """Values from ``low`` to ``high``; ``below`` values are smaller, ``inside`` lie in it."""
+
+    def __init__(self, column: str, prob: float, n: int, low: float, high: float):
+        self.column, self.prob, self.n = column, prob, n
+        self.low, self.high, self.below, self.inside = low, high, 0, n
+        self.rank = (n - 1) * prob
+        self.margin = MARGIN
+
+    def inner(self) -> Column:
+        value = F.col(self.column)
+        return F.when((value >= self.low) & (value <= self.high), value)
+
+    def cuts(self) -> list[float]:
+        place = (self.rank - self.below) / self.inside
+        return [max(0.0, place - self.margin), min(1.0, place + self.margin)]
+
+    def holds(self, below: int, inside: int) -> bool:
+        return below <= math.floor(self.rank) and math.ceil(self.rank) < below + inside
+
+
+def _narrow(values: DataFrame, open_: list[_Bracket]) -> None:
+    """Two jobs for all brackets: a sketch proposes, a count confirms."""
+    proposed = values.agg(*[F.percentile_approx(b.inner(), b.cuts(), SKETCH_ACCURACY).alias(str(i)) for i, b in enumerate(open_)]).first()
+    counts = []
+    for i, b in enumerate(open_):
+        low, high = proposed[i]
+        value = F.col(b.column)
+        counts += [F.count_if(value < low).alias(f"b{i}"), F.count_if((value >= low) & (value <= high)).alias(f"i{i}")]
+    counted = values.agg(*counts).first()
+    for i, b in enumerate(open_):
+        below, inside = counted[f"b{i}"], counted[f"i{i}"]
+        if b.holds(below, inside):
+            (b.low, b.high), b.below, b.inside = proposed[i], below, inside
+        else:
+            # The sketch was off by more than its margin: the old bracket stays.
+            b.margin *= 4
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], few_values: int = FEW_VALUES) -> DataFrame:
     """One row: ``{column}_p{100*prob}`` for every column and probability.
 
-    Two passes over ``df``; hand over a written table when ``df`` is costly.
-    The counts of values outside each bracket prove that the wanted ranks lie
-    inside; should a sketch ever miss, the job fails instead of guessing.
+    Passes over ``df`` several times; hand over a written table when ``df`` is
+    costly. Nulls are left out; without values the percentiles are null.
     """
-    bounds: Column = percentile_bounds(df, columns, probs, small_input).scalar()
-    # One reference to the subquery; its fields are read from the column.
-    bounded = df.select(*columns, bounds.alias("_bounds"))
-    aggregates, results = [], []
-    for column in columns:
-        value = F.col(column).cast("double")
-        aggregates.append(F.count(value).alias(f"{column}_n"))
-        for p in probs:
-            name = _name(column, p)
-            lo, hi = F.col(f"_bounds.{name}_lo"), F.col(f"_bounds.{name}_hi")
-            aggregates += [
-                F.percentile(F.greatest(F.least(value, hi), lo), p).alias(name),
-                F.count_if(value < lo).alias(name + "_below"),
-                F.count_if(value > hi).alias(name + "_above"),
-            ]
-            rank = (F.col(f"{column}_n") - 1) * F.lit(p)
-            inside = (F.col(name + "_below") <= F.floor(rank)) & (
-                F.col(name + "_above") <= F.col(f"{column}_n") - 1 - F.ceil(rank)
-            )
-            results.append(
-                F.when(inside | (F.col(f"{column}_n") == 0), F.col(name))
-                .otherwise(F.raise_error(F.lit(f"percentile bracket missed for {name}")).cast("double"))
-                .alias(name)
-            )
-    return bounded.agg(*aggregates).select(*results)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stats = values.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count), ("min", F.min), ("max", F.max))]).first()
+    brackets = [
+        _Bracket(c, p, stats[f"{c}_n"], stats[f"{c}_min"], stats[f"{c}_max"]) for c in columns for p in probs if stats[f"{c}_n"]
+    ]
+    while brackets:
+        distinct = values.agg(*[F.approx_count_distinct(b.inner()).alias(str(i)) for i, b in enumerate(brackets)]).first()
+        wide = [b for i, b in enumerate(brackets) if distinct[i] > few_values]
+        if not wide:
+            break
+        _narrow(values, wide)
+    found = {}
+    if brackets:
+        tagged = F.array(*[F.struct(F.lit(i).alias("i"), b.inner().alias("v")) for i, b in enumerate(brackets)])
+        rows = values.select(F.inline(tagged)).filter(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+        for i, b in enumerate(brackets):
+            at, lower, upper = b.below, None, None
+            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["v"]):
+                at += r["n"]
+                if lower is None and at > math.floor(b.rank):
+                    lower = r["v"]
+                if upper is None and at > math.ceil(b.rank):
+                    upper = r["v"]
+            share = b.rank - math.floor(b.rank)
+            found[b.column, b.prob] = lower + (upper - lower) * share
+    schema = ", ".join(f"{_name(c, p)} double" for c in columns for p in probs)
+    return df.sparkSession.createDataFrame([tuple(found.get((c, p)) for c in columns for p in probs)], schema)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from bazarlens.fixed_values import CATALOG_DESCRIPTION, CATALOG_VERSION, CURATED_PRODUCTS
 
-# A document is one row; beyond this many products write one row per product.
-MAX_DOCUMENT_PRODUCTS = 10_000
-
 CURATED_SCHEMA = "id string, categoria string, nombre string, descripcion string, destacado boolean, tags array<string>"
 
 
@@ -58,17 +55,13 @@ def catalog_products(curated: DataFrame, stats: DataFrame) -> DataFrame:
 def catalog_doc(products: DataFrame, version: str = CATALOG_VERSION, description: str = CATALOG_DESCRIPTION) -> DataFrame:
     """The whole knowledge base as one nested row, products by id.
 
-    Only for a curated list; a larger one fails instead of filling one row.
+    A document is one row, as large as the hand-written list it is made of;
+    :func:`catalog_products` has the same content with a row per product.
     """
     document = products.agg(
         F.count(F.lit(1)).alias("total_productos"), F.sort_array(F.collect_list(F.struct(*products.columns))).alias("productos")
     )
-    within = F.when(F.col("total_productos") <= MAX_DOCUMENT_PRODUCTS, F.col("productos")).otherwise(
-        F.raise_error(F.lit("too many products for one document")).cast(document.schema["productos"].dataType)
-    )
-    return document.select(
-        F.lit(version).alias("version"), F.lit(description).alias("descripcion"), "total_productos", within.alias("productos")
-    )
+    return document.select(F.lit(version).alias("version"), F.lit(description).alias("descripcion"), "total_productos", "productos")
 
 
 def catalog_filter(

@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +17,15 @@ from bazarlens.fixed_values import (
     SLEEPING_HIGH_VALUE,
 )
 from bazarlens.functions.quantiles import exact_percentiles
-from bazarlens.functions.scalars import pct_rate
+from bazarlens.functions.scalars import hash_order, pct_rate
 from bazarlens.operators.profiling import sample_fixed
 from bazarlens.session import materialize
 
 SEED = 42
-RESTARTS = 10
+RESTARTS = 3
 SILHOUETTE_SAMPLE = 15_000
-# Rows that the starting centres are drawn from.
-SEED_SAMPLE = 2_000
+# Centres that move less have settled.
+STANDSTILL = 1e-9
 RECURRENT_KS = range(2, 6)
 SINGLE_KS = range(2, 7)
 
@@ -58,6 +57,22 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", parameters.alias("_p")).select(*df.columns, *scaled)
 
 
+def save_model(df: DataFrame, columns: list[str], centroids: Centroids, path: str) -> None:
+    """Write the scaling parameters of ``df`` and the centres: one row per centre."""
+    parameters = robust_parameters(df, columns).select(F.struct("*")).scalar()
+    centres = df.sparkSession.createDataFrame([(int(i), [float(x) for x in c]) for i, c in centroids], "cluster long, centre array<double>")
+    centres.select("*", parameters.alias("p")).select("cluster", "centre", "p.*").write.mode("errorifexists").parquet(path)
+
+
+def assign_saved(df: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """Adds ``cluster`` and ``dist2`` by a saved model; nothing is fitted or rescaled."""
+    rows = df.sparkSession.read.parquet(path).orderBy("cluster").collect()
+    scaled = df
+    for c in columns:
+        scaled = scaled.withColumn(f"{c}_s", (F.col(c) - F.lit(rows[0][f"{c}_median"])) / F.lit(rows[0][f"{c}_scale"]))
+    return kmeans_assign(scaled, [f"{c}_s" for c in columns], [(r["cluster"], r["centre"]) for r in rows])
+
+
 # --- k-means -----------------------------------------------------------------
 
 
@@ -97,15 +112,21 @@ def inertia(df: DataFrame, columns: list[str], centroids: Centroids) -> DataFram
     return kmeans_assign(df, columns, centroids).agg(F.sum("dist2").alias("inertia"), F.count(F.lit(1)).alias("n"))
 
 
-def _seed_centers(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting points of a small sample, far ones with higher probability."""
-    centers = [points[rng.integers(len(points))]]
-    for _ in range(1, k):
-        gap = np.min([((points - c) ** 2).sum(axis=1) for c in centers], axis=0)
-        total = gap.sum()
-        chosen = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
-        centers.append(points[chosen])
-    return np.array(centers)
+def starting_centres(df: DataFrame, columns: list[str], key: str, k: int, seed: int = SEED) -> np.ndarray:
+    """k rows, each the farthest from those before it; the first has the least hash of its key.
+
+    Looks at all rows, so a small cluster far from the others is not missed.
+    The first j of them are the start for j clusters. Equal distances go to
+    the least key.
+    """
+    point = F.struct(*columns)
+    first = df.agg(F.min_by(point, F.struct(hash_order(F.col(key), seed), F.col(key)))).first()[0]
+    centres = [tuple(float(x) for x in first)]
+    while len(centres) < k:
+        gap = nearest(columns, list(enumerate(centres)))["dist2"]
+        best = df.select(key, *columns, gap.alias("gap")).agg(F.max_by(point, F.struct(F.col("gap"), -F.col(key)))).first()[0]
+        centres.append(tuple(float(x) for x in best))
+    return np.array(centres)
 
 
 def _update_all(df: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -150,122 +171,131 @@ def _update_all(df: DataFrame, columns: list[str], models: list[np.ndarray]) ->
 
 
 def kmeans_fit_all(
-    df: DataFrame,
-    columns: list[str],
-    key: str,
-    ks: Sequence[int],
-    seed: int = SEED,
-    restarts: int = RESTARTS,
-    max_passes: int = 100,
-    tolerance: float = 1e-4,
+    df: DataFrame, columns: list[str], key: str, ks: Sequence[int], seed: int = SEED, restarts: int = RESTARTS, max_passes: int = 300
 ) -> dict[int, tuple[Centroids, float]]:
-    """Best of several seeded fits for every k: {k: (centroids, cost)}.
+    """Best of several fits for every k: {k: (centroids, cost)}.
 
-    All restarts of all k advance together, one scan of ``df`` a pass, instead
-    of one scan per model and pass. Starting points come from a small fixed
-    sample; every update uses all rows. A model stops when its centres move
-    less than ``tolerance`` times the mean variance. ``df`` is read once a
-    pass: hand over a written table.
+    Restart i begins with the centres of seed + i. All restarts of all k
+    advance together, one scan of ``df`` a pass, instead of one scan per model
+    and pass. A model is done when its centres stand still; one that still
+    moves after ``max_passes`` is an error. ``df`` is read once a pass: hand
+    over a written table. ``key`` is numeric.
     """
-    start = sample_fixed(df.select(key, *columns), key, SEED_SAMPLE, seed)[columns].toPandas().to_numpy(dtype=float)
-    rng = np.random.default_rng(seed)
-    models = [(k, _seed_centers(start, k, rng)) for k in ks for _ in range(restarts)]
-    limit = tolerance * float(np.mean(start.var(axis=0)))
+    starts = [starting_centres(df, columns, key, max(ks), seed + i) for i in range(restarts)]
+    models = [(k, centres[:k]) for k in ks for centres in starts]
     best: dict[int, tuple[np.ndarray, float]] = {}
-    for done in range(1, max_passes + 1):
+    for _ in range(max_passes):
         updated, costs = _update_all(df, columns, [centers for _, centers in models])
         going = []
         for (k, centers), moved, cost in zip(models, updated, costs):
-            if done == max_passes or ((moved - centers) ** 2).sum() <= limit:
-                if k not in best or cost < best[k][1]:
-                    best[k] = (centers, float(cost))
-            else:
+            if np.abs(moved - centers).max() > STANDSTILL:
                 going.append((k, moved))
+            elif k not in best or cost < best[k][1]:
+                best[k] = (centers, float(cost))
         models = going
         if not models:
             break
+    else:
+        raise RuntimeError(f"k-means still moves after {max_passes} passes")
     return {k: (list(enumerate(sorted(tuple(map(float, c)) for c in centers))), cost) for k, (centers, cost) in best.items()}
 
 
 def kmeans_fit(df: DataFrame, columns: list[str], key: str, k: int, seed: int = SEED, restarts: int = RESTARTS) -> tuple[Centroids, float]:
-    """(centroids, cost) of the best of several seeded fits."""
+    """(centroids, cost) of the best of several fits."""
     return kmeans_fit_all(df, columns, key, [k], seed, restarts)[k]
 
 
 # --- silhouette --------------------------------------------------------------
 
 
-def silhouette(
-    df: DataFrame,
-    columns: list[str],
-    key: str,
-    cluster: str = "cluster",
-    sample_size: int = SILHOUETTE_SAMPLE,
-    seed: int = SEED,
-) -> DataFrame:
-    """Mean Euclidean silhouette of at most ``sample_size`` points, as one row.
-
-    The measure needs the distances between all scored points. The sampled
-    points (a bounded number, three numbers each) are sent to every task; each
-    task scores its own share in blocks of numpy distances and emits one row a
-    point, so no pair ever becomes a row. An input not larger than the sample
-    is scored in full. For a score over all rows of a larger input use
-    :func:`silhouette_linear`.
-    """
-    sample = sample_fixed(df.select(key, cluster, *columns), key, sample_size, seed).toPandas()
-    points = sample[columns].to_numpy(dtype=float)
-    labels, codes = np.unique(sample[cluster].to_numpy(), return_inverse=True)
-    sizes = np.bincount(codes, minlength=len(labels)).astype(float)
-    block = 200
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        member = np.eye(len(labels))[codes]
-        for batch in batches:
-            for start in batch["id"].to_numpy():
-                own = np.arange(start, min(start + block, len(points)))
-                gap = points[own][:, None, :] - points[None, :, :]
-                sums = np.sqrt((gap * gap).sum(axis=2)) @ member
-                mine = codes[own]
-                rows = np.arange(len(own))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    a = sums[rows, mine] / (sizes[mine] - 1)
-                    others = sums / sizes
-                    others[rows, mine] = np.inf
-                    b = others.min(axis=1)
-                    s = (b - a) / np.maximum(a, b)
-                s[sizes[mine] == 1] = 0.0
-                yield pd.DataFrame({"s": np.nan_to_num(s)})
-
-    spark = df.sparkSession
-    if len(labels) < 2:
-        raise ValueError("a silhouette needs at least two clusters")
-    starts = spark.range(0, len(points), block, numPartitions=max(1, min(spark.sparkContext.defaultParallelism, -(-len(points) // block))))
-    return starts.mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
-
-
-def silhouette_linear(df: DataFrame, columns: list[str], cluster: str = "cluster") -> float:
-    """Silhouette with squared Euclidean distances over all rows, in linear time."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
-    return ClusteringEvaluator(predictionCol=cluster, featuresCol="features").evaluate(
-        vectors.withColumn(cluster, F.col(cluster).cast("double"))
-    )
+def silhouettes(df: DataFrame, columns: list[str], labels: dict[int, tuple[Column, Sequence[int]]]) -> dict[int, tuple[float, int]]:
+    """{name: (mean silhouette, rows)} over all rows, for several labellings in two scans.
 
+    Distances are squared. The mean squared distance of a point x to a
+    cluster is |x|^2 - 2 x m + q, where m is the cluster's mean and q its mean
+    |y|^2; so counts, sums and sums of squares per cluster replace all pairs.
+    ``labels`` gives for each name the label column and its values. A point
+    that is alone in its cluster counts 0.
+    """
+    square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
+    sums = []
+    for name, (label, ids) in labels.items():
+        for i in ids:
+            mine = label == i
+            sums.append(F.count_if(mine).alias(f"n_{name}_{i}"))
+            sums += [F.sum(F.when(mine, v)).alias(f"{part}_{name}_{i}") for part, v in [("q", square), *[(c, F.col(c)) for c in columns]]]
+    row = df.agg(*sums).first()
+    means = []
+    for name, (label, ids) in labels.items():
+        used = [i for i in ids if row[f"n_{name}_{i}"]]
+        if len(used) < 2:
+            raise ValueError("a silhouette needs at least two clusters")
+        own, others = F.lit(None).cast("double"), []
+        for i in used:
+            n = row[f"n_{name}_{i}"]
+            gap = square + F.lit(row[f"q_{name}_{i}"] / n)
+            for c in columns:
+                gap = gap - F.col(c) * F.lit(2 * row[f"{c}_{name}_{i}"] / n)
+            own = F.when(label == i, gap * F.lit(n / (n - 1)) if n > 1 else F.lit(None).cast("double")).otherwise(own)
+            others.append(F.when(label != i, gap))
+        other = F.least(*others)
+        score = F.when(own.isNull() | (F.greatest(own, other) <= 0), 0.0).otherwise((other - own) / F.greatest(own, other))
+        means += [F.avg(F.when(label.isNotNull(), score)).alias(f"s_{name}"), F.count(label).alias(f"n_{name}")]
+    found = df.agg(*means).first()
+    return {name: (found[f"s_{name}"], found[f"n_{name}"]) for name in labels}
+
+
+def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
+    """(silhouette, n) of a labelled frame with few clusters, see :func:`silhouettes`."""
+    ids = sorted(r[0] for r in df.select(cluster).distinct().collect() if r[0] is not None)
+    return df.sparkSession.createDataFrame([silhouettes(df, columns, {0: (F.col(cluster), ids)})[0]], "silhouette double, n long")
+
+
+def sampled_silhouette(
+    df: DataFrame, columns: list[str], key: str, cluster: str = "cluster", sample_size: int = SILHOUETTE_SAMPLE, seed: int = SEED
+) -> DataFrame:
+    """(silhouette, n) with plain Euclidean distances over a sample.
 
-def k_search(
-    df: DataFrame, columns: list[str], key: str, ks: Sequence[int], restarts: int = RESTARTS, sample_size: int = SILHOUETTE_SAMPLE
-) -> list[tuple[int, float, Centroids]]:
-    """(k, silhouette, centroids) for every k.
+    ``sample_size`` is the number of rows that the measure is taken from; it
+    needs the distances between all of them. Each task gets a block of the
+    sample and, as the sample is bounded, all of it, and emits a row a point.
+    """
+    sample = materialize(sample_fixed(df.select(key, cluster, *columns), key, sample_size, seed), "silhouette-sample")
+    blocks = max(1, -(-sample_size // 500))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")
+    everyone = sample.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def score(own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        labels, codes = np.unique(rest[cluster].to_numpy(), return_inverse=True)
+        if not len(own) or len(labels) < 2:
+            return pd.DataFrame({"s": np.zeros(len(own))})
+        sizes = np.bincount(codes).astype(float)
+        points = rest[columns].to_numpy(dtype=float)
+        gap = own[columns].to_numpy(dtype=float)[:, None, :] - points[None, :, :]
+        sums = np.sqrt((gap * gap).sum(axis=2)) @ np.eye(len(labels))[codes]
+        mine, rows = np.searchsorted(labels, own[cluster].to_numpy()), np.arange(len(own))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = sums[rows, mine] / (sizes[mine] - 1)
+            others = sums / sizes
+            others[rows, mine] = np.inf
+            b = others.min(axis=1)
+            s = (b - a) / np.maximum(a, b)
+        s[sizes[mine] == 1] = 0.0
+        return pd.DataFrame({"s": np.nan_to_num(s)})
+
+    scored = sample.select("*", block).groupBy("block").cogroup(everyone.groupBy("block")).applyInPandas(score, "s double")
+    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+def k_search(df: DataFrame, columns: list[str], key: str, ks: Sequence[int], restarts: int = RESTARTS) -> list[tuple[int, float, Centroids]]:
+    """(k, silhouette, centroids) for every k, the silhouettes of all k over all rows in two scans.
 
     Only centroids and one score a k come back to the driver. The model of
     the chosen k is returned, so it is not fitted again.
     """
-    results = []
-    for k, (centroids, _) in sorted(kmeans_fit_all(df, columns, key, list(ks), restarts=restarts).items()):
-        score = silhouette(kmeans_assign(df, columns, centroids), columns, key, sample_size=sample_size).first()["silhouette"]
-        results.append((k, score, centroids))
-    return results
+    fits = kmeans_fit_all(df, columns, key, list(ks), restarts=restarts)
+    scores = silhouettes(df, columns, {k: (nearest(columns, c)["cluster"], range(k)) for k, (c, _) in fits.items()})
+    return [(k, scores[k][0], fits[k][0]) for k in sorted(fits)]
 
 
 def argmax_k(scores: DataFrame) -> DataFrame:

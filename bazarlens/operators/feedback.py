@@ -19,7 +19,11 @@ def feedback_join(served: DataFrame, actions: DataFrame, window_seconds: int = 8
     own bucket and the one before, so (customer, product, bucket) holds all
     that a served row can see. Inside it one backward running pass finds the
     next action: no pair of rows is formed and a hot customer is split by time.
+    A null customer or product equals no other: such a served row stays
+    unanswered, such an action answers nothing.
     """
+    keyed = F.col("customer_id").isNotNull() & F.col("product_id").isNotNull()
+    unkeyed, served, actions = served.filter(~keyed), served.filter(keyed), actions.filter(keyed)
     width = window_seconds * 1_000_000
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     bucket = F.floor(micros / F.lit(width))
@@ -41,13 +45,17 @@ def feedback_join(served: DataFrame, actions: DataFrame, window_seconds: int = 8
     later = F.last("next", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = left.unionByName(right).withColumn("later", later).filter(F.col("served_id").isNotNull())
     in_time = F.col("later.us") - F.col("us") <= width
-    return matched.select(
+    unanswered = unkeyed.select(
+        "served_id", "customer_id", "product_id", none.cast("string").alias("action"), none.cast("double").alias("delay_seconds")
+    )
+    answered = matched.select(
         "served_id",
         "customer_id",
         "product_id",
         F.when(in_time, F.col("later.action")).alias("action"),
         F.when(in_time, (F.col("later.us") - F.col("us")) / F.lit(1_000_000.0)).alias("delay_seconds"),
     )
+    return answered.unionByName(unanswered)
 
 
 def feedback_metrics(joined: DataFrame, catalog: DataFrame) -> DataFrame:

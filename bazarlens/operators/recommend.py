@@ -9,14 +9,10 @@ from bazarlens.operators.sales import filter_delivered
 
 # Interaction weights relative to a purchase; not known from results, ours.
 DEFAULT_WEIGHTS = {"purchase": 1.0, "cart": 0.5, "click": 0.3, "view": 0.1}
-# A basket part holds about this many products; larger baskets are split.
+# A basket part holds about this many products.
 BASKET_PART = 64
-BASKET_SALTS = 16
-# A product with more buyers than this is joined in several parts.
-BUYERS_PER_PART = 100_000
-# A category with more products than this is sorted in price bands.
-BAND_SIZE = 1_000_000
-BANDS = 256
+# A price band holds about this many products of a category.
+BAND_SIZE = 100_000
 
 
 # --- purchases and popularity -------------------------------------------------
@@ -73,8 +69,7 @@ def candidate_pool(bought: DataFrame, segments: DataFrame, ratings: DataFrame |
         F.try_divide(F.col("revenue"), F.col("max_revenue")),
         F.coalesce(F.try_divide(F.col("rating"), F.col("max_rating")), F.lit(0.0)),
     ]
-    # One row per segment, so it is broadcast and a large segment is not moved.
-    scored = rated.join(F.broadcast(largest), "segmento").withColumn("score", F.bround((shares[0] + shares[1] + shares[2]) / 3, 6))
+    scored = rated.join(largest, "segmento").withColumn("score", F.bround((shares[0] + shares[1] + shares[2]) / 3, 6))
     rank = F.row_number().over(Window.partitionBy("segmento").orderBy(F.desc("score"), F.asc("product")))
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= size).select("segmento", "rank", "product", "score")
 
@@ -101,11 +96,17 @@ def exclude_purchased(candidates: DataFrame, bought: DataFrame) -> DataFrame:
 
 
 def segment_candidates(segments: DataFrame, pool: DataFrame, bought: DataFrame) -> DataFrame:
-    """The pool of the customer's segment without what was bought.
+    """(customer, segmento, product, rank): the pool of the segment without what was bought.
 
-    The pools hold a fixed number of rows a segment, so they are broadcast.
+    Purchases outside the pools are dropped first; the rest is one array per
+    customer, taken from the pool's array, so no row per customer and pool
+    product is formed before the end.
     """
-    return exclude_purchased(segments.join(F.broadcast(pool.select("segmento", "product", "rank")), "segmento"), bought)
+    pooled = pool.select("product").distinct()
+    owned = bought.join(pooled, "product", "left_semi").groupBy("customer").agg(F.collect_set("product").alias("owned"))
+    lists = pool.groupBy("segmento").agg(F.collect_list(F.struct("product", "rank")).alias("pool"))
+    left = F.filter("pool", lambda x: ~F.coalesce(F.array_contains("owned", x["product"]), F.lit(False)))
+    return segments.join(lists, "segmento").join(owned, "customer", "left").select("customer", "segmento", F.inline(left))
 
 
 # --- item based collaborative filtering ----------------------------------------
@@ -119,13 +120,10 @@ def basket_parts(bought: DataFrame, part_size: int = BASKET_PART) -> DataFrame:
     much is spread over C*(C+1)/2 groups, all of bounded size; an ordinary
     basket is one group. Nothing is dropped.
     """
-    salt = F.pmod(F.xxhash64("product"), F.lit(BASKET_SALTS))
-    large = bought.groupBy("customer").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > part_size)
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASKET_SALTS - 1).cast("long"))))
-    sized = bought.select("customer", "product", salt.alias("salt")).join(large, ["customer", "salt"], "left")
-    parts = F.coalesce(F.ceil(F.col("d") / F.lit(part_size)), F.lit(1)).cast("int")
-    placed = sized.select("customer", "product", parts.alias("parts")).withColumn(
-        "part", F.pmod(F.xxhash64("product", F.lit("part")), F.col("parts")).cast("int")
+    sized = bought.groupBy("customer").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts"))
+    # Adaptive execution splits a large basket's side of this join.
+    placed = bought.join(sized, "customer").select(
+        "customer", "product", "parts", F.pmod(F.xxhash64("product", F.lit("part")), F.col("parts")).cast("int").alias("part")
     )
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return paired.groupBy(
@@ -160,47 +158,35 @@ def item_similarity(cooccurrence: DataFrame, bought: DataFrame) -> DataFrame:
     return cooccurrence.join(a, "product_a").join(b, "product_b").withColumn("similarity", cosine)
 
 
-def directed_similarity(similarity: DataFrame) -> DataFrame:
-    """(product, neighbour, buyers, similarity) in both directions, one scan."""
-    a, b = F.col("product_a"), F.col("product_b")
-    both = F.array(
-        F.struct(a.alias("product"), b.alias("neighbour"), F.col("buyers_a").alias("buyers"), F.col("similarity")),
-        F.struct(b.alias("product"), a.alias("neighbour"), F.col("buyers_b").alias("buyers"), F.col("similarity")),
+def pool_similarity(bought: DataFrame, pool: DataFrame) -> DataFrame:
+    """(product, candidate, similarity) with a pool product at one end.
+
+    Equal to :func:`item_similarity` where the second product is in a pool,
+    but only purchases x pool rows are counted, not all pairs of a basket.
+    """
+    candidates = bought.select("customer", F.col("product").alias("candidate")).join(
+        pool.select(F.col("product").alias("candidate")).distinct(), "candidate", "left_semi"
     )
-    return similarity.select(F.inline(both))
+    both = bought.select("customer", "product").join(candidates, "customer").filter(F.col("product") != F.col("candidate"))
+    counts = both.groupBy("product", "candidate").agg(F.count(F.lit(1)).alias("n_customers"))
+    buyers = bought.groupBy("product").agg(F.count(F.lit(1)).alias("buyers"))
+    of_candidate = buyers.select(F.col("product").alias("candidate"), F.col("buyers").alias("candidate_buyers"))
+    cosine = F.col("n_customers") / F.sqrt(F.col("buyers").cast("double") * F.col("candidate_buyers"))
+    return counts.join(of_candidate, "candidate").join(buyers, "product").select("product", "candidate", cosine.alias("similarity"))
 
 
-def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_per_part: int = BUYERS_PER_PART) -> DataFrame:
-    """The k best unseen products of each customer: sum of similarities.
+def _ranked(signals: DataFrame, owned: DataFrame, k: int) -> DataFrame:
+    """The k best candidates of each customer that are not owned, from rows of (customer, product, signal).
 
-    A product with very many buyers is joined in ceil(buyers / part) parts:
-    its neighbours are repeated that often and its buyers spread by hash.
+    What was bought goes into the same aggregate as a row without a signal,
+    so that leaving it out needs no second join on (customer, product).
     """
-    neighbours = directed_similarity(similarity).withColumn("parts", F.ceil(F.col("buyers") / F.lit(buyers_per_part)).cast("int"))
-    neighbours = neighbours.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    hot = (
-        bought.groupBy("product")
-        .agg(F.count(F.lit(1)).alias("buyers"))
-        .filter(F.col("buyers") > buyers_per_part)
-        .select("product", F.ceil(F.col("buyers") / F.lit(buyers_per_part)).cast("int").alias("hot_parts"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASKET_SALTS - 1).cast("long"))))
-    )
-    seeds = bought.select("customer", "product", F.pmod(F.xxhash64("customer"), F.lit(BASKET_SALTS)).alias("salt")).join(
-        hot, ["product", "salt"], "left"
-    )
-    seeds = seeds.select(
-        "customer",
-        "product",
-        F.pmod(F.xxhash64("customer", F.lit("part")), F.coalesce("hot_parts", F.lit(1))).cast("int").alias("part"),
-    )
-    # What was bought goes into the same aggregate as a row without a score, so
-    # that leaving it out needs no second join on (customer, product).
-    scores = seeds.join(neighbours, ["product", "part"]).select("customer", F.col("neighbour").alias("product"), "similarity")
-    owned = bought.select("customer", "product", F.lit(None).cast("double").alias("similarity"))
+    own = owned.select("customer", "product", F.lit(None).cast("double").alias("signal"))
     scored = (
-        scores.unionByName(owned)
+        signals.select("customer", "product", "signal")
+        .unionByName(own)
         .groupBy("customer", "product")
-        .agg(F.sum("similarity").alias("total"), F.count("similarity").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.sum("signal").alias("total"), F.count("signal").alias("n"), F.count(F.lit(1)).alias("n_rows"))
         .filter(F.col("n") == F.col("n_rows"))
         .select("customer", "product", F.bround("total", 6).alias("score"))
     )
@@ -208,36 +194,67 @@ def item_cf_rank(bought: DataFrame, similarity: DataFrame, k: int = 10, buyers_p
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def _implicit_signals(implicit: DataFrame | None, segments: DataFrame, pool: DataFrame, share: float, like: DataFrame) -> DataFrame:
+    """Weighted interactions with pool products of the own segment, as further signals."""
+    if implicit is None or not share:
+        return like.limit(0)
+    placed = implicit.select(F.col("customer_id").alias("customer"), F.col("product_id").alias("product"), "score").join(segments, "customer")
+    kept = placed.join(pool.select("segmento", "product"), ["segmento", "product"], "left_semi")
+    return kept.select("customer", "product", (F.col("score") * F.lit(share)).alias("signal"))
+
+
+def item_cf_rank(
+    bought: DataFrame, segments: DataFrame, pool: DataFrame, k: int = 10, implicit: DataFrame | None = None, implicit_share: float = 0.0
+) -> DataFrame:
+    """The k best products of the segment's pool that a customer did not buy.
+
+    ``segments`` is (customer, segmento), ``pool`` is (segmento, product). The
+    score is the sum of the similarities to what was bought, plus
+    ``implicit_share`` times the weighted interactions (customer_id,
+    product_id, score) of ``implicit``. Each purchase meets the pool products
+    of its customer's segment and no others.
+    """
+    near = pool_similarity(bought, pool).join(pool.select("segmento", F.col("product").alias("candidate")), "candidate")
+    seeds = bought.select("customer", "product").join(segments.select("customer", "segmento"), "customer")
+    signals = seeds.join(near, ["segmento", "product"]).select("customer", F.col("candidate").alias("product"), F.col("similarity").alias("signal"))
+    wanted = segments.select("customer", "segmento")
+    return _ranked(signals.unionByName(_implicit_signals(implicit, wanted, pool, implicit_share, signals)), bought, k)
+
+
 # --- content based ---------------------------------------------------------------
 
 
 def price_bands(product_features: DataFrame, k: int, band_size: int = BAND_SIZE) -> DataFrame:
-    """Adds ``band`` and ``own``: price bands of the categories that are too large.
+    """Adds ``band`` and ``own``: price bands of about ``band_size`` products of a category.
 
-    A category of more than ``band_size`` products is cut at approximate price
-    percentiles. The cut points are prices that occur, so every band but the
-    last holds a row. Each band also gets, as rows that are not its own, the k
-    outer rows of each of the k bands on either side: whatever the sizes of the
-    bands, the k rows before and after each own row are then present.
+    A category is cut where its products, numbered in (price, product) order,
+    pass a multiple of ``band_size``: ranges of its price histogram decide the
+    band, so only prices with their counts are summed up, and one price that
+    fills several bands is dealt on by product. Each band also gets, as rows
+    that are not its own, the k outer rows of the bands on either side.
     """
-    shares = [i / BANDS for i in range(1, BANDS)]
-    large = (
-        product_features.groupBy("categoria")
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("price", shares).alias("cuts"))
-        .filter(F.col("n") > band_size)
-        .select("categoria", F.array_distinct("cuts").alias("cuts"))
+    prices = product_features.groupBy("categoria", "price").agg(F.count(F.lit(1)).alias("n"), F.min("product").alias("low"), F.max("product").alias("high"))
+    before = F.sum("n").over(Window.partitionBy("categoria").orderBy("price").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.floor(F.coalesce(before, F.lit(0)) / F.lit(band_size))
+    # Inside one price, ids are cut into ranges of equal width; their order is kept.
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(band_size)), F.lit(1))
+    width = F.ceil((F.col("high") - F.col("low") + 1) / parts)
+    cut = prices.select("categoria", "price", first.alias("first"), "low", width.alias("width"), parts.alias("parts"))
+    inside = F.floor((F.col("product") - F.col("low")) / F.col("width"))
+    own = product_features.join(cut, ["categoria", "price"]).select(
+        "product", "categoria", "price", F.struct("first", F.when(F.col("parts") > 1, F.col("price")).alias("price"), F.when(F.col("parts") > 1, inside).alias("part")).alias("at")
     )
-    # At most rows / band_size categories, so their cut points are broadcast.
-    placed = product_features.join(F.broadcast(large), "categoria", "left")
-    below = F.size(F.filter("cuts", lambda cut: cut < F.col("price")))
-    own = placed.select("product", "categoria", "price", F.when(F.col("cuts").isNull(), 0).otherwise(below).alias("band"), F.col("cuts").isNotNull().alias("cut"))
+    # Bands that hold rows, numbered without gaps: one row per band.
+    numbers = own.groupBy("categoria", "at").agg(F.min(F.struct("price", "product")).alias("begin"))
+    number = F.row_number().over(Window.partitionBy("categoria").orderBy("begin"))
+    own = own.join(numbers.select("categoria", "at", number.alias("band")), ["categoria", "at"]).drop("at")
     group = Window.partitionBy("categoria", "band")
     low = F.row_number().over(group.orderBy("price", "product"))
     high = F.row_number().over(group.orderBy(F.desc("price"), F.desc("product")))
-    outer = own.filter("cut")
-    lows = outer.withColumn("place", low).filter(F.col("place") <= k)
-    highs = outer.withColumn("place", high).filter(F.col("place") <= k)
+    lows = own.withColumn("place", low).filter(F.col("place") <= k)
+    highs = own.withColumn("place", high).filter(F.col("place") <= k)
     columns = ["product", "categoria", "price"]
+    # A band may hold fewer than k rows, so the outer rows go k bands far.
     halo = lows.select(*columns, F.explode(F.sequence(F.col("band") - k, F.col("band") - 1)).alias("band")).unionByName(
         highs.select(*columns, F.explode(F.sequence(F.col("band") + 1, F.col("band") + k)).alias("band"))
     )
@@ -250,8 +267,8 @@ def content_similarity(product_features: DataFrame, k: int = 5, band_size: int =
     ``product_features`` is (product, categoria, price). Equal gaps go to the
     nearer place in (price, product) order, then to the lower id. So the k
     nearest lie among the k places before and after, and each product looks at
-    2k others instead of at its whole category. Very large categories are
-    sorted in bands, see :func:`price_bands`.
+    2k others instead of at its whole category. Categories are sorted in
+    bands, see :func:`price_bands`. ``product`` is a whole number.
     """
     order = Window.partitionBy("categoria", "band").orderBy("price", "product")
     other = F.struct("product", "price")
@@ -289,24 +306,48 @@ def recommend_route(customers: DataFrame, bought: DataFrame, rich_from: int = 3)
     return customers.join(history, "customer", "left").select("customer", n.alias("n_products"), route.alias("route"))
 
 
+def content_rank(bought: DataFrame, segments: DataFrame, pool: DataFrame, features: DataFrame, k: int = 10) -> DataFrame:
+    """The k pool products that are most like something bought.
+
+    ``features`` is (product, categoria, price) and may have ``traits``, an
+    array of further features. Likeness is 1 / (1 + price gap) within the
+    category, plus the share of the bought product's traits that are met. A
+    category without a pool product gives no candidate.
+    """
+    traits = F.col("traits") if "traits" in features.columns else F.array().cast("array<string>")
+    features = features.select("product", "categoria", "price", traits.alias("traits"))
+    wanted = pool.select("segmento", "product").join(features, "product").select(
+        "segmento", "categoria", F.col("product").alias("candidate"), F.col("price").alias("candidate_price"), F.col("traits").alias("candidate_traits")
+    )
+    seeds = bought.select("customer", "product").join(segments.select("customer", "segmento"), "customer").join(features, "product")
+    met = F.try_divide(F.size(F.array_intersect("traits", "candidate_traits")).cast("double"), F.size("traits").cast("double"))
+    likeness = F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("price") - F.col("candidate_price"))) + F.coalesce(met, F.lit(0.0))
+    signals = seeds.join(wanted, ["segmento", "categoria"]).groupBy("customer", F.col("candidate").alias("product")).agg(F.max(likeness).alias("signal"))
+    return _ranked(signals, bought, k)
+
+
 def recommend(
-    routes: DataFrame, bought: DataFrame, similarity: DataFrame, content: DataFrame, popularity: DataFrame, k: int = 10
+    routes: DataFrame,
+    bought: DataFrame,
+    segments: DataFrame,
+    pool: DataFrame,
+    features: DataFrame,
+    popularity: DataFrame,
+    k: int = 10,
+    implicit: DataFrame | None = None,
+    implicit_share: float = 0.0,
 ) -> DataFrame:
-    """Top k per customer from the branch that serves it.
+    """Top k per customer: candidates from the segment's pool, ranked by the branch that serves the customer.
 
-    The popular list is k rows; it enters as one array value, not by a join.
+    Customers without a purchase have no pool; they get the popular products,
+    k rows that enter as one array value, not by a join. Cold starts in a
+    known category are :func:`top_products` with that category as partition.
     """
     served = {r: routes.filter(F.col("route") == r).select("customer") for r in ("item_cf", "content", "popular")}
     # Similar products come from all buyers, but only served customers are ranked.
-    cf = item_cf_rank(bought.join(served["item_cf"], "customer", "left_semi"), similarity, k)
-    near = (
-        bought.join(served["content"], "customer", "left_semi")
-        .join(content.select("product", "neighbour", "similarity"), "product")
-        .groupBy("customer", F.col("neighbour").alias("product"))
-        .agg(F.bround(F.max("similarity"), 6).alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("customer").orderBy(F.desc("score"), F.asc("product")))
-    near = exclude_purchased(near, bought).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    rich, poor = (segments.join(served[r], "customer", "left_semi") for r in ("item_cf", "content"))
+    cf = item_cf_rank(bought, rich, pool, k, implicit, implicit_share).join(served["item_cf"], "customer", "left_semi")
+    near = content_rank(bought.join(served["content"], "customer", "left_semi"), poor, pool, features, k)
     popular = (
         top_products(popularity, k)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "product", F.col("units").cast("double").alias("score")))))

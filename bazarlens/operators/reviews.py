@@ -34,11 +34,10 @@ def review_items(reviews: DataFrame, items: DataFrame, products: DataFrame, tran
 
 
 def order_category_items(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    """(order_id, categoria, n_items), combined map-side."""
-    named = items.select("order_id", "product_id").join(product_categories(products, translation), "product_id", "left")
-    return named.groupBy("order_id", F.coalesce("categoria", F.lit("unknown_category")).alias("categoria")).agg(
-        F.count(F.lit(1)).alias("n_items")
-    )
+    """(order_id, categoria, n_items); items are counted per product before they meet the dimension."""
+    per_product = items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    named = per_product.join(product_categories(products, translation), "product_id", "left")
+    return named.groupBy("order_id", F.coalesce("categoria", F.lit("unknown_category")).alias("categoria")).agg(F.sum("n").alias("n_items"))
 
 
 def category_pain_counts(
@@ -51,7 +50,8 @@ def category_pain_counts(
     """(categoria, pain, n): review x item rows; ``pain`` null = all reviews.
 
     Totals and complaints go through one join: everything below is derived
-    from this frame, which has a row per category and label.
+    from this frame, which has a row per category and label. Complaints are
+    reviews, so only items of reviewed orders are moved and named.
     """
     everything = reviews.select("order_id", "review_id", F.lit(None).cast("string").alias("pain"))
     complaints = classified.select("order_id", "review_id", F.col("pain_point_category").alias("pain"))
@@ -61,8 +61,9 @@ def category_pain_counts(
         .groupBy("order_id", "pain")
         .agg(F.count("review_id").alias("n_reviews"))
     )
+    reviewed = items.select("order_id", "product_id").join(reviews.select("order_id"), "order_id", "left_semi")
     return (
-        per_order.join(order_category_items(items, products, translation), "order_id")
+        per_order.join(order_category_items(reviewed, products, translation), "order_id")
         .groupBy("categoria", "pain")
         .agg(F.sum(F.col("n_reviews") * F.col("n_items")).alias("n"))
     )

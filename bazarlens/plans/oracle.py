@@ -16,9 +16,11 @@ from bazarlens.fixed_values import (
     HEADING_STATUS,
     PAIN_ORDER,
     PERSONAS,
+    SIGNALS_PT,
     STOPWORDS_PT,
     TAXONOMY,
 )
+from bazarlens.operators.cluster import RESTARTS
 from bazarlens.sources.proxies import PROXY_SIGNALS
 
 
@@ -31,6 +33,7 @@ def _list(values: list[str]) -> str:
 
 
 _SIGNAL_VALUES = ", ".join(f"({_q(c)}, {_q(s)}, {i})" for i, (c, words) in enumerate(PROXY_SIGNALS.items()) for s in words)
+_DEFAULT_SIGNAL_VALUES = ", ".join(f"({_q(c)}, {_q(s)}, {i})" for i, (c, words) in enumerate(SIGNALS_PT.items()) for s in words)
 _TAXONOMY_VALUES = ", ".join(f"({_q(c)}, {i})" for i, c in enumerate(TAXONOMY))
 _PROMPT_HEAD, _PROMPT_TAIL = CLASSIFY_PROMPT.split("{comment}")
 _PERSONA_VALUES = ", ".join(f"({_q(n)}, {_q(p['opening'])}, {_q(p['closing'])})" for n, p in PERSONAS.items())
@@ -65,18 +68,57 @@ def _scale(where: str) -> str:
                    FROM rfm_t WHERE {where}) WHERE {where}"""
 
 
-def _silhouette(assigned: str, k: int) -> str:
-    return f"""SELECT CAST({k} AS BIGINT) AS k, round(avg(s), 6) AS silhouette, count(*) AS n FROM (
-      SELECT id, CASE WHEN max(own_n) = 1 OR greatest(max(a), min(b)) = 0 THEN 0
+def _silhouette_rows(assigned: str, by: str) -> str:
+    """Silhouette and size per ``by``, from all pairs with squared distances."""
+    return f"""SELECT {by}, avg(s) AS silhouette, count(*) AS n FROM (
+      SELECT {by}, id, CASE WHEN max(own_n) = 1 OR greatest(max(a), min(b)) = 0 THEN 0
                       ELSE (min(b) - max(a)) / greatest(max(a), min(b)) END AS s FROM (
-        SELECT p.id, max(CASE WHEN p.cluster = o.cluster THEN on_n END) AS own_n,
-               CASE WHEN p.cluster = o.cluster AND on_n > 1 THEN sum(d) / (on_n - 1) END AS a,
-               CASE WHEN p.cluster <> o.cluster THEN sum(d) / on_n END AS b
-        FROM (SELECT p.customer_unique_id AS id, p.cluster, o.cluster AS ocluster,
-                     sqrt((p.recency_s - o.recency_s) ** 2 + (p.monetary_s - o.monetary_s) ** 2) AS d
-              FROM {assigned} p, {assigned} o) p
-        JOIN (SELECT cluster, count(*) AS on_n FROM {assigned} GROUP BY cluster) o ON o.cluster = p.ocluster
-        GROUP BY p.id, p.cluster, o.cluster, on_n) GROUP BY id)"""
+        SELECT {by}, id, max(CASE WHEN cluster = ocluster THEN on_n END) AS own_n,
+               CASE WHEN cluster = ocluster AND on_n > 1 THEN sum(d) / (on_n - 1) END AS a,
+               CASE WHEN cluster <> ocluster THEN sum(d) / on_n END AS b
+        FROM (SELECT p.{by}, p.customer_unique_id AS id, p.cluster, o.cluster AS ocluster,
+                     (p.recency_s - o.recency_s) ** 2 + (p.monetary_s - o.monetary_s) ** 2 AS d
+              FROM {assigned} p JOIN {assigned} o ON p.{by} = o.{by}) p
+        JOIN (SELECT {by}, cluster AS ocluster, count(*) AS on_n FROM {assigned} GROUP BY ALL) o USING ({by}, ocluster)
+        GROUP BY {by}, id, cluster, ocluster, on_n) GROUP BY {by}, id) GROUP BY {by}"""
+
+
+def _silhouette(assigned: str, k: int) -> str:
+    rows = _silhouette_rows(f"(SELECT *, CAST({k} AS BIGINT) AS k FROM {assigned})", "k")
+    return f"SELECT k, round(silhouette, 6) AS silhouette, n FROM ({rows})"
+
+
+def _fits(group: str, points: str, ks: str) -> dict[str, str]:
+    """k-means of a group as views: farthest-first starts, updates until nothing moves, best restart, labels, scores."""
+    gap = "(x - cx[i]) ** 2 + (y - cy[i]) ** 2"
+    return {
+        f"{group}_points": f"SELECT customer_unique_id AS id, recency_s AS x, monetary_s AS y FROM {points}",
+        f"{group}_starts": f"""SELECT run, 1 AS n, [arg_min(x, (md5(concat(id, ':', 42 + run)), id))] AS cx, [arg_min(y, (md5(concat(id, ':', 42 + run)), id))] AS cy
+      FROM {group}_points, range({RESTARTS}) r(run) GROUP BY run
+      UNION ALL
+      SELECT run, n + 1, list_append(cx, arg_max(x, (gap, -id))), list_append(cy, arg_max(y, (gap, -id))) FROM (
+        SELECT run, n, cx, cy, id, x, y, list_min(list_transform(range(1, n + 1), lambda i: {gap})) AS gap
+        FROM {group}_starts, {group}_points WHERE n < {max(map(int, ks.split(",")))}) GROUP BY run, n, cx, cy""",
+        f"{group}_moves": f"""SELECT run, n AS k, cx, cy, FALSE AS still FROM {group}_starts WHERE n IN ({ks})
+      UNION ALL
+      SELECT run, k, nx, ny, list_max(list_transform(range(1, k + 1), lambda i: greatest(abs(nx[i] - cx[i]), abs(ny[i] - cy[i])))) <= 1e-9 FROM (
+        SELECT run, k, cx, cy, list_transform(range(1, k + 1), lambda i: coalesce(list_extract(list_transform(list_filter(means, lambda m: m.c = i), lambda m: m.x), 1), cx[i])) AS nx,
+               list_transform(range(1, k + 1), lambda i: coalesce(list_extract(list_transform(list_filter(means, lambda m: m.c = i), lambda m: m.y), 1), cy[i])) AS ny
+        FROM (SELECT run, k, cx, cy, list({{'c': c, 'x': mx, 'y': my}}) AS means FROM (
+          SELECT run, k, cx, cy, c, avg(x) AS mx, avg(y) AS my FROM (
+            SELECT run, k, cx, cy, x, y, list_position(gaps, list_min(gaps)) AS c FROM (
+              SELECT run, k, cx, cy, x, y, list_transform(range(1, k + 1), lambda i: {gap}) AS gaps
+              FROM {group}_moves, {group}_points WHERE NOT still)) GROUP BY run, k, cx, cy, c) GROUP BY run, k, cx, cy))""",
+        f"{group}_best": f"""SELECT k, arg_min(cx, (cost, run)) AS cx, arg_min(cy, (cost, run)) AS cy FROM (
+        SELECT run, k, cx, cy, sum(list_min(list_transform(range(1, k + 1), lambda i: {gap}))) AS cost
+        FROM {group}_moves, {group}_points WHERE still GROUP BY run, k, cx, cy) GROUP BY k""",
+        f"{group}_centres": f"""SELECT k, row_number() OVER (PARTITION BY k ORDER BY cx, cy) - 1 AS cluster, cx, cy
+      FROM (SELECT k, unnest(cx) AS cx, unnest(cy) AS cy FROM {group}_best)""",
+        f"{group}_labels": f"""SELECT p.*, k, cluster FROM {points} p, {group}_centres
+      QUALIFY row_number() OVER (PARTITION BY k, customer_unique_id ORDER BY (recency_s - cx) * (recency_s - cx) + (monetary_s - cy) * (monetary_s - cy), cluster) = 1""",
+        f"{group}_scores": _silhouette_rows(f"{group}_labels", "k"),
+        f"{group}_chosen": f"SELECT * FROM {group}_labels WHERE k = (SELECT arg_max(k, (silhouette, -k)) FROM {group}_scores)",
+    }
 
 
 VIEWS: dict[str, str] = {
@@ -88,8 +130,8 @@ VIEWS: dict[str, str] = {
     "translation_p": """SELECT DISTINCT p_brand AS product_category_name, CONCAT('en_', LOWER(p_brand)) AS product_category_name_english
       FROM part WHERE p_brand NOT LIKE '%5' AND p_brand <> 'Brand#7'""",
     "reviews_p": """SELECT d.doc_id AS review_id, d.doc_id AS order_id, d.text AS review_comment_message,
-      CASE WHEN l.toxic = 1 THEN 1 WHEN l.quality = 0 THEN 2 ELSE 5 END AS review_score
-      FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+      CASE WHEN l.toxic = 1 THEN 1 WHEN l.quality = 0 THEN 2 WHEN l.quality = 1 THEN 5 END AS review_score
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "customers_p": """SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, n_name AS customer_city,
       r_name AS customer_state, c_custkey % 97 AS customer_zip_code_prefix
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -97,6 +139,7 @@ VIEWS: dict[str, str] = {
       CASE WHEN c_custkey % 97 = 50 THEN 40.0e0 ELSE -24.0e0 + (c_custkey * 31 % 1000) / 1000.0e0 END AS geolocation_lat,
       -47.0e0 + (c_custkey * 17 % 1000) / 1000.0e0 AS geolocation_lng
       FROM customer WHERE c_custkey % 97 NOT IN (89, 93, 96)""",
+    "sellers_p": "SELECT s_suppkey AS seller_id, n_name AS seller_city FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "events_p": """SELECT event_id, ts, user_id AS customer_id, event_type,
       CAST(json_extract(props, '$.k') AS BIGINT) AS product_id FROM events""",
     # --- sales
@@ -114,6 +157,7 @@ VIEWS: dict[str, str] = {
     # --- reviews
     "corpus": "SELECT * FROM reviews_p WHERE review_score IN (1, 2) AND review_comment_message IS NOT NULL",
     "signal_list": f"SELECT * FROM (VALUES {_SIGNAL_VALUES}) t(categoria, senal, pos)",
+    "default_signals": f"SELECT * FROM (VALUES {_DEFAULT_SIGNAL_VALUES}) t(categoria, senal, pos)",
     "padded": f"""SELECT review_id, order_id, review_score, review_comment_message, concat(' ', regexp_replace(regexp_replace(
         translate(lower(review_comment_message), '{ACCENTED}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', ' ', 'g'),
         '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS t FROM corpus""",
@@ -164,6 +208,15 @@ VIEWS: dict[str, str] = {
       UNION ALL SELECT customer_unique_id, recency, frequency, monetary, segmento FROM uni2 LEFT JOIN uni_labels USING (cluster)""",
     "sil2": _silhouette("rec2", 2),
     "sil3": _silhouette("rec3", 3),
+    **_fits("recfit", "scaled_rec", "2, 3, 4, 5"),
+    **_fits("unifit", "scaled_uni", "2, 3, 4, 5, 6"),
+    "recfit_names": """SELECT cluster, CASE WHEN k = 2 AND from_end = 1 THEN 'Cliente_Fiel_En_Riesgo' WHEN pos = 1 THEN 'Cliente_Fiel_Activo'
+        WHEN k > 2 AND pos = 2 THEN 'Cliente_Fiel_Intermedio' WHEN k > 2 AND pos = 3 THEN 'Cliente_Fiel_En_Riesgo' END AS segmento
+      FROM (SELECT cluster, count(*) OVER () AS k, row_number() OVER (ORDER BY avg(recency), cluster) AS pos,
+              row_number() OVER (ORDER BY avg(recency) DESC, cluster) AS from_end FROM recfit_chosen GROUP BY cluster)""",
+    "unifit_names": """SELECT cluster, CASE WHEN row_number() OVER (ORDER BY m, cluster) = 1 THEN 'Esporadico_Comun'
+        WHEN row_number() OVER (ORDER BY m DESC, cluster) = 1 THEN 'Alto_Valor_Durmiente' END AS segmento
+      FROM (SELECT cluster, avg(monetary) AS m FROM unifit_chosen GROUP BY cluster)""",
     # --- location
     "cities": """SELECT customer_city, customer_state, count(order_id) AS ordenes, sum(ingresos) AS ingresos_totales,
       count(DISTINCT customer_unique_id) AS clientes_unicos FROM order_rows GROUP BY customer_city, customer_state""",
@@ -235,10 +288,18 @@ VIEWS: dict[str, str] = {
       FROM pairs JOIN popular a ON a.product = product_a JOIN popular b ON b.product = product_b""",
     "similar_both": """SELECT product_a AS product, product_b AS neighbour, similarity FROM similar_t
       UNION ALL SELECT product_b, product_a, similarity FROM similar_t""",
-    "cf_scores": """SELECT customer, neighbour AS product, round_even(sum(similarity), 6) AS score
-      FROM bought JOIN similar_both USING (product) GROUP BY 1, 2""",
+    "pool_top": "SELECT segmento, product FROM pool_plain QUALIFY row_number() OVER (PARTITION BY segmento ORDER BY score DESC, product) <= 100",
+    "cf_signals": """SELECT customer, neighbour AS product, similarity AS signal
+      FROM bought JOIN similar_both USING (product) JOIN buyer_segments USING (customer)
+      JOIN pool_top ON pool_top.segmento = buyer_segments.segmento AND pool_top.product = neighbour
+      UNION ALL
+      SELECT customer_id, product_id, i.score * 0.01e0 FROM implicit_t i JOIN buyer_segments ON customer = customer_id
+      JOIN pool_top ON pool_top.segmento = buyer_segments.segmento AND pool_top.product = product_id""",
+    "implicit_t": """SELECT customer_id, product_id, sum(CASE event_type WHEN 'purchase' THEN 1.0e0 WHEN 'click' THEN 0.3e0 ELSE 0.1e0 END) AS score
+      FROM events_p WHERE event_type IN ('purchase', 'click', 'view') GROUP BY 1, 2""",
     "cf_ranked": """SELECT customer, product, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, product) AS rank
-      FROM cf_scores ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10""",
+      FROM (SELECT customer, product, round_even(sum(signal), 6) AS score FROM cf_signals GROUP BY 1, 2)
+      ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10""",
     "features": """SELECT p_partkey AS product, p_brand AS categoria, p_retailprice AS price,
       row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS place FROM part""",
     "content": """SELECT a.product, a.categoria, b.product AS neighbour, abs(b.price - a.price) AS price_gap,
@@ -253,7 +314,6 @@ VIEWS: dict[str, str] = {
     "scores": """SELECT customer_id, product_id,
         round(sum(CASE event_type WHEN 'purchase' THEN 1.0e0 WHEN 'click' THEN 0.3e0 ELSE 0.1e0 END), 4) AS score, count(*) AS n_events
       FROM events_p WHERE event_type IN ('purchase', 'click', 'view') GROUP BY 1, 2""",
-    "watermark": "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS wm FROM events_p",
     "visits": """SELECT customer_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM (
         SELECT *, sum(new) OVER (PARTITION BY customer_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM (
           SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY customer_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new
@@ -271,6 +331,18 @@ def _feedback(seconds: int) -> str:
       GROUP BY s.served_id, s.customer_id, s.product_id"""
 
 
+def _signal_stats(signals: str) -> str:
+    return f"""SELECT categoria, CASE len(string_split(senal, ' ')) WHEN 1 THEN 'unigrama' WHEN 2 THEN 'bigrama' ELSE 'trigrama' END AS tipo,
+      count(*) AS n_senales, CAST(sum(n) AS BIGINT) AS n_textos FROM (SELECT categoria, senal, count(review_id) AS n
+        FROM {signals} LEFT JOIN padded ON contains(t, ' ' || senal || ' ') GROUP BY categoria, senal) GROUP BY 1, 2"""
+
+
+def _metrics(seconds: int) -> str:
+    return f"""SELECT count(*) AS n_served, round(count(action) * 100e0 / count(*), 6) AS ctr_pct,
+      round(count(*) FILTER (WHERE action = 'purchase') * 100e0 / count(*), 6) AS conversion_pct, count(DISTINCT product_id) AS n_products,
+      round(count(DISTINCT product_id) * 100e0 / (SELECT count(DISTINCT product_id) FROM products_p), 6) AS coverage_pct FROM ({_feedback(seconds)})"""
+
+
 def _profile(table: str, view: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null FROM {view}" for c in columns
@@ -291,13 +363,14 @@ BODIES: dict[str, str] = {
         f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST({n} AS BIGINT) AS n_columns FROM {view}"
         for name, view, n in [
             ("orders", "orders_p", 4), ("items", "items_p", 4), ("products", "products_p", 2), ("translation", "translation_p", 2),
-            ("reviews", "reviews_p", 4), ("customers", "customers_p", 5), ("geolocation", "geolocation_p", 3),
+            ("reviews", "reviews_p", 4), ("customers", "customers_p", 5), ("geolocation", "geolocation_p", 3), ("sellers", "sellers_p", 2),
         ]
     ),
     "profile_table": " UNION ALL ".join([
         _profile("orders", "orders_p", ["order_id", "customer_id", "order_purchase_timestamp", "order_status"]),
         _profile("products", "products_p", ["product_id", "product_category_name"]),
         _profile("reviews", "reviews_p", ["review_id", "order_id", "review_comment_message", "review_score"]),
+        _profile("sellers", "sellers_p", ["seller_id", "seller_city"]),
     ]),
     "describe_numeric": " UNION ALL ".join(_describe(c) for c in ("recency", "frequency", "monetary")),
     "value_counts": "SELECT order_status, count(*) AS n FROM orders_p GROUP BY order_status",
@@ -325,14 +398,13 @@ BODIES: dict[str, str] = {
       substring(limpio, 1, 120) AS limpio FROM cleaned WHERE review_score IN (1, 2) ORDER BY 2 DESC, 1 LIMIT 3""",
     "truncate_text": "SELECT review_id, substring(review_comment_message, 1, 100) AS first_100, substring(review_comment_message, 1, 120) AS first_120 FROM reviews_p",
     "parse_label": f"""SELECT review_id, coalesce((SELECT arg_min(l, p) FROM (VALUES {_TAXONOMY_VALUES}) t(l, p) WHERE contains(lower(answer), lower(l))), 'Otro') AS label
-      FROM (SELECT review_id, concat(substring(review_comment_message, 1, 40), ' -> ',
+      FROM (SELECT review_id, concat(review_comment_message, ' -> ',
         CASE WHEN review_id % 3 = 0 THEN '??' ELSE upper(pain_point_category) END) AS answer FROM classified)""",
     "render_classify_prompt": f"""SELECT review_id, length(p) AS n_chars, md5(p) AS prompt_md5 FROM (SELECT review_id,
       concat({_q(_PROMPT_HEAD)}, regexp_replace(review_comment_message, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), {_q(_PROMPT_TAIL)}) AS p FROM corpus)""",
     "signal_match": "SELECT review_id, categoria, n_senales FROM signal_hits",
-    "signal_stats": """SELECT categoria, CASE len(string_split(senal, ' ')) WHEN 1 THEN 'unigrama' WHEN 2 THEN 'bigrama' ELSE 'trigrama' END AS tipo,
-      count(*) AS n_senales, CAST(sum(n) AS BIGINT) AS n_textos FROM (SELECT categoria, senal, count(review_id) AS n
-        FROM signal_list LEFT JOIN padded ON contains(t, ' ' || senal || ' ') GROUP BY categoria, senal) GROUP BY 1, 2""",
+    "signal_stats": _signal_stats("signal_list"),
+    "signal_stats_default": _signal_stats("default_signals"),
     "geo_bounds": """SELECT geolocation_zip_code_prefix, count(*) AS n,
       count(*) FILTER (WHERE geolocation_lat BETWEEN -34 AND 5 AND geolocation_lng BETWEEN -74 AND -34) AS n_valid FROM geolocation_p GROUP BY 1""",
     "planar_km": """SELECT zip, round(sqrt(power((lat + 23.5e0) * 111, 2) + power((lng + 46.6e0) * 111 * cos(radians(-23.5e0)), 2)), 6) AS km FROM zips""",
@@ -412,9 +484,7 @@ BODIES: dict[str, str] = {
         FROM popular JOIN categories ON product = product_id QUALIFY rank <= 10
       UNION ALL SELECT 'segmento', segmento, product, CAST(units AS BIGINT),
         row_number() OVER (PARTITION BY segmento ORDER BY units DESC, revenue DESC, product) AS rank FROM popular_seg QUALIFY rank <= 10""",
-    "feedback_metrics": f"""SELECT count(*) AS n_served, round(count(action) * 100e0 / count(*), 6) AS ctr_pct,
-      round(count(*) FILTER (WHERE action = 'purchase') * 100e0 / count(*), 6) AS conversion_pct, count(DISTINCT product_id) AS n_products,
-      round(count(DISTINCT product_id) * 100e0 / (SELECT count(DISTINCT product_id) FROM products_p), 6) AS coverage_pct FROM ({_feedback(7 * 86400)})""",
+    "feedback_metrics": _metrics(7 * 86400),
     # --- rankings
     "top_k_volume": """SELECT categoria AS categoria_producto_final, units AS volumen_total FROM category_sales ORDER BY units DESC, categoria LIMIT 5""",
     "top_k_revenue": """SELECT categoria AS categoria_producto_final, round(revenue, 2) AS ingreso_total FROM category_sales
@@ -446,6 +516,11 @@ BODIES: dict[str, str] = {
       unidades_vendidas, array_to_string(tags, '|') AS tags FROM products_t""",
     # --- machine learning
     "robust_scale": "SELECT customer_unique_id, round(recency_s, 6) AS recency_s, round(monetary_s, 6) AS monetary_s FROM scaled_all",
+    "kmeans_fit": """SELECT cluster, count(*) AS n, round(avg(recency_s), 6) AS recency_s, round(avg(monetary_s), 6) AS monetary_s
+      FROM recfit_labels WHERE k = 3 GROUP BY cluster""",
+    "k_search": "SELECT k, round(silhouette, 6) AS silhouette FROM recfit_scores",
+    "segment_customers": """SELECT customer_unique_id, recency, frequency, round(monetary, 2) AS monetary, segmento FROM recfit_chosen LEFT JOIN recfit_names USING (cluster)
+      UNION ALL SELECT customer_unique_id, recency, frequency, round(monetary, 2), segmento FROM unifit_chosen LEFT JOIN unifit_names USING (cluster)""",
     "kmeans_assign": "SELECT customer_unique_id, cluster, round(dist2, 6) AS dist2 FROM rec3",
     "kmeans_step": """SELECT cluster, count(*) AS n, round(avg(recency_s), 6) AS recency_s, round(avg(monetary_s), 6) AS monetary_s FROM rec3 GROUP BY cluster""",
     "inertia": "SELECT round(sum(dist2), 4) AS inertia, count(*) AS n FROM rec3",
@@ -458,8 +533,11 @@ BODIES: dict[str, str] = {
     "recommend_route": "SELECT customer, n_products, route FROM routes",
     "recommend_all": """SELECT customer, product, score, rank, 'item_cf' AS route FROM cf_ranked JOIN routes USING (customer) WHERE route = 'item_cf'
       UNION ALL SELECT customer, product, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, product) AS rank, 'content'
-        FROM (SELECT customer, neighbour AS product, round_even(max(1 / (1 + price_gap)), 6) AS score FROM bought JOIN routes USING (customer)
-              JOIN content USING (product) WHERE route = 'content' GROUP BY 1, 2) ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10
+        FROM (SELECT customer, c.p_partkey AS product, round_even(max(1 / (1 + abs(b.p_retailprice - c.p_retailprice))
+                + len(list_intersect(list_distinct([b.p_type, CAST(b.p_size AS VARCHAR)]), [c.p_type, CAST(c.p_size AS VARCHAR)])) / 2e0), 6) AS score
+              FROM bought JOIN routes USING (customer) JOIN buyer_segments USING (customer) JOIN part b ON b.p_partkey = bought.product
+              JOIN pool_top ON pool_top.segmento = buyer_segments.segmento JOIN part c ON c.p_partkey = pool_top.product AND c.p_brand = b.p_brand
+              WHERE route = 'content' GROUP BY 1, 2) ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10
       UNION ALL SELECT customer, product, CAST(units AS DOUBLE), rank, 'popular' FROM routes, (SELECT *,
         row_number() OVER (ORDER BY units DESC, revenue DESC, product) AS rank FROM popular QUALIFY rank <= 10) WHERE route = 'popular'""",
     "implicit_weights": "SELECT customer_id, product_id, score, n_events FROM scores",
@@ -469,17 +547,17 @@ BODIES: dict[str, str] = {
     "classify_complaints": "SELECT review_id, order_id, review_score, pain_point_category FROM classified",
     "classify_plugged": f"""SELECT review_id, list_extract([{_list(TAXONOMY)}], CAST(length(p) % {len(TAXONOMY)} AS INTEGER) + 1) AS pain_point_category
       FROM (SELECT review_id, concat({_q(_PROMPT_HEAD)}, regexp_replace(review_comment_message, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), {_q(_PROMPT_TAIL)}) AS p FROM corpus)""",
-    "apply_clean": "SELECT review_id, substring(limpio, 1, 200) AS limpio_200, md5(limpio) AS clean_md5 FROM cleaned WHERE review_score IN (1, 2)",
+    "apply_clean": "SELECT review_id, length(limpio) AS n_chars, md5(limpio) AS clean_md5 FROM cleaned WHERE review_score IN (1, 2)",
     "agg_lambda": "SELECT customer_unique_id, recency FROM rfm_t",
-    # --- streaming, against the batch definition of what is closed
+    # --- streaming, equal to the batch over the same events
     "stream_event_counts": f"""SELECT strftime(w, '{_COLS}') AS window_start, customer_id, event_type, count(*) AS n
-      FROM (SELECT date_trunc('day', ts) AS w, * FROM events_p) WHERE w + INTERVAL 1 DAY <= (SELECT wm FROM watermark) GROUP BY ALL""",
+      FROM (SELECT date_trunc('day', ts) AS w, * FROM events_p) GROUP BY ALL""",
     "stream_implicit_scores": "SELECT customer_id, product_id, score, n_events FROM scores",
     "stream_sessions": f"""SELECT customer_id, strftime(first_ts, '{_COLS}') AS session_start, n_events,
-      round(date_diff('microsecond', first_ts, last_ts) / 1000000e0, 6) AS dwell_seconds FROM visits
-      WHERE last_ts + INTERVAL 12 HOUR <= (SELECT wm FROM watermark)""",
+      round(date_diff('microsecond', first_ts, last_ts) / 1000000e0, 6) AS dwell_seconds FROM visits""",
     "stream_dedup": "SELECT event_id, customer_id, event_type, product_id FROM events_p",
-    "stream_feedback": f"SELECT served_id, action FROM ({_feedback(86400)}) WHERE action IS NOT NULL",
+    "stream_feedback": f"SELECT served_id, action FROM ({_feedback(86400)})",
+    "stream_feedback_metrics": _metrics(86400),
     "stream_classify": "SELECT review_id, order_id, review_score, pain_point_category FROM classified",
 }
 def _named(sql: str) -> list[str]:
@@ -498,7 +576,7 @@ def statement(body: str) -> str:
             todo += _named(VIEWS[name])
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed) + "\n" + body
 
 
 ORACLES: dict[str, str] = {key: statement(body) for key, body in BODIES.items()}

@@ -101,16 +101,18 @@ def agent_prompts(
     return context.render_context(context.customer_profiles(segmented, latest, crm), products)
 
 
-def recommendations(m: Marketplace, product_features: DataFrame, k: int = 10) -> DataFrame:
-    """Question 4: precomputed top k of every customer by the routed branch."""
+def recommendations(
+    m: Marketplace,
+    product_features: DataFrame,
+    segments: DataFrame,
+    k: int = 10,
+    pool_size: int = 100,
+    implicit: DataFrame | None = None,
+    implicit_share: float = 0.0,
+) -> DataFrame:
+    """Question 4: precomputed top k of every customer, from the pool of its segment (customer, segmento)."""
     bought = materialize(recommend.purchases(m.orders, m.items, m.customers), "purchases")
-    similarity = recommend.item_similarity(recommend.item_cooccurrence(bought), bought)
+    pool = materialize(recommend.candidate_pool(bought, segments, size=pool_size), "pool")
     everyone = m.customers.select(F.col("customer_unique_id").alias("customer")).distinct()
-    return recommend.recommend(
-        recommend.recommend_route(everyone, bought),
-        bought,
-        similarity,
-        recommend.content_similarity(product_features),
-        recommend.product_popularity(bought),
-        k,
-    )
+    routes = materialize(recommend.recommend_route(everyone, bought), "routes")
+    return recommend.recommend(routes, bought, segments, pool, product_features, recommend.product_popularity(bought), k, implicit, implicit_share)

@@ -28,7 +28,7 @@ from bazarlens.operators import (
     sales,
 )
 from bazarlens.plans import questions
-from bazarlens.session import fresh_path, materialize, spread
+from bazarlens.session import fresh_path, materialize
 from bazarlens.sources import documents, proxies, tables
 from bazarlens.streaming import complaints as stream_complaints
 from bazarlens.streaming import events as stream
@@ -42,6 +42,8 @@ SCALED = ["recency_s", "monetary_s"]
 CENTROIDS = [(0, (0.0, 0.0)), (1, (0.0, 1.5))]
 CENTROIDS_3 = [(0, (0.0, 0.0)), (1, (0.0, 1.5)), (2, (1.5, 0.0))]
 WEIGHTS = {"purchase": 1.0, "click": 0.3, "view": 0.1}
+# Weight of the interactions beside the similarities.
+IMPLICIT_SHARE = 0.01
 
 
 def query(function: Query) -> Query:
@@ -171,8 +173,9 @@ def _purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Written once: it is read for the pools and again for the ranking."""
     split = F.when(F.col("frequency") >= 2, "recurrente").otherwise("unico")
-    return _rfm(spark, sf).select(F.col("customer_unique_id").alias("customer"), split.alias("segmento"))
+    return materialize(_rfm(spark, sf).select(F.col("customer_unique_id").alias("customer"), split.alias("segmento")), "segments")
 
 
 def _ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +184,10 @@ def _ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.read_table(spark, sf, "part").select(
-        F.col("p_partkey").alias("product"), F.col("p_brand").alias("categoria"), F.col("p_retailprice").alias("price")
+        F.col("p_partkey").alias("product"),
+        F.col("p_brand").alias("categoria"),
+        F.col("p_retailprice").alias("price"),
+        F.array("p_type", F.col("p_size").cast("string")).alias("traits"),
     )
 
 
@@ -216,7 +222,7 @@ def load_tables(spark: SparkSession, sf: str) -> DataFrame:
         frame.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"), "n_rows", F.lit(len(frame.columns)).cast("long").alias("n_columns")
         )
-        for name, frame in vars(m).items()
+        for name, frame in [*vars(m).items(), ("sellers", proxies.sellers_p(spark, sf))]
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -226,7 +232,7 @@ def load_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def profile_table(spark: SparkSession, sf: str) -> DataFrame:
-    named = [("orders", proxies.orders_p), ("products", proxies.products_p), ("reviews", proxies.reviews_p)]
+    named = [("orders", proxies.orders_p), ("products", proxies.products_p), ("reviews", proxies.reviews_p), ("sellers", proxies.sellers_p)]
     out = None
     for name, view in named:
         part = profiling.profile_table(view(spark, sf), name).select("table_name", "column_name", "n_rows", "n_null")
@@ -380,8 +386,7 @@ def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_label(spark: SparkSession, sf: str) -> DataFrame:
     """Answers made of text and label, in other case, with text around."""
-    message = F.substring("review_comment_message", 1, 40)
-    answer = F.concat(message, F.lit(" -> "), F.when(F.col("review_id") % 3 == 0, F.lit("??")).otherwise(F.upper("pain_point_category")))
+    answer = F.concat("review_comment_message", F.lit(" -> "), F.when(F.col("review_id") % 3 == 0, F.lit("??")).otherwise(F.upper("pain_point_category")))
     return _classified(spark, sf).select("review_id", text.parse_label(answer).alias("label"))
 
 
@@ -401,6 +406,12 @@ def signal_stats(spark: SparkSession, sf: str) -> DataFrame:
     return complaints.signal_stats(_corpus(spark, sf), proxies.PROXY_SIGNALS)
 
 
+@query
+def signal_stats_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the default signals of the library."""
+    return complaints.signal_stats(_corpus(spark, sf))
+
+
 @query
 def geo_bounds(spark: SparkSession, sf: str) -> DataFrame:
     points = proxies.geolocation_p(spark, sf)
@@ -527,7 +538,7 @@ def exclude_purchased(spark: SparkSession, sf: str) -> DataFrame:
     """Pool of the customer's segment without what the customer bought."""
     bought = _purchases(spark, sf)
     segments = _segments(spark, sf)
-    pool = recommend.candidate_pool(bought, segments, size=50)
+    pool = materialize(recommend.candidate_pool(bought, segments, size=50), "pool")
     left = recommend.segment_candidates(segments, pool, bought)
     return left.groupBy("customer", "segmento").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("rank").alias("rank_sum"))
 
@@ -658,9 +669,7 @@ def ticket_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    scan = proxies.read_table(spark, sf, "documents").select("doc_id")
-    texts = spread(proxies.reviews_p(spark, sf).select("review_id", "review_comment_message"), "review_id", scan)
-    tokens = texts.select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
+    tokens = proxies.reviews_p(spark, sf).select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
     return ngrams.ngram_counts(tokens)
 
 
@@ -757,13 +766,9 @@ def arg_extreme(spark: SparkSession, sf: str) -> DataFrame:
 
 def _silhouettes(spark: SparkSession, sf: str) -> DataFrame:
     scaled = materialize(_scaled(spark, sf), "scaled")
-    out = None
-    for centroids in (CENTROIDS, CENTROIDS_3):
-        assigned = cluster.kmeans_assign(scaled, SCALED, centroids)
-        score = cluster.silhouette(assigned, SCALED, "customer_unique_id")
-        row = score.select(F.lit(len(centroids)).cast("long").alias("k"), rnd("silhouette"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    labels = {len(c): (cluster.nearest(SCALED, c)["cluster"], range(len(c))) for c in (CENTROIDS, CENTROIDS_3)}
+    found = cluster.silhouettes(scaled, SCALED, labels)
+    return spark.createDataFrame([(k, float(s), n) for k, (s, n) in found.items()], "k long, silhouette double, n long").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query
@@ -835,10 +840,10 @@ def robust_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Centres of the best of ten seeded fits, applied to the recurrent customers."""
+    """Sizes and centres of the best of several fits to the recurrent customers."""
     scaled = materialize(_scaled(spark, sf), "scaled")
-    centroids, _ = cluster.kmeans_fit(scaled, SCALED, "customer_unique_id", 2)
-    return cluster.kmeans_step(scaled, SCALED, centroids)
+    centroids, _ = cluster.kmeans_fit(scaled, SCALED, "customer_unique_id", 3)
+    return cluster.kmeans_step(scaled, SCALED, centroids).select("cluster", "n", rnd("recency_s"), rnd("monetary_s"))
 
 
 @query
@@ -866,20 +871,22 @@ def k_search(spark: SparkSession, sf: str) -> DataFrame:
     """Silhouette of every k for the recurrent customers, with real fits."""
     scaled = materialize(_scaled(spark, sf), "scaled")
     found = cluster.k_search(scaled, SCALED, "customer_unique_id", cluster.RECURRENT_KS)
-    return spark.createDataFrame([(k, float(score)) for k, score, _ in found], "k long, silhouette double")
+    return spark.createDataFrame([(k, round(float(score), 6)) for k, score, _ in found], "k long, silhouette double")
 
 
 @query
 def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return questions.customer_segments(proxies.marketplace(spark, sf))
+    return questions.customer_segments(proxies.marketplace(spark, sf)).withColumn("monetary", F.round("monetary", 2))
 
 
 @query
 def segment_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers active in the last two years, re-assigned to frozen centres."""
-    scaled = _scaled(spark, sf)
-    recent = recommend.segment_refresh(scaled, 730)
-    return cluster.kmeans_assign(recent, SCALED, CENTROIDS).select("customer_unique_id", "cluster")
+    """Customers active in the last two years, re-assigned by the model saved from the whole group."""
+    base = materialize(_rfm(spark, sf).filter(F.col("frequency") >= 2), "rfm")
+    path = fresh_path(spark, "model")
+    cluster.save_model(base, ["recency", "monetary"], CENTROIDS, path)
+    recent = recommend.segment_refresh(base, 730)
+    return cluster.assign_saved(recent, ["recency", "monetary"], path).select("customer_unique_id", "cluster")
 
 
 @query
@@ -898,8 +905,11 @@ def item_cf_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def item_cf_rank(spark: SparkSession, sf: str) -> DataFrame:
-    bought = _purchases(spark, sf)
-    return recommend.item_cf_rank(bought, _similarity(bought)).select("customer", "product", "score", "rank")
+    """Collaborative filtering over the segment's pool, with views and clicks as a small addition."""
+    bought, segments = _purchases(spark, sf), _segments(spark, sf)
+    pool = materialize(recommend.candidate_pool(bought, segments), "pool")
+    implicit = recommend.implicit_weights(proxies.events_p(spark, sf), WEIGHTS)
+    return recommend.item_cf_rank(bought, segments, pool, 10, implicit, IMPLICIT_SHARE).select("customer", "product", "score", "rank")
 
 
 @query
@@ -915,7 +925,10 @@ def recommend_route(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def recommend_all(spark: SparkSession, sf: str) -> DataFrame:
-    return questions.recommendations(proxies.marketplace(spark, sf), _features(spark, sf))
+    implicit = recommend.implicit_weights(proxies.events_p(spark, sf), WEIGHTS)
+    return questions.recommendations(
+        proxies.marketplace(spark, sf), _features(spark, sf), _segments(spark, sf), implicit=implicit, implicit_share=IMPLICIT_SHARE
+    )
 
 
 @query
@@ -928,7 +941,7 @@ def publish_pools(spark: SparkSession, sf: str) -> DataFrame:
     """Two published versions; the reader sees the second one."""
     base = fresh_path(spark, "pools")
     bought = _purchases(spark, sf)
-    segments = materialize(_segments(spark, sf), "segments")
+    segments = _segments(spark, sf)
     documents.publish(recommend.candidate_pool(bought, segments, size=50), base)
     documents.publish(recommend.candidate_pool(bought, segments, size=100), base)
     return documents.read_published(spark, base)
@@ -956,7 +969,7 @@ def classify_plugged(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def apply_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaning of the complaint corpus as column expressions."""
-    return complaints.cleaned_corpus(_corpus(spark, sf)).select("review_id", F.substring("texto_limpio", 1, 200).alias("limpio_200"), F.md5("texto_limpio").alias("clean_md5"))
+    return complaints.cleaned_corpus(_corpus(spark, sf)).select("review_id", F.length("texto_limpio").cast("long").alias("n_chars"), F.md5("texto_limpio").alias("clean_md5"))
 
 
 @query
@@ -970,7 +983,9 @@ def agg_lambda(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = stream.run_append(stream.event_counts(stream.read_events(spark, sf)), *stream.scratch(spark, "event-counts"))
+    """Counts of closed and open windows alike."""
+    keys = ["window_start", "customer_id", "event_type"]
+    counts = stream.run_update(stream.event_counts(stream.read_events(spark, sf)), keys, *stream.scratch(spark, "event-counts"))
     return counts.select(stamp(F.col("window_start")).alias("window_start"), "customer_id", "event_type", "n")
 
 
@@ -983,7 +998,10 @@ def stream_implicit_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    visits = stream.run_append(stream.sessions(stream.read_events(spark, sf)), *stream.scratch(spark, "sessions"))
+    """Closed sessions from the stream, open ones from the events since."""
+    closed = stream.run_append(stream.sessions(stream.read_events(spark, sf)), *stream.scratch(spark, "sessions"))
+    events = proxies.events_p(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    visits = stream.all_sessions(closed, events)
     return visits.select("customer_id", stamp(F.col("session_start")).alias("session_start"), "n_events", rnd("dwell_seconds"))
 
 
@@ -995,13 +1013,26 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id", "customer_id", "event_type", "product_id")
 
 
+def _streamed_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    views = stream.read_events(spark, sf).filter(F.col("event_type") == "view")
+    actions = stream.read_events(spark, sf).filter(F.col("event_type").isin("click", "purchase"))
+    pairs = stream.run_append(stream.feedback_pairs(views, actions), *stream.scratch(spark, "feedback"))
+    log = views.select(F.col("event_id").alias("served_id"), "customer_id", "product_id")
+    served = stream.run_append(log, *stream.scratch(spark, "served"))
+    return stream.answered(served, stream.first_action(pairs))
+
+
 @query
 def stream_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    events = stream.read_events(spark, sf)
-    served = events.filter(F.col("event_type") == "view")
-    actions = stream.read_events(spark, sf).filter(F.col("event_type").isin("click", "purchase"))
-    pairs = stream.run_append(stream.feedback_pairs(served, actions), *stream.scratch(spark, "feedback"))
-    return stream.first_action(pairs).select("served_id", "action")
+    """Every served row with the first action on it, none where there was none."""
+    return _streamed_feedback(spark, sf).select("served_id", "action")
+
+
+@query
+def stream_feedback_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """CTR, conversion and coverage of what the streams wrote."""
+    metrics = feedback.feedback_metrics(_streamed_feedback(spark, sf), proxies.products_p(spark, sf))
+    return metrics.select("n_served", rnd("ctr_pct"), rnd("conversion_pct"), "n_products", rnd("coverage_pct"))
 
 
 @query

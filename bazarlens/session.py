@@ -48,16 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     path = os.path.join(tempfile.mkdtemp(prefix="bazarlens-"), "shared")
     spark.conf.set(CHECKPOINT_SETTING, path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the application's part of the shared folder that nothing has used yet."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete what this application wrote under :func:`fresh_path`.
+
+    For the end of a job, when no frame that reads these tables is needed any
+    more; results that are to stay are written elsewhere before.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -69,17 +84,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str, scan: DataFrame) -> DataFrame:
-    """Use all cores for ``df`` if its text comes from a scan of few splits.
-
-    Meant for costly work per row (long texts). ``scan`` is the plain table
-    read below ``df``; counting its splits starts no job. With fewer splits
-    than cores the input is small against the cluster and the shuffle cheap; a
-    larger one is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

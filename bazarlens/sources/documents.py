@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +25,34 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def publish(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
     """Publish ``df`` as the current version under ``base``.
 
-    The rows go to a folder of their own; only after they are complete is one
-    pointer row appended. A reader follows the newest pointer, so it sees the
-    old version or the new one, never a mixture, also when the job is lost.
+    The rows go to a folder of their own; only after they are complete is the
+    pointer with the next number written. A reader follows the largest number,
+    so it sees the old version or the new one, never a mixture, also when the
+    job is lost. A number is published once: a second writer of it fails.
     """
-    version = uuid.uuid4().hex
+    spark = df.sparkSession
+    number = _newest(spark, base) + 1
+    folder = f"{number}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{base}/versions/{version}")
-    spark = df.sparkSession
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
-    pointer.write.mode("append").parquet(f"{base}/current")
-    return version
+    writer.parquet(f"{base}/versions/{folder}")
+    spark.range(1).select(F.lit(folder).alias("folder")).write.mode("errorifexists").parquet(f"{base}/current/number={number}")
+    return folder
+
+
+def _newest(spark: SparkSession, base: str) -> int:
+    """Largest published number, 0 before the first."""
+    try:
+        pointers = spark.read.schema("folder string, number long").parquet(f"{base}/current")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return pointers.agg(F.max("number")).first()[0] or 0
 
 
 def read_published(spark: SparkSession, base: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    newest = spark.read.parquet(f"{base}/current").orderBy(F.desc("published_at"), F.desc("version")).first()
-    return spark.read.parquet(f"{base}/versions/{newest['version']}")
+    """The version that the pointer with the largest number names."""
+    pointer = spark.read.parquet(f"{base}/current/number={_newest(spark, base)}").first()
+    return spark.read.parquet(f"{base}/versions/{pointer['folder']}")

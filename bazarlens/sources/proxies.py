@@ -88,11 +88,11 @@ def translation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviews_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels")
-    return documents.join(labels, "doc_id").select(
+    return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("review_id"),
         F.col("doc_id").alias("order_id"),
         F.col("text").alias("review_comment_message"),
-        F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(5).alias("review_score"),
+        F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).when(F.col("quality") == 1, 5).alias("review_score"),
     )
 
 
@@ -118,6 +118,15 @@ def customers_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sellers_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read_table(spark, sf_dir, "nation")
+    return (
+        read_table(spark, sf_dir, "supplier")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_city"))
+    )
+
+
 def geolocation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     zip_code = key % 97

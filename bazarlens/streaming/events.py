@@ -60,12 +60,25 @@ def sessions(events: DataFrame, gap: str = "12 hours", delay: str = DELAY) -> Da
         .select(
             "customer_id",
             F.col("first_ts").cast("timestamp_ntz").alias("session_start"),
+            F.col("last_ts").cast("timestamp_ntz").alias("session_last"),
             "n_events",
             ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1_000_000.0)).alias("dwell_seconds"),
         )
     )
 
 
+def all_sessions(closed: DataFrame, events: DataFrame, gap: str = "12 hours") -> DataFrame:
+    """Closed sessions as the stream wrote them, united with those still open.
+
+    ``events`` are the same events read as a table. What a customer did after
+    the last closed session is not final yet; a batch pass over only those
+    events gives the open sessions as they stand.
+    """
+    last = closed.groupBy("customer_id").agg(F.max("session_last").cast("timestamp").alias("closed_until"))
+    since = events.join(last, "customer_id", "left").filter(F.col("closed_until").isNull() | (F.col("ts") > F.col("closed_until")))
+    return closed.unionByName(sessions(since.drop("closed_until"), gap))
+
+
 def deduplicate(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Each event once, however often the tracker delivers it within the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
@@ -95,6 +108,11 @@ def first_action(pairs: DataFrame) -> DataFrame:
     )
 
 
+def answered(served: DataFrame, first: DataFrame) -> DataFrame:
+    """Every served row with its first action, null while there is none."""
+    return served.select("served_id", "customer_id", "product_id").join(first.select("served_id", "action"), "served_id", "left")
+
+
 def run_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Process what is there, append to an exactly-once parquet table, stop."""
     query = (
@@ -109,14 +127,28 @@ def run_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
-def run_update(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> DataFrame:
+def run_update(stream: DataFrame, keys: list[str], target: str, checkpoint: str, compact_every: int = 20) -> DataFrame:
     """Process what is there and keep the newest row of each key.
 
-    Every micro-batch overwrites its own folder, so a repeated batch changes
-    nothing; the reader takes the row of the latest batch.
+    Every micro-batch overwrites its own folder of changes, so a repeated
+    batch changes nothing. Every ``compact_every`` batches the newest rows are
+    written as a base; a reader takes the last base and the changes since.
     """
+    spark = stream.sparkSession
+    values = [c for c in stream.columns if c not in keys]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+    def newest() -> DataFrame:
+        rows = spark.read.schema(f"{columns}, kind string, batch_id long").parquet(target)
+        base = rows.filter(F.col("kind") == "base").agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+        since = rows.filter((F.col("batch_id") > base) | ((F.col("batch_id") == base) & (F.col("kind") == "base")))
+        latest = since.filter((F.col("kind") == "changes") | (F.col("batch_id") == base)).groupBy(*keys)
+        return latest.agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/kind=changes/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            newest().write.mode("overwrite").parquet(f"{target}/kind=base/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -126,10 +158,7 @@ def run_update(stream: DataFrame, keys: list[str], target: str, checkpoint: str)
         .start()
     )
     query.awaitTermination()
-    values = [c for c in stream.columns if c not in keys]
-    changes = stream.sparkSession.read.parquet(target)
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return latest.select(*keys, "v.*")
+    return newest()
 
 
 def scratch(spark: SparkSession, label: str) -> tuple[str, str]:

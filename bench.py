@@ -21,6 +21,7 @@ HEADLINE = [
     "scan_json_doc", "render_context",
     "popularity", "candidate_pool", "item_cooccurrence", "item_cf_rank", "content_similarity", "recommend_all",
     "feedback_join", "feedback_metrics", "stream_event_counts", "stream_feedback",
+    "segment_customers", "item_cf_similarity", "exclude_purchased", "kmeans_fit", "stream_sessions",
 ]
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazarlens import fixed_values
+from bazarlens.functions import scalars
 from bazarlens.operators import catalog, cluster, complaints, context, feedback, geo, ngrams, profiling, recommend, reviews, rfm, sales
 from bazarlens.plans import questions
 from bazarlens.sources import documents, tables
@@ -202,8 +203,9 @@ def test_fit_recovers_separate_groups_and_cost_falls(spark):
     assert sum(r["n"] for r in step) == len(x)
 
 
-def brute_silhouette(x, labels):
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+def brute_silhouette(x, labels, squared):
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    d = d if squared else np.sqrt(d)
     scores = []
     for i, own in enumerate(labels):
         same = (labels == own) & (np.arange(len(x)) != i)
@@ -222,11 +224,23 @@ def test_silhouette_against_brute_force(spark):
     labels[17] = 9  # a cluster of one point scores 0
     pdf = pd.DataFrame({"id": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1], "cluster": labels})
     frame = spark.createDataFrame(pdf).repartition(4)
-    row = cluster.silhouette(frame, ["x", "y"], "id").first()
+    row = cluster.silhouette(frame, ["x", "y"]).first()
     assert row["n"] == len(x)
-    assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels))
-    assert cluster.silhouette(frame, ["x", "y"], "id", sample_size=50).first()["n"] == 50
-    assert -1 <= cluster.silhouette_linear(frame, ["x", "y"]) <= 1
+    assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels, True))
+    row = cluster.sampled_silhouette(frame, ["x", "y"], "id").first()
+    assert row["n"] == len(x) and row["silhouette"] == pytest.approx(brute_silhouette(x, labels, False))
+    assert cluster.sampled_silhouette(frame, ["x", "y"], "id", sample_size=50).first()["n"] == 50
+
+
+def test_starting_centres_reach_the_farthest_rows(spark):
+    x, frame = blobs(spark)
+    centres = cluster.starting_centres(frame, ["x", "y"], "id", 4)
+    for j in range(1, 4):
+        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres[:j]], axis=0)
+        assert np.allclose(centres[j], x[gap.argmax()])
+    # One far row among many is a centre.
+    far = spark.createDataFrame([(10_000, 90.0, 90.0)], "id long, x double, y double")
+    assert (90.0, 90.0) in set(map(tuple, cluster.starting_centres(frame.unionByName(far), ["x", "y"], "id", 2)))
 
 
 def test_k_search_finds_the_number_of_groups(spark):
@@ -408,9 +422,23 @@ def test_cooccurrence_of_split_baskets_is_exact(spark, part_size):
     assert sizes <= 8 * part_size or part_size == 1000
 
 
-@pytest.mark.parametrize("buyers_per_part", [3, 100_000])
-def test_item_cf_against_brute_force(spark, buyers_per_part):
+def in_segments(spark, by_customer, pool_size):
+    """Two segments, each with a pool of its own."""
+    named = {c: "a" if i % 2 else "b" for i, c in enumerate(sorted(by_customer))}
+    segments = spark.createDataFrame(list(named.items()), "customer string, segmento string")
+    products = sorted({p for bought in by_customer.values() for p in bought})
+    pools = {"a": products[:pool_size], "b": products[pool_size // 2 : 2 * pool_size]}
+    pool = spark.createDataFrame([(s, p, i + 1) for s, ps in pools.items() for i, p in enumerate(ps)], "segmento string, product long, rank long")
+    return named, pools, segments, pool
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_item_cf_over_the_pool_against_brute_force(spark, share):
     frame, by_customer = baskets(spark, 1)
+    named, pools, segments, pool = in_segments(spark, by_customer, 20)
+    chosen = sorted(by_customer)[:3]
+    signals = [(c, p, 0.25 * (p % 3)) for c in chosen for p in range(0, 60, 7)]
+    implicit = spark.createDataFrame(signals, "customer_id string, product_id long, score double")
     buyers = Counter(p for products in by_customer.values() for p in products)
     sim = {}
     for (a, b), n in brute_pairs(by_customer).items():
@@ -420,13 +448,15 @@ def test_item_cf_against_brute_force(spark, buyers_per_part):
         scores = Counter()
         for p in products:
             for q, s in sim.get(p, {}).items():
-                if q not in products:
+                if q not in products and q in pools[named[c]]:
                     scores[q] += s
+        for customer, q, s in signals:
+            if share and customer == c and q not in products and q in pools[named[c]]:
+                scores[q] += share * s
         ranked = sorted(scores, key=lambda q: (-round(scores[q], 6), q))[:5]
         want[c] = [(q, round(scores[q], 6)) for q in ranked]
-    similarity = recommend.item_similarity(recommend.item_cooccurrence(frame), frame)
     got = {}
-    for r in recommend.item_cf_rank(frame, similarity, 5, buyers_per_part).orderBy("customer", "rank").collect():
+    for r in recommend.item_cf_rank(frame, segments, pool, 5, implicit, share).orderBy("customer", "rank").collect():
         got.setdefault(r["customer"], []).append((r["product"], r["score"]))
     assert got == {c: r for c, r in want.items() if r}
 
@@ -453,7 +483,8 @@ def test_price_bands_do_not_change_the_neighbours(spark):
     banded, plain = (sorted(map(tuple, recommend.content_similarity(frame, 4, size).select(columns).collect())) for size in (50, 10_000))
     assert banded == plain
     own = recommend.price_bands(frame, 4, 50).filter("own")
-    assert own.count() == 500 and own.select("band").distinct().count() > 100
+    assert own.count() == 500 and own.select("band").distinct().count() >= 8
+    assert own.groupBy("band").count().agg(F.max("count")).first()[0] <= 100
 
 
 def test_routes_cover_every_customer(spark):
@@ -463,11 +494,16 @@ def test_routes_cover_every_customer(spark):
     kinds = as_dict(routes, "customer", "route")
     assert kinds["new"] == "popular" and kinds["hot"] == "item_cf"
     assert all((len(p) >= 4) == (kinds[c] == "item_cf") for c, p in by_customer.items())
-    features = spark.createDataFrame([(i, "all", float(i)) for i in range(150)], "product long, categoria string, price double")
-    similarity = recommend.item_similarity(recommend.item_cooccurrence(frame), frame)
-    served = recommend.recommend(routes, frame, similarity, recommend.content_similarity(features), recommend.product_popularity(frame), 5)
+    features = spark.createDataFrame([(i, "all", float(i), [f"t{i % 3}"]) for i in range(150)], "product long, categoria string, price double, traits array<string>")
+    named, pools, segments, pool = in_segments(spark, by_customer, 30)
+    served = recommend.recommend(routes, frame, segments, pool, features, recommend.product_popularity(frame), 5)
     rows = served.collect()
     assert {r["customer"] for r in rows} == set(kinds) and max(r["rank"] for r in rows) <= 5
+    assert all(r["product"] in pools[named[r["customer"]]] for r in rows if r["route"] != "popular")
+    for r in rows:
+        if r["route"] == "content":
+            want = max(1 / (1 + abs(p - r["product"])) + (p % 3 == r["product"] % 3) for p in by_customer[r["customer"]])
+            assert r["score"] == pytest.approx(want, abs=1e-6)
     bought = {(c, p) for c, products in by_customer.items() for p in products}
     assert not bought & {(r["customer"], r["product"]) for r in rows}
 
@@ -490,6 +526,13 @@ def test_feedback_join_against_brute_force(spark):
     assert len(got) == len(s)
 
 
+def test_feedback_with_null_keys_is_unanswered(spark):
+    served = spark.sql("SELECT * FROM VALUES (1, 1, null, timestamp'2024-01-01 00:00:00'), (2, null, 5, timestamp'2024-01-01 00:00:00'), (3, 1, 5, timestamp'2024-01-01 00:00:00') t(served_id, customer_id, product_id, ts)")
+    actions = spark.sql("SELECT * FROM VALUES (1, 1, null, timestamp'2024-01-01 00:01:00', 'click'), (2, null, 5, timestamp'2024-01-01 00:01:00', 'click'), (3, 1, 5, timestamp'2024-01-01 00:01:00', 'click') t(action_id, customer_id, product_id, ts, action)")
+    got = as_dict(feedback.feedback_join(served, actions), "served_id", "action")
+    assert got == {1: None, 2: None, 3: "click"}
+
+
 def test_published_version_is_replaced(spark):
     base = fresh_path(spark, "published")
     documents.publish(spark.createDataFrame([(1,)], "x long"), base)
@@ -509,6 +552,8 @@ def test_profile_and_sample(spark):
     one = {r["id"] for r in profiling.sample_fixed(many, "id", 10).collect()}
     two = {r["id"] for r in profiling.sample_fixed(many.repartition(7), "id", 10).collect()}
     assert one == two and len(one) == 10
+    assert one == {r["id"] for r in many.orderBy(scalars.hash_order(F.col("id"), 42), "id").limit(10).collect()}
+    assert profiling.sample_fixed(many, "id", 5000).count() == 1000 and profiling.sample_fixed(many.limit(0), "id", 5).count() == 0
 
 
 def test_csv_dialect(spark, tmp_path):

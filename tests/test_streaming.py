@@ -37,11 +37,12 @@ def read(spark, path):
     return stream.read_events(spark, path, "*.parquet", files_per_batch=1)
 
 
-def test_counts_of_closed_windows(spark, landing):
+@pytest.mark.parametrize("compact_every", [1, 2, 20])
+def test_counts_of_all_windows(spark, landing, compact_every):
     path, pdf = landing
-    got = stream.run_append(stream.event_counts(read(spark, path)), *stream.scratch(spark, "t"))
-    closed = pdf[pdf.ts.dt.floor("D") + pd.Timedelta(days=1) <= pdf.ts.max() - pd.Timedelta(hours=1)]
-    want = closed.groupby([closed.ts.dt.floor("D"), "user_id", "event_type"]).size()
+    keys = ["window_start", "customer_id", "event_type"]
+    got = stream.run_update(stream.event_counts(read(spark, path)), keys, *stream.scratch(spark, "t"), compact_every)
+    want = pdf.groupby([pdf.ts.dt.floor("D"), "user_id", "event_type"]).size()
     assert {(r["window_start"], r["customer_id"], r["event_type"]): r["n"] for r in got.collect()} == {
         (k[0].to_pydatetime(), k[1], k[2]): v for k, v in want.items()
     }
@@ -60,13 +61,15 @@ def test_running_scores_equal_batch(spark, landing):
 
 def test_sessions(spark, landing):
     path, pdf = landing
-    got = stream.run_append(stream.sessions(read(spark, path), "2 hours"), *stream.scratch(spark, "t"))
+    closed = stream.run_append(stream.sessions(read(spark, path), "2 hours"), *stream.scratch(spark, "t"))
+    events = spark.read.parquet(path).select(F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("ts"))
+    got = stream.all_sessions(closed, events, "2 hours").select("customer_id", "session_start", "n_events", "dwell_seconds")
+    assert 0 < closed.count() < got.count()
     want = set()
     for customer, rows in pdf.groupby("user_id"):
         ts = rows.ts.sort_values()
         for _, visit in ts.groupby((ts.diff() >= pd.Timedelta(hours=2)).cumsum()):
-            if visit.max() + pd.Timedelta(hours=2) <= pdf.ts.max() - pd.Timedelta(hours=1):
-                want.add((customer, visit.min().to_pydatetime(), len(visit), (visit.max() - visit.min()).total_seconds()))
+            want.add((customer, visit.min().to_pydatetime(), len(visit), (visit.max() - visit.min()).total_seconds()))
     assert set(map(tuple, got.collect())) == want
 
 
@@ -90,6 +93,9 @@ def test_feedback_pairs(spark, landing):
         if len(later):
             want[s.event_id] = later.sort_values(["ts", "event_id"]).iloc[0].event_type
     assert got == want
+    log = spark.createDataFrame([(int(i), 1, 1) for i in pdf[pdf.event_type == "view"].event_id], "served_id long, customer_id long, product_id long")
+    rows = stream.answered(log, stream.first_action(pairs)).collect()
+    assert {r["served_id"]: r["action"] for r in rows if r["action"]} == want and len(rows) == log.count()
 
 
 def test_new_review_files_are_classified_once(spark):
