@@ -289,14 +289,14 @@ VIEWS: dict[str, str] = {
     "similar_both": """SELECT product_a AS product, product_b AS neighbour, similarity FROM similar_t
       UNION ALL SELECT product_b, product_a, similarity FROM similar_t""",
     "pool_top": "SELECT segmento, product FROM pool_plain QUALIFY row_number() OVER (PARTITION BY segmento ORDER BY score DESC, product) <= 100",
+    "implicit_t": """SELECT customer_id, product_id, sum(CASE event_type WHEN 'purchase' THEN 1.0e0 WHEN 'click' THEN 0.3e0 ELSE 0.1e0 END) AS score
+      FROM events_p WHERE event_type IN ('purchase', 'click', 'view') GROUP BY 1, 2""",
     "cf_signals": """SELECT customer, neighbour AS product, similarity AS signal
       FROM bought JOIN similar_both USING (product) JOIN buyer_segments USING (customer)
       JOIN pool_top ON pool_top.segmento = buyer_segments.segmento AND pool_top.product = neighbour
       UNION ALL
-      SELECT customer_id, product_id, i.score * 0.01e0 FROM implicit_t i JOIN buyer_segments ON customer = customer_id
+      SELECT customer_id, product_id, implicit_t.score * 0.01e0 FROM implicit_t JOIN buyer_segments ON customer = customer_id
       JOIN pool_top ON pool_top.segmento = buyer_segments.segmento AND pool_top.product = product_id""",
-    "implicit_t": """SELECT customer_id, product_id, sum(CASE event_type WHEN 'purchase' THEN 1.0e0 WHEN 'click' THEN 0.3e0 ELSE 0.1e0 END) AS score
-      FROM events_p WHERE event_type IN ('purchase', 'click', 'view') GROUP BY 1, 2""",
     "cf_ranked": """SELECT customer, product, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, product) AS rank
       FROM (SELECT customer, product, round_even(sum(signal), 6) AS score FROM cf_signals GROUP BY 1, 2)
       ANTI JOIN bought USING (customer, product) QUALIFY rank <= 10""",

@@ -27,6 +27,7 @@ PROXY_SIGNALS = {
 TABLES = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
