@@ -211,6 +211,10 @@ def main_parts(root: Element) -> set[int]:
     if not body.chars:
         body = root
     best = _largest(body)
+    # Around one article that holds most of the text, the rest is not the article.
+    framed = max((x for x in best.elements() if x is not best and x.tag in ("article", "main")), key=lambda x: x.chars, default=best)
+    if 2 * framed.chars >= best.chars:
+        best = framed
     path = _path(best)
     threshold = min((x.density for x in path), default=0.0)
     marked: set[int] = set()
