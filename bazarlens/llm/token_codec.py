@@ -32,17 +32,18 @@ from bazarlens.session import fresh_path
 MAGIC = b"IDB1"
 HEADER = struct.Struct("<4sIQIIII")
 BLOCK_IDS = 1 << 20
-LANES = 4096
+LANES = 8192
 LEAST_STEPS = 64
 ORDER2_BITS = 20
 BOTTOM = np.uint64(1 << 32)
 CLOSE = np.uint64(1 << 48)
-U16, U32, U48 = np.uint64(16), np.uint64(32), np.uint64(48)
+U12, U16, U32, U48 = np.uint64(12), np.uint64(16), np.uint64(32), np.uint64(48)
+LOW32, ZERO, ONE = np.uint64((1 << 32) - 1), np.uint64(0), np.uint64(4096)
 
 #: Logistic tables over 12-bit probabilities, and their inverse, in units of 1/256.
-STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
+STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int32)
 SQUASH_LIMIT = 2047
-SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-SQUASH_LIMIT, SQUASH_LIMIT + 1)], np.int64)
+SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-SQUASH_LIMIT, SQUASH_LIMIT + 1)], np.int32)
 
 
 class _Writer:
@@ -51,45 +52,49 @@ class _Writer:
     def __init__(self, lanes: int, steps: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, ~np.uint64(0))
-        # Per step two bits of a guess and an id: 16-bit units, grown when needed.
-        self.out = np.zeros((lanes, 2 * steps + 16), np.uint16)
+        # 16-bit units; grown when needed.
+        self.out = np.zeros((lanes, steps + 16), np.uint16)
         self.place = np.zeros(lanes, np.int64)
 
+    def _room(self) -> None:
+        if self.place.max() + 4 >= self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+
     def code(self, lanes, start, size, unit) -> None:
         """Narrow to ``[start, start + size)`` of a total whose one part is ``unit`` wide."""
         low = self.low[lanes] + start * unit
         width = size * unit
+        everyone = isinstance(lanes, slice)
         while True:
             close = (low ^ (low + width)) < CLOSE
             move = np.flatnonzero(close | (width < BOTTOM))
             if not len(move):
                 break
             part, span = low[move], width[move]
-            stuck = ~close[move]
-            span[stuck] = (~part[stuck] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            who = lanes[move]
-            if self.place.max() + 4 >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[who, self.place[who]] = (part >> U48).astype(np.uint16)
-            self.place[who] += 1
+            span = np.where(close[move], span, -part & LOW32)
+            who = move if everyone else lanes[move]
+            self._room()
+            place = self.place[who]
+            self.out[who, place] = (part >> U48).astype(np.uint16)
+            self.place[who] = place + 1
             low[move], width[move] = part << U16, span << U16
         self.low[lanes], self.range[lanes] = low, width
 
     def bit(self, lanes, bits, chance) -> None:
         """Bits that are one with a probability of ``chance`` / 4096."""
-        unit = self.range[lanes] >> np.uint64(12)
         chance = chance.astype(np.uint64)
-        self.code(lanes, np.where(bits, np.uint64(0), chance), np.where(bits, chance, np.uint64(4096) - chance), unit)
+        self.code(lanes, np.where(bits, ZERO, chance), np.where(bits, chance, ONE - chance), self.range[lanes] >> U12)
 
     def symbol(self, lanes, start, size, total) -> None:
         self.code(lanes, start.astype(np.uint64), size.astype(np.uint64), self.range[lanes] // np.uint64(total))
 
     def finish(self) -> list[bytes]:
+        """The range is at least 2**32 wide, so a multiple of that lies in it; a reader takes the rest as zeros."""
+        value = self.low + (self.range - np.uint64(1))
         lanes = np.arange(len(self.low))
-        for shift in (U48, U32, U16, np.uint64(0)):
-            if self.place.max() + 1 >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[lanes, self.place] = (self.low >> shift).astype(np.uint16)
+        for shift in (U48, U32):
+            self._room()
+            self.out[lanes, self.place] = (value >> shift).astype(np.uint16)
             self.place += 1
         return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.place.tolist(), strict=True)]
 
@@ -110,32 +115,32 @@ class _Reader:
 
     def settle(self, lanes, low, value, start, size, unit) -> None:
         low, width = low + start * unit, size * unit
+        everyone = isinstance(lanes, slice)
         while True:
             close = (low ^ (low + width)) < CLOSE
             move = np.flatnonzero(close | (width < BOTTOM))
             if not len(move):
                 break
             part, span = low[move], width[move]
-            stuck = ~close[move]
-            span[stuck] = (~part[stuck] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            who = lanes[move]
-            place = np.minimum(self.place[who], self.data.shape[1] - 1)
-            value[move] = (value[move] << U16) | self.data[who, place]
-            self.place[who] += 1
+            span = np.where(close[move], span, -part & LOW32)
+            who = move if everyone else lanes[move]
+            place = self.place[who]
+            self.place[who] = place + 1
+            value[move] = (value[move] << U16) | self.data[who, np.minimum(place, self.data.shape[1] - 1)]
             low[move], width[move] = part << U16, span << U16
         self.low[lanes], self.range[lanes], self.value[lanes] = low, width, value
 
     def bit(self, lanes, chance):
-        unit = self.range[lanes] >> np.uint64(12)
-        low, value, chance = self.low[lanes], self.value[lanes], chance.astype(np.uint64)
+        unit = self.range[lanes] >> U12
+        low, value, chance = self.low[lanes], self.value[lanes].copy(), chance.astype(np.uint64)
         bits = value - low < chance * unit
-        self.settle(lanes, low, value, np.where(bits, np.uint64(0), chance), np.where(bits, chance, np.uint64(4096) - chance), unit)
+        self.settle(lanes, low, value, np.where(bits, ZERO, chance), np.where(bits, chance, ONE - chance), unit)
         return bits
 
     def symbol(self, lanes, cumulated, total):
         unit = self.range[lanes] // np.uint64(total)
-        low, value = self.low[lanes], self.value[lanes]
-        target = np.minimum((value - low) // unit, np.uint64(total - 1)).astype(np.int64)
+        low, value = self.low[lanes], self.value[lanes].copy()
+        target = np.minimum((value - low) // unit, np.uint64(total - 1)).astype(cumulated.dtype)
         found = np.searchsorted(cumulated, target, side="right") - 1
         start = cumulated[found]
         self.settle(lanes, low, value, start.astype(np.uint64), (cumulated[found + 1] - start).astype(np.uint64), unit)
@@ -143,71 +148,84 @@ class _Reader:
 
 
 class _Mixer:
-    """One learned blend of three logistic inputs, in whole numbers."""
+    """A learned blend of three logistic inputs for each of 16 sets, in whole numbers."""
 
-    def __init__(self, sets: int):
-        self.weights = np.tile(np.array([26000, 20000, 8000], np.int64), (sets, 1))
-        self.sets = sets
+    def __init__(self):
+        self.weights = [np.full(16, w, np.int32) for w in (26000, 20000, 8000)]
 
-    def chance(self, inputs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        total = (inputs * self.weights[chosen]).sum(axis=1) >> 16
+    def chance(self, inputs: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        total = sum(x * w[chosen] for x, w in zip(inputs, self.weights, strict=True)) >> 16
         return SQUASH[np.clip(total, -SQUASH_LIMIT, SQUASH_LIMIT) + SQUASH_LIMIT]
 
     def learn(self, inputs, chosen, chance, bits) -> None:
-        error = np.where(bits, 4096, 0) - chance
-        count = np.bincount(chosen, minlength=self.sets)
-        for i in range(3):
+        """From the first lanes of a step, which are as good as any others."""
+        some = slice(0, 1024)
+        chosen = chosen[some]
+        error = np.where(bits[some], 4096, 0) - chance[some]
+        count = np.maximum(np.bincount(chosen, minlength=16), 1)
+        for x, w in zip(inputs, self.weights, strict=True):
             # The products are whole numbers below 2**53, so these sums are exact.
-            gradient = np.bincount(chosen, weights=inputs[:, i] * error, minlength=self.sets).astype(np.int64)
-            self.weights[:, i] += gradient // np.maximum(count, 1) >> 8
+            gradient = np.bincount(chosen, weights=x[some] * error, minlength=16).astype(np.int64)
+            w += (gradient // count >> 8).astype(np.int32)
 
 
 class _Chances:
-    """Adaptive 16-bit probabilities by state, moved by the share of hits of a step."""
+    """Adaptive 16-bit probabilities of 256 states, moved by the share of hits of a step."""
 
-    def __init__(self, states: int):
-        self.p = np.full(states, 1 << 14, np.int64)
+    def __init__(self):
+        self.p = np.full(256, 1 << 14, np.int64)
+        self._table()
 
-    def stretched(self, state: np.ndarray) -> np.ndarray:
-        return STRETCH[self.p[state] >> 4]
+    def _table(self) -> None:
+        self.stretched = STRETCH[self.p >> 4]
 
     def learn(self, state: np.ndarray, bits: np.ndarray) -> None:
-        seen = np.bincount(state, minlength=len(self.p))
-        hits = np.bincount(state[bits], minlength=len(self.p))
+        seen = np.bincount(state, minlength=256)
+        hits = np.bincount(state[bits], minlength=256)
         target = 65535 * hits // np.maximum(seen, 1)
-        rate = np.minimum(seen, 48)
-        self.p += (target - self.p) * rate // 64
+        self.p += (target - self.p) * np.minimum(seen, 48) // 64
+        self._table()
 
 
 class Model:
-    """What the lanes share. ``step`` codes one id per lane, through ``coder``."""
+    """What the lanes share. ``step`` codes one id per lane, through ``coder``.
+
+    A slot of the order-1 and order-2 tables holds 16 times the expected id
+    plus how far it is trusted, from 0 to 15.
+    """
 
     def __init__(self, alphabet: int, lanes: int):
         self.alphabet = alphabet
-        self.counts = np.ones(alphabet, np.int64)
+        self.counts = np.ones(alphabet, np.int32)
         self.total = alphabet
-        self.guess1 = np.zeros(alphabet + 1, np.int32)
-        self.trust1 = np.zeros(alphabet + 1, np.int8)
-        self.guess2 = np.zeros(1 << ORDER2_BITS, np.int32)
-        self.trust2 = np.zeros(1 << ORDER2_BITS, np.int8)
-        self.second, self.first = _Chances(256), _Chances(256)
-        self.mix2, self.mix1 = _Mixer(16), _Mixer(16)
+        self.slots1 = np.zeros(alphabet + 1, np.int32)
+        self.slots2 = np.zeros(1 << ORDER2_BITS, np.int32)
+        self.second, self.first = _Chances(), _Chances()
+        self.mix2, self.mix1 = _Mixer(), _Mixer()
         self.one = np.full(lanes, alphabet, np.int64)
         self.two = np.full(lanes, alphabet, np.int64)
 
     def _zero_order(self, symbol: np.ndarray) -> np.ndarray:
-        return STRETCH[np.minimum((self.counts[symbol] << 12) // self.total, 4095)]
+        return STRETCH[np.minimum((self.counts[symbol].astype(np.int64) << 12) // self.total, 4095)]
 
-    def step(self, lanes: np.ndarray, coder, known: np.ndarray | None) -> np.ndarray:
-        """Code (``known`` given) or read the next id of ``lanes``; returns the ids."""
+    @staticmethod
+    def _learned(guess, trust, ids) -> np.ndarray:
+        """A trusted guess survives some misses; another one is replaced."""
+        hit = guess == ids
+        kept = hit | (trust > 3)
+        return np.where(kept, guess, ids) * 16 + np.where(hit, np.minimum(trust + 1, 15), np.where(kept, trust >> 1, 0))
+
+    def step(self, lanes, coder, known: np.ndarray | None) -> np.ndarray:
+        """Code (``known`` given) or read the next id of ``lanes``, a slice or numbers; returns the ids."""
         one, two = self.one[lanes], self.two[lanes]
         slot = ((one * 0x9E3779B1 + two * 0x85EBCA77) >> 7) & ((1 << ORDER2_BITS) - 1)
-        guess2, trust2 = self.guess2[slot].astype(np.int64), self.trust2[slot].astype(np.int64)
-        guess1, trust1 = self.guess1[one].astype(np.int64), self.trust1[one].astype(np.int64)
+        held2, held1 = self.slots2[slot], self.slots1[one]
+        guess2, trust2, guess1, trust1 = held2 >> 4, held2 & 15, held1 >> 4, held1 & 15
         agree = guess1 == guess2
         # Is it what order 2 expects?
-        state2 = trust2 * 16 + np.where(agree, trust1, 0)
-        inputs = np.stack([self.second.stretched(state2), np.where(agree, self.first.stretched(trust1 * 16), -self.first.stretched(trust1 * 16) >> 1), self._zero_order(guess2)], axis=1)
+        state2 = trust2 * 16 + trust1 * agree
+        second = self.first.stretched[trust1 * 16]
+        inputs = [self.second.stretched[state2], np.where(agree, second, -second >> 1), self._zero_order(guess2)]
         chance = self.mix2.chance(inputs, trust2)
         if known is None:
             right2 = coder.bit(lanes, chance)
@@ -217,38 +235,39 @@ class Model:
         self.mix2.learn(inputs, trust2, chance, right2)
         self.second.learn(state2, right2)
         # If not: is it what order 1 expects?
-        ids = guess2.copy()
-        ask = np.flatnonzero(~right2 & ~agree)
-        open_ = ~right2
+        numbers = np.arange(len(one)) if isinstance(lanes, slice) else lanes
+        ids = guess2.astype(np.int64)
+        missed = ~right2
+        ask = np.flatnonzero(missed & ~agree)
         if len(ask):
-            state1 = trust1[ask] * 16 + trust2[ask]
-            inputs = np.stack([self.first.stretched(state1), self.first.stretched(trust1[ask] * 16), self._zero_order(guess1[ask])], axis=1)
-            chance = self.mix1.chance(inputs, trust1[ask])
+            sure, guess = trust1[ask], guess1[ask]
+            state1 = sure * 16 + trust2[ask]
+            inputs = [self.first.stretched[state1], second[ask], self._zero_order(guess)]
+            chance = self.mix1.chance(inputs, sure)
             if known is None:
-                right1 = coder.bit(lanes[ask], chance)
+                right1 = coder.bit(numbers[ask], chance)
             else:
-                right1 = known[ask] == guess1[ask]
-                coder.bit(lanes[ask], right1, chance)
-            self.mix1.learn(inputs, trust1[ask], chance, right1)
+                right1 = known[ask] == guess
+                coder.bit(numbers[ask], right1, chance)
+            self.mix1.learn(inputs, sure, chance, right1)
             self.first.learn(state1, right1)
-            ids[ask[right1]] = guess1[ask[right1]]
-            open_[ask[right1]] = False
+            found = ask[right1]
+            ids[found] = guess[right1]
+            missed[found] = False
         # If not: by the counts.
-        rest = np.flatnonzero(open_)
+        rest = np.flatnonzero(missed)
         if len(rest):
-            cumulated = np.zeros(self.alphabet + 1, np.int64)
+            cumulated = np.zeros(self.alphabet + 1, np.int32)
             np.cumsum(self.counts, out=cumulated[1:])
             if known is None:
-                ids[rest] = coder.symbol(lanes[rest], cumulated, self.total)
+                ids[rest] = coder.symbol(numbers[rest], cumulated, self.total)
             else:
-                ids[rest] = known[rest]
-                coder.symbol(lanes[rest], cumulated[ids[rest]], self.counts[ids[rest]], self.total)
+                ids[rest] = some = known[rest]
+                coder.symbol(numbers[rest], cumulated[some], self.counts[some], self.total)
         # Learn. Of several lanes in one context the last one's id counts.
-        for guess, trust, place, said, had in ((self.guess2, self.trust2, slot, guess2, trust2), (self.guess1, self.trust1, one, guess1, trust1)):
-            hit = said == ids
-            guess[place] = np.where(hit | (had > 3), said, ids)
-            trust[place] = np.where(hit, np.minimum(had + 1, 15), np.where(had > 3, had >> 1, 0))
-        self.counts += 16 * np.bincount(ids, minlength=self.alphabet)
+        self.slots2[slot] = self._learned(guess2, trust2, ids)
+        self.slots1[one] = self._learned(guess1, trust1, ids)
+        self.counts += (16 * np.bincount(ids, minlength=self.alphabet)).astype(np.int32)
         self.total += 16 * len(ids)
         self.two[lanes], self.one[lanes] = one, ids
         return ids
@@ -274,10 +293,9 @@ def pack_block(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
         table = np.full(lanes * steps, -1, np.int64)
         table[:count] = dense
         table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-        everyone = np.arange(lanes)
         for row in table:
             if row[-1] >= 0:
-                model.step(everyone, writer, row)
+                model.step(slice(None), writer, row)
             else:
                 here = np.flatnonzero(row >= 0)
                 model.step(here, writer, row[here])
@@ -311,9 +329,9 @@ def unpack_block(block: bytes) -> tuple[list[int], list[np.ndarray]]:
         reader, model = _Reader(streams), Model(alphabet, lanes)
         _, steps = _lane_shape(count)
         table = np.zeros((steps, lanes), np.int64)
-        everyone, begins = np.arange(lanes), np.arange(lanes) * steps
+        begins = np.arange(lanes) * steps
         for step in range(steps):
-            here = everyone if begins[-1] + step < count else np.flatnonzero(begins + step < count)
+            here = slice(None) if begins[-1] + step < count else np.flatnonzero(begins + step < count)
             table[step, here] = model.step(here, reader, None)
         dense = table.T.reshape(-1)[:count]
     flat = values[dense].astype(np.uint32) if count else np.zeros(0, np.uint32)
@@ -335,13 +353,22 @@ def tokenizer_cache(path: str) -> PieceCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+
         def encode(texts: list[str]) -> list[bytes]:
             found: list[bytes] = []
             for start in range(0, len(texts), 5000):
-                found.extend(np.array(x.ids, np.int32).tobytes() for x in tokenizer.encode_batch_fast(texts[start : start + 5000], add_special_tokens=False))
+                some = texts[start : start + 5000]
+                if len(feed) != 1 or any("\n" in x for x in some):
+                    found.extend(np.array(x.ids, np.int32).tobytes() for x in tokenizer.encode_batch_fast(some, add_special_tokens=False))
+                    continue
+                # Words are encoded as the lines of one text: a line feed between them is one id that no word has.
+                ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int32)
+                flat, cuts = ids.tobytes(), np.flatnonzero(ids == feed[0])
+                found.extend([flat[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)])
             return found
 
-        _TOKENIZERS[path] = PieceCache(encode)
+        _TOKENIZERS[path] = PieceCache(encode, 700_000)
     return _TOKENIZERS[path]
 
 
