@@ -12,6 +12,7 @@ from bazarlens.llm import bpe, decontaminate, near_dedup, pseudonyms, quality
 from bazarlens.llm.common import read_table
 from tests.llm.support import clashing, documents
 from tests.llm.test_near_dedup import expected
+from tests.llm.test_pseudonyms import luhn
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +65,8 @@ def test_stages_against_plain_rules(spark, stages):
         if r["text"] is None:
             assert after[i]["text"] is None
             continue
-        found = pattern.findall(r["text"])
+        # Sixteen digits that fail the check are no card number and stay.
+        found = [x for x in pattern.findall(r["text"]) if len(x) != 16 or not x.isdigit() or luhn(x)]
         assert not any(x in after[i]["text"] for x in found)
         assert found or after[i]["text"] == r["text"]
         assert after[i]["n_chars"] == len(after[i]["text"])
