@@ -7,18 +7,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parallel(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Deal rows of few input files out evenly, in round-robin order, before costly work per row."""
-    return df.repartition(parts or df.sparkSession.sparkContext.defaultParallelism)
-
-
 class WordHashes(dict):
     """64-bit hashes of byte words; starts anew when ``limit`` words are held."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazarlens.llm import bpe, chat_format, decontaminate, html_text, near_dedup, pseudonyms, quality, token_codec, toxicity, vector_forest
-from bazarlens.llm.common import parallel, read_table
+from bazarlens.llm.common import read_table
 
 #: A caller names a secret of its own; this one makes the query repeatable.
 PSEUDONYM_KEY = "repeatable-query-key"
@@ -21,7 +21,7 @@ def op1_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_main_text(parallel(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return html_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
 def op3_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
