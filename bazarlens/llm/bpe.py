@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -310,12 +311,12 @@ def _sha256(data: bytes) -> str:
 _ENCODERS: dict[int, TextEncoder] = {}
 
 
-def encoder_of(token: int, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
-    """One encoder per Python worker and broadcast."""
-    if token not in _ENCODERS:
+def encoder_of(number: int, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+    """One encoder per Python worker, for the vocabulary and pattern of that checksum."""
+    if number not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[token] = TextEncoder(ranks, pattern)
-    return _ENCODERS[token]
+        _ENCODERS[number] = TextEncoder(ranks, pattern)
+    return _ENCODERS[number]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = True) -> DataFrame:
@@ -328,7 +329,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
     broadcast; its size does not depend on the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    number = id(shared)
+    number = zlib.crc32(repr((sorted(ranks.items()), pattern)).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(number, shared.value, pattern)
