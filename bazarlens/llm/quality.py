@@ -9,6 +9,7 @@ trained table folds into one number per bucket for scoring.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,14 +79,19 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 found = [_text_features(x, settings) for x in part.column(0).to_pylist()]
-                yield pa.record_batch([pa.array(found, pa.binary()), part.column(1).cast(pa.int32())], names=["f", "y"])
+                marks = pa.array([zlib.crc32(x) for x in found], pa.int64())
+                yield pa.record_batch([pa.array(found, pa.binary()), marks, part.column(1).cast(pa.int32())], names=["f", "mark", "y"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, "f binary, y int").toLocalIterator()
-    samples = sorted((bytes(r["f"]), r["y"]) for r in rows)
-    return _fit(samples, settings)
+    # One copy of the bounded sample, in memory that goes back to the system after the fit.
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, "f binary, mark long, y int").toArrow()
+    labels_, marks = found.column("y").to_pylist(), found.column("mark").to_pylist()
+    features = [memoryview(x.as_buffer()) for x in found.column("f")]
+    # Arrival order of the rows is not fixed; the order of what is learnt from is.
+    order = sorted(range(len(features)), key=lambda i: (marks[i], len(features[i]), labels_[i]))
+    return _fit([(features[i], labels_[i]) for i in order], settings)
 
 
-def _fit(samples: list[tuple[bytes, int]], settings: Settings) -> Model:
+def _fit(samples: list[tuple[memoryview, int]], settings: Settings) -> Model:
     size = (1 << settings.bucket_bits) + 1
     classes = {y for _, y in samples}
     if len(classes) < 2:
