@@ -9,7 +9,7 @@ trained table folds into one number per bucket for scoring.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,16 +52,22 @@ def _repeats(words: list[bytes]) -> float:
     return sum(map(bytes.__eq__, words, words[1:])) / len(words) if words else 0.0
 
 
-def _text_features(text: str | None, settings: Settings) -> bytes:
-    """Bucket numbers and weights of a whole text; the weights of the words add up to one."""
+def _counted(text: str | None) -> tuple[bytes, bytes, float]:
+    """A whole text as its distinct words, how often each stands in it, and its share of repeats."""
     words = _words(text)
-    distinct, counts = np.unique(np.array(words, object), return_counts=True) if words else (np.zeros(0, object), np.zeros(0, int))
-    owner, hashes = subword_hashes(distinct.tolist(), settings.sizes)
-    each = counts / max(len(words), 1) / np.maximum(np.bincount(owner, minlength=len(distinct)), 1)
+    counts = Counter(words)
+    distinct = sorted(counts)
+    return b" ".join(distinct), np.array([counts[w] for w in distinct], np.int32).tobytes(), _repeats(words)
+
+
+def _features(words: bytes, counts: bytes, repeats: float, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers and weights; the weights of the words add up to one."""
+    distinct, times = words.split(), np.frombuffer(counts, np.int32)
+    owner, hashes = subword_hashes(distinct, settings.sizes)
+    each = times / max(times.sum(), 1) / np.maximum(np.bincount(owner, minlength=len(distinct)), 1)
     buckets, inverse = np.unique(hashes >> np.uint32(32 - settings.bucket_bits), return_inverse=True)
     weights = np.bincount(inverse, weights=each[owner], minlength=len(buckets))
-    buckets = np.append(buckets.astype(np.int32), np.int32(1 << settings.bucket_bits))
-    return buckets.astype(np.int32).tobytes() + np.append(weights, _repeats(words)).astype(np.float32).tobytes()
+    return np.append(buckets.astype(np.int64), 1 << settings.bucket_bits), np.append(weights, repeats).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -78,35 +84,31 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [_text_features(x, settings) for x in part.column(0).to_pylist()]
-                marks = pa.array([zlib.crc32(x) for x in found], pa.int64())
-                yield pa.record_batch([pa.array(found, pa.binary()), marks, part.column(1).cast(pa.int32())], names=["f", "mark", "y"])
-
-    # One copy of the bounded sample, in memory that goes back to the system after the fit.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, "f binary, mark long, y int").toArrow()
-    labels_, marks = found.column("y").to_pylist(), found.column("mark").to_pylist()
-    features = [memoryview(x.as_buffer()) for x in found.column("f")]
+                words, counts, repeats = (list(x) for x in zip(*map(_counted, part.column(0).to_pylist()), strict=True))
+                columns = [pa.array(words, pa.binary()), pa.array(counts, pa.binary()), pa.array(repeats, pa.float64()), part.column(1).cast(pa.int32())]
+                yield pa.record_batch(columns, names=["words", "counts", "repeats", "y"])
+
+    schema = "words binary, counts binary, repeats double, y int"
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, schema).toArrow().to_pydict()
     # Arrival order of the rows is not fixed; the order of what is learnt from is.
-    order = sorted(range(len(features)), key=lambda i: (marks[i], len(features[i]), labels_[i]))
-    return _fit([(features[i], labels_[i]) for i in order], settings)
+    samples = sorted(zip(found["words"], found["counts"], found["repeats"], found["y"], strict=True))
+    return _fit(samples, settings)
 
 
-def _fit(samples: list[tuple[memoryview, int]], settings: Settings) -> Model:
+def _fit(samples: list[tuple[bytes, bytes, float, int]], settings: Settings) -> Model:
+    """Stochastic gradient descent; a text's features are made anew when it is its turn, as they take far more room."""
     size = (1 << settings.bucket_bits) + 1
-    classes = {y for _, y in samples}
+    classes = {sample[3] for sample in samples}
     if len(classes) < 2:
         return Model(np.zeros(size), {0: -4.0, 1: 4.0}[classes.pop()] if classes else 0.0)
     generator = np.random.default_rng(settings.seed)
     vectors = generator.uniform(-1, 1, (size, settings.dims)).astype(np.float32) / settings.dims
     output, bias = np.zeros((settings.dims, 2), np.float32), np.zeros(2, np.float32)
-    parsed = []
-    for found, y in samples:
-        half = len(found) // 2
-        parsed.append((np.frombuffer(found[:half], np.int32), np.frombuffer(found[half:], np.float32), y))
-    total, done = settings.epochs * len(parsed), 0
+    total, done = settings.epochs * len(samples), 0
     for _ in range(settings.epochs):
-        for i in generator.permutation(len(parsed)):
-            buckets, weights, y = parsed[i]
+        for i in generator.permutation(len(samples)):
+            words, counts, repeats, y = samples[i]
+            buckets, weights = _features(words, counts, repeats, settings)
             rate = settings.rate * (1 - done / total)
             done += 1
             rows = vectors[buckets]
