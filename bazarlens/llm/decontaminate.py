@@ -6,6 +6,10 @@ folded into the latent space and held against the passages by cosine. What is
 near enough goes to the exact checks: the longest common subsequence of words,
 and whether the passage's answer, its last words, is there as well; so a
 paraphrase that keeps the wording's order is found, too.
+
+The more passages there are, the less of each the latent space keeps, and the
+lower is the cosine even of a verbatim copy. An index of every passage's rarest
+words proposes copies as well, whatever the number of passages.
 """
 
 from __future__ import annotations
@@ -200,6 +204,35 @@ class Searcher:
             last = sorted(set(words[-max(2, len(words) // 4) :]), key=lambda w: (-index.idf[index.vocabulary[w]], w))
             self.answers.append(np.searchsorted(own, [index.vocabulary[w] for w in last[: max(1, (len(last) + 1) // 2)]]))
 
+        self._index_rare_words()
+
+    def _index_rare_words(self) -> None:
+        """Postings (passage, offset) of the rarest words of every passage, by word.
+
+        A copy lacks at most ``1 - copied`` of the words. With ``needed`` words
+        more than that, at least ``needed`` of those looked for are in it.
+        """
+        index, settings, size = self.index, self.settings, len(self.index.words)
+        self.numbers = [np.array([index.vocabulary[w] for w in words]) for words in index.words]
+        self.needed, self.reach = np.ones(size, np.int64), np.zeros(size, np.int64)
+        words, passages, offsets = [], [], []
+        for passage, numbers in enumerate(self.numbers):
+            if len(numbers) < min(settings.windows):
+                continue
+            missing = int((1 - settings.copied) * len(numbers))
+            self.needed[passage], self.reach[passage] = max(2, len(numbers) // 8), len(numbers) // 2
+            rarest = np.lexsort((numbers, -index.idf[numbers]))[: missing + self.needed[passage]]
+            words.append(numbers[rarest])
+            passages.append(np.full(len(rarest), passage))
+            offsets.append(rarest)
+        empty = [np.zeros(0, np.int64)]
+        word = np.concatenate(words or empty)
+        order = np.argsort(word, kind="stable")
+        self.rare_passage, self.rare_offset = np.concatenate(passages or empty)[order], np.concatenate(offsets or empty)[order]
+        # The last place is for words outside the vocabulary.
+        self.rare_count = np.bincount(word, minlength=len(index.vocabulary) + 1)
+        self.rare_first = np.cumsum(self.rare_count) - self.rare_count
+
     def places(self, words: list[bytes]) -> np.ndarray:
         vocabulary = self.index.vocabulary
         unknown = len(vocabulary)
@@ -236,25 +269,89 @@ class Searcher:
                 found.setdefault(int(passage), []).append((int(first[at + row]), int(last[at + row]), float(near[row, passage])))
         return found
 
+    def runs(self, places: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Passage -> (first, last) of the places where it may begin by its rarest words.
+
+        Every posting of a word of the text names a place where its passage
+        would begin; where enough of them nearly agree, there may be a copy.
+        """
+        found: dict[int, list[tuple[int, int]]] = {}
+        size, beyond = 8192, 2 * self.settings.passage_words
+        for base in range(0, len(places), size):
+            part = places[base : base + size + beyond]
+            count = self.rare_count[part]
+            total = int(count.sum())
+            if not total:
+                continue
+            at = np.repeat(self.rare_first[part] - np.cumsum(count) + count, count) + np.arange(total)
+            begin = np.repeat(np.arange(base, base + len(part)), count) - self.rare_offset[at] + beyond
+            key = np.sort((self.rare_passage[at] << 40) + begin)
+            passage = key >> 40
+            last = np.searchsorted(key, key + self.reach[passage], "right")
+            enough = np.flatnonzero(last - np.arange(total) >= self.needed[passage])
+            # A run that ends where the one before does lies inside it.
+            enough = enough[np.diff(last[enough], prepend=0) > 0]
+            for i in enough.tolist():
+                first, stop = (int(key[j] & ((1 << 40) - 1)) - beyond for j in (i, last[i] - 1))
+                found.setdefault(int(passage[i]), []).append((first, stop))
+        return found
+
+    def cosine(self, window: np.ndarray, passage: int) -> float:
+        """Cosine of the TF-IDF vectors of a window and a passage, outside the latent space."""
+        unknown = len(self.index.vocabulary)
+        words, times = np.unique(window[window < unknown], return_counts=True)
+        length = (times**2 * self.square[words]).sum() + np.count_nonzero(window == unknown) * self.square[unknown]
+        own, own_times = self.own[passage], self.times[passage]
+        _, here, there = np.intersect1d(words, own, assume_unique=True, return_indices=True)
+        product = (times[here] * own_times[there] * self.square[words[here]]).sum()
+        return float(product / np.sqrt(max(length * (own_times**2 * self.square[own]).sum(), 1e-12)))
+
+    def check_runs(self, places: np.ndarray, passage: int, runs: list[tuple[int, int]]) -> tuple[float, float, float] | None:
+        """(subsequence share, answer share, cosine) of the best run that counts as a copy."""
+        settings, best, size, seen = self.settings, None, len(self.numbers[passage]), set()
+        # Runs around which too few words are the passage's are ruled out together.
+        own, begin = self.own[passage], np.array(runs)
+        shared = np.append(0, np.cumsum(own[np.minimum(np.searchsorted(own, places), len(own) - 1)] == places))
+        lo, hi = (np.clip(x, 0, len(places)) for x in (begin[:, 0] - size // 4, begin[:, 1] + size + size // 4))
+        for i in np.flatnonzero(shared[hi] - shared[lo] >= settings.reworded * size).tolist():
+            (first, last), region = runs[i], places[lo[i] : hi[i]]
+            # Texts repeat lines.
+            if (same := (first - last, region.tobytes())) in seen:
+                continue
+            seen.add(same)
+            result = self.compare(region, passage)
+            if result is None:
+                continue
+            cosine = max(self.cosine(places[max(0, x) : max(0, x + size)], passage) for x in {first, last})
+            if result[0] >= settings.copied or cosine >= settings.cosine:
+                best = max(best, (*result, cosine)) if best else (*result, cosine)
+                if best[0] == 1:
+                    break
+        return best
+
+    def compare(self, region: np.ndarray, passage: int) -> tuple[float, float] | None:
+        """(subsequence share, answer share) if the region holds a copy of the passage."""
+        settings, wanted, own = self.settings, self.index.words[passage], self.own[passage]
+        local = np.searchsorted(own, region)
+        local[local == len(own)] = 0
+        local = local[own[local] == region]
+        # No subsequence is longer than the words in common, each as often as in both.
+        counts = np.bincount(local, minlength=len(own))
+        if np.minimum(counts, self.times[passage]).sum() < settings.reworded * len(wanted):
+            return None
+        share = common_subsequence(self.masks[passage], len(wanted), local.tolist()) / len(wanted)
+        answer = float(np.count_nonzero(counts[self.answers[passage]]) / len(self.answers[passage]))
+        return (share, answer) if share >= settings.copied or (share >= settings.reworded and answer >= settings.answer) else None
+
     def check(self, places: np.ndarray, passage: int, windows: list[tuple[int, int, float]]) -> tuple[float, float, float] | None:
         """(subsequence share, answer share, cosine) of the best window that counts as a copy."""
-        settings, best = self.settings, None
-        wanted, own = self.index.words[passage], self.own[passage]
+        best, size = None, len(self.index.words[passage])
         for start, stop, cosine in windows:
             # The passage may begin before the window and end behind it.
-            lo, hi = max(0, min(start, stop - len(wanted)) - 4), min(len(places), max(stop, start + len(wanted)) + 4)
-            region = places[lo:hi]
-            local = np.searchsorted(own, region)
-            local[local == len(own)] = 0
-            local = local[own[local] == region]
-            # No subsequence is longer than the words in common, each as often as in both.
-            counts = np.bincount(local, minlength=len(own))
-            if np.minimum(counts, self.times[passage]).sum() < settings.reworded * len(wanted):
-                continue
-            share = common_subsequence(self.masks[passage], len(wanted), local.tolist()) / len(wanted)
-            answer = float(np.count_nonzero(counts[self.answers[passage]]) / len(self.answers[passage]))
-            if share >= settings.copied or (share >= settings.reworded and answer >= settings.answer):
-                best = max(best, (share, answer, cosine)) if best else (share, answer, cosine)
+            lo, hi = max(0, min(start, stop - size) - 4), min(len(places), max(stop, start + size) + 4)
+            result = self.compare(places[lo:hi], passage)
+            if result:
+                best = max(best, (*result, cosine)) if best else (*result, cosine)
         return best
 
     def search(self, text: str | None) -> dict[int, tuple[float, float, float]]:
@@ -264,8 +361,11 @@ class Searcher:
         if not words:
             return found
         places = self.places(words)
-        for passage, windows in self.candidates(places).items():
-            result = self.check(places, passage, windows)
+        results = {passage: self.check(places, passage, windows) for passage, windows in self.candidates(places).items()}
+        for passage, runs in self.runs(places).items():
+            if not results.get(passage):
+                results[passage] = self.check_runs(places, passage, runs)
+        for passage, result in results.items():
             item = int(self.index.items[passage])
             if result and (item not in found or result > found[item]):
                 found[item] = result
@@ -276,7 +376,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     """One row per document and benchmark item that it holds: doc_id, item_id, lcs_share, answer_share, cosine.
 
     Document frequencies are counted over all documents, every window of every
-    whole text is searched. Null and empty texts hold nothing. Items without
+    whole text is searched. The cosine is that of the latent space or, where the
+    latent space misses a copy, that of the TF-IDF vectors. Null and empty texts hold nothing. Items without
     id or with fewer than ``least_words`` words are not searched for. Repeated
     rows are found each. A benchmark of more than ``block`` passages is
     searched for block by block. Other columns are not looked at.

@@ -101,3 +101,12 @@ def test_test_table_copies_are_found(spark):
         wanted.update((r["doc_id"], i) for i, t in texts if f" {t} " in text)
     found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()}
     assert wanted <= found and len(found) <= 1.1 * len(wanted) + 2
+
+
+def test_verbatim_copies_are_found_whatever_the_size_of_the_benchmark(spark):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, rng.randint(16, 59))) for i in range(1000)]
+    rows = [(i, f"{sentence(rng, rng.randint(0, 60))} {text} {sentence(rng, rng.randint(0, 60))}") for i, text in items[::4]]
+    rows += [(5000 + i, sentence(rng, 100)) for i in range(100)]
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(documents(spark, rows), bench(spark, items)).collect()}
+    assert found == {(i, i) for i, _ in items[::4]}
