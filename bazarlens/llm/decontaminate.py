@@ -30,7 +30,11 @@ PUNCTUATION = b".,;:!?\"'()[]{}|"
 
 @dataclass(frozen=True)
 class Settings:
-    """``block`` bounds the passages that are searched for, and broadcast, at once."""
+    """``block`` bounds the passages that are searched for, and broadcast, at once.
+
+    Passages of fewer than ``least_words`` words count only as they are, all
+    words in a row, and from ``least_exact`` words on.
+    """
 
     rank: int = 128
     oversample: int = 8
@@ -41,6 +45,7 @@ class Settings:
     reworded: float = 0.5
     answer: float = 0.5
     least_words: int = 5
+    least_exact: int = 3
     block: int = 10_000
     seed: int = 5
 
@@ -59,7 +64,7 @@ def passages(benchmark: DataFrame, settings: Settings) -> DataFrame:
             ids, parts, words = [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = words_of(text)
-                if item is None or len(found) < settings.least_words:
+                if item is None or len(found) < min(settings.least_words, settings.least_exact):
                     continue
                 for part, start in enumerate(range(0, max(1, len(found) - size // 2), size // 2) if len(found) > size else [0]):
                     ids.append(item)
@@ -159,7 +164,9 @@ def build_index(block: DataFrame, total: int, frequencies: dict[bytes, int], set
         counts = Counter(vocabulary[w] for w in x)
         weights = np.array([n * idf[i] for i, n in counts.items()])
         sparse.append((list(counts), (weights / np.linalg.norm(weights)).tolist()))
-    rows = spark.createDataFrame(sparse, "places array<int>, weights array<double>").repartition(min(len(sparse), spark.sparkContext.defaultParallelism))
+    # The shortest take no part in the latent space.
+    fitted = [row for row, x in zip(sparse, words, strict=True) if len(x) >= settings.least_words] or sparse
+    rows = spark.createDataFrame(fitted, "places array<int>, weights array<double>").repartition(min(len(fitted), spark.sparkContext.defaultParallelism))
     vectors = randomised_svd(rows, len(vocabulary), settings)
     latent = np.stack([np.asarray(weights) @ vectors[places] for places, weights in sparse])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -217,10 +224,10 @@ class Searcher:
         self.needed, self.reach = np.ones(size, np.int64), np.zeros(size, np.int64)
         words, passages, offsets = [], [], []
         for passage, numbers in enumerate(self.numbers):
-            if len(numbers) < min(settings.windows):
-                continue
-            missing = int((1 - settings.copied) * len(numbers))
-            self.needed[passage], self.reach[passage] = max(2, len(numbers) // 8), len(numbers) // 2
+            short = len(numbers) < settings.least_words
+            missing = 0 if short else int((1 - settings.copied) * len(numbers))
+            # Of one word there is one place only.
+            self.needed[passage], self.reach[passage] = min(len(numbers), max(2, len(numbers) // 8)), 0 if short else len(numbers) // 2
             rarest = np.lexsort((numbers, -index.idf[numbers]))[: missing + self.needed[passage]]
             words.append(numbers[rarest])
             passages.append(np.full(len(rarest), passage))
@@ -309,6 +316,9 @@ class Searcher:
     def check_runs(self, places: np.ndarray, passage: int, runs: list[tuple[int, int]]) -> tuple[float, float, float] | None:
         """(subsequence share, answer share, cosine) of the best run that counts as a copy."""
         settings, best, size, seen = self.settings, None, len(self.numbers[passage]), set()
+        if size < settings.least_words:
+            whole = any(np.array_equal(places[max(0, first) : first + size], self.numbers[passage]) for first, _ in runs)
+            return (1.0, 1.0, 1.0) if whole else None
         # Runs around which too few words are the passage's are ruled out together.
         own, begin = self.own[passage], np.array(runs)
         shared = np.append(0, np.cumsum(own[np.minimum(np.searchsorted(own, places), len(own) - 1)] == places))
@@ -320,7 +330,8 @@ class Searcher:
                 continue
             seen.add(same)
             result = self.compare(region, passage)
-            if result is None:
+            # So few words stand half in a row by chance.
+            if result is None or (size < min(settings.windows) and result[0] < settings.copied):
                 continue
             cosine = max(self.cosine(places[max(0, x) : max(0, x + size)], passage) for x in {first, last})
             if result[0] >= settings.copied or cosine >= settings.cosine:
@@ -346,6 +357,8 @@ class Searcher:
     def check(self, places: np.ndarray, passage: int, windows: list[tuple[int, int, float]]) -> tuple[float, float, float] | None:
         """(subsequence share, answer share, cosine) of the best window that counts as a copy."""
         best, size = None, len(self.index.words[passage])
+        if size < self.settings.least_words:
+            return None
         for start, stop, cosine in windows:
             # The passage may begin before the window and end behind it.
             lo, hi = max(0, min(start, stop - size) - 4), min(len(places), max(stop, start + size) + 4)
@@ -377,9 +390,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
     Document frequencies are counted over all documents, every window of every
     whole text is searched. The cosine is that of the latent space or, where the
-    latent space misses a copy, that of the TF-IDF vectors. Null and empty texts hold nothing. Items without
-    id or with fewer than ``least_words`` words are not searched for. Repeated
-    rows are found each. A benchmark of more than ``block`` passages is
+    latent space misses a copy, that of the TF-IDF vectors. Null and empty texts
+    hold nothing. Items without id or with fewer than ``least_exact`` words are
+    not searched for, those with fewer than ``least_words`` only as they are.
+    Repeated rows are found each. A benchmark of more than ``block`` passages is
     searched for block by block. Other columns are not looked at.
     """
     spark = docs.sparkSession

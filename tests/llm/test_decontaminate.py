@@ -110,3 +110,15 @@ def test_verbatim_copies_are_found_whatever_the_size_of_the_benchmark(spark):
     rows += [(5000 + i, sentence(rng, 100)) for i in range(100)]
     found = {(r["doc_id"], r["item_id"]) for r in contaminated(documents(spark, rows), bench(spark, items)).collect()}
     assert found == {(i, i) for i, _ in items[::4]}
+
+
+def test_short_items_are_found_as_they_are(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.sample(WORDS[:400], 1 + i % 2) + rng.sample(COMMON, 2 + i % 8))) for i in range(200)]
+    rows = [(i, f"{sentence(rng, rng.randint(0, 60))} {text} {sentence(rng, rng.randint(0, 60))}") for i, text in items]
+    rows += [(900, " ".join(reversed(items[0][1].split()))), (901, None)]
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(documents(spark, rows), bench(spark, items)).collect()}
+    assert {(i, i) for i, _ in items} <= found and (900, 0) not in found
+    only = bench(spark, [(1, "word1 of word2")])
+    docs = documents(spark, ["see word1 of, word2", "word1 of the word2", "word2 of word1", "word1 of"])
+    assert [(r["doc_id"], r["lcs_share"]) for r in contaminated(docs, only).collect()] == [(0, 1.0)]
