@@ -14,17 +14,36 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_LONG_IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+
 #: Formats, in the order in which they are tried at a place; Java patterns.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    # Capitals behind an account number do not belong to it: its country's length comes first.
+    "iban": r"(?<![\p{L}\p{N}])(?:" + _LONG_IBAN + r")(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "nanp": r"(?<![\p{L}\p{N}])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
+    # A whole run of groups of digits; the numbers are looked for inside.
+    "card": r"(?<![\p{L}\p{N}])(?=(?:[0-9][ -]?){13})[0-9]++(?![\p{L}\p{N}])(?:[ -][0-9]++(?![\p{L}\p{N}]))*+",
 }
+#: What may stand inside such a run besides.
+IN_RUN = ("date", "ssn", "nanp")
+#: Layouts of a card number inside a run, the usual ones first; only the last group may have less than three digits.
+CARD_LAYOUTS = (
+    "[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}",
+    "[0-9]{13,19}",
+    "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+    *(f"[0-9]{{3,}}(?:[ -][0-9]{{3,}}){{{n}}}[ -][0-9]+" for n in range(5, -1, -1)),
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -91,8 +110,26 @@ def _let(name: str, value: str, body: str) -> str:
 def _card(m: str, key: str) -> str:
     body = f"concat(substr(d, 1, 1), {_permute_digits('substr(d, 2, length(d) - 2)', _quoted('card'), key)})"
     whole = _let("b", body, f"concat(b, CAST((10 - {_luhn_sum(chr(39).join(['concat(b, ', '0', ')']))} % 10) % 10 AS STRING))")
-    valid = f"{_luhn_sum('d')} % 10 = 0 AND d NOT RLIKE '^([0-9])\\\\1*$'"
-    return _let("d", _digits(m), f"IF({valid}, {_let('n', whole, _refill(m, 'n'))}, {m})")
+    return _let("d", _digits(m), _let("n", whole, _refill(m, "n")))
+
+
+def _is_card(digits: str) -> str:
+    return f"(length({digits}) BETWEEN 13 AND 19 AND {digits} NOT RLIKE '^([0-9])\\\\1*$' AND {_luhn_sum(digits)} % 10 = 0)"
+
+
+def _card_run(m: str, key: str) -> str:
+    """A run as one number or, if it is none, the numbers between borders of its groups; other formats in the rest."""
+    readings = ", ".join(f"named_struct('k', {k}, 'p', p, 'c', regexp_extract(w, {_quoted('^(?:' + x + ')(?![0-9])')}, 0))" for k, x in enumerate(CARD_LAYOUTS))
+    starts = f"filter(sequence(1, length({m})), p -> p = 1 OR substr({m}, p - 1, 1) IN (' ', '-'))"
+    every = f"flatten(transform({starts}, p -> {_let('w', f'substr({m}, p, 40)', f'array({readings})')}))"
+    valid = f"array_sort(filter({every}, x -> {_let('d', _digits('x.c'), _is_card('d'))}))"
+    clear = "exists(s, y -> x.p < y.p + length(y.c) AND y.p < x.p + length(x.c))"
+    chosen = f"aggregate(v, filter(v, x -> false), (s, x) -> IF({clear}, s, concat(s, array(x))))"
+    ordered = f"concat(array_sort(transform({_let('v', valid, chosen)}, x -> named_struct('p', x.p, 'c', x.c))), array(named_struct('p', length({m}) + 1, 'c', '')))"
+    rest = _let("z", f"substr({m}, s.at, x.p - s.at)", _replaced("z", IN_RUN, key))
+    number = f"IF(x.c = '', '', {_let('y', 'x.c', _card('y', key))})"
+    parts = f"aggregate({ordered}, named_struct('o', '', 'at', 1), (s, x) -> named_struct('o', concat(s.o, {rest}, {number}), 'at', x.p + length(x.c)), s -> s.o)"
+    return f"IF({_let('d', _digits(m), _is_card('d'))}, {_card(m, key)}, {parts})"
 
 
 def _ssn(m: str, key: str) -> str:
@@ -162,29 +199,32 @@ def _email(m: str, key: str) -> str:
     return _let("u", f"substring_index({m}, '@', 1)", f"concat({local}, '@', substring_index({m}, '@', -1))")
 
 
-def pseudonym(match: str, key: str) -> str:
+def pseudonym(match: str, key: str, names: tuple[str, ...] = tuple(PATTERNS)) -> str:
     """SQL for the pseudonym of the SQL string ``match``; what fails its format's check stays as it is."""
-    makers = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "nanp": _nanp, "phone": _phone, "card": _card}
+    makers = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "nanp": _nanp, "phone": _phone, "card": _card_run}
     whole = lambda name: _quoted("^(?:" + PATTERNS[name] + ")$")
-    cases = " ".join(f"WHEN {match} RLIKE {whole(name)} THEN {makers[name](match, key)}" for name in PATTERNS)
+    cases = " ".join(f"WHEN {match} RLIKE {whole(name)} THEN {makers[name](match, key)}" for name in names)
     return f"CASE {cases} ELSE {match} END"
 
 
+def _replaced(text: str, names: tuple[str, ...], key: str) -> str:
+    """SQL for the string ``text`` with every value of the named formats replaced."""
+    pattern = _quoted("|".join(f"(?:{PATTERNS[name]})" for name in names))
+    moved = f"transform(regexp_extract_all({text}, {pattern}, 0), m -> {pseudonym('m', key, names)})"
+    return f"array_join(flatten(zip_with(split({text}, {pattern}, -1), {moved}, (x, y) -> array(x, coalesce(y, '')))), '')"
+
+
 def pseudonymised(text: str, key: str) -> Column:
     """The string column ``text`` with every value of a known format replaced."""
-    pattern = _quoted(ANY)
-    between = f"split(`{text}`, {pattern}, -1)"
-    inside = f"regexp_extract_all(`{text}`, {pattern}, 0)"
-    moved = f"transform({inside}, m -> {pseudonym('m', key)})"
-    joined = f"array_join(flatten(zip_with({between}, {moved}, (x, y) -> array(x, coalesce(y, '')))), '')"
+    joined = _replaced(f"`{text}`", tuple(PATTERNS), key)
     # Texts without a digit or an at sign, the most, are not searched.
-    return F.expr(f"CASE WHEN `{text}` RLIKE '[0-9@]' AND `{text}` RLIKE {pattern} THEN {joined} ELSE `{text}` END")
+    return F.expr(f"CASE WHEN `{text}` RLIKE '[0-9@]' AND `{text}` RLIKE {_quoted(ANY)} THEN {joined} ELSE `{text}` END")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal values in the column ``text`` replaced; all other columns and rows stay.
 
-    Card numbers are checked by Luhn, account numbers by their remainder,
+    Card numbers are checked by Luhn, also between other groups of digits, account numbers by their remainder,
     social security numbers by their reserved areas, addresses by their bytes,
     dates by the calendar (1900 on, 73,000 days). A null text stays null, an
     empty one empty; repeated values get one pseudonym everywhere. ``key`` is

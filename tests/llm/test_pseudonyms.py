@@ -71,6 +71,17 @@ def test_what_is_not_valid_stays(spark):
     assert replaced(spark, *texts) == texts
 
 
+def test_numbers_beside_other_groups_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    beside = ["{} 123", "{} 12/25", "ref 12 {}", "ref 1234 {} 99", "1234567 {}", "{} {}", "{} 12th", "20 30 {} 7 8 9"]
+    texts = replaced(spark, card, iban, *(x.replace("{}", card) for x in beside), f"{iban} BANK", f"{iban} {iban} EUR", f"{card} 636-555-2031", "636-555-2031", "1 2 " * 5000 + card)
+    assert card not in texts[0] and iban not in texts[1]
+    assert texts[2:10] == [x.replace("{}", texts[0]) for x in beside]
+    assert texts[10:12] == [f"{texts[1]} BANK", f"{texts[1]} {texts[1]} EUR"]
+    assert texts[12] == f"{texts[0]} {texts[13]}" and "636-555-2031" not in texts[12]
+    assert texts[14] == "1 2 " * 5000 + texts[0]
+
+
 def test_long_text_and_other_columns(spark):
     frame = clashing(documents(spark, ["x " * 50_000 + "93.81.200.107 " * 50, "93.81.200.107"]))
     rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(frame, KEY).collect()}
