@@ -27,7 +27,8 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
     # Capitals behind an account number do not belong to it: its country's length comes first.
     "iban": r"(?<![\p{L}\p{N}])(?:" + _LONG_IBAN + r")(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
+    # A time may follow the date of a timestamp.
+    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?=[Tt][0-9])|(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9]))",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "nanp": r"(?<![\p{L}\p{N}])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\p{L}\p{N}])",
@@ -162,10 +163,17 @@ def _phone(m: str, key: str) -> str:
 
 
 def _date(m: str, key: str) -> str:
-    """Days from 1900-01-01 on, 73,000 of them; other dates stay. Month first, if that is a date."""
+    """Days from 1900-01-01 on, 73,000 of them; other dates stay. Month first, if that is a date.
+
+    Days and months of one digit are written without zeros, so any day fits the layout.
+    """
     iso = f"substr({m}, 5, 1) = '-'"
-    us, eu, dotted = (f"try_to_timestamp({m}, '{x}')" for x in ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"))
-    layout = f"CASE WHEN {iso} THEN 'yyyy-MM-dd' WHEN {us} IS NOT NULL THEN 'MM/dd/yyyy' WHEN {eu} IS NOT NULL THEN 'dd/MM/yyyy' WHEN {dotted} IS NOT NULL THEN 'dd.MM.yyyy' END"
+    us, eu, dotted = (f"try_to_timestamp({m}, '{x}')" for x in ("M/d/yyyy", "d/M/yyyy", "d.M.yyyy"))
+    full = f"length({m}) = 10"
+    layout = (
+        f"CASE WHEN {iso} THEN IF({full}, 'yyyy-MM-dd', 'yyyy-M-d') WHEN {us} IS NOT NULL THEN IF({full}, 'MM/dd/yyyy', 'M/d/yyyy')"
+        f" WHEN {eu} IS NOT NULL THEN IF({full}, 'dd/MM/yyyy', 'd/M/yyyy') WHEN {dotted} IS NOT NULL THEN IF({full}, 'dd.MM.yyyy', 'd.M.yyyy') END"
+    )
     day = "datediff(CAST(try_to_timestamp(%s, l) AS DATE), DATE '1900-01-01')" % m
     moved = _feistel("CAST(n AS BIGINT)", "250L", "292L", _quoted("date"), key)
     text = f"date_format(date_add(DATE '1900-01-01', CAST({moved} AS INT)), l)"

@@ -82,6 +82,17 @@ def test_numbers_beside_other_groups_are_found(spark):
     assert texts[14] == "1 2 " * 5000 + texts[0]
 
 
+def test_dates_of_timestamps_and_with_single_digits_are_linked(spark):
+    texts = replaced(spark, "2001-04-03", "2001-04-03T10:00:00Z", "2001-4-3", "on 3.4.2001.", "4/3/2001 and 04/03/2001", "25/4/2001", "2001-04-25", "2001-04-03Tag", "32.1.2001", "1.2.2001.4")
+    year, month, day = texts[0].split("-")
+    assert texts[0] != "2001-04-03" and texts[1] == f"{texts[0]}T10:00:00Z"
+    assert texts[2] == f"{year}-{int(month)}-{int(day)}" and texts[3] == f"on {int(day)}.{int(month)}.{year}."
+    assert texts[4] == f"{int(month)}/{int(day)}/{year} and {month}/{day}/{year}"
+    year, month, day = texts[6].split("-")
+    assert texts[5] == f"{int(day)}/{int(month)}/{year}"
+    assert texts[7:] == ["2001-04-03Tag", "32.1.2001", "1.2.2001.4"]
+
+
 def test_long_text_and_other_columns(spark):
     frame = clashing(documents(spark, ["x " * 50_000 + "93.81.200.107 " * 50, "93.81.200.107"]))
     rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(frame, KEY).collect()}
