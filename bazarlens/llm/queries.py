@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlens.llm import bpe, chat_format, decontaminate, html_text, near_dedup, pseudonyms, quality, token_codec, toxicity, vector_forest
+from bazarlens.llm import bpe, centroids, chat_format, decontaminate, html_text, near_dedup, parity_join, pseudonyms, quality, token_codec, toxicity, vector_forest
 from bazarlens.llm.common import read_table
 
 #: A caller names a secret of its own; this one makes the query repeatable.
@@ -65,14 +65,38 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_forest, op2_html_text, op3_token_codec, op4_near_duplicates, op5_decontamination,
         op6_toxicity, op7_quality, op8_chat_format, op9_pseudonyms, op10_prefix_bpe,
+        op11_parity_join, op12_centroids,
     )
 }
 
+
+def _centroid_rounds(rounds: int) -> str:
+    """Assignments a0, a1, ... and the centroids c1, c2, ... that follow from them."""
+    step = """
+        a{0} AS MATERIALIZED (
+            SELECT r, min(d) AS d, arg_min(k, (d, k)) AS k FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM x JOIN c{0} USING (i) GROUP BY r, k) GROUP BY r
+        )"""
+    move = """
+        c{1} AS MATERIALIZED (
+            SELECT k, i, CAST(coalesce(m.c, old.c) AS BIGINT) AS c FROM c{0} old
+            LEFT JOIN (SELECT k, i, (s - ((s % n) + n) % n) // n AS c FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{0} JOIN x USING (r) GROUP BY k, i)) m USING (k, i)
+        )"""
+    return ",".join([step.format(j) + "," + move.format(j, j + 1) for j in range(rounds)] + [step.format(rounds)])
+
+
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": r"""
         WITH RECURSIVE words AS (
@@ -112,4 +136,43 @@ ORACLES: dict[str, str] = {
                CAST(sum(length('<|im_start|>' || role || chr(10) || '<|im_end|>' || chr(10)) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM rows_ GROUP BY conv_id
     """,
+    "op11_parity_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+        ), both_ways AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach AS (
+            SELECT a AS doc_id, a AS other FROM both_ways
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+    """,
+    "op12_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+        ), x AS MATERIALIZED (
+            SELECT r, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) t(i)
+        ), c0 AS MATERIALIZED (
+            SELECT k, i, x AS c FROM (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept QUALIFY k < 8) JOIN x USING (r)
+        ), {_centroid_rounds(10)}, digests AS (
+            SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY k
+        )
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a10 JOIN kept USING (r) JOIN digests USING (k)
+    """,
 }
