@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlens.llm import bpe, centroids, chat_format, decontaminate, html_text, near_dedup, parity_join, pseudonyms, quality, token_codec, toxicity, vector_forest
+from bazarlens.llm import bpe, centroids, chat_format, decontaminate, html_text, lexical_search, near_dedup, parity_join, pseudonyms, quality, token_codec, toxicity, vector_forest
 from bazarlens.llm.common import read_table
 
 #: A caller names a secret of its own; this one makes the query repeatable.
@@ -73,12 +73,17 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_forest, op2_html_text, op3_token_codec, op4_near_duplicates, op5_decontamination,
         op6_toxicity, op7_quality, op8_chat_format, op9_pseudonyms, op10_prefix_bpe,
-        op11_parity_join, op12_centroids,
+        op11_parity_join, op12_centroids, op13_lexical_search,
     )
 }
 
@@ -175,4 +180,25 @@ ORACLES: dict[str, str] = {
                CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
         FROM a10 JOIN kept USING (r) JOIN digests USING (k)
     """,
+    "op13_lexical_search": r"""
+        WITH found AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), counted AS (
+            SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+        ), lengths AS (
+            SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id
+        ), whole AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), whole
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id), whole GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+    """,
 }
