@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,11 +18,12 @@ from bazarlens.fixed_values import (
 )
 from bazarlens.functions.quantiles import exact_percentiles
 from bazarlens.functions.scalars import hash_order, pct_rate
+from bazarlens.operators.celltree import CellTree, euclidean_silhouettes
 from bazarlens.operators.profiling import sample_fixed
 from bazarlens.session import materialize
 
 SEED = 42
-RESTARTS = 3
+RESTARTS = 10
 SILHOUETTE_SAMPLE = 15_000
 # Centres that move less have settled.
 STANDSTILL = 1e-9
@@ -112,62 +113,27 @@ def inertia(df: DataFrame, columns: list[str], centroids: Centroids) -> DataFram
     return kmeans_assign(df, columns, centroids).agg(F.sum("dist2").alias("inertia"), F.count(F.lit(1)).alias("n"))
 
 
-def starting_centres(df: DataFrame, columns: list[str], key: str, k: int, seed: int = SEED) -> np.ndarray:
-    """k rows, each the farthest from those before it; the first has the least hash of its key.
+def starting_centres_all(df: DataFrame, columns: list[str], key: str, k: int, seeds: Sequence[int]) -> list[np.ndarray]:
+    """For every seed k rows, each the farthest from those before it; the first has the least hash of its key.
 
     Looks at all rows, so a small cluster far from the others is not missed.
     The first j of them are the start for j clusters. Equal distances go to
-    the least key.
+    the least key. All seeds take a step together, in one scan.
     """
     point = F.struct(*columns)
-    first = df.agg(F.min_by(point, F.struct(hash_order(F.col(key), seed), F.col(key)))).first()[0]
-    centres = [tuple(float(x) for x in first)]
-    while len(centres) < k:
-        gap = nearest(columns, list(enumerate(centres)))["dist2"]
-        best = df.select(key, *columns, gap.alias("gap")).agg(F.max_by(point, F.struct(F.col("gap"), -F.col(key)))).first()[0]
-        centres.append(tuple(float(x) for x in best))
-    return np.array(centres)
-
+    firsts = df.agg(*[F.min_by(point, F.struct(hash_order(F.col(key), seed), F.col(key))) for seed in seeds]).first()
+    starts = [[tuple(float(x) for x in first)] for first in firsts]
+    for _ in range(k - 1):
+        gaps = [nearest(columns, list(enumerate(centres)))["dist2"].alias(f"gap{i}") for i, centres in enumerate(starts)]
+        farthest = [F.max_by(point, F.struct(F.col(f"gap{i}"), -F.col(key))) for i in range(len(starts))]
+        for centres, best in zip(starts, df.select(key, *columns, *gaps).agg(*farthest).first()):
+            centres.append(tuple(float(x) for x in best))
+    return [np.array(centres) for centres in starts]
 
-def _update_all(df: DataFrame, columns: list[str], models: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """One Lloyd update of every model in a single pass over ``df``.
 
-    Each task adds its rows up to one partial row per (model, cluster); the
-    shuffle and the driver see a number of rows fixed by the models.
-    """
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [np.zeros(len(m)) for m in models]
-        sums = [np.zeros(m.shape) for m in models]
-        costs = [np.zeros(len(m)) for m in models]
-        for batch in batches:
-            x = batch[columns].to_numpy(dtype=float)
-            for i, centers in enumerate(models):
-                gap = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-                own = gap.argmin(axis=1)
-                counts[i] += np.bincount(own, minlength=len(centers))
-                costs[i] += np.bincount(own, weights=gap[np.arange(len(x)), own], minlength=len(centers))
-                for d in range(x.shape[1]):
-                    sums[i][:, d] += np.bincount(own, weights=x[:, d], minlength=len(centers))
-        for i, centers in enumerate(models):
-            part = pd.DataFrame(sums[i], columns=columns)
-            yield part.assign(model=i, cluster=np.arange(len(centers)), n=counts[i], cost=costs[i])
-
-    schema = ", ".join(f"{c} double" for c in columns) + ", model long, cluster long, n double, cost double"
-    totals = (
-        df.select(*columns)
-        .mapInPandas(add_up, schema)
-        .groupBy("model", "cluster")
-        .agg(*[F.sum(c).alias(c) for c in [*columns, "n", "cost"]])
-        .toPandas()
-    )
-    updated, costs = [], np.zeros(len(models))
-    for i, centers in enumerate(models):
-        mine = totals[totals["model"] == i].set_index("cluster").reindex(range(len(centers))).fillna(0.0)
-        n = mine["n"].to_numpy()[:, None]
-        # A cluster that lost all points stays where it was.
-        updated.append(np.where(n > 0, mine[columns].to_numpy() / np.maximum(n, 1.0), centers))
-        costs[i] = mine["cost"].sum()
-    return updated, costs
+def starting_centres(df: DataFrame, columns: list[str], key: str, k: int, seed: int = SEED) -> np.ndarray:
+    """The starting centres of one seed, see :func:`starting_centres_all`."""
+    return starting_centres_all(df, columns, key, k, [seed])[0]
 
 
 def kmeans_fit_all(
@@ -176,16 +142,21 @@ def kmeans_fit_all(
     """Best of several fits for every k: {k: (centroids, cost)}.
 
     Restart i begins with the centres of seed + i. All restarts of all k
-    advance together, one scan of ``df`` a pass, instead of one scan per model
-    and pass. A model is done when its centres stand still; one that still
-    moves after ``max_passes`` is an error. ``df`` is read once a pass: hand
-    over a written table. ``key`` is numeric.
+    advance together over the cells of a :class:`CellTree`: cells that one
+    centre owns move as sums, and only rows of cells on a border are read, so
+    an update is that of plain k-means without a scan per update. A model is
+    done when its centres stand still; one that still moves after
+    ``max_passes`` is an error. Rows with a null or non-finite coordinate take
+    no part. ``key`` is numeric.
     """
-    starts = [starting_centres(df, columns, key, max(ks), seed + i) for i in range(restarts)]
+    tree = CellTree.build(df.select(key, *columns), columns)
+    if len(tree.codes) == 0:
+        raise ValueError("no rows to fit")
+    starts = starting_centres_all(tree.rows, columns, key, max(ks), range(seed, seed + restarts))
     models = [(k, centres[:k]) for k in ks for centres in starts]
     best: dict[int, tuple[np.ndarray, float]] = {}
     for _ in range(max_passes):
-        updated, costs = _update_all(df, columns, [centers for _, centers in models])
+        updated, costs = tree.update([centers for _, centers in models])
         going = []
         for (k, centers), moved, cost in zip(models, updated, costs):
             if np.abs(moved - centers).max() > STANDSTILL:
@@ -208,10 +179,10 @@ def kmeans_fit(df: DataFrame, columns: list[str], key: str, k: int, seed: int =
 # --- silhouette --------------------------------------------------------------
 
 
-def silhouettes(df: DataFrame, columns: list[str], labels: dict[int, tuple[Column, Sequence[int]]]) -> dict[int, tuple[float, int]]:
-    """{name: (mean silhouette, rows)} over all rows, for several labellings in two scans.
+def squared_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, tuple[Column, Sequence[int]]]) -> dict[int, tuple[float, int]]:
+    """{name: (mean silhouette, rows)} with squared distances over all rows, for several labellings in two scans.
 
-    Distances are squared. The mean squared distance of a point x to a
+    A cheaper measure than :func:`euclidean_silhouettes`, which chooses k. The mean squared distance of a point x to a
     cluster is |x|^2 - 2 x m + q, where m is the cluster's mean and q its mean
     |y|^2; so counts, sums and sums of squares per cluster replace all pairs.
     ``labels`` gives for each name the label column and its values. A point
@@ -246,9 +217,9 @@ def silhouettes(df: DataFrame, columns: list[str], labels: dict[int, tuple[Colum
 
 
 def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """(silhouette, n) of a labelled frame with few clusters, see :func:`silhouettes`."""
+    """(silhouette, n) of a labelled frame with few clusters, with Euclidean distances between all rows."""
     ids = sorted(r[0] for r in df.select(cluster).distinct().collect() if r[0] is not None)
-    return df.sparkSession.createDataFrame([silhouettes(df, columns, {0: (F.col(cluster), ids)})[0]], "silhouette double, n long")
+    return df.sparkSession.createDataFrame([euclidean_silhouettes(df, columns, {0: (F.col(cluster), ids)})[0]], "silhouette double, n long")
 
 
 def sampled_silhouette(
@@ -288,13 +259,13 @@ def sampled_silhouette(
 
 
 def k_search(df: DataFrame, columns: list[str], key: str, ks: Sequence[int], restarts: int = RESTARTS) -> list[tuple[int, float, Centroids]]:
-    """(k, silhouette, centroids) for every k, the silhouettes of all k over all rows in two scans.
+    """(k, silhouette, centroids) for every k, the Euclidean silhouettes of all k over all rows.
 
     Only centroids and one score a k come back to the driver. The model of
     the chosen k is returned, so it is not fitted again.
     """
     fits = kmeans_fit_all(df, columns, key, list(ks), restarts=restarts)
-    scores = silhouettes(df, columns, {k: (nearest(columns, c)["cluster"], range(k)) for k, (c, _) in fits.items()})
+    scores = euclidean_silhouettes(df, columns, {k: (nearest(columns, c)["cluster"], range(k)) for k, (c, _) in fits.items()})
     return [(k, scores[k][0], fits[k][0]) for k in sorted(fits)]
 
 

@@ -69,7 +69,7 @@ def _scale(where: str) -> str:
 
 
 def _silhouette_rows(assigned: str, by: str) -> str:
-    """Silhouette and size per ``by``, from all pairs with squared distances."""
+    """Silhouette and size per ``by``, from all pairs with Euclidean distances."""
     return f"""SELECT {by}, avg(s) AS silhouette, count(*) AS n FROM (
       SELECT {by}, id, CASE WHEN max(own_n) = 1 OR greatest(max(a), min(b)) = 0 THEN 0
                       ELSE (min(b) - max(a)) / greatest(max(a), min(b)) END AS s FROM (
@@ -77,7 +77,7 @@ def _silhouette_rows(assigned: str, by: str) -> str:
                CASE WHEN cluster = ocluster AND on_n > 1 THEN sum(d) / (on_n - 1) END AS a,
                CASE WHEN cluster <> ocluster THEN sum(d) / on_n END AS b
         FROM (SELECT p.{by}, p.customer_unique_id AS id, p.cluster, o.cluster AS ocluster,
-                     (p.recency_s - o.recency_s) ** 2 + (p.monetary_s - o.monetary_s) ** 2 AS d
+                     sqrt((p.recency_s - o.recency_s) ** 2 + (p.monetary_s - o.monetary_s) ** 2) AS d
               FROM {assigned} p JOIN {assigned} o ON p.{by} = o.{by}) p
         JOIN (SELECT {by}, cluster AS ocluster, count(*) AS on_n FROM {assigned} GROUP BY ALL) o USING ({by}, ocluster)
         GROUP BY {by}, id, cluster, ocluster, on_n) GROUP BY {by}, id) GROUP BY {by}"""

@@ -767,7 +767,7 @@ def arg_extreme(spark: SparkSession, sf: str) -> DataFrame:
 def _silhouettes(spark: SparkSession, sf: str) -> DataFrame:
     scaled = materialize(_scaled(spark, sf), "scaled")
     labels = {len(c): (cluster.nearest(SCALED, c)["cluster"], range(len(c))) for c in (CENTROIDS, CENTROIDS_3)}
-    found = cluster.silhouettes(scaled, SCALED, labels)
+    found = cluster.euclidean_silhouettes(scaled, SCALED, labels)
     return spark.createDataFrame([(k, float(s), n) for k, (s, n) in found.items()], "k long, silhouette double, n long").withColumn("silhouette", F.round("silhouette", 6))
 
 

@@ -226,7 +226,9 @@ def test_silhouette_against_brute_force(spark):
     frame = spark.createDataFrame(pdf).repartition(4)
     row = cluster.silhouette(frame, ["x", "y"]).first()
     assert row["n"] == len(x)
-    assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels, True))
+    assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels, False), abs=1e-8)
+    squared = cluster.squared_silhouettes(frame, ["x", "y"], {0: (F.col("cluster"), [0, 1, 2, 3, 9])})[0]
+    assert squared == (pytest.approx(brute_silhouette(x, labels, True)), len(x))
     row = cluster.sampled_silhouette(frame, ["x", "y"], "id").first()
     assert row["n"] == len(x) and row["silhouette"] == pytest.approx(brute_silhouette(x, labels, False))
     assert cluster.sampled_silhouette(frame, ["x", "y"], "id", sample_size=50).first()["n"] == 50
