@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazarlens.functions.quantiles import exact_percentiles
 from bazarlens.functions.scalars import circle_radius, geo_valid, planar_km
 from bazarlens.operators.profiling import top_k
+from bazarlens.session import materialize
 
 
 def city_stats(accounts: DataFrame) -> DataFrame:
@@ -117,16 +119,17 @@ def with_distance(points: DataFrame, centroid: DataFrame) -> DataFrame:
 def coverage_stats(points: DataFrame, centroid: DataFrame) -> DataFrame:
     """Mean, median and 80 % radius of the distance of orders to the centre.
 
-    One row per zip goes in; ``percentile`` takes the orders as frequency, so
-    its buffer holds distinct zips, not orders.
+    One row per zip goes in, written once; its orders are its weight in the
+    percentiles, which take a fixed number of passes and no buffer of values.
     """
     n = F.col("n_orders")
-    return with_distance(points, centroid).agg(
+    placed = materialize(with_distance(points, centroid).select("km", "n_orders"), "distances")
+    ranks = exact_percentiles(placed, ["km"], [0.5, 0.8], weight="n_orders").select(F.struct("*")).scalar()
+    totals = placed.agg(
         F.sum("n_orders").alias("n_orders"),
         F.try_divide(F.sum(F.col("km") * n), F.sum(n).cast("double")).alias("km_mean"),
-        F.percentile("km", 0.5, n).alias("km_median"),
-        F.percentile("km", 0.8, n).alias("km_p80"),
     )
+    return totals.select("n_orders", "km_mean", ranks["km_p50"].alias("km_median"), ranks["km_p80"].alias("km_p80"))
 
 
 def city_geo(points: DataFrame) -> DataFrame:

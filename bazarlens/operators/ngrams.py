@@ -1,33 +1,143 @@
-"""N-gram frequencies of a corpus."""
+"""N-gram frequencies of a corpus, with level-wise pruning.
+
+An n-gram is in ``min_df`` documents only if both (n-1)-grams in it are. So
+the levels are counted one after the other on hashes: a fixed number of slots
+says which n-grams may still be frequent enough, and only those become strings,
+which are then counted exactly. A rare n-gram never crosses a shuffle as text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazarlens.functions.text import ngrams
+from bazarlens.session import materialize
 
 MIN_DF = 3
 MAX_FEATURES = 5000
+# Slots that n-grams of one size are hashed to. Two in one slot only let more through.
+SLOTS = 1 << 24
+
+
+class _Levels:
+    """Keys of the n-grams of many token arrays at once, and which of them may be frequent."""
+
+    def __init__(self, hashes: pa.ListArray, slots: int):
+        self.slots = slots
+        self.hashes = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.starts = np.cumsum(lengths) - lengths
+        self.at, self.key, self.n = np.arange(len(self.hashes)), self.hashes, 1
+
+    def slot(self) -> np.ndarray:
+        return (self.key ^ self.key >> np.uint64(29)) & np.uint64(self.slots - 1)
+
+    def keep(self, bits: np.ndarray) -> None:
+        """Drop the n-grams whose slot is not marked."""
+        slot = self.slot()
+        kept = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1
+        self.at, self.key = self.at[kept], self.key[kept]
+
+    def widen(self) -> None:
+        """From n-grams to (n+1)-grams: those whose first and last n tokens were both kept."""
+        both = np.append(np.diff(self.at) == 1, False)
+        both[:-1] &= self.doc[self.at[:-1]] == self.doc[self.at[1:]]
+        self.at, key = self.at[both], self.key[both]
+        last = self.hashes[self.at + self.n]
+        self.key = (key * np.uint64(0x9E3779B97F4A7C15) ^ last) * np.uint64(0xD1B54A32D192ED03)
+        self.n += 1
+        # The last token of an (n+1)-gram must belong to the same text.
+        inside = self.doc[self.at] == self.doc[self.at + self.n - 1]
+        self.at, self.key = self.at[inside], self.key[inside]
+
+    def documents_per_slot(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(self.doc[self.at].astype(np.uint64) * np.uint64(self.slots) + self.slot())
+        return np.unique((pairs % np.uint64(self.slots)).astype(np.int64), return_counts=True)
+
+    def places(self) -> pa.ListArray:
+        """Per text the starts of its n-grams, from 1."""
+        ends = np.searchsorted(self.doc[self.at], np.arange(len(self.starts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array((self.at - self.starts[self.doc[self.at]] + 1).astype(np.int32)))
 
 
-def ngram_counts(tokenized: DataFrame, tokens: str = "tokens", sizes: tuple[int, ...] = (1, 2, 3), min_df: int = MIN_DF) -> DataFrame:
+def _frequent_slots(hashed: DataFrame, below: list[np.ndarray], min_df: int, slots: int) -> np.ndarray:
+    """One bit per slot: its n-grams are in at least ``min_df`` documents taken together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = _Levels(batch.column(0), slots)
+            for bits in below:
+                levels.keep(bits)
+                levels.widen()
+            slot, documents = levels.documents_per_slot()
+            yield pa.record_batch([pa.array(slot), pa.array(documents.astype(np.int64))], names=["slot", "df"])
+
+    counted = hashed.select("hashes").mapInArrow(count, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
+    word = F.shiftright("slot", 6).alias("word")
+    marked = counted.where(F.col("df") >= min_df).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toPandas()
+    bits = np.zeros(max(1, slots >> 6), np.uint64)
+    bits[marked["word"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _terms_to_count(tokenized: DataFrame, tokens: str, sizes: tuple[int, ...], min_df: int, slots: int) -> dict[int, tuple[DataFrame, Column]]:
+    """Per size a frame and the column of those n-grams of a text that may reach ``min_df``."""
+    if max(sizes) == 1 or min_df <= 1:
+        # Words repeat so much that partial sums do the same for them.
+        return {n: (tokenized, ngrams(F.col(tokens), n)) for n in sizes}
+    hashed = tokenized.select(F.col(tokens).alias("tokens"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("hashes")).where("tokens IS NOT NULL")
+    hashed = materialize(hashed, "hashed-tokens")
+    marks: list[np.ndarray] = []
+    for _ in range(max(sizes)):
+        marks.append(_frequent_slots(hashed, marks, min_df, slots))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels, found = _Levels(batch.column(1), slots), []
+            for n, bits in enumerate(marks, 1):
+                levels.keep(bits)
+                if n in sizes:
+                    found.append(levels.places())
+                if n < len(marks):
+                    levels.widen()
+            yield pa.record_batch([batch.column(0), *found], names=["tokens", *[f"places{n}" for n in sorted(sizes)]])
+
+    schema = "tokens array<string>, " + ", ".join(f"places{n} array<int>" for n in sorted(sizes))
+    placed = hashed.mapInArrow(place, schema)
+    joined = lambda n: F.transform(f"places{n}", lambda i: F.array_join(F.slice("tokens", i, n), " "))
+    return {n: (placed, joined(n)) for n in sizes}
+
+
+def ngram_counts(
+    tokenized: DataFrame, tokens: str = "tokens", sizes: tuple[int, ...] = (1, 2, 3), min_df: int = MIN_DF, slots: int = SLOTS
+) -> DataFrame:
     """(n, term, freq, doc_freq) of terms in at least ``min_df`` documents.
 
-    The terms of a document are sorted inside its row, so the first of equal
-    terms is known without a shuffle by document; one shuffle by term is left,
-    and it carries partial counts.
+    One job per level counts documents per hashed slot, of those n-grams
+    whose parts both passed the level before; a level's result is one bit per
+    slot, so ``slots``, a power of two, bounds what tasks are sent (2 MB by
+    default; more slots prune better in a larger corpus). What passes is
+    counted as strings. The terms of a document are sorted inside its row, so
+    the first of equal terms is known without a shuffle by document.
     """
-    sets = F.array(
-        *[F.struct(F.lit(n).cast("long").alias("n"), F.array_sort(ngrams(F.col(tokens), n)).alias("terms")) for n in sizes]
-    )
-    rows = tokenized.select(F.inline(sets)).select("n", "terms", F.posexplode("terms").alias("pos", "term"))
-    new_in_doc = (F.col("pos") == 0) | (F.get("terms", F.col("pos") - 1) != F.col("term"))
+    terms = _terms_to_count(tokenized, tokens, sizes, min_df, slots)
+    frame = terms[sizes[0]][0]
+    sets = []
+    for n in sizes:
+        ordered = F.sort_array(terms[n][1])
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), ordered), 1, F.size(ordered))
+        flagged = F.zip_with(ordered, before, lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("long").alias("first")))
+        sets.append(F.struct(F.lit(n).cast("long").alias("n"), flagged.alias("terms")))
+    counted = frame.select(F.inline(F.array(*sets))).select("n", F.inline("terms"))
     return (
-        rows.select("n", "term", new_in_doc.cast("long").alias("first"))
-        .groupBy("n", "term")
+        counted.groupBy("n", "term")
         .agg(F.count(F.lit(1)).alias("freq"), F.sum("first").alias("doc_freq"))
         .filter(F.col("doc_freq") >= min_df)
     )

@@ -668,9 +668,9 @@ def ticket_gap(spark: SparkSession, sf: str) -> DataFrame:
     return sales.ticket_gap(_category_sales(spark, sf)).select("categoria", rnd("avg_price", 4), "rank_units", "rank_revenue", "rank_gain")
 
 
-def _ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
+def _ngram_counts(spark: SparkSession, sf: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     tokens = proxies.reviews_p(spark, sf).select(text.clean_tokens(F.col("review_comment_message")).alias("tokens"))
-    return ngrams.ngram_counts(tokens)
+    return ngrams.ngram_counts(tokens, sizes=sizes)
 
 
 @query
@@ -685,7 +685,7 @@ def vocab_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def corpus_term_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ngrams.corpus_term_weights(_ngram_counts(spark, sf)).withColumn("weight", F.round("weight", 6))
+    return ngrams.corpus_term_weights(_ngram_counts(spark, sf, (1,))).withColumn("weight", F.round("weight", 6))
 
 
 @query

@@ -1,5 +1,7 @@
 """Column expressions on small literals."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -100,19 +102,31 @@ def test_percentile_of_nothing_is_null(spark):
     st.sampled_from(["normal", "ties", "hot", "tail"]),
     st.integers(min_value=2_000, max_value=30_000),
 )
-def test_bracketed_percentile_equals_numpy(spark, seed, shape, n):
-    """Brackets are narrowed several times here, also with heavy ties."""
+def test_radix_percentile_equals_numpy(spark, seed, shape, n):
+    """Also with heavy ties and values of very different sizes."""
     rng = np.random.default_rng(seed)
     values = {
         "normal": rng.normal(size=n),
         "ties": rng.integers(0, 20, n).astype(float),
         "hot": np.where(rng.random(n) < 0.34, 7.0, rng.random(n) * 100),
-        "tail": rng.pareto(1.1, n),
+        "tail": rng.pareto(1.1, n) * 10.0 ** rng.integers(-200, 200, n) * rng.choice([-1, 1], n),
     }[shape]
-    frame = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
-    row = quantiles.exact_percentiles(frame, ["v"], [0.25, 0.5, 0.8], few_values=50).first()
-    for p in (0.25, 0.5, 0.8):
-        assert row[f"v_p{int(p * 100)}"] == pytest.approx(np.percentile(values, p * 100), rel=1e-9, abs=1e-12)
+    frame = spark.createDataFrame(pd.DataFrame({"v": values, "u": -values})).repartition(4)
+    row = quantiles.exact_percentiles(frame, ["v", "u"], [0.0, 0.25, 0.5, 0.8, 1.0]).first()
+    for p in (0, 25, 50, 80, 100):
+        assert row[f"v_p{p}"] == pytest.approx(np.percentile(values, p), rel=1e-9, abs=0)
+        assert row[f"u_p{p}"] == pytest.approx(np.percentile(-values, p), rel=1e-9, abs=0)
+
+
+def test_weighted_percentiles_nulls_and_special_values(spark):
+    rows = [(1.0, 3), (None, 5), (2.5, 0), (2.0, None), (-0.0, 1), (0.0, 1), (4.0, 2), (9.0, -1)]
+    frame = spark.createDataFrame(rows, "v double, w int")
+    row = quantiles.exact_percentiles(frame, ["v"], [0.0, 0.4, 0.5, 1.0], weight="w").first()
+    plain = [0.0, 0.0, 1.0, 1.0, 1.0, 4.0, 4.0]
+    assert tuple(row) == pytest.approx([np.percentile(plain, p) for p in (0, 40, 50, 100)])
+    odd = spark.createDataFrame([(x,) for x in (float("nan"), float("inf"), -float("inf"), 5e-324, -1.0)], "v double")
+    row = quantiles.exact_percentiles(odd, ["v"], [0.0, 0.25, 0.5, 0.75, 1.0]).first()
+    assert tuple(row)[:4] == (-float("inf"), -1.0, 5e-324, float("inf")) and math.isnan(row["v_p100"])
 
 
 def test_history_sentences(spark):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,11 +149,40 @@ def test_ngrams_against_counter(spark):
     counts = ngrams.ngram_counts(frame)
     got = {(r["n"], r["term"]): (r["freq"], r["doc_freq"]) for r in counts.collect()}
     assert got == want
+    # Few slots let more through, never less; sizes may be any; without a floor nothing is pruned.
+    for sizes, min_df, slots in [((1, 2, 3), 3, 64), ((2,), 3, 1 << 12), ((3, 1), 5, 1 << 24), ((1, 2), 1, 64)]:
+        some = ngrams.ngram_counts(frame, sizes=sizes, min_df=min_df, slots=slots)
+        assert {(r["n"], r["term"]): (r["freq"], r["doc_freq"]) for r in some.collect()} == {
+            g: (freq[g], doc_freq[g]) for g in freq if g[0] in sizes and doc_freq[g] >= min_df
+        }
     best = ngrams.vocab_limit(counts, sizes=(1,), max_features=5).collect()
     order = sorted((g for g in want if g[0] == 1), key=lambda g: (-want[g][0], g[1]))[:5]
     assert {(r["n"], r["term"]) for r in best} == set(order)
 
 
+def test_ngrams_of_empty_and_null_texts(spark):
+    frame = spark.createDataFrame([(None,), ([],), (["a"],), (["a", "b"],), (["a", "b"],), (["x", "a", "b", "a", "b"],)], "tokens array<string>")
+    got = {(r["n"], r["term"]): (r["freq"], r["doc_freq"]) for r in ngrams.ngram_counts(frame.repartition(3)).collect()}
+    assert got == {(1, "a"): (5, 4), (1, "b"): (4, 3), (2, "a b"): (4, 3)}
+    assert ngrams.ngram_counts(frame.limit(0)).count() == 0
+
+
+def test_pruning_leaves_what_may_be_frequent():
+    """Places of the n-grams whose parts pass, against plain loops, over several texts in one batch."""
+    rng = np.random.default_rng(3)
+    texts = [[int(x) for x in rng.integers(1, 9, rng.integers(0, 12))] for _ in range(40)] + [None, []]
+    levels = ngrams._Levels(pa.array(texts, pa.list_(pa.int64())), 1 << 10)
+    allowed = set(range(1, 7))
+    bits = np.zeros(16, np.uint64)
+    for word in allowed:
+        bits[word >> 6] |= np.uint64(1 << (word & 63))
+    levels.keep(bits)
+    for n in (1, 2, 3):
+        want = [[i + 1 for i in range(len(t or []) - n + 1) if set(t[i : i + n]) <= allowed] for t in texts]
+        assert levels.places().to_pylist() == want
+        levels.widen()
+
+
 # --- customers -------------------------------------------------------------------------
 
 
