@@ -225,7 +225,7 @@ def _verify_rest(pairs: DataFrame, components: DataFrame, classes: DataFrame, do
     What shares a sketch word shares the word's centre. Of the members of a
     centre, those outside its largest component are held against all others
     in groups of bounded size; Hamming distances come first there, too. Only
-    confirmed links become rows.
+    confirmed links that join two components become rows.
     """
     under = pairs.unionByName(pairs.select(F.col("centre").alias("member"), "centre").distinct())
     under = under.join(components.select(F.col("node").alias("member"), "component"), "member", "left")
@@ -248,12 +248,12 @@ def _verify_rest(pairs: DataFrame, components: DataFrame, classes: DataFrame, do
     texts = _class_texts(under.select(F.col("member").alias("node")).distinct(), classes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, group, held, stack = ParitySketcher(settings), None, [], None
+        sketcher, group, held, stack, joined = ParitySketcher(settings), None, [], None, {}
         for batch in batches:
             u, v = [], []
             for centre, row_, column_, role, member, component, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if group != (centre, row_, column_):
-                    group, held, stack = (centre, row_, column_), [], None
+                    group, held, stack, joined = (centre, row_, column_), [], None, {}
                 found = sketcher.shingles(text)
                 if role == 0:
                     held.append((member, component, found))
@@ -264,16 +264,23 @@ def _verify_rest(pairs: DataFrame, components: DataFrame, classes: DataFrame, do
                     words = min(settings.sketch_words(len(x[2])) for x in held)
                     stack = np.stack([sketcher.sketch(x[2], words) for x in held]), np.array([x[1] for x in held]), np.array([len(x[2]) for x in held])
                 matrix, named, lengths = stack
+                while component in joined:
+                    component = joined[component]
                 words = min(matrix.shape[1], settings.sketch_words(len(found)))
                 mine = sketcher.sketch(found, words)
                 theirs = matrix if words == matrix.shape[1] else np.bitwise_xor.reduce(matrix.reshape(len(matrix), -1, words), axis=1)
                 apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
                 near = (named != component) & (apart * (100 + settings.percent) <= (lengths + len(found)) * (100 - settings.percent))
                 for i in np.flatnonzero(near).tolist():
+                    if named[i] == component:
+                        continue
                     shared = len(np.intersect1d(held[i][2], found, assume_unique=True))
                     if 100 * shared >= settings.percent * (int(lengths[i]) + len(found) - shared):
                         u.append(held[i][0])
                         v.append(member)
+                        # The two components are one from here on; more links between them are not needed.
+                        joined[int(named[i])] = component
+                        named[named == named[i]] = component
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     rows = wanted.join(texts, wanted["member"] == texts["node"]).select("centre", "row", "column", "role", "member", "component", "text")
