@@ -40,7 +40,7 @@ class ParityJoin:
     shingle_words: int = 4
     percent: int = 85
     band_growth: int = 130
-    bits_per_shingle: int = 4
+    bits_per_shingle: int = 1
 
     @cached_property
     def starts(self) -> list[int]:
