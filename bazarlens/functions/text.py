@@ -5,8 +5,6 @@ All of it runs inside the JVM; no Python worker is started.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +54,32 @@ def signal_text(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(spaced, BLANKS, " "), F.lit(" "))
 
 
-def signal_hits(padded: Column, signals: list[str]) -> Column:
-    """How many of the signals occur as whole words."""
-    found = [padded.contains(f" {s} ").cast("long") for s in signals]
-    return reduce(lambda a, b: a + b, found)
+def signal_tokens(text: Column) -> Column:
+    return F.split(F.trim(signal_text(text)), " ")
+
+
+def signal_matches(tokens: Column, signals: list[str]) -> Column:
+    """The distinct signals that occur as whole words among the tokens of a text.
+
+    ``tokens`` is a column that exists already: it is used several times. Runs of as many tokens as signals have words are looked up in a hash set
+    of the signals, so the work does not grow with their number. Longer runs
+    are formed only in a text with a word that begins a longer signal.
+    """
+    by_length: dict[int, list[str]] = {}
+    for signal in dict.fromkeys(signals):
+        by_length.setdefault(len(signal.split(" ")), []).append(signal)
+    literal = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    found = [F.array_intersect(tokens, literal(by_length.pop(1, [])))]
+    if by_length:
+        begins = literal(sorted({s.split(" ")[0] for words in by_length.values() for s in words}))
+        longer = [F.array_intersect(ngrams(tokens, n), literal(words)) for n, words in sorted(by_length.items())]
+        found.append(F.when(F.arrays_overlap(tokens, begins), F.concat(*longer)).otherwise(F.array().cast("array<string>")))
+    return F.concat(*found)
+
+
+def signal_hits(matches: Column, signals: list[str]) -> Column:
+    """How many of the signals are among the matches of a text."""
+    return F.size(F.array_intersect(matches, F.array(*map(F.lit, signals)).cast("array<string>"))).cast("long")
 
 
 def parse_label(answer: Column, taxonomy: list[str] = TAXONOMY, residual: str = RESIDUAL_LABEL) -> Column:

@@ -16,7 +16,8 @@ from bazarlens.functions.text import (
     clean_text,
     parse_label,
     signal_hits,
-    signal_text,
+    signal_matches,
+    signal_tokens,
     truncate_text,
 )
 from bazarlens.operators.profiling import top_k
@@ -41,11 +42,13 @@ def longest_texts(cleaned: DataFrame, k: int = 3) -> DataFrame:
 
 
 def signal_match(corpus: DataFrame, signals: dict[str, list[str]] = SIGNALS_PT) -> DataFrame:
-    """One column per label with the number of its signals in the text."""
-    padded = corpus.withColumn("texto_senales", signal_text(F.col("review_comment_message")))
-    return padded.select(
-        *corpus.columns, *[signal_hits(F.col("texto_senales"), words).alias(label) for label, words in signals.items()]
-    )
+    """One column per label with the number of its signals in the text.
+
+    The text is cut into tokens once, for all labels together.
+    """
+    found = signal_matches(F.col("fichas"), [s for words in signals.values() for s in words])
+    matched = corpus.withColumn("fichas", signal_tokens(F.col("review_comment_message"))).withColumn("senales", found)
+    return matched.select(*corpus.columns, *[signal_hits(F.col("senales"), words).alias(label) for label, words in signals.items()])
 
 
 def signal_rows(matched: DataFrame, signals: dict[str, list[str]] = SIGNALS_PT) -> DataFrame:
@@ -57,21 +60,18 @@ def signal_rows(matched: DataFrame, signals: dict[str, list[str]] = SIGNALS_PT)
 def signal_stats(corpus: DataFrame, signals: dict[str, list[str]] = SIGNALS_PT) -> DataFrame:
     """Signals of each label by number of words, and the texts they occur in.
 
-    One pass with one counter per signal; ``n_textos`` adds the counters up.
+    One row per signal that a text holds goes into partial counts;
+    ``n_textos`` adds the counts of a label's signals up.
     """
-    padded = corpus.select(signal_text(F.col("review_comment_message")).alias("texto_senales"))
     entries = [(label, signal) for label, words in signals.items() for signal in words]
-    hits = padded.agg(*[F.count_if(F.col("texto_senales").contains(f" {s} ")).alias(f"s{i}") for i, (_, s) in enumerate(entries)])
-    rows = [
-        F.struct(F.lit(label).alias("categoria"), F.lit(signal).alias("senal"), F.col(f"s{i}").alias("n"))
-        for i, (label, signal) in enumerate(entries)
-    ]
+    found = signal_matches(F.col("fichas"), [signal for _, signal in entries])
+    hits = corpus.select(signal_tokens(F.col("review_comment_message")).alias("fichas")).select(F.explode(found).alias("senal")).groupBy("senal").agg(F.count(F.lit(1)).alias("n"))
+    rows = corpus.sparkSession.createDataFrame(entries, "categoria string, senal string").join(hits, "senal", "left")
     words = F.size(F.split("senal", " "))
     kind = F.when(words == 1, "unigrama").when(words == 2, "bigrama").otherwise("trigrama")
     return (
-        hits.select(F.inline(F.array(*rows)))
-        .groupBy("categoria", kind.alias("tipo"))
-        .agg(F.count(F.lit(1)).alias("n_senales"), F.sum("n").alias("n_textos"))
+        rows.groupBy("categoria", kind.alias("tipo"))
+        .agg(F.count(F.lit(1)).alias("n_senales"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_textos"))
     )
 
 

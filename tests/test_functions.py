@@ -63,8 +63,26 @@ def test_clean_text(spark, raw, clean):
 
 def test_signals_keep_stopwords_and_drop_accents(spark):
     padded = text.signal_text(F.lit("Ainda  NÃO recebi; sem nota-fiscal"))
+    tokens = text.signal_tokens(F.lit("Ainda  NÃO recebi; sem nota-fiscal"))
     assert one(spark, padded) == " ainda nao recebi sem nota fiscal "
-    assert one(spark, text.signal_hits(padded, ["nao recebi", "nota fiscal", "nota", "recebi o"])) == 3
+    signals = ["nao recebi", "nota fiscal", "nota", "recebi o", "ainda nao recebi sem nota"]
+    assert sorted(one(spark, text.signal_matches(tokens, signals))) == ["ainda nao recebi sem nota", "nao recebi", "nota", "nota fiscal"]
+    assert one(spark, text.signal_hits(text.signal_matches(tokens, signals), signals[:4])) == 3
+    for nothing in ("", "  ", "notas fiscais", "recebi"):
+        assert one(spark, text.signal_matches(text.signal_tokens(F.lit(nothing)), signals)) == []
+    assert one(spark, text.signal_matches(text.signal_tokens(F.lit(None).cast("string")), signals)) is None
+
+
+def test_signals_are_not_searched_one_by_one(spark):
+    """The plan looks runs of tokens up; as whole words it finds what a search for each signal finds."""
+    rng = np.random.default_rng(2)
+    words = ["nao", "recebi", "nota", "fiscal", "ainda", "foto", "x"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(200)]
+    signals = ["nota", "x", "nao recebi", "nota fiscal", "ainda nao recebi", "fiscal fiscal"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("tokens", text.signal_tokens(F.col("t"))).select("t", text.signal_matches(F.col("tokens"), signals).alias("m"))
+    assert "ontains" not in found._jdf.queryExecution().toString()
+    for row in found.collect():
+        assert sorted(row["m"]) == sorted(s for s in signals if f" {s} " in f" {row['t']} ")
 
 
 def test_ngrams_of_a_short_text(spark):

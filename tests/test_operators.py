@@ -5,6 +5,8 @@ import json
 import math
 from collections import Counter
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -574,6 +576,37 @@ def test_published_version_is_replaced(spark):
     assert [r["x"] for r in documents.read_published(spark, base).collect()] == [2]
 
 
+def test_publishing_goes_on_after_dead_writers(spark):
+    """Left behind: a folder for a pointer, an empty pointer, one to an unfinished version."""
+    base = fresh_path(spark, "published")
+    with pytest.raises(FileNotFoundError):
+        documents.read_published(spark, base)
+    read = lambda: [r["x"] for r in documents.read_published(spark, base).collect()]
+    frame = lambda x: spark.createDataFrame([(x,)], "x long")
+    documents.publish(frame(1), base)
+    os.makedirs(f"{base}/current/number=2")
+    open(f"{base}/current/3", "w").close()
+    os.makedirs(f"{base}/versions/unfinished")
+    with open(f"{base}/current/4", "w") as pointer:
+        pointer.write("unfinished")
+    assert read() == [1]
+    documents.publish(frame(5), base)
+    assert read() == [5] and os.path.isfile(f"{base}/current/5")
+
+
+def test_two_writers_of_one_number(spark, monkeypatch):
+    """Both see the same newest number; neither fails and the later one is current."""
+    base = fresh_path(spark, "published")
+    documents.publish(spark.createDataFrame([(1,)], "x long"), base)
+    before = documents._entries(spark, base)
+    monkeypatch.setattr(documents, "_entries", lambda *_: before)
+    documents.publish(spark.createDataFrame([(2,)], "x long"), base)
+    documents.publish(spark.createDataFrame([(3,)], "x long"), base)
+    monkeypatch.undo()
+    assert [n for n, _ in documents._entries(spark, base)] == [3, 2, 1]
+    assert [r["x"] for r in documents.read_published(spark, base).collect()] == [3]
+
+
 # --- profiles and files --------------------------------------------------------------------------
 
 
