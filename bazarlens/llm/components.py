@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bazarlens.session import materialize
@@ -31,12 +31,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     logarithm of the longest path. Each round is a written table.
     """
     links = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    links, seen = materialize(links, "links"), None
+    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    seen = None
     while True:
-        links = materialize(_smaller_side(_larger_side(links)), "links")
-        now = tuple(links.agg(*state).first())
+        # What a round ends with is noted while it is written.
+        state = Observation()
+        contracted = _smaller_side(_larger_side(links))
+        links = materialize(contracted.observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "links")
+        now = (state.get["n"], state.get["s"])
         if now == seen or not now[0]:
             break
         seen = now

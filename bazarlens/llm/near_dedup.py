@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazarlens.llm.common import WordHashes, ascii_words, mix64
@@ -90,7 +90,13 @@ class Sketcher:
         return np.packbits(flipped.astype(np.uint8)).view(np.int64)
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): an id may repeat with another text, so a row is known by both."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def sketches(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -102,7 +108,7 @@ def sketches(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 sizes, first, second, bands, odd = [], [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     found = sketcher.shingles(text)
                     sizes.append(len(found))
                     if not len(found):
@@ -116,12 +122,12 @@ def sketches(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
                     bands.append(sketcher.band_keys(samples))
                     odd.append(sketcher.odd_sketch(samples))
                 yield pa.record_batch(
-                    [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
                     + [pa.array(x, pa.list_(pa.int64())) for x in (bands, odd)],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH_SCHEMA)
+    return _texts(docs).mapInArrow(run, SKETCH_SCHEMA)
 
 
 def estimated_similarity(left: Column, right: Column, settings: NearDuplicates) -> Column:
@@ -133,20 +139,26 @@ def estimated_similarity(left: Column, right: Column, settings: NearDuplicates)
     return 1 - unshared / (2 * settings.samples)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDuplicates) -> DataFrame:
+def _class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the wanted classes, one row each."""
+    wanted = classes.join(nodes, "node").select(F.col("node").alias("id"), "first.doc_id", "first.text_key")
+    texts = _texts(docs)
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_key"] == wanted["text_key"])
+    return texts.join(wanted, same).select("id", "text").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     """The pairs (member, centre) whose full shingle sets are similar enough.
 
     Members travel to their centre, whose text is sent once to each task that
     holds up to ``MEMBERS_PER_TASK`` of its members; a task streams through
     its sorted rows and keeps one centre's set at a time.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
     spread = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("tasks"))
     members = pairs.join(spread, "centre").select("centre", F.expr("CAST(pmod(xxhash64(member), tasks) AS INT)").alias("task"), "member")
     centres = spread.select("centre", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("centre").alias("member"))
     wanted = members.unionByName(centres)
-    needed = materialize(wanted.select(F.col("member").alias("id")).distinct(), "wanted")
-    texts = texts.join(needed, "id", "left_semi")
+    texts = _class_texts(wanted.select(F.col("member").alias("node")).distinct(), classes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, group, own = Sketcher(settings), None, None
@@ -156,8 +168,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDuplicates) -> Data
                 if group != (centre, task):
                     group, own = (centre, task), None
                 if member == centre:
-                    # Rows that repeat an id may hold other texts; the first counts.
-                    own = sketcher.shingles(text) if own is None else own
+                    own = sketcher.shingles(text)
                     continue
                 found = sketcher.shingles(text)
                 shared = len(np.intersect1d(own, found, assume_unique=True)) if own is not None else 0
@@ -170,7 +181,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDuplicates) -> Data
     return rows.repartition("centre", "task").sortWithinPartitions("centre", "task", "later").mapInArrow(run, "u long, v long")
 
 
-def confirm_across(pairs: DataFrame, components: DataFrame, docs: DataFrame, settings: NearDuplicates) -> DataFrame:
+def confirm_across(pairs: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     """Links between members of one centre that are in different components, as (u, v).
 
     All that share a bucket share its centre. Under each centre the members
@@ -198,8 +209,7 @@ def confirm_across(pairs: DataFrame, components: DataFrame, docs: DataFrame, set
     outside = under.where(F.col("component") != F.col("largest")).select("centre", chunk.alias("chunk"), every("splits").alias("split"), F.lit(0).alias("role"), "member", "component")
     inside = under.select("centre", every("chunks").alias("chunk"), split.alias("split"), F.lit(1).alias("role"), "member", "component")
     wanted = outside.unionByName(inside)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
-    texts = texts.join(under.select(F.col("member").alias("id")).distinct(), "id", "left_semi")
+    texts = _class_texts(under.select(F.col("member").alias("node")).distinct(), classes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, group = Sketcher(settings), None
@@ -246,51 +256,92 @@ def _sift(pairs: DataFrame, classes: DataFrame, settings: NearDuplicates) -> Dat
     return joined.where(sizes & similar).select("member", "centre")
 
 
-def near_duplicates(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents whose shingle sets are equal form a class at once. In every band
-    bucket each class is compared with the least class, its centre; then, as
-    far as the classes under a centre are still several components, those
-    outside the largest with all the others, so no link that the bands propose
-    is lost and a large group of near copies does not become all pairs.
+def _components(docs: DataFrame, settings: NearDuplicates, through_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with size and identity of their set, (set_a, set_b, component) of every set).
 
-    A null or blank text has no shingles and stands alone. A row without
-    doc_id takes no part in links; it is returned with a null component and
-    kept. Rows that repeat an id are returned each; of an id that repeats with
-    other texts all sets are linked through the id. Columns other than doc_id
-    and text are not looked at. An empty table gives an empty result.
+    ``through_ids``: the sets of one doc_id are linked as well.
     """
     rows = materialize(sketches(docs, settings), "sketches")
-    with_set = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
+    with_set = rows.where("n_shingles > 0")
+    classes = (
         with_set.groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "classes",
+        .agg(
+            F.min(F.struct("doc_id", "text_key")).alias("first"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        )
     )
+    # Numbers of the classes; they are written with them, so they stay what they are.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("member"))
     buckets = members.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("last")).where("centre < last").select("bucket", "centre")
     shared = materialize(members.join(buckets, "bucket"), "buckets")
     first = materialize(shared.where("member <> centre").select("member", "centre").distinct(), "under-centre")
-    # An id that repeats with another text has several classes.
-    repeated = with_set.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    repeated = repeated.join(classes.select(F.col("node").alias("u")), "u", "left_semi")
-    links = materialize(confirm(materialize(_sift(first, classes, settings), "pairs"), docs, settings).unionByName(repeated), "confirmed")
+    links = confirm(materialize(_sift(first, classes, settings), "pairs"), classes, docs, settings)
+    if through_ids:
+        of_ids = with_set.where("doc_id IS NOT NULL").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node").distinct()
+        least = of_ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("doc_id", "v")
+        links = links.unionByName(of_ids.join(least, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v"))
+    links = materialize(links, "confirmed")
     found = materialize(connected_components(links), "components")
 
     # Second round: what meets in a bucket, and so under its centre, but is not in one component yet.
-    more = materialize(confirm_across(first, found, docs, settings), "confirmed")
+    more = materialize(confirm_across(first, found, classes, docs, settings), "confirmed")
     if not more.isEmpty():
         links = more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
         found = materialize(connected_components(links), "components")
+    named = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    return rows, named
 
-    nodes = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    result = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def near_duplicates(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents whose shingle sets are equal form a class at once. In every band
+    bucket each class is compared with the least class, its centre; then, as
+    far as the classes under a centre are still several components, those
+    outside the largest with all the others, so no link that the bands propose
+    is lost and a large group of near copies does not become all pairs.
+
+    A null or blank text has no shingles and stands alone. A row without
+    doc_id takes no part in links; it is returned with a null component and
+    kept. Rows that repeat an id are returned each; of an id that repeats with
+    other texts all sets are linked through the id. Columns other than doc_id
+    and text are not looked at. An empty table gives an empty result.
+    """
+    rows, named = _components(docs.where("doc_id IS NOT NULL"), settings, through_ids=True)
+    placed = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    placed = materialize(placed.select("doc_id", "n_shingles", "component"), "placed")
+    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A document without a set stays by itself and does not meet others in the join.
+    result = placed.where("component IS NOT NULL").join(least, "component").select("doc_id", "n_shingles", "component_id")
+    alone = placed.where("component IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    without_id = sketches(docs.where("doc_id IS NULL"), settings).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    result = result.unionByName(alone).unionByName(without_id)
+    return result.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """The documents without all but the first of each group; rows that repeat a kept id stay."""
-    gone = near_duplicates(docs, settings).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near copies, with all its columns; rows without shingles all stay.
+
+    That of the least doc_id stays, among rows without an id one of them; of
+    rows that are equal in id and text one stays. An id says nothing about
+    copies here: rows of one id with unlike texts both stay.
+    """
+    rows, named = _components(docs, settings, through_ids=False)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key").alias("key")
+    keyed = rows.where("n_shingles > 0").join(named, ["set_a", "set_b"]).groupBy("component", key).agg(F.count("*").alias("n"))
+    keyed = materialize(keyed, "keyed")
+    best = keyed.groupBy("component").agg(F.min("key").alias("key"))
+    # Of equal rows one stays; such rows are few, so only they are brought together.
+    repeated = keyed.where("n > 1").select("key").join(best.select("key"), "key", "left_semi")
+    repeated = materialize(repeated, "repeated")
+    gone = keyed.select("key").join(best.select("key"), "key", "left_anti").unionByName(repeated)
+    own = F.struct(F.col("doc_id").cast("long").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    rows_of = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("key"))
+    kept = rows_of.join(gone, "key", "left_anti").select("row")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+        kept = kept.unionByName(rows_of.join(repeated, "key", "left_semi").withColumn("place", place).where("place = 1").select("row"))
+    return kept.select("row.*")

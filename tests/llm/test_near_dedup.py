@@ -75,6 +75,30 @@ def test_rows_without_id_repeats_and_empty_table(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_copy_of_the_other_text_of_an_id(spark):
+    """Twelve ids that each repeat with another text; each other text has one near copy of another id."""
+    random.seed(12)
+    rows, want = [], {}
+    for i in range(12):
+        first, second = ([f"r{i}x{j}q{random.randint(0, 9)}" for j in range(60)] for _ in range(2))
+        near = list(second)
+        near[random.randrange(60)] = "else"
+        rows += [(i, " ".join(first)), (i, " ".join(second)), (100 + i, " ".join(near))]
+        want |= {i: i, 100 + i: i}
+    found = near_duplicates(documents(spark, rows), NearDuplicates(shingle_words=2)).collect()
+    assert len(found) == 36 and {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_keep_one_each_of_repeated_and_missing_ids(spark):
+    """One row of a group stays, whatever its ids are; unlike texts of one id both stay."""
+    text, near, other = " ".join(WORDS[:60]), " ".join([*WORDS[:59], "end"]), " ".join(WORDS[100:160])
+    rows = [(7, text), (7, text), (None, text), (None, near), (5, near), (7, other), (None, " ".join(WORDS[200:240])), (None, " ".join(WORDS[200:240])), (None, None), (None, None), (8, ""), (8, "")]
+    kept = keep_one_each(clashing(documents(spark, rows))).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(
+        [(5, near), (7, other), (None, " ".join(WORDS[200:240])), (None, None), (None, None), (8, ""), (8, "")], key=repr
+    )
+
+
 def test_keep_one_each_keeps_columns(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "g h i j k l", None])
     kept = keep_one_each(clashing(docs))
