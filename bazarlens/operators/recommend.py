@@ -374,8 +374,3 @@ def implicit_weights(events: DataFrame, weights: dict[str, float] = DEFAULT_WEIG
         .groupBy("customer_id", "product_id")
         .agg(F.sum(F.element_at(table, F.col("event_type"))).alias("score"), F.count(F.lit(1)).alias("n_events"))
     )
-
-
-def segment_refresh(rfm_table: DataFrame, recent_days: int) -> DataFrame:
-    """Customers with recent activity, to be assigned to the saved clusters."""
-    return rfm_table.filter(F.col("recency") <= recent_days)

@@ -25,6 +25,7 @@ from bazarlens.operators import (
     recommend,
     reviews,
     rfm,
+    rfm_state,
     sales,
 )
 from bazarlens.plans import questions
@@ -881,11 +882,19 @@ def segment_customers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def segment_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers active in the last two years, re-assigned by the model saved from the whole group."""
-    base = materialize(_rfm(spark, sf).filter(F.col("frequency") >= 2), "rfm")
+    """Orders come in three batches, the last of two years; its customers are merged and assigned by the saved model."""
+    base, orders = fresh_path(spark, "rfm-state"), proxies.orders_p(spark, sf)
+    items, customers = proxies.items_p(spark, sf), proxies.customers_p(spark, sf)
+    end = sales.filter_delivered(orders).select(scalars.reference_date(F.max("order_purchase_timestamp"))).scalar()
+    age = scalars.recency_days(end, F.col("order_purchase_timestamp"))
+    for batch, (youngest, oldest) in enumerate([(1461, 10**6), (731, 1460), (-1, 730)], 1):
+        rfm_state.add_orders(base, batch, orders.filter(age.between(youngest, oldest)), items, customers)
+        if batch == 2:
+            rfm_state.fold(spark, base)
+    reference, recurrent = rfm_state.latest_reference(spark, base), F.col("frequency") >= 2
     path = fresh_path(spark, "model")
-    cluster.save_model(base, ["recency", "monetary"], CENTROIDS, path)
-    recent = recommend.segment_refresh(base, 730)
+    cluster.save_model(materialize(rfm_state.as_rfm(rfm_state.customer_sums(spark, base), reference).filter(recurrent), "rfm"), ["recency", "monetary"], CENTROIDS, path)
+    recent = rfm_state.as_rfm(rfm_state.changed_sums(spark, base, 3), reference).filter(recurrent)
     return cluster.assign_saved(recent, ["recency", "monetary"], path).select("customer_unique_id", "cluster")
 
 

@@ -46,7 +46,7 @@ def publish(df: DataFrame, base: str, partition_by: list[str] | None = None) ->
     return folder
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """(file system, path) on the driver's JVM."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -54,7 +54,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def _create(spark: SparkSession, path: str, content: str) -> bool:
     """Make a file with this content, unless something of that name exists."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     try:
         stream = files.create(target, False)
     except Py4JJavaError as error:
@@ -68,7 +68,7 @@ def _create(spark: SparkSession, path: str, content: str) -> bool:
 
 def _entries(spark: SparkSession, base: str) -> list[tuple[int, str | None]]:
     """(number, path of the pointer) from the largest number on; the path is missing where no pointer can be read."""
-    files, folder = _file_system(spark, f"{base}/current")
+    files, folder = file_system(spark, f"{base}/current")
     if not files.exists(folder):
         return []
     found = []
@@ -84,7 +84,7 @@ def read_published(spark: SparkSession, base: str) -> DataFrame:
     for _, pointer in _entries(spark, base):
         row = spark.read.text(pointer).first() if pointer else None
         if row:
-            files, done = _file_system(spark, f"{base}/versions/{row[0]}/_SUCCESS")
+            files, done = file_system(spark, f"{base}/versions/{row[0]}/_SUCCESS")
             if files.exists(done):
                 return spark.read.parquet(f"{base}/versions/{row[0]}")
     raise FileNotFoundError(f"nothing is published under {base}")
