@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from bazarlens import schemas
 from bazarlens.fixed_values import CSV_MISSING
+from bazarlens.sources.csv_split import read_split_csv
 
 
 @dataclass(frozen=True)
@@ -29,19 +30,23 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     """Header CSV with quoted text that may hold commas, quotes and line ends.
 
     Columns are taken by header name, so a file may hold more columns than
-    ``schema`` names; a byte-order mark is dropped. Multi-line files are not
-    splittable: keep a large table in many files, or pass
-    ``multi_line=False`` where no text holds a line end.
+    ``schema`` names; a byte-order mark is dropped. A file is read by many
+    tasks, see :mod:`bazarlens.sources.csv_split`; its lines are written once
+    for that. Where the quotes of a file do not pair up, Spark's multi-line
+    reader decides, one task a file. ``multi_line=False`` is for files without
+    a line end inside quotes and needs no such pass.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    raw = read_split_csv(spark, path) if multi_line else None
+    if raw is None:
+        raw = (
+            spark.read.option("header", True)
+            .option("multiLine", multi_line)
+            .option("escape", '"')
+            .option("encoding", "UTF-8")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     if schema is None:
         return raw
     columns = []
