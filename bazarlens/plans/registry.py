@@ -1005,12 +1005,24 @@ def stream_implicit_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stream.run_update(scores, ["customer_id", "product_id"], target, checkpoint).withColumn("score", F.round("score", 4))
 
 
+def _to_the_end(spark: SparkSession, sf: str, stateful: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Two runs of one stream: over the events, then, from its checkpoint, over a heartbeat a month after the last of them."""
+    target, checkpoint = stream.scratch(spark, label)
+    pulse = fresh_path(spark, f"{label}-pulse")
+    stream.beat(spark, pulse)
+
+    def run() -> DataFrame:
+        return stream.run_append(stateful(stream.with_heartbeats(stream.read_events(spark, sf), pulse)), target, checkpoint)
+
+    run()
+    stream.beat(spark, pulse, proxies.events_p(spark, sf).select((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")))
+    return run()
+
+
 @query
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed sessions from the stream, open ones from the events since."""
-    closed = stream.run_append(stream.sessions(stream.read_events(spark, sf)), *stream.scratch(spark, "sessions"))
-    events = proxies.events_p(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    visits = stream.all_sessions(closed, events)
+    """Every visit once, when it is over; the heartbeat ends the last ones."""
+    visits = _to_the_end(spark, sf, stream.sessions, "sessions")
     return visits.select("customer_id", stamp(F.col("session_start")).alias("session_start"), "n_events", rnd("dwell_seconds"))
 
 
@@ -1023,12 +1035,11 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _streamed_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    views = stream.read_events(spark, sf).filter(F.col("event_type") == "view")
-    actions = stream.read_events(spark, sf).filter(F.col("event_type").isin("click", "purchase"))
-    pairs = stream.run_append(stream.feedback_pairs(views, actions), *stream.scratch(spark, "feedback"))
-    log = views.select(F.col("event_id").alias("served_id"), "customer_id", "product_id")
-    served = stream.run_append(log, *stream.scratch(spark, "served"))
-    return stream.answered(served, stream.first_action(pairs))
+    def answers(events: DataFrame) -> DataFrame:
+        served = events.filter(F.col("event_type").isin("view", stream.HEARTBEAT))
+        return stream.first_actions(served, events.filter(F.col("event_type").isin("click", "purchase")))
+
+    return _to_the_end(spark, sf, answers, "feedback")
 
 
 @query

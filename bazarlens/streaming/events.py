@@ -1,20 +1,28 @@
 """Streams of behaviour events: counts, scores, sessions, duplicates, feedback.
 
-Each function maps a streaming frame to a streaming frame; ``run`` starts it
-on what is available now and writes a table. Every state has a watermark, or
-is one row per (customer, product) where a running total is asked for.
+Each function maps a streaming frame to a streaming frame; ``run_append`` and
+``run_update`` start it on what is available now and write a table. Every state
+has a watermark, or is one row per (customer, product) where a running total is
+asked for. What event time has to close, a visit or a serving without an
+answer, leaves the state when time has passed; where no events come any more,
+a heartbeat (:func:`with_heartbeats`) moves time on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bazarlens import schemas
 from bazarlens.operators.recommend import DEFAULT_WEIGHTS
 from bazarlens.session import fresh_path
 
 DELAY = "1 hour"
+HEARTBEAT = "heartbeat"
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -31,6 +39,18 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     )
 
 
+def with_heartbeats(events: DataFrame, folder: str) -> DataFrame:
+    """The events and, as rows of the type ``HEARTBEAT`` that belong to nobody, the times that were beaten into ``folder``."""
+    beats = events.sparkSession.readStream.schema("ts timestamp").parquet(folder)
+    return events.unionByName(beats.select("ts", F.lit(HEARTBEAT).alias("event_type")), allowMissingColumns=True)
+
+
+def beat(spark: SparkSession, folder: str, times: DataFrame | None = None) -> None:
+    """Beat the time of ``times`` (one row, ts); without it only the folder is made."""
+    beats = spark.createDataFrame([], "ts timestamp") if times is None else times.select(F.col("ts").cast("timestamp"))
+    beats.write.mode("append").parquet(folder)
+
+
 def event_counts(events: DataFrame, width: str = "1 day", delay: str = DELAY) -> DataFrame:
     """Events per customer, type and tumbling window."""
     return (
@@ -52,11 +72,15 @@ def implicit_scores(events: DataFrame, weights: dict[str, float] = DEFAULT_WEIGH
 
 
 def sessions(events: DataFrame, gap: str = "12 hours", delay: str = DELAY) -> DataFrame:
-    """Visits: runs of events of a customer with pauses shorter than ``gap``."""
+    """Visits: runs of events of a customer with pauses shorter than ``gap``, each given once, when it is over.
+
+    Heartbeats end visits and are none.
+    """
     return (
         events.withWatermark("ts", delay)
         .groupBy("customer_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .agg(F.count_if(F.col("event_type") != HEARTBEAT).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .filter(F.col("n_events") > 0)
         .select(
             "customer_id",
             F.col("first_ts").cast("timestamp_ntz").alias("session_start"),
@@ -67,50 +91,91 @@ def sessions(events: DataFrame, gap: str = "12 hours", delay: str = DELAY) -> Da
     )
 
 
-def all_sessions(closed: DataFrame, events: DataFrame, gap: str = "12 hours") -> DataFrame:
-    """Closed sessions as the stream wrote them, united with those still open.
-
-    ``events`` are the same events read as a table. What a customer did after
-    the last closed session is not final yet; a batch pass over only those
-    events gives the open sessions as they stand.
-    """
-    last = closed.groupBy("customer_id").agg(F.max("session_last").cast("timestamp").alias("closed_until"))
-    since = events.join(last, "customer_id", "left").filter(F.col("closed_until").isNull() | (F.col("ts") > F.col("closed_until")))
-    return closed.unionByName(sessions(since.drop("closed_until"), gap))
-
-
 def deduplicate(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Each event once, however often the tracker delivers it within the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def feedback_pairs(served: DataFrame, actions: DataFrame, within: str = "1 day", delay: str = DELAY) -> DataFrame:
-    """Served rows with every later action on them inside the window.
+OPEN_SCHEMA = "served_us array<long>, served_id array<long>, action_us array<long>, action_id array<long>, action array<string>"
+ANSWER_SCHEMA = "served_id long, customer_id long, product_id long, action string, action_ts timestamp"
 
-    Interval join of two streams; both watermarks bound the state.
-    """
-    s = served.withWatermark("ts", delay).select(
-        F.col("event_id").alias("served_id"), "customer_id", "product_id", F.col("ts").alias("served_ts")
-    )
-    a = actions.withWatermark("ts", delay).select(
-        F.col("customer_id").alias("a_customer"), F.col("product_id").alias("a_product"),
-        F.col("event_type").alias("action"), F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"),
-    )
-    same = (F.col("customer_id") == F.col("a_customer")) & (F.col("product_id") == F.col("a_product"))
-    in_time = (F.col("action_ts") > F.col("served_ts")) & (F.col("action_ts") <= F.col("served_ts") + F.expr(f"INTERVAL {within}"))
-    return s.join(a, same & in_time).drop("a_customer", "a_product")
 
+def _settle(served: list[tuple], actions: list[tuple], now: int, width: int) -> tuple[list[tuple], list[tuple], list[tuple], int | None]:
+    """(answers that are final, servings and actions that stay, when to look again), all times in microseconds.
 
-def first_action(pairs: DataFrame) -> DataFrame:
-    """The earliest action of each served row (a batch step on the output)."""
-    return pairs.groupBy("served_id").agg(F.min(F.struct("action_ts", "action_id", "action")).alias("first")).select(
-        "served_id", "first.action", "first.action_ts"
+    ``served`` are (time, id), ``actions`` are (time, id, action), in order.
+    Nothing at or before ``now`` can arrive any more. A serving is settled by
+    its first action once no earlier one can come, or by the end of its window.
+    """
+    final, staying, wakes = [], [], []
+    for us, served_id in served:
+        first = next((a for a in actions if us < a[0] <= us + width), None)
+        due = first[0] if first else us + width
+        if due <= now:
+            final.append((served_id, first))
+        else:
+            staying.append((us, served_id))
+            wakes.append(due)
+    kept = [a for a in actions if a[0] > now or any(us < a[0] <= us + width for us, _ in staying)]
+    wakes += [a[0] for a in kept if a[0] > now]
+    return final, staying, kept, min(wakes, default=None)
+
+
+def first_actions(served: DataFrame, actions: DataFrame, within: str = "1 day", delay: str = DELAY) -> DataFrame:
+    """Every served row once, with the first later action on it inside the window, or none.
+
+    ``served`` and ``actions`` are event streams. State per (customer,
+    product): servings that wait and actions that may still answer one; a
+    timer by event time wakes the key when the next of them is settled. Of
+    actions at one time the lowest id counts. A null customer or product equals no
+    other: such a serving has no answer, such an action answers nothing. Late
+    events are left out.
+    """
+    width = int(pd.Timedelta(within).value // 1000)
+    row = lambda frame, is_action: frame.select(
+        "customer_id", "product_id", "ts", F.unix_micros("ts").alias("us"), "event_id",
+        F.when(F.lit(is_action), F.col("event_type")).alias("action"), (F.col("event_type") == HEARTBEAT).alias("beat"),
     )
-
-
-def answered(served: DataFrame, first: DataFrame) -> DataFrame:
-    """Every served row with its first action, null while there is none."""
-    return served.select("served_id", "customer_id", "product_id").join(first.select("served_id", "action"), "served_id", "left")
+    both = row(served, False).unionByName(row(actions.filter(F.col("event_type") != HEARTBEAT), True)).withWatermark("ts", delay)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        customer, product = (None if pd.isna(k) else int(k) for k in key)
+        waiting, acted = [], []
+        if state.exists:
+            held = state.get
+            waiting = list(zip(held[0], held[1]))
+            acted = list(zip(held[2], held[3], held[4]))
+        for batch in batches:
+            if not len(batch):
+                # The timer woke the key; there are no rows.
+                continue
+            batch = batch[~batch["beat"]]
+            is_action = batch["action"].notna()
+            waiting += list(zip(batch["us"][~is_action].tolist(), batch["event_id"][~is_action].tolist()))
+            acted += list(zip(batch["us"][is_action].tolist(), batch["event_id"][is_action].tolist(), batch["action"][is_action].tolist()))
+        if customer is None or product is None:
+            final, waiting, acted, wake = [(i, None) for _, i in waiting], [], [], None
+        else:
+            final, waiting, acted, wake = _settle(sorted(waiting), sorted(acted), state.getCurrentWatermarkMs() * 1000, width)
+        if wake is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([u for u, _ in waiting], [i for _, i in waiting], [a[0] for a in acted], [a[1] for a in acted], [a[2] for a in acted]))
+            # A timer fires when the watermark has passed it.
+            state.setTimeoutTimestamp(max(-(-wake // 1000), state.getCurrentWatermarkMs() + 1))
+        if final:
+            yield pd.DataFrame(
+                {
+                    "served_id": [i for i, _ in final],
+                    "customer_id": pd.array([customer] * len(final), "Int64"),
+                    "product_id": pd.array([product] * len(final), "Int64"),
+                    "action": [a[2] if a else None for _, a in final],
+                    "action_ts": pd.to_datetime([a[0] if a else None for _, a in final], unit="us"),
+                }
+            )
+
+    return both.groupBy("customer_id", "product_id").applyInPandasWithState(step, ANSWER_SCHEMA, OPEN_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:

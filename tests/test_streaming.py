@@ -59,18 +59,27 @@ def test_running_scores_equal_batch(spark, landing):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def in_two_runs(spark, path, pdf, stateful):
+    """(rows after the files, rows after a heartbeat); the second run goes on from the checkpoint of the first."""
+    target, checkpoint, pulse = *stream.scratch(spark, "t"), fresh_path(spark, "pulse")
+    stream.beat(spark, pulse)
+    run = lambda: stream.run_append(stateful(stream.with_heartbeats(read(spark, path), pulse)), target, checkpoint).collect()
+    first = run()
+    stream.beat(spark, pulse, spark.createDataFrame(pd.DataFrame({"ts": [pdf.ts.max() + pd.Timedelta(days=30)]})))
+    return first, run()
+
+
 def test_sessions(spark, landing):
     path, pdf = landing
-    closed = stream.run_append(stream.sessions(read(spark, path), "2 hours"), *stream.scratch(spark, "t"))
-    events = spark.read.parquet(path).select(F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("ts"))
-    got = stream.all_sessions(closed, events, "2 hours").select("customer_id", "session_start", "n_events", "dwell_seconds")
-    assert 0 < closed.count() < got.count()
+    closed, got = in_two_runs(spark, path, pdf, lambda events: stream.sessions(events, "2 hours"))
+    assert 0 < len(closed) < len(got)
     want = set()
     for customer, rows in pdf.groupby("user_id"):
         ts = rows.ts.sort_values()
         for _, visit in ts.groupby((ts.diff() >= pd.Timedelta(hours=2)).cumsum()):
             want.add((customer, visit.min().to_pydatetime(), len(visit), (visit.max() - visit.min()).total_seconds()))
-    assert set(map(tuple, got.collect())) == want
+    rows = [(r["customer_id"], r["session_start"], r["n_events"], r["dwell_seconds"]) for r in got]
+    assert set(rows) == want and len(rows) == len(want)
 
 
 def test_repeated_events_are_kept_once(spark, landing):
@@ -80,22 +89,43 @@ def test_repeated_events_are_kept_once(spark, landing):
     assert sorted(r["event_id"] for r in got.collect()) == list(pdf.event_id)
 
 
-def test_feedback_pairs(spark, landing):
+def answers(events, within="3 hours"):
+    served = events.filter(F.col("event_type").isin("view", stream.HEARTBEAT))
+    return stream.first_actions(served, events.filter("event_type IN ('click', 'purchase')"), within)
+
+
+def test_first_action_of_every_served_row(spark, landing):
+    """Each served row comes out once, over three files, a restart and a heartbeat."""
     path, pdf = landing
-    served = read(spark, path).filter("event_type = 'view'")
-    actions = read(spark, path).filter("event_type IN ('click', 'purchase')")
-    pairs = stream.run_append(stream.feedback_pairs(served, actions, "3 hours"), *stream.scratch(spark, "t"))
-    got = {r["served_id"]: r["action"] for r in stream.first_action(pairs).collect()}
+    early, got = in_two_runs(spark, path, pdf, answers)
     want = {}
     acts = pdf[pdf.event_type.isin(["click", "purchase"])]
     for _, s in pdf[pdf.event_type == "view"].iterrows():
         later = acts[(acts.user_id == s.user_id) & (acts.product_id == s.product_id) & (acts.ts > s.ts) & (acts.ts <= s.ts + pd.Timedelta(hours=3))]
-        if len(later):
-            want[s.event_id] = later.sort_values(["ts", "event_id"]).iloc[0].event_type
-    assert got == want
-    log = spark.createDataFrame([(int(i), 1, 1) for i in pdf[pdf.event_type == "view"].event_id], "served_id long, customer_id long, product_id long")
-    rows = stream.answered(log, stream.first_action(pairs)).collect()
-    assert {r["served_id"]: r["action"] for r in rows if r["action"]} == want and len(rows) == log.count()
+        want[s.event_id] = later.sort_values(["ts", "event_id"]).iloc[0].event_type if len(later) else None
+    assert 0 < len(early) < len(got) == len(want)
+    assert {r["served_id"]: r["action"] for r in got} == want
+    assert any(want.values()) and None in want.values()
+
+
+def test_servings_and_actions_wait_as_long_as_they_must():
+    views, acts = [(100, 1), (150, 2), (400, 3)], [(90, 7, "click"), (160, 8, "click"), (160, 9, "purchase"), (500, 10, "purchase")]
+    # Time 120: an action before 160 may still come.
+    final, waiting, kept, wake = stream._settle(views, acts, 120, 200)
+    assert (final, waiting, wake) == ([], views, 160) and kept == acts[1:]
+    final, waiting, kept, wake = stream._settle(views, acts, 160, 200)
+    assert final == [(1, acts[1]), (2, acts[1])] and waiting == [(400, 3)] and kept == [acts[3]] and wake == 500
+    final, waiting, kept, wake = stream._settle(waiting, kept, 10_000, 50)
+    assert (final, waiting, kept, wake) == ([(3, None)], [], [], None)
+
+
+def test_feedback_without_customer_or_product(spark):
+    path = fresh_path(spark, "landing")
+    rows = [(1, 5, "view", None), (2, 5, "click", None), (3, None, "view", 1), (4, None, "click", 1), (5, 6, "view", 1), (6, 6, "click", 1), (7, 6, "purchase", 1)]
+    frame = spark.createDataFrame([(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i if i < 7 else 6)).to_pydatetime(), c, t, 1.0, f'{{"k": {p}}}' if p else "{}") for i, c, t, p in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    frame.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(path)
+    _, got = in_two_runs(spark, path, pd.DataFrame({"ts": [pd.Timestamp("2024-01-01")]}), answers)
+    assert sorted((r["served_id"], r["customer_id"], r["product_id"], r["action"]) for r in got) == [(1, 5, None, None), (3, None, 1, None), (5, 6, 1, "click")]
 
 
 def test_new_review_files_are_classified_once(spark):
