@@ -75,6 +75,16 @@ def remove_intermediates(spark: SparkSession) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left behind.
+
+    Spark's cleaner drops shuffles and broadcasts when the driver's JVM finds
+    them unreachable, which a driver with a roomy heap may not look for in
+    hours; the heap also shrinks to what is in use. For the start of a stage.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 

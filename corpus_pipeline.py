@@ -9,31 +9,36 @@ from pyspark.sql import functions as F
 from bazarlens.llm import bpe, decontaminate, near_dedup, pseudonyms, quality
 from bazarlens.llm.common import read_table
 from bazarlens.llm.queries import PSEUDONYM_KEY
-from bazarlens.session import materialize
+from bazarlens.session import materialize, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    release(spark)
     return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles."""
+    """One row of each group that shares four fifths of its five-word shingles, also of rows that repeat an id or have none."""
+    release(spark)
     return near_dedup.keep_one_each(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    release(spark)
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms; ``n_chars`` follows the text."""
+    release(spark)
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded bytes."""
+    release(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
 
