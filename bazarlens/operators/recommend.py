@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazarlens.operators.sales import filter_delivered
+from bazarlens.session import materialize
 
 # Interaction weights relative to a purchase; not known from results, ours.
 DEFAULT_WEIGHTS = {"purchase": 1.0, "cart": 0.5, "click": 0.3, "view": 0.1}
 # A basket part holds about this many products.
-BASKET_PART = 64
+BASKET_PART = 512
+# Buyers of a product that one task counts, and products of their baskets that it holds between two merges.
+HOT_BUYERS = 50_000
+HELD_MEMBERS = 200_000
 # A price band holds about this many products of a category.
 BAND_SIZE = 100_000
 
@@ -112,56 +120,135 @@ def segment_candidates(segments: DataFrame, pool: DataFrame, bought: DataFrame)
 # --- item based collaborative filtering ----------------------------------------
 
 
-def basket_parts(bought: DataFrame, part_size: int = BASKET_PART) -> DataFrame:
-    """Products of each customer in blocks of pairs of basket parts.
+class _Neighbours:
+    """Counts how many baskets of one product hold each other product, as far as it may be among the k best.
 
-    A basket of d products is cut into C = ceil(d / part_size) parts by hash.
-    Each pair of parts is a group of its own, so a customer who bought very
-    much is spread over C*(C+1)/2 groups, all of bounded size; an ordinary
-    basket is one group. Nothing is dropped.
+    Baskets come with the small ones first. A product that was not met before
+    can be in no more baskets than remain; if even that many would not lift it
+    over the k-th best value so far, it is not counted at all. What has been
+    counted is dropped once the remaining baskets cannot lift it.
     """
-    sized = bought.groupBy("customer").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts"))
-    # Adaptive execution splits a large basket's side of this join.
-    placed = bought.join(sized, "customer").select(
-        "customer", "product", "parts", F.pmod(F.xxhash64("product", F.lit("part")), F.col("parts")).cast("int").alias("part")
-    )
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return paired.groupBy(
-        "customer", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b")
-    ).agg(F.collect_list(F.struct("product", "part")).alias("members"))
-
 
-def item_cooccurrence(bought: DataFrame, part_size: int = BASKET_PART) -> DataFrame:
-    """(product_a < product_b, n_customers): customers who bought both.
-
-    Pairs are formed inside the bounded groups of :func:`basket_parts` and
-    counted in the same stage, so the shuffle carries counts.
+    def __init__(self, buyers: int, k: int, cosine: bool, held: int):
+        self.buyers, self.k, self.cosine, self.held = buyers, k, cosine, held
+        self.other, self.n, self.their = (np.zeros(0, np.int64) for _ in range(3))
+        self.buffer: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.done, self.left, self.floor = 0, 0, buyers, 0.0
+
+    def value(self, n: np.ndarray | int, their: np.ndarray) -> np.ndarray:
+        return n / np.sqrt(float(self.buyers) * their) if self.cosine else n * np.ones(len(their))
+
+    def add(self, other: np.ndarray, their: np.ndarray, last: bool) -> None:
+        """A basket or a part of one; ``last`` ends the basket."""
+        if self.floor:
+            # The bound of the last merge: what it lets in is let in until the next one, and so counted in full.
+            useful = self.value(self.left, their) >= self.floor * (1 - 1e-9)
+            if len(self.other):
+                place = np.minimum(np.searchsorted(self.other, other), len(self.other) - 1)
+                useful |= self.other[place] == other
+            other, their = other[useful], their[useful]
+        self.buffer.append((other, their))
+        self.waiting += len(other)
+        self.done += last
+        if self.waiting > self.held:
+            self.merge()
+
+    def merge(self) -> None:
+        other = np.concatenate([self.other, *(x for x, _ in self.buffer)])
+        their = np.concatenate([self.their, *(x for _, x in self.buffer)])
+        n = np.concatenate([self.n, np.ones(len(other) - len(self.n), np.int64)])
+        self.buffer, self.waiting = [], 0
+        self.other, first, inverse = np.unique(other, return_index=True, return_inverse=True)
+        self.n, self.their = np.bincount(inverse, n, len(first)).astype(np.int64), their[first]
+        if len(self.n) > self.k:
+            now = self.value(self.n, self.their)
+            self.floor = float(np.partition(now, len(now) - self.k)[len(now) - self.k])
+            self.left = self.buyers - self.done
+            stays = self.value(self.n + self.left, self.their) >= self.floor * (1 - 1e-9)
+            self.other, self.n, self.their = self.other[stays], self.n[stays], self.their[stays]
+
+    def best(self) -> np.ndarray:
+        """Places of the k best; equal values go by the product's number."""
+        return np.lexsort((self.other, -self.value(self.n, self.their)))[: self.k]
+
+
+def top_neighbours(
+    bought: DataFrame, k: int = 10, cosine: bool = True, part_size: int = BASKET_PART, hot_buyers: int = HOT_BUYERS, held: int = HELD_MEMBERS
+) -> DataFrame:
+    """(product_a, product_b, n_customers, similarity, rank): the k products most like each product.
+
+    Likeness is the cosine of the buyer sets, c_ab / sqrt(c_a * c_b), or with
+    ``cosine=False`` the number of common buyers; equal values go by ascending
+    product. Baskets travel to their products as arrays and are counted
+    there, one product at a time, so a pair is never a row; see
+    :class:`_Neighbours` for the pairs that are not even counted. Parts of a
+    basket hold about ``part_size`` products. A product with more than
+    ``hot_buyers`` buyers is dealt out by customer; then its partial counts
+    are added up. A null customer equals no other.
     """
-    groups = basket_parts(bought, part_size)
-    same_part = F.col("part_a") == F.col("part_b")
-    pairs = (
-        groups.select("members", same_part.alias("same_part"), F.explode("members").alias("a"))
-        .select("same_part", "a", F.explode("members").alias("b"))
-        .filter((F.col("a.product") < F.col("b.product")) & (F.col("same_part") | (F.col("a.part") != F.col("b.part"))))
+    buyers = bought.filter(F.col("customer").isNotNull()).groupBy("product").agg(F.count(F.lit(1)).alias("buyers"))
+    # Numbers in the order of the products; they are written, so they stay what they are.
+    numbered = materialize(buyers.orderBy("product").withColumn("number", F.monotonically_increasing_id()), "products")
+    known = bought.select("customer", "product").join(numbered, "product").select("customer", "number", "buyers")
+    spread = known.groupBy("customer").agg(F.count(F.lit(1)).alias("size"))
+    placed = known.join(spread, "customer").withColumn("parts", F.ceil(F.col("size") / F.lit(part_size)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int"))
+    members = F.array_sort(F.collect_list(F.struct("number", "buyers")))
+    parts = placed.groupBy("customer", "part").agg(members.alias("members"))
+    salts = F.ceil(F.col("buyers") / F.lit(hot_buyers)).cast("int")
+    # Every part of a basket exists as far as a hash fell into it; the last of those ends the basket.
+    last = parts.groupBy("customer").agg(F.max("part").alias("last"))
+    met = placed.select("customer", "number", "buyers", "size").join(parts.join(last, "customer"), "customer")
+    met = met.select(
+        "number", "buyers", salts.alias("salts"), F.pmod(F.xxhash64("customer"), salts).cast("int").alias("salt"), "size", "customer", "part",
+        (F.col("part") == F.col("last")).alias("ends"), F.col("members.number").alias("others"), F.col("members.buyers").alias("theirs"),
     )
-    return pairs.groupBy(F.col("a.product").alias("product_a"), F.col("b.product").alias("product_b")).agg(
-        F.count(F.lit(1)).alias("n_customers")
-    )
-
-
-def item_similarity(cooccurrence: DataFrame, bought: DataFrame) -> DataFrame:
-    """Cosine of the buyer sets: c_ab / sqrt(c_a * c_b)."""
-    buyers = bought.groupBy("product").agg(F.count(F.lit(1)).alias("buyers"))
-    a = buyers.select(F.col("product").alias("product_a"), F.col("buyers").alias("buyers_a"))
-    b = buyers.select(F.col("product").alias("product_b"), F.col("buyers").alias("buyers_b"))
-    cosine = F.col("n_customers") / F.sqrt(F.col("buyers_a").cast("double") * F.col("buyers_b"))
-    return cooccurrence.join(a, "product_a").join(b, "product_b").withColumn("similarity", cosine)
+    ordered = met.repartition("number", "salt").sortWithinPartitions("number", "salt", "size", "customer", "part")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, salted = None, None, 1
+        found: list[tuple] = []
+
+        def finish() -> None:
+            own.merge()
+            chosen = own.best() if salted == 1 else np.arange(len(own.n))
+            found.append((np.full(len(chosen), group[0]), own.other[chosen], own.n[chosen]))
+
+        for batch in batches:
+            number, buyers_, salts_, salt, ends = (batch.column(i).to_pylist() for i in range(5))
+            edges = batch.column(5).offsets.to_numpy()
+            others, theirs = (batch.column(i).values.to_numpy() for i in (5, 6))
+            for i in range(len(number)):
+                if group != (number[i], salt[i]):
+                    if group is not None:
+                        finish()
+                    group, salted = (number[i], salt[i]), salts_[i]
+                    own = _Neighbours(buyers_[i], k, cosine, held)
+                span = slice(edges[i], edges[i + 1])
+                self_ = others[span] != number[i]
+                own.add(others[span][self_], theirs[span][self_], ends[i])
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "n"])
+                found.clear()
+        if group is not None:
+            finish()
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "n"])
+
+    counted = ordered.select("number", "buyers", "salts", "salt", "ends", "others", "theirs").mapInArrow(count, "a long, b long, n long")
+    counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n_customers"))
+    side = lambda name: numbered.select(F.col("number").alias(name), F.col("product").alias(f"product_{name}"), F.col("buyers").alias(f"buyers_{name}"))
+    similarity = F.col("n_customers") / F.sqrt(F.col("buyers_a").cast("double") * F.col("buyers_b"))
+    named = counted.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", similarity)
+    value = F.col("similarity" if cosine else "n_customers")
+    rank = F.row_number().over(Window.partitionBy("product_a").orderBy(value.desc(), F.asc("product_b")))
+    ranked = named.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return ranked.select("product_a", "product_b", "n_customers", "similarity", "rank")
 
 
 def pool_similarity(bought: DataFrame, pool: DataFrame) -> DataFrame:
     """(product, candidate, similarity) with a pool product at one end.
 
-    Equal to :func:`item_similarity` where the second product is in a pool,
+    The cosine of :func:`top_neighbours` where the second product is in a pool,
     but only purchases x pool rows are counted, not all pairs of a basket.
     """
     candidates = bought.select("customer", F.col("product").alias("candidate")).join(

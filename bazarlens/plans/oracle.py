@@ -526,8 +526,10 @@ BODIES: dict[str, str] = {
     "inertia": "SELECT round(sum(dist2), 4) AS inertia, count(*) AS n FROM rec3",
     "silhouette": "SELECT * FROM sil2 UNION ALL SELECT * FROM sil3",
     "segment_refresh": "SELECT customer_unique_id, cluster FROM rec2 WHERE recency <= 730",
-    "item_cooccurrence": "SELECT product_a, product_b, n_customers FROM pairs",
-    "item_cf_similarity": "SELECT product_a, product_b, round(similarity, 6) AS similarity FROM similar_t",
+    "item_cooccurrence": """SELECT product_a, product_b, n_customers, row_number() OVER (PARTITION BY product_a ORDER BY n_customers DESC, product_b) AS rank
+      FROM (SELECT product_a, product_b, n_customers FROM pairs UNION ALL SELECT product_b, product_a, n_customers FROM pairs) QUALIFY rank <= 10""",
+    "item_cf_similarity": """SELECT product AS product_a, neighbour AS product_b, round(similarity, 6) AS similarity,
+      row_number() OVER (PARTITION BY product ORDER BY similar_both.similarity DESC, neighbour) AS rank FROM similar_both QUALIFY rank <= 10""",
     "item_cf_rank": "SELECT customer, product, score, rank FROM cf_ranked",
     "content_similarity": "SELECT product, neighbour, round(price_gap, 4) AS price_gap, rank FROM content",
     "recommend_route": "SELECT customer, n_products, route FROM routes",

@@ -900,16 +900,16 @@ def segment_refresh(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def item_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend.item_cooccurrence(_purchases(spark, sf))
-
-
-def _similarity(bought: DataFrame) -> DataFrame:
-    return recommend.item_similarity(recommend.item_cooccurrence(bought), bought)
+    """The ten products that share most buyers with each product."""
+    near = recommend.top_neighbours(_purchases(spark, sf), 10, cosine=False)
+    return near.select("product_a", "product_b", "n_customers", "rank")
 
 
 @query
 def item_cf_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return _similarity(_purchases(spark, sf)).select("product_a", "product_b", rnd("similarity"))
+    """The ten products whose buyer sets are most like those of each product."""
+    near = recommend.top_neighbours(_purchases(spark, sf), 10)
+    return near.select("product_a", "product_b", rnd("similarity"), "rank")
 
 
 @query

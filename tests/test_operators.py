@@ -447,13 +447,35 @@ def brute_pairs(by_customer):
     return pairs
 
 
-@pytest.mark.parametrize("part_size", [4, 16, 1000])
-def test_cooccurrence_of_split_baskets_is_exact(spark, part_size):
+@pytest.mark.parametrize("part_size, hot, held", [(512, 50_000, 200_000), (4, 50_000, 5), (16, 3, 40), (1000, 1, 1)])
+@pytest.mark.parametrize("cosine", [True, False])
+def test_neighbours_against_all_pairs(spark, part_size, hot, held, cosine):
+    """Large baskets in parts, hot products dealt out, bounds applied after few rows: always the k best of all pairs."""
     frame, by_customer = baskets(spark)
-    got = {(r["product_a"], r["product_b"]): r["n_customers"] for r in recommend.item_cooccurrence(frame, part_size).collect()}
-    assert got == dict(brute_pairs(by_customer))
-    sizes = recommend.basket_parts(frame, part_size).select(F.max(F.size("members"))).first()[0]
-    assert sizes <= 8 * part_size or part_size == 1000
+    buyers = Counter(p for products in by_customer.values() for p in products)
+    values: dict[int, list] = {}
+    for (a, b), n in brute_pairs(by_customer).items():
+        value = n / math.sqrt(float(buyers[a]) * buyers[b]) if cosine else n
+        values.setdefault(a, []).append((-value, b, n))
+        values.setdefault(b, []).append((-value, a, n))
+    want = sorted((a, b, n, rank) for a, rows in values.items() for rank, (_, b, n) in enumerate(sorted(rows)[:3], 1))
+    with_null = frame.unionByName(spark.createDataFrame([(None, 1), (None, 2)], "customer string, product long"), allowMissingColumns=True)
+    got = recommend.top_neighbours(with_null, 3, cosine, part_size, hot, held).collect()
+    assert sorted((r["product_a"], r["product_b"], r["n_customers"], r["rank"]) for r in got) == want
+
+
+def test_neighbours_are_not_counted_that_cannot_be_best():
+    """Many baskets with two steady companions and ever new others: the others stop being counted."""
+    own = recommend._Neighbours(buyers=500, k=2, cosine=True, held=50)
+    rng = np.random.default_rng(1)
+    met = 0
+    for i in range(500):
+        others = np.unique(np.concatenate([[1, 2], rng.integers(100, 10**6, 30)]))
+        met += len(others)
+        own.add(others, np.where(others < 100, 500, 40), True)
+    own.merge()
+    assert own.other[own.best()].tolist() == [1, 2] and own.n[own.best()].tolist() == [500, 500]
+    assert len(own.other) == 2
 
 
 def in_segments(spark, by_customer, pool_size):
