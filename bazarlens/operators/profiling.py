@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,24 @@ def sample_fixed(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def top_k(df: DataFrame, by: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows; each task keeps only k of them."""
     return df.orderBy(*by).limit(k)
+
+
+# --- user functions over columns ------------------------------------------------
+
+
+def apply_columns(df: DataFrame, columns: list[str], function: Callable[[Column], Column], suffix: str = "") -> DataFrame:
+    """``df`` with ``function`` applied to each of the columns, in place or, with a suffix, beside them.
+
+    The function builds an expression, so nothing leaves the JVM; all columns
+    are made in one projection.
+    """
+    return df.withColumns({c + suffix: function(F.col(c)) for c in columns})
+
+
+def aggregate_by(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """One row per key with ``{name: (column, function)}``, each function an aggregate expression of its column.
+
+    What a function is made of is combined on the map side like any built-in
+    aggregate.
+    """
+    return df.groupBy(*keys).agg(*[function(F.col(column)).alias(name) for name, (column, function) in aggregates.items()])

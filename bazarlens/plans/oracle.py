@@ -68,6 +68,12 @@ def _scale(where: str) -> str:
                    FROM rfm_t WHERE {where}) WHERE {where}"""
 
 
+def _tokens(column: str) -> str:
+    """Cleaned tokens of a text column."""
+    return f"""list_filter(string_split_regex(regexp_replace(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', ' ', 'g'), '\\p{{Nd}}+', '', 'g'), '[\\s\\p{{Z}}]+'),
+        lambda x: length(x) > 2 AND NOT list_contains([{_list(STOPWORDS_PT)}], x))"""
+
+
 def _silhouette_rows(assigned: str, by: str) -> str:
     """Silhouette and size per ``by``, from all pairs with Euclidean distances."""
     return f"""SELECT {by}, avg(s) AS silhouette, count(*) AS n FROM (
@@ -179,9 +185,7 @@ VIEWS: dict[str, str] = {
     "pain_top": f"""SELECT *, row_number() OVER (PARTITION BY pain ORDER BY round_even(tasa, 1) DESC, categoria) AS posicion
       FROM pain_rates WHERE pain IN ({_list(PAIN_ORDER)}) QUALIFY posicion <= 5""",
     # --- text
-    "clean_tokens": f"""SELECT review_id, review_score, review_comment_message, list_filter(string_split_regex(regexp_replace(regexp_replace(
-        lower(review_comment_message), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', ' ', 'g'), '\\p{{Nd}}+', '', 'g'), '[\\s\\p{{Z}}]+'),
-        lambda x: length(x) > 2 AND NOT list_contains([{_list(STOPWORDS_PT)}], x)) AS tokens FROM reviews_p""",
+    "clean_tokens": f"SELECT review_id, review_score, review_comment_message, {_tokens('review_comment_message')} AS tokens FROM reviews_p",
     "cleaned": "SELECT review_id, review_score, review_comment_message, array_to_string(tokens, ' ') AS limpio FROM clean_tokens",
     "terms": """SELECT review_id, 1 AS n, unnest(tokens) AS term FROM clean_tokens
       UNION ALL SELECT review_id, 2, unnest(list_transform(range(1, len(tokens)), lambda i: array_to_string(tokens[i:i+1], ' '))) FROM clean_tokens
@@ -549,8 +553,11 @@ BODIES: dict[str, str] = {
     "classify_complaints": "SELECT review_id, order_id, review_score, pain_point_category FROM classified",
     "classify_plugged": f"""SELECT review_id, list_extract([{_list(TAXONOMY)}], CAST(length(p) % {len(TAXONOMY)} AS INTEGER) + 1) AS pain_point_category
       FROM (SELECT review_id, concat({_q(_PROMPT_HEAD)}, regexp_replace(review_comment_message, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), {_q(_PROMPT_TAIL)}) AS p FROM corpus)""",
-    "apply_clean": "SELECT review_id, length(limpio) AS n_chars, md5(limpio) AS clean_md5 FROM cleaned WHERE review_score IN (1, 2)",
-    "agg_lambda": "SELECT customer_unique_id, recency FROM rfm_t",
+    "apply_clean": "SELECT p_partkey, " + ", ".join(f"array_to_string({_tokens(c)}, ' ') AS {c}_limpio" for c in ("p_name", "p_brand", "p_type")) + " FROM part",
+    "agg_lambda": """SELECT customer_unique_id, CAST(floor(date_diff('microsecond', max(order_purchase_timestamp), any_value(ref)) / 86400000000) AS BIGINT) AS recency,
+      CAST(floor(date_diff('microsecond', min(order_purchase_timestamp), max(order_purchase_timestamp)) / 86400000000) AS BIGINT) AS span_days,
+      round(max(ingresos) - min(ingresos), 2) AS ticket_range
+      FROM order_rows, (SELECT max(order_purchase_timestamp) + INTERVAL 1 DAY AS ref FROM delivered) GROUP BY customer_unique_id""",
     # --- streaming, equal to the batch over the same events
     "stream_event_counts": f"""SELECT strftime(w, '{_COLS}') AS window_start, customer_id, event_type, count(*) AS n
       FROM (SELECT date_trunc('day', ts) AS w, * FROM events_p) GROUP BY ALL""",

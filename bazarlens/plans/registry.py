@@ -977,14 +977,26 @@ def classify_plugged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def apply_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaning of the complaint corpus as column expressions."""
-    return complaints.cleaned_corpus(_corpus(spark, sf)).select("review_id", F.length("texto_limpio").cast("long").alias("n_chars"), F.md5("texto_limpio").alias("clean_md5"))
+    """One function over all text columns of a table."""
+    parts = proxies.read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    cleaned = profiling.apply_columns(parts, ["p_name", "p_brand", "p_type"], text.clean_text, "_limpio")
+    return cleaned.select("p_partkey", "p_name_limpio", "p_brand_limpio", "p_type_limpio")
 
 
 @query
 def agg_lambda(spark: SparkSession, sf: str) -> DataFrame:
-    """Recency per customer as a native aggregate."""
-    return _rfm(spark, sf).select("customer_unique_id", "recency")
+    """Aggregates per customer from functions of a column: days since the last order, days between orders, range of order values."""
+    orders = materialize(_order_rows(spark, sf), "order-rows")
+    end = orders.select(scalars.reference_date(F.max("order_purchase_timestamp"))).scalar()
+    return profiling.aggregate_by(
+        orders.filter(F.col("customer_unique_id").isNotNull()),
+        ["customer_unique_id"],
+        {
+            "recency": ("order_purchase_timestamp", lambda t: scalars.recency_days(end, F.max(t))),
+            "span_days": ("order_purchase_timestamp", lambda t: scalars.recency_days(F.max(t), F.min(t))),
+            "ticket_range": ("ingresos", lambda x: F.round(F.max(x) - F.min(x), 2)),
+        },
+    )
 
 
 # --- streaming -------------------------------------------------------------------------

@@ -185,6 +185,15 @@ def test_pruning_leaves_what_may_be_frequent():
         levels.widen()
 
 
+def test_functions_over_columns_and_groups(spark):
+    frame = spark.createDataFrame([("a", 3, "X"), ("a", 5, None), ("b", None, "y")], "k string, n int, t string")
+    beside = profiling.apply_columns(frame, ["k", "t"], F.upper, "_up")
+    assert beside.columns == ["k", "n", "t", "k_up", "t_up"]
+    assert [tuple(r) for r in profiling.apply_columns(frame, ["k", "t"], F.lower).orderBy("k", "n").collect()] == [("a", 3, "x"), ("a", 5, None), ("b", None, "y")]
+    grouped = profiling.aggregate_by(frame, ["k"], {"span": ("n", lambda x: F.max(x) - F.min(x)), "texts": ("t", F.count)})
+    assert {r["k"]: (r["span"], r["texts"]) for r in grouped.collect()} == {"a": (2, 1), "b": (None, 1)}
+
+
 # --- customers -------------------------------------------------------------------------
 
 
