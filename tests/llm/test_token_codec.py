@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -29,6 +30,31 @@ def test_large_block_is_small_and_exact():
     assert len(block) < len(ids)
 
 
+def test_mixing_earns_its_keep():
+    """Bits per id are at least 5 % under what the counts of the ids alone can give."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache = token_codec.tokenizer_cache(path)
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    ids = [np.frombuffer(b"".join(v), np.int32) for v in cache.values(texts)]
+    flat = np.concatenate(ids)
+    share = np.unique(flat, return_counts=True)[1] / len(flat)
+    entropy = -(share * np.log2(share)).sum()
+    block = token_codec.pack_block(list(range(len(ids))), ids)
+    assert 8 * len(block) / len(flat) <= 0.95 * entropy
+    assert (np.concatenate(token_codec.unpack_block(block)[1]) == flat).all()
+
+
+def test_text_longer_than_a_block_and_full_blocks(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = documents(spark, ["a b c", "long " * 3000, "x", "y z", None, "w " * 40])
+    whole = {r["doc_id"]: tuple(r) for r in token_codec.stored_ids(docs, path).collect()}
+    small = token_codec.stored_ids(docs, path, block_ids=20)
+    assert {r["doc_id"]: tuple(r) for r in small.collect()} == whole and len(whole) == 6
+    monkeypatch.setattr(token_codec, "MOST_IDS", 5)
+    with pytest.raises(ValueError):
+        token_codec.pack_block([1], [np.arange(6)])
+
+
 def test_damage_is_noticed():
     block = bytearray(token_codec.pack_block([1], [np.arange(500)]))
     for at in (5, 30, len(block) // 2, len(block) - 1):
