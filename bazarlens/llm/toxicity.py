@@ -60,14 +60,18 @@ def _sample_features(rows: DataFrame, settings: Settings) -> list[np.ndarray]:
                 found = [_text_buckets(x, settings).tobytes() for x in batch.slice(start, 500).column(0).to_pylist()]
                 yield pa.record_batch([pa.array(found, pa.binary())], names=["f"])
 
-    return [np.frombuffer(r["f"], np.int32) for r in rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "f binary").toLocalIterator()]
+    # One text per id: an id may repeat without bound.
+    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
+    return [np.frombuffer(r["f"], np.int32) for r in texts.mapInArrow(run, "f binary").toLocalIterator()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """A linear model from a bounded sample: the first rows by a hash of the id.
 
     Positives are texts with a label ``toxic`` = 1 outside the held-out fifth;
-    unlabelled are rows of ``docs`` whatever their labels say. The class prior
+    unlabelled are rows of ``docs`` whatever their labels say. Of an id that
+    repeats one text counts, the least; a text comes to the driver as the numbers of its
+    distinct features, ``2^bucket_bits`` at most. The class prior
     is the share of ones among the labels outside the held-out fifth. Without
     any positive the model calls nothing toxic.
     """
