@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from bazarlens.llm.components import connected_components
 
 
@@ -18,12 +20,13 @@ def plain_components(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_chain_star_and_random_links(spark):
+@pytest.mark.parametrize("few_links", [0, 60, 1 << 20])
+def test_chain_star_and_random_links(spark, few_links):
     random.seed(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(random.randint(200, 400), random.randint(200, 400)) for _ in range(120)]
     pairs = [p for p in pairs if p[0] != p[1]]
     frame = spark.createDataFrame(pairs + pairs[:5] + [(None, 3), (7, None), (900, 900)], "u long, v long")
-    assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == plain_components(pairs)
+    assert {r["node"]: r["component"] for r in connected_components(frame, few_links).collect()} == plain_components(pairs)
 
 
 def test_no_links(spark):
