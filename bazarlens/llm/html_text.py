@@ -24,19 +24,22 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER_TEXT = frozenset(
-    "applet audio button canvas datalist dialog embed fieldset form frame frameset head iframe input link map menu meta noframes noscript "
+    "applet audio button canvas datalist dialog embed frame frameset head iframe input link map menu meta noframes noscript "
     "object optgroup option output progress script select style svg template textarea title video".split()
 )
 PAGE_FURNITURE = frozenset("aside footer nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-# Words in class names and ids that name parts other than the article.
+# Words in class names and ids: of parts that are never the article, and of parts that seldom are.
+REMOVED_WORDS = frozenset("comment comments consent cookie cookies discussion disqus gdpr replies reply respond".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion "
-    "disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall "
-    "popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription teaser toolbar topbar widget widgets".split()
+    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs footer header login masthead menu menus modal nav navbar "
+    "navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related share sharing "
+    "sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+NAMED_WEIGHT = 0.1
+# An article beside the largest one is taken in if it has at least this share of its text.
+SIBLING_SHARE = 0.25
 #: A start tag closes these open elements, if they are above the listed borders.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -58,12 +61,12 @@ HOLDS = re.compile(r"\b(?:with|has|have|no|without|show|hide)[-_]?[A-Za-z0-9]+")
 class Element:
     """An element with its share of text, tags and links, filled in from below."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "weight", "density", "total")
 
     def __init__(self, tag: str, attrs: dict, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.weight, self.density, self.total = 1.0, 0.0, 0.0
 
     def elements(self) -> Iterator["Element"]:
         stack = [self]
@@ -136,31 +139,51 @@ def _hidden(node: Element) -> bool:
     return "hidden" in node.attrs or "display:none" in style or "visibility:hidden" in style or node.attrs.get("aria-hidden") == "true"
 
 
-def _is_furniture(node: Element, in_article: bool) -> bool:
-    """Whether an element is something else than the article, going by its name."""
+def _never_main(node: Element, in_article: bool) -> bool:
+    """Whether an element cannot be main text, by its role in the standard or as comments and the like."""
     if node.tag in NEVER_TEXT or node.tag in PAGE_FURNITURE or (node.tag == "header" and not in_article):
         return True
-    if not node.attrs or node.tag in ("#root", "html", "body", "main", "article") and not _names(node) & {"comment", "comments", "ad", "advert", "sponsored", "teaser", "related"}:
+    if not node.attrs or node.tag in ("#root", "html", "body"):
         return False
-    if _hidden(node):
+    return _hidden(node) or bool(_names(node) & REMOVED_WORDS and not _encloses_article(node, REMOVED_WORDS))
+
+
+def _encloses_article(node: Element, words: frozenset[str]) -> bool:
+    return any(x.tag in ("main", "h1") or (x.tag == "article" and x is not node and not _names(x) & words) for x in node.elements())
+
+
+def _named_otherwise(node: Element, in_article: bool) -> bool:
+    """Whether its name or tag makes an element an unlikely place for the article."""
+    if node.tag in ("form", "fieldset"):
         return True
-    named = node.attrs.get("role", "").lower() in FURNITURE_ROLES or _names(node) & FURNITURE_WORDS or (not in_article and "header" in _names(node))
-    # Nor is what encloses the article.
-    return bool(named) and not any(x.tag in ("main", "h1") or (x.tag == "article" and x is not node and not _names(x) & FURNITURE_WORDS) for x in node.elements())
+    if not node.attrs or node.tag in ("#root", "html", "body", "main"):
+        return False
+    named = node.attrs.get("role", "").lower() in FURNITURE_ROLES or _names(node) & (FURNITURE_WORDS - {"header"} if in_article else FURNITURE_WORDS)
+    # What encloses the article is no less likely.
+    return bool(named) and not _encloses_article(node, FURNITURE_WORDS | REMOVED_WORDS)
 
 
 def prune(root: Element) -> None:
-    """Take out what is named as something else than the article."""
+    """Take out what is never main text, and set the weights of the rest."""
     stack = [(root, False)]
     while stack:
         node, in_article = stack.pop()
         in_article = in_article or node.tag in ("article", "main")
-        node.children = [x for x in node.children if isinstance(x, str) or not _is_furniture(x, in_article)]
-        stack.extend((x, in_article) for x in node.children if not isinstance(x, str))
+        node.children = [x for x in node.children if isinstance(x, str) or not _never_main(x, in_article)]
+        for x in node.children:
+            if not isinstance(x, str):
+                x.weight = min(node.weight, NAMED_WEIGHT if _named_otherwise(x, in_article) else 1.0)
+                stack.append((x, in_article))
 
 
 def weigh(root: Element) -> None:
-    """Fill in characters, tags, densities and the sums of the children's densities."""
+    """Fill in characters, tags, weighted densities and the sums of the children's densities.
+
+    With C characters, T tags, LC characters and LT tags of links, and the
+    page's share s of link characters, an element's density is
+    C / T * log(C / LC * T / LT) / log(C / (C - LC) * LC + s * C + e), every
+    number being 1 at least, times the element's weight.
+    """
     order = list(root.elements())
     for node in reversed(order):
         link = node.tag == "a"
@@ -182,7 +205,7 @@ def weigh(root: Element) -> None:
         other = max(node.chars - node.link_chars, 1)
         base = math.log(node.chars / other * node.link_chars + share * node.chars + math.e)
         adjusted = math.log(max(node.chars / link_chars * tags / link_tags, 1.0)) / base
-        node.density = node.chars / tags * adjusted
+        node.density = node.chars / tags * adjusted * node.weight
     for node in order:
         node.total = sum(x.density for x in node.children if not isinstance(x, str))
         if not node.total and node.chars:
@@ -205,31 +228,56 @@ def _path(node: Element) -> list[Element]:
     return found
 
 
-def main_parts(root: Element) -> set[int]:
-    """Identities of the elements whose whole text is main text."""
+def _text_weight(node: Element) -> float:
+    """The weight that most of an element's text has, as far as it weighs."""
+    chars: dict[float, int] = {}
+    for x in node.elements():
+        chars[x.weight] = chars.get(x.weight, 0) + sum(len(c.strip()) for c in x.children if isinstance(c, str))
+    return max(chars, key=lambda w: (chars[w] * w, w))
+
+
+def _articles(node: Element) -> list[Element]:
+    """The outermost articles inside an element, without small ones beside a large one."""
+    found, stack = [], [x for x in node.children if not isinstance(x, str)]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main"):
+            found.append(x)
+        else:
+            stack.extend(c for c in x.children if not isinstance(c, str))
+    most = max((x.chars * x.weight for x in found), default=0)
+    return [x for x in found if x.chars * x.weight >= SIBLING_SHARE * most]
+
+
+def main_parts(root: Element) -> dict[int, float]:
+    """Identities of the elements whose text is main text, each with the weight that its text has."""
     body = next((x for x in root.elements() if x.tag == "body"), root)
     if not body.chars:
         body = root
     best = _largest(body)
-    # Around one article that holds most of the text, the rest is not the article.
-    framed = max((x for x in best.elements() if x is not best and x.tag in ("article", "main")), key=lambda x: x.chars, default=best)
-    if 2 * framed.chars >= best.chars:
-        best = framed
-    path = _path(best)
+    # Around articles that hold most of the text, the rest is not the article.
+    framed = _articles(best)
+    if framed and 2 * sum(x.chars for x in framed) >= best.chars:
+        best = max(framed, key=lambda x: x.chars * x.weight)
+    path, weight = _path(best), _text_weight(best)
     threshold = min((x.density for x in path), default=0.0)
-    marked: set[int] = set()
+    frames = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
+    beside = {id(x): x for x in (_articles(frames[0].parent) if frames and frames[0].parent is not None else framed)}
+    marked: dict[int, Element] = {}
     stack = [body]
     while stack:
         node = stack.pop()
-        if node.density >= threshold and node.chars:
+        if node.density >= threshold and node.chars and _text_weight(node) >= weight:
             found = _largest(node)
             # The article that encloses it is one text with its headings.
             frame = next((x for x in _path(found) if x.tag == "article"), None) or next((x for x in _path(found) if x.tag == "main"), None)
-            marked.add(id(frame or found))
+            marked[id(frame or found)] = frame or found
         stack.extend(x for x in node.children if not isinstance(x, str) and x.density >= threshold)
-    if best.tag in ("article", "main") or any(x.tag in ("article", "main") for x in path):
-        inside = {id(x) for x in path[[x.tag in ("article", "main") for x in path].index(True)].elements()}
-        marked = {x for x in marked if x in inside} or marked
+    # A smaller article has a lower density than the largest, whose logarithm grows with its size.
+    marked |= {i: x for i, x in beside.items() if 2 * x.density >= threshold}
+    if frames:
+        inside = {id(x) for x in frames[0].elements()} | set(beside)
+        marked = {i: x for i, x in marked.items() if i in inside} or marked
     else:
         # Headings in front of the way to the main text belong to it.
         for node in path:
@@ -237,15 +285,15 @@ def main_parts(root: Element) -> set[int]:
                 if sibling is node:
                     break
                 if not isinstance(sibling, str) and sibling.tag in ("h1", "h2"):
-                    marked.add(id(sibling))
-    return marked
+                    marked[id(sibling)] = sibling
+    return {i: _text_weight(x) for i, x in marked.items()}
 
 
 def _link_list(node: Element) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags >= 3 and node.link_chars > 0.9 * node.chars
 
 
-def blocks_of(root: Element, marked: set[int]) -> list[str]:
+def blocks_of(root: Element, marked: dict[int, float]) -> list[str]:
     """Text blocks under the marked elements, in page order."""
     blocks: list[str] = []
     run: list[str] = []
@@ -256,8 +304,8 @@ def blocks_of(root: Element, marked: set[int]) -> list[str]:
             blocks.append(text)
         run.clear()
 
-    # (item, inside main text, leaving): without recursion, as pages may nest deeply.
-    stack: list[tuple] = [(root, False, False)]
+    # (item, weight of the main text that it is inside of or 0, leaving): without recursion, as pages may nest deeply.
+    stack: list[tuple] = [(root, 0.0, False)]
     while stack:
         item, inside, leaving = stack.pop()
         if isinstance(item, str):
@@ -267,12 +315,12 @@ def blocks_of(root: Element, marked: set[int]) -> list[str]:
         if leaving:
             end()
             continue
-        if inside and _link_list(item) and id(item) not in marked:
+        if inside and id(item) not in marked and (_link_list(item) or item.weight < inside):
             continue
         if inside and item.tag in ("br", "wbr", "img"):
             run.append(" " if item.tag == "br" else "")
         begins = not inside and id(item) in marked
-        inside = inside or begins
+        inside = inside or (marked[id(item)] if begins else 0.0)
         if item.tag in BLOCKS or begins:
             end()
             stack.append((item, inside, True))
@@ -298,6 +346,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     empty text. Text without any markup is main text. Pages are read each for
     itself, so null or repeated ids and urls are returned as they are; other
     columns are not looked at. The whole page is read, however long.
+
+    Removed by name are comments, replies, discussions and consent notices;
+    parts with other names of furniture and forms yield to text of full
+    weight, inside and outside the article, see the module's description. Of
+    several articles those with a quarter of the largest one's text are taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

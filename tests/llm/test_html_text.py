@@ -1,7 +1,10 @@
 import html
+import math
 import re
 
-from bazarlens.llm.html_text import extract_main_text, main_text
+import pytest
+
+from bazarlens.llm.html_text import extract_main_text, main_text, parse, prune, weigh
 from tests.llm.support import clashing
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body class="nav-open">
@@ -32,6 +35,56 @@ def test_density_decides_where_names_do_not():
     assert got.split("\n") == re.findall(r"<div>(Sentence.*?)</div>", text)
 
 
+LONG = "Sentence of a paragraph that is long enough to count as text, and goes on for a while. " * 3
+
+
+def paragraphs(n, first=0):
+    return "".join(f"<p>{LONG}{i}</p>" for i in range(first, first + n))
+
+
+def texts(n, first=0):
+    return [f"{LONG}{i}" for i in range(first, first + n)]
+
+
+def test_names_lower_the_weight_and_do_not_decide():
+    """A page that stands in elements of such names, or in a form, keeps its text; small parts of such names go."""
+    menu = "<nav><a href=/>Home</a></nav>"
+    widgets = "".join(f'<div class="elementor-widget"><p>{t}</p></div>' for t in texts(5))
+    assert main_text(f"<body>{menu}{widgets}<footer>f</footer></body>").split("\n") == texts(5)
+    assert main_text(f'<body>{menu}<div class="social-post">{paragraphs(6)}</div></body>').split("\n") == texts(6)
+    assert main_text(f"<body><form action=/>{menu}{paragraphs(6)}<input><button>Send</button></form></body>").split("\n") == texts(6)
+    beside = '<div class="widget"><p>Related things to read, more of them, and still more of them.</p></div><form><p>Subscribe to our letter now.</p><input></form>'
+    assert main_text(f"<body>{menu}<div>{paragraphs(6)}{beside}</div>{beside}</body>").split("\n") == texts(6)
+
+
+def test_sibling_articles():
+    """Articles of comparable size are all main text; small ones beside a large one are not."""
+    both = f"<body><div class=sidebar><p>{LONG}</p></div><article>{paragraphs(10)}</article><article>{paragraphs(8, 10)}</article></body>"
+    assert main_text(both).split("\n") == texts(18)
+    cards = "".join(f"<article><a href=/{i}>Read {i}</a><p>A summary of it.</p></article>" for i in range(6))
+    assert main_text(f"<body><article>{paragraphs(10)}</article>{cards}</body>").split("\n") == texts(10)
+
+
+def test_density_formula_against_a_plain_computation():
+    """Counted from the page's text by hand: characters, tags, link characters, link tags."""
+    page = '<body><div><p>abcdefghij<b>klm</b></p><a href=x>link<i>s</i></a></div><ul><li><a href=y>yy</a></li></ul><p class="widget">wwww</p></body>'
+    root = parse(page)
+    prune(root)
+    weigh(root)
+    numbers = {"#root": (24, 10, 7, 2), "body": (24, 9, 7, 2), "div": (18, 4, 5, 1), "b": (3, 0, 0, 0), "ul": (2, 2, 2, 1), "li": (2, 1, 2, 1)}
+    for x in root.elements():
+        if x.tag not in numbers:
+            continue
+        c, t, lc, lt = numbers[x.tag]
+        assert (x.chars, x.tags, x.link_chars, x.link_tags) == (c, t, lc, lt)
+        base = math.log(max(c, 1) / max(c - lc, 1) * max(lc, 1) + 7 / 24 * c + math.e)
+        assert x.density == pytest.approx(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / base)
+        assert x.total == pytest.approx(sum(y.density for y in x.children if not isinstance(y, str)) or x.density)
+    named = next(x for x in root.elements() if x.attrs.get("class") == "widget")
+    # Four characters, no tag, no link: 4 / 1 * log(4) / log(4 / 4 + 7 / 24 * 4 + e), by the weight of a name.
+    assert named.density == pytest.approx(0.1 * 4 * math.log(4) / math.log(1 + 7 / 24 * 4 + math.e))
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text(" \n") == main_text("<nav>a</nav>") == main_text("<p> </p>") == ""
     assert main_text("plain text &amp; more") == "plain text & more"
