@@ -311,28 +311,29 @@ def _sha256(data: bytes) -> str:
 _ENCODERS: dict[int, TextEncoder] = {}
 
 
-def encoder_of(number: int, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+def encoder_of(number: int, ranks: dict[bytes, int], pattern: str, limit: int) -> TextEncoder:
     """One encoder per Python worker, for the vocabulary and pattern of that checksum."""
     if number not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[number] = TextEncoder(ranks, pattern)
+        _ENCODERS[number] = TextEncoder(ranks, pattern, limit)
     return _ENCODERS[number]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = True, remember: int = 400_000) -> DataFrame:
     """One row per document: doc_id, ids (if wanted), n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty: no ids, and the digests of no bytes. Rows
     are encoded each for itself, so ids that are null or repeat are returned
     as they are; other columns are not looked at. ``decoded_sha256`` is taken
     from the bytes that decoding the ids gives back. The vocabulary is
-    broadcast; its size does not depend on the data.
+    broadcast; its size does not depend on the data. A Python worker remembers
+    the ids of up to twice ``remember`` words, some 200 bytes each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    number = zlib.crc32(repr((sorted(ranks.items()), pattern)).encode())
+    number = zlib.crc32(repr((sorted(ranks.items()), pattern, remember)).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(number, shared.value, pattern)
+        encoder = encoder_of(number, shared.value, pattern, remember)
         cache, decode, decimal = encoder.cached(), encoder.vocabulary.decode, encoder.vocabulary.decimal
         for part in _in_slices(batches):
             rows = []

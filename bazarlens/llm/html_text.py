@@ -181,8 +181,8 @@ def weigh(root: Element) -> None:
 
     With C characters, T tags, LC characters and LT tags of links, and the
     page's share s of link characters, an element's density is
-    C / T * log(C / LC * T / LT) / log(C / (C - LC) * LC + s * C + e), every
-    number being 1 at least, times the element's weight.
+    C / T * log(C / LC * T / LT) / log(C / (C - LC) * LC + s * C + e), T
+    and every divisor being 1 at least, times the element's weight.
     """
     order = list(root.elements())
     for node in reversed(order):

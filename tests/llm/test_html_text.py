@@ -77,12 +77,12 @@ def test_density_formula_against_a_plain_computation():
             continue
         c, t, lc, lt = numbers[x.tag]
         assert (x.chars, x.tags, x.link_chars, x.link_tags) == (c, t, lc, lt)
-        base = math.log(max(c, 1) / max(c - lc, 1) * max(lc, 1) + 7 / 24 * c + math.e)
+        base = math.log(c / max(c - lc, 1) * lc + 7 / 24 * c + math.e)
         assert x.density == pytest.approx(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / base)
         assert x.total == pytest.approx(sum(y.density for y in x.children if not isinstance(y, str)) or x.density)
     named = next(x for x in root.elements() if x.attrs.get("class") == "widget")
-    # Four characters, no tag, no link: 4 / 1 * log(4) / log(4 / 4 + 7 / 24 * 4 + e), by the weight of a name.
-    assert named.density == pytest.approx(0.1 * 4 * math.log(4) / math.log(1 + 7 / 24 * 4 + math.e))
+    # Four characters, no tag, no link: 4 / 1 * log(4) / log(7 / 24 * 4 + e), by the weight of a name.
+    assert named.density == pytest.approx(0.1 * 4 * math.log(4) / math.log(7 / 24 * 4 + math.e))
 
 
 def test_odd_pages():
