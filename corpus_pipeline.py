@@ -40,7 +40,8 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, with the digests of ids and decoded bytes."""
     release(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    # Its workers also serve the other stages, so it remembers less than it would alone.
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, remember=120_000)
 
 
 STAGES = [
