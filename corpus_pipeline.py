@@ -15,19 +15,25 @@ from bazarlens.session import materialize, release
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     release(spark)
-    return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    release(spark)
+    return quality.keep_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that shares four fifths of its five-word shingles, also of rows that repeat an id or have none."""
     release(spark)
-    return near_dedup.keep_one_each(docs)
+    kept = near_dedup.keep_one_each(docs)
+    release(spark)
+    return kept
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     release(spark)
-    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    clean = decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    release(spark)
+    return clean
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
