@@ -73,6 +73,8 @@ def _features(words: bytes, counts: bytes, repeats: float, settings: Settings) -
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Vectors from at most ``sample`` labelled texts outside the held-out fifth, the first by a hash of the id.
 
+    Of an id that repeats one text counts, the least. A text comes to the
+    driver as its distinct words and their counts.
     Without labels of both classes the model says that class for every text,
     or a chance of one half if there are none at all.
     """
@@ -89,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                 yield pa.record_batch(columns, names=["words", "counts", "repeats", "y"])
 
     schema = "words binary, counts binary, repeats double, y int"
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, schema).toArrow().to_pydict()
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    found = sample.select("text", "quality").mapInArrow(run, schema).toArrow().to_pydict()
     # Arrival order of the rows is not fixed; the order of what is learnt from is.
     samples = sorted(zip(found["words"], found["counts"], found["repeats"], found["y"], strict=True))
     return _fit(samples, settings)
