@@ -14,8 +14,9 @@ from bazarlens.session import materialize
 
 # Interaction weights relative to a purchase; not known from results, ours.
 DEFAULT_WEIGHTS = {"purchase": 1.0, "cart": 0.5, "click": 0.3, "view": 0.1}
-# A basket part holds about this many products.
+# A basket part holds about this many products; so does one whose pairs are formed.
 BASKET_PART = 512
+PAIR_PART = 64
 # Buyers of a product that one task counts, and products of their baskets that it holds between two merges.
 HOT_BUYERS = 50_000
 HELD_MEMBERS = 200_000
@@ -120,6 +121,52 @@ def segment_candidates(segments: DataFrame, pool: DataFrame, bought: DataFrame)
 # --- item based collaborative filtering ----------------------------------------
 
 
+def basket_parts(bought: DataFrame, part_size: int = PAIR_PART) -> DataFrame:
+    """Products of each customer in blocks of pairs of basket parts.
+
+    A basket of d products is cut into C = ceil(d / part_size) parts by hash.
+    Each pair of parts is a group of its own, so a customer who bought very
+    much is spread over C*(C+1)/2 groups, all of bounded size; an ordinary
+    basket is one group. Nothing is dropped; a null customer equals no other.
+    """
+    sized = bought.groupBy("customer").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts"))
+    # Adaptive execution splits a large basket's side of this join.
+    placed = bought.join(sized, "customer").select(
+        "customer", "product", "parts", F.pmod(F.xxhash64("product", F.lit("part")), F.col("parts")).cast("int").alias("part")
+    )
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return paired.groupBy(
+        "customer", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b")
+    ).agg(F.collect_list(F.struct("product", "part")).alias("members"))
+
+
+def item_cooccurrence(bought: DataFrame, part_size: int = PAIR_PART) -> DataFrame:
+    """(product_a < product_b, n_customers): customers who bought both, for every pair that anybody bought.
+
+    Pairs are formed inside the bounded groups of :func:`basket_parts` and
+    counted in the same stage, so the shuffle carries counts.
+    """
+    groups = basket_parts(bought, part_size)
+    same_part = F.col("part_a") == F.col("part_b")
+    pairs = (
+        groups.select("members", same_part.alias("same_part"), F.explode("members").alias("a"))
+        .select("same_part", "a", F.explode("members").alias("b"))
+        .filter((F.col("a.product") < F.col("b.product")) & (F.col("same_part") | (F.col("a.part") != F.col("b.part"))))
+    )
+    return pairs.groupBy(F.col("a.product").alias("product_a"), F.col("b.product").alias("product_b")).agg(
+        F.count(F.lit(1)).alias("n_customers")
+    )
+
+
+def item_similarity(cooccurrence: DataFrame, bought: DataFrame) -> DataFrame:
+    """Cosine of the buyer sets: c_ab / sqrt(c_a * c_b)."""
+    buyers = bought.groupBy("product").agg(F.count(F.lit(1)).alias("buyers"))
+    a = buyers.select(F.col("product").alias("product_a"), F.col("buyers").alias("buyers_a"))
+    b = buyers.select(F.col("product").alias("product_b"), F.col("buyers").alias("buyers_b"))
+    cosine = F.col("n_customers") / F.sqrt(F.col("buyers_a").cast("double") * F.col("buyers_b"))
+    return cooccurrence.join(a, "product_a").join(b, "product_b").withColumn("similarity", cosine)
+
+
 class _Neighbours:
     """Counts how many baskets of one product hold each other product, as far as it may be among the k best.
 

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 from collections import Counter
+from datetime import datetime
 
 import os
 
@@ -17,7 +18,8 @@ from bazarlens import fixed_values
 from bazarlens.functions import scalars
 from bazarlens.operators import catalog, cluster, complaints, context, feedback, geo, ngrams, profiling, recommend, reviews, rfm, sales
 from bazarlens.plans import questions
-from bazarlens.sources import documents, tables
+from bazarlens.plans.registry import QUERIES
+from bazarlens.sources import documents, proxies, tables
 from bazarlens.session import fresh_path
 
 
@@ -456,6 +458,35 @@ def brute_pairs(by_customer):
     return pairs
 
 
+@pytest.mark.parametrize("part_size", [4, 16, 1000])
+def test_every_pair_is_counted_and_compared(spark, part_size):
+    """More than ten companions a product, each pair once, whatever a basket is cut into."""
+    frame, by_customer = baskets(spark)
+    want = brute_pairs(by_customer)
+    assert max(Counter(p for pair in want for p in pair).values()) > 10
+    pairs = recommend.item_cooccurrence(frame, part_size)
+    assert {(r["product_a"], r["product_b"]): r["n_customers"] for r in pairs.collect()} == dict(want)
+    buyers = Counter(p for products in by_customer.values() for p in products)
+    got = recommend.item_similarity(pairs, frame).collect()
+    assert {(r["product_a"], r["product_b"]): r["similarity"] for r in got} == pytest.approx({(a, b): n / math.sqrt(buyers[a] * buyers[b]) for (a, b), n in want.items()})
+    assert len(got) == len(want)
+
+
+@pytest.mark.parametrize("name, columns", [("item_cooccurrence", ["product_a", "product_b", "n_customers"])])
+def test_pair_queries_return_every_pair(spark, name, columns):
+    """A customer with thirty products has 435 pairs; none is left out and no rank cuts them."""
+    folder = fresh_path(spark, "shop")
+    write = lambda table, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+    write("region", [(0, "r")], proxies.TABLES["region"])
+    write("nation", [(0, "n", 0)], proxies.TABLES["nation"])
+    write("customer", [(1, "c", 0, 0.0, "m")], proxies.TABLES["customer"])
+    write("orders", [(1, 1, "F", 1.0, datetime(2024, 1, 1), "1")], proxies.TABLES["orders"])
+    write("lineitem", [(1, p, 1, p, 1.0, 1.0, 0.0, 0.0, "N", "O", datetime(2024, 1, 2)) for p in range(30)], proxies.TABLES["lineitem"])
+    got = QUERIES[name](spark, folder)
+    assert got.columns == columns
+    assert sorted((r["product_a"], r["product_b"], r[2]) for r in got.collect()) == [(a, b, 1) for a in range(30) for b in range(a + 1, 30)]
+
+
 @pytest.mark.parametrize("part_size, hot, held", [(512, 50_000, 200_000), (4, 50_000, 5), (16, 3, 40), (1000, 1, 1)])
 @pytest.mark.parametrize("cosine", [True, False])
 def test_neighbours_against_all_pairs(spark, part_size, hot, held, cosine):
