@@ -472,7 +472,7 @@ def test_every_pair_is_counted_and_compared(spark, part_size):
     assert len(got) == len(want)
 
 
-@pytest.mark.parametrize("name, columns", [("item_cooccurrence", ["product_a", "product_b", "n_customers"])])
+@pytest.mark.parametrize("name, columns", [("item_cooccurrence", ["product_a", "product_b", "n_customers"]), ("item_cf_similarity", ["product_a", "product_b", "similarity"])])
 def test_pair_queries_return_every_pair(spark, name, columns):
     """A customer with thirty products has 435 pairs; none is left out and no rank cuts them."""
     folder = fresh_path(spark, "shop")
