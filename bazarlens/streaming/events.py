@@ -10,12 +10,13 @@ a heartbeat (:func:`with_heartbeats`) moves time on.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bazarlens import schemas
 from bazarlens.operators.recommend import DEFAULT_WEIGHTS
@@ -96,8 +97,7 @@ def deduplicate(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-OPEN_SCHEMA = "served_us array<long>, served_id array<long>, action_us array<long>, action_id array<long>, action array<string>"
-ANSWER_SCHEMA = "served_id long, customer_id long, product_id long, action string, action_ts timestamp"
+ANSWER_SCHEMA = "served_id long, customer_id long, product_id long, action string, action_us long"
 
 
 def _settle(served: list[tuple], actions: list[tuple], now: int, width: int) -> tuple[list[tuple], list[tuple], list[tuple], int | None]:
@@ -108,15 +108,19 @@ def _settle(served: list[tuple], actions: list[tuple], now: int, width: int) ->
     its first action once no earlier one can come, or by the end of its window.
     """
     final, staying, wakes = [], [], []
+    times = [a[0] for a in actions]
     for us, served_id in served:
-        first = next((a for a in actions if us < a[0] <= us + width), None)
+        at = bisect_right(times, us)
+        first = actions[at] if at < len(times) and times[at] <= us + width else None
         due = first[0] if first else us + width
         if due <= now:
             final.append((served_id, first))
         else:
             staying.append((us, served_id))
             wakes.append(due)
-    kept = [a for a in actions if a[0] > now or any(us < a[0] <= us + width for us, _ in staying)]
+    starts = [us for us, _ in staying]
+    before = [bisect_left(starts, us) for us in times]
+    kept = [a for a, at in zip(actions, before) if a[0] > now or at and a[0] <= starts[at - 1] + width]
     wakes += [a[0] for a in kept if a[0] > now]
     return final, staying, kept, min(wakes, default=None)
 
@@ -124,58 +128,51 @@ def _settle(served: list[tuple], actions: list[tuple], now: int, width: int) ->
 def first_actions(served: DataFrame, actions: DataFrame, within: str = "1 day", delay: str = DELAY) -> DataFrame:
     """Every served row once, with the first later action on it inside the window, or none.
 
-    ``served`` and ``actions`` are event streams. State per (customer,
-    product): servings that wait and actions that may still answer one; a
-    timer by event time wakes the key when the next of them is settled. Of
-    actions at one time the lowest id counts. A null customer or product equals no
-    other: such a serving has no answer, such an action answers nothing. Late
-    events are left out.
+    ``served`` and ``actions`` are event streams. Time is cut into stretches
+    as long as the window. State per (customer, product, stretch): the
+    servings in the stretch and the actions in it and in the next one, which
+    are all that may answer them; it is settled when the watermark has passed
+    both. Spark's own aggregate holds the state, so no Python is called for a
+    key that has no serving. Of actions at one time the lowest id counts. A
+    null customer or product equals no other: such a serving has no answer,
+    such an action answers nothing; the same holds for a null time. Late
+    events are left out, as far as what they belong to is settled.
     """
     width = int(pd.Timedelta(within).value // 1000)
     row = lambda frame, is_action: frame.select(
         "customer_id", "product_id", "ts", F.unix_micros("ts").alias("us"), "event_id",
-        F.when(F.lit(is_action), F.col("event_type")).alias("action"), (F.col("event_type") == HEARTBEAT).alias("beat"),
+        F.when(F.lit(is_action), F.col("event_type")).alias("action"), F.col("event_type").eqNullSafe(HEARTBEAT).alias("beat"),
     )
     both = row(served, False).unionByName(row(actions.filter(F.col("event_type") != HEARTBEAT), True)).withWatermark("ts", delay)
+    # Each row falls into the stretch pair it begins and the one it ends; a serving belongs to the first only.
+    paired = both.select("*", F.window("ts", f"{2 * width} microseconds", f"{width} microseconds").alias("w"))
+    is_action = F.col("action").isNotNull()
+    placed = paired.filter(is_action | (F.col("us") - F.unix_micros("w.start") < width))
+    # What has no customer or product meets nothing, so it need not be brought together.
+    alone = F.when(F.col("customer_id").isNull() | F.col("product_id").isNull(), F.col("event_id")).alias("alone")
+    open_rows = placed.groupBy("customer_id", "product_id", alone, "w").agg(
+        F.collect_list(F.when(~is_action & ~F.col("beat"), F.struct("us", "event_id"))).alias("served"),
+        F.collect_list(F.when(is_action, F.struct("us", "event_id", "action"))).alias("acted"),
+    )
+    closed = open_rows.filter(F.size("served") > 0).select("customer_id", "product_id", F.sort_array("served").alias("served"), F.sort_array("acted").alias("acted"))
+    lists = closed.select("customer_id", "product_id", "served.us", "served.event_id", F.col("acted.us").alias("action_us"), F.col("acted.event_id").alias("action_id"), "acted.action")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        customer, product = (None if pd.isna(k) else int(k) for k in key)
-        waiting, acted = [], []
-        if state.exists:
-            held = state.get
-            waiting = list(zip(held[0], held[1]))
-            acted = list(zip(held[2], held[3], held[4]))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                # The timer woke the key; there are no rows.
-                continue
-            batch = batch[~batch["beat"]]
-            is_action = batch["action"].notna()
-            waiting += list(zip(batch["us"][~is_action].tolist(), batch["event_id"][~is_action].tolist()))
-            acted += list(zip(batch["us"][is_action].tolist(), batch["event_id"][is_action].tolist(), batch["action"][is_action].tolist()))
-        if customer is None or product is None:
-            final, waiting, acted, wake = [(i, None) for _, i in waiting], [], [], None
-        else:
-            final, waiting, acted, wake = _settle(sorted(waiting), sorted(acted), state.getCurrentWatermarkMs() * 1000, width)
-        if wake is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(([u for u, _ in waiting], [i for _, i in waiting], [a[0] for a in acted], [a[1] for a in acted], [a[2] for a in acted]))
-            # A timer fires when the watermark has passed it.
-            state.setTimeoutTimestamp(max(-(-wake // 1000), state.getCurrentWatermarkMs() + 1))
-        if final:
-            yield pd.DataFrame(
-                {
-                    "served_id": [i for i, _ in final],
-                    "customer_id": pd.array([customer] * len(final), "Int64"),
-                    "product_id": pd.array([product] * len(final), "Int64"),
-                    "action": [a[2] if a else None for _, a in final],
-                    "action_ts": pd.to_datetime([a[0] if a else None for _, a in final], unit="us"),
-                }
-            )
-
-    return both.groupBy("customer_id", "product_id").applyInPandasWithState(step, ANSWER_SCHEMA, OPEN_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+            found = []
+            for customer, product, us, ids, *acted in zip(*(column.to_pylist() for column in batch.columns)):
+                seen = [] if customer is None or product is None else list(zip(*acted))
+                final, *_ = _settle(list(zip(us, ids)), seen, us[-1] + width, width)
+                found += [(i, customer, product, a and a[2], a and a[0]) for i, a in final]
+            columns = zip(*found) if found else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, answer_types)], names=["served_id", "customer_id", "product_id", "action", "action_us"])
+
+    answer_types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    answers = lists.mapInArrow(settle, ANSWER_SCHEMA)
+    timeless = served.filter(F.col("ts").isNull() & ~F.col("event_type").eqNullSafe(HEARTBEAT)).select(
+        F.col("event_id").alias("served_id"), "customer_id", "product_id", F.lit(None).cast("string").alias("action"), F.lit(None).cast("timestamp").alias("action_ts")
+    )
+    return answers.select("served_id", "customer_id", "product_id", "action", F.timestamp_micros("action_us").alias("action_ts")).unionByName(timeless)
 
 
 def run_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:

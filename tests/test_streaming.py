@@ -128,6 +128,36 @@ def test_feedback_without_customer_or_product(spark):
     assert sorted((r["served_id"], r["customer_id"], r["product_id"], r["action"]) for r in got) == [(1, 5, None, None), (3, None, 1, None), (5, 6, 1, "click")]
 
 
+def test_answers_at_the_edges_of_a_window(spark):
+    """An action the whole window later counts, a microsecond more does not; a row without a time meets nothing."""
+    path, edge = fresh_path(spark, "landing"), pd.Timestamp("2024-01-01 03:00:00")
+    tick, width = pd.Timedelta(microseconds=1), pd.Timedelta(hours=3)
+    rows = [(1, edge - tick, 5, "view"), (2, edge - tick + width, 5, "click"), (3, edge, 6, "view"), (4, edge + width + tick, 6, "click"), (5, edge, 6, "click")]
+    rows += [(6, edge, 7, "view"), (7, edge - tick, 7, "click"), (8, edge + tick, 7, "purchase"), (9, None, 7, "view"), (10, None, 7, "click")]
+    frame = spark.createDataFrame([(i, t and t.to_pydatetime(), c, kind, 1.0, '{"k": 1}') for i, t, c, kind in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.coalesce(1).write.parquet(path)
+    _, got = in_two_runs(spark, path, pd.DataFrame({"ts": [edge]}), answers)
+    assert sorted((r["served_id"], r["action"], r["action_ts"]) for r in got) == [
+        (1, "click", (edge - tick + width).to_pydatetime()), (3, None, None), (6, "purchase", (edge + tick).to_pydatetime()), (9, None, None)
+    ]
+
+
+def test_no_python_call_for_a_key(spark, landing):
+    """State is held by Spark's aggregate: a Python call for each (customer, product) took longer than all the rest."""
+    plan = answers(read(spark, landing[0]))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "FlatMapGroups" not in plan and "TransformWithState" not in plan
+
+
+def test_one_key_with_many_rows_is_settled_in_order():
+    """Neither servings nor actions are gone through for each other."""
+    n = 30_000
+    views, acts = [(10 * i, i) for i in range(n)], [(10 * i + 5, n + i, "click") for i in range(n)]
+    final, waiting, kept, wake = stream._settle(views, acts, 10 * n, 4)
+    assert (final, waiting, kept, wake) == ([(i, None) for i in range(n)], [], [], None)
+    final, waiting, kept, wake = stream._settle(views, acts, 50, 7)
+    assert final == [(i, acts[i]) for i in range(5)] and waiting == views[5:] and kept == acts[5:] and wake == 55
+
+
 def test_new_review_files_are_classified_once(spark):
     path = fresh_path(spark, "reviews")
     schema = "review_id string, order_id string, review_score int, review_comment_message string"
