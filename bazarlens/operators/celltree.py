@@ -206,32 +206,44 @@ class CellTree:
         runs = [(self.codes[run[0]], self.codes[run[-1]]) for run in np.split(cells, breaks)]
         return F.expr(" OR ".join(f"cell BETWEEN {a} AND {b}" for a, b in runs))
 
-    def add_up_rows(self, models: list[np.ndarray], cells: np.ndarray) -> dict[int, list[tuple]]:
-        """{model: (cell index, cluster, n, cost, *sums)} of the rows in ``cells``, in one job for all models."""
-        point = F.array(*self.columns)
-        near = []
-        for i, centres in enumerate(models):
-            gaps = [
-                F.struct(sum(((point[d] - float(x)) * (point[d] - float(x)) for d, x in enumerate(c)), F.lit(0.0)).alias("gap"), F.lit(j).alias("cluster"))
-                for j, c in enumerate(centres)
-            ]
-            near.append(F.struct(F.lit(i).alias("model"), F.array_min(F.array(*gaps)).alias("own")))
-        rows = self.rows.where(self._among(cells)).select("cell", *self.columns, F.inline(F.array(*near)))
-        found = rows.groupBy("cell", "model", "own.cluster").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("own.gap").alias("cost"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(self.columns)]
-        )
+    def add_up_rows(self, models: list[np.ndarray], cells: np.ndarray, borders: list[np.ndarray]) -> dict[int, list[tuple]]:
+        """{model: (cluster, n, cost, *sums)} of the rows in ``cells`` that lie in a model's own border cells, in one job for all models.
+
+        A task sends one row per model and cluster, however many cells it reads.
+        """
+        columns, codes, dims = self.columns, self.codes[cells], len(self.columns)
+        crossed = [np.isin(cells, border) for border in borders]
+        names = ["model", "cluster", "n", "cost", *[f"s{d}" for d in range(dims)]]
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((len(centres), 2 + dims)) for centres in models]
+            for batch in batches:
+                at = np.searchsorted(codes, batch.column(0).to_numpy())
+                x = np.stack([batch.column(1 + d).to_numpy() for d in range(dims)], axis=1)
+                for centres, mine, total in zip(models, crossed, sums):
+                    points = x[mine[at]]
+                    gap = sum((points[:, d, None] - centres[None, :, d]) ** 2 for d in range(dims))
+                    own, k = gap.argmin(axis=1), len(centres)
+                    total[:, 0] += np.bincount(own, minlength=k)
+                    total[:, 1] += np.bincount(own, gap[np.arange(len(own)), own], k)
+                    for d in range(dims):
+                        total[:, 2 + d] += np.bincount(own, points[:, d], k)
+            rows = np.array([(i, j, *part) for i, total in enumerate(sums) for j, part in enumerate(total) if part[0] > 0]).reshape(-1, 4 + dims)
+            yield pa.record_batch([pa.array(rows[:, i].astype(np.int64) if i < 3 else rows[:, i]) for i in range(4 + dims)], names=names)
+
+        schema = ", ".join(f"{name} {'long' if i < 3 else 'double'}" for i, name in enumerate(names))
+        parts = self.rows.where(self._among(cells)).select("cell", *columns).mapInArrow(add_up, schema)
         self.rows_read += int(self.levels[-1].n[cells].sum())
         result: dict[int, list[tuple]] = {}
-        for r in found.collect():
-            at = int(np.searchsorted(self.codes, r["cell"]))
-            result.setdefault(r["model"], []).append((at, r["cluster"], r["n"], r["cost"], *[r[f"s{i}"] for i in range(len(self.columns))]))
+        for r in parts.groupBy("model", "cluster").agg(*[F.sum(name).alias(name) for name in names[2:]]).collect():
+            result.setdefault(r["model"], []).append(tuple(r)[1:])
         return result
 
     def update(self, models: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """One Lloyd update of every model, and its cost before the update. An empty cluster stays."""
         by_cells = [self.totals(centres) for centres in models]
         away = self.hold(np.unique(np.concatenate([x[3] for x in by_cells])) if models else np.zeros(0, int))
-        rest = self.add_up_rows(models, away) if len(away) else {}
+        rest = self.add_up_rows(models, away, [x[3] for x in by_cells]) if len(away) else {}
         moved, costs = [], np.zeros(len(models))
         for i, (centres, (counts, sums, cost, border)) in enumerate(zip(models, by_cells)):
             here = border[self.spans[border, 0] >= 0]
@@ -241,12 +253,10 @@ class CellTree:
             counts = counts + np.bincount(own, minlength=len(centres))
             sums = sums + np.stack([np.bincount(own, points[:, d], len(centres)) for d in range(points.shape[1])], axis=1)
             costs[i] = cost.sum() + gap[np.arange(len(own)), own].sum()
-            crossed = set(border.tolist())
-            for cell, cluster, n, part, *s in rest.get(i, ()):
-                if cell in crossed:
-                    counts[cluster] += n
-                    sums[cluster] += s
-                    costs[i] += part
+            for cluster, n, part, *s in rest.get(i, ()):
+                counts[cluster] += n
+                sums[cluster] += s
+                costs[i] += part
             moved.append(np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres))
         return moved, costs
 

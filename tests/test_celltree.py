@@ -156,3 +156,22 @@ def test_silhouettes_of_one_and_three_columns(spark):
 def test_one_cluster_has_no_silhouette(spark):
     with pytest.raises(ValueError):
         euclidean_silhouettes(frame_of(spark, made(1, 30)), ["x", "y"], {0: (F.lit(0), [0, 1])})
+
+
+def test_border_rows_are_added_up_per_cluster_and_not_per_cell(spark):
+    """With no rows held: one row per model and cluster comes back, however many cells a border crosses, and an update is plain Lloyd's."""
+    x = np.random.default_rng(5).normal(size=(4000, 2))
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    tree = celltree.CellTree.build(frame, ["a", "b"], bits=8, held_rows=0)
+    models = [x[:2], x[2:5]]
+    borders = [tree.totals(centres)[3] for centres in models]
+    cells = np.unique(np.concatenate(borders))
+    found = tree.add_up_rows(models, cells, borders)
+    assert len(cells) > 20 and {i: len(rows) for i, rows in found.items()} == {0: 2, 1: 3}
+    assert [sum(r[1] for r in found[i]) for i in range(2)] == [tree.levels[-1].n[b].sum() for b in borders]
+    moved, costs = tree.update(models)
+    for centres, new, cost in zip(models, moved, costs):
+        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = gap.argmin(axis=1)
+        np.testing.assert_allclose(new, [x[own == j].mean(axis=0) for j in range(len(centres))], rtol=1e-9)
+        assert cost == pytest.approx(gap.min(axis=1).sum())
