@@ -187,6 +187,50 @@ def test_pruning_leaves_what_may_be_frequent():
         levels.widen()
 
 
+def test_ngrams_run_no_job_of_their_own_and_send_no_rows_per_occurrence(spark):
+    frame = spark.createDataFrame([([f"w{i % 7}" for i in range(d, d + 60)],) for d in range(50)], "tokens array<string>").coalesce(1)
+    spark.sparkContext.setJobGroup("ngrams-built", "")
+    try:
+        counts = ngrams.ngram_counts(frame, slots=4)
+        # Nothing is counted beforehand, for the driver to send to all tasks.
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ngrams-built")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["n"], r["freq"], r["doc_freq"]) for r in counts.collect()} <= {(n, f, 50) for n in (1, 2, 3) for f in range(400, 440)}
+    assert counts.count() == 21
+
+
+def test_ngrams_of_tokens_with_blanks_and_nulls(spark):
+    """Different tokens may make one term; it counts once a document."""
+    docs = [["a b", "c"], ["a", "b c"], ["a b", "c", "a", "b c"], [None, "a", None], ["a", None, "a"], [None] * 4, ["", "a", ""], None, []] * 2
+    term = lambda words: " ".join(w for w in words if w is not None)
+    freq, doc_freq = Counter(), Counter()
+    for d in docs:
+        grams = [(n, term(d[i : i + n])) for n in (1, 2, 3) for i in range(len(d or []) - n + 1)]
+        freq.update(grams)
+        doc_freq.update(set(grams))
+    frame = spark.createDataFrame([(d,) for d in docs], "tokens array<string>")
+    got = {(r["n"], r["term"]): (r["freq"], r["doc_freq"]) for r in ngrams.ngram_counts(frame, min_df=2).collect()}
+    assert got == {g: (freq[g], doc_freq[g]) for g in freq if doc_freq[g] >= 2}
+
+
+def test_ngrams_are_packed_once_per_chunk_of_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [[f"w{rng.integers(12)}" for _ in range(rng.integers(0, 40))] for _ in range(60)] + [None, [], ["w1"] * 300]
+    monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 200)
+    chunks = list(ngrams._chunks(pa.array(docs, pa.list_(pa.string()))))
+    assert sum((c.to_pylist() for c in chunks), []) == docs and len(chunks) > 5
+    assert all(len(c) == 1 or sum(map(len, filter(None, c.to_pylist()))) <= 200 for c in chunks)
+    for chunk in chunks:
+        freq, doc_freq = Counter(), Counter()
+        for d in chunk.to_pylist():
+            grams = [(n, " ".join(d[i : i + n])) for n in (1, 2, 3) for i in range(len(d) - n + 1)] if d else []
+            freq.update(grams)
+            doc_freq.update(set(grams))
+        got = [(r["n"], t, f, c) for b in ngrams._counted(chunk, (1, 2, 3), 16) for r in b.to_pylist() for t, f, c in zip(r["terms"], r["freq"], r["docs"])]
+        assert sorted(got) == sorted((n, t, freq[n, t], doc_freq[n, t]) for n, t in freq)
+
+
 def test_functions_over_columns_and_groups(spark):
     frame = spark.createDataFrame([("a", 3, "X"), ("a", 5, None), ("b", None, "y")], "k string, n int, t string")
     beside = profiling.apply_columns(frame, ["k", "t"], F.upper, "_up")
