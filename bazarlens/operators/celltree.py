@@ -28,6 +28,8 @@ CELL_BITS = 14
 # Cells that silhouettes are computed by: 2^10 at most, of about so many rows.
 GROUP_BITS = 10
 GROUP_ROWS = 1000
+# Rows that a task sends to the cells that its points are near to.
+MEETING_ROWS = 1 << 19
 QUANTILE_ACCURACY = 10_000
 # Rows of border cells that the fit holds; beyond it they are added up by a job per pass.
 HELD_ROWS = 1 << 18
@@ -489,10 +491,15 @@ def euclidean_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, t
         yield pa.record_batch([pa.array(np.arange(len(names))), pa.array(total), pa.array(count)], names=["at", "s", "n"])
 
     labels_of = {name: list(ids) for name, (_, ids) in labels.items()}
-    # The number of cells is bounded, and so is that of their pairs.
-    pairs = df.sparkSession.createDataFrame(close, "target long, cell long")
-    sources = points.join(F.broadcast(pairs), "cell").select("target", F.lit(1).alias("role"), F.col("cell").alias("source"), *values)
-    targets = points.select(F.col("cell").alias("target"), F.lit(0).alias("role"), F.col("cell").alias("source"), *values)
-    meeting = targets.unionByName(sources).repartition("target").sortWithinPartitions("target", "role", "source")
+    # The number of cells is bounded, and so is that of their pairs. A point is sent to some hundred cells: so few
+    # points a task that it sends MEETING_ROWS, and one target a task that sorts what meets there.
+    at = {t: i for i, t in enumerate(numbers.tolist())}
+    held_by = dict(zip(numbers.tolist(), cells["points"].tolist()))
+    roles = [(at[t], t, 0, t) for t in at] + [(at[t], t, 1, s) for t, s in close]
+    pairs = df.sparkSession.createDataFrame(roles, "part int, target long, role int, cell long")
+    sent = sum(held_by[s] for _, _, _, s in roles)
+    dealt = points.repartition(-(-sent // MEETING_ROWS), *columns)
+    meeting = dealt.join(F.broadcast(pairs), "cell").select("part", "target", "role", F.col("cell").alias("source"), *values)
+    meeting = meeting.repartitionById(len(numbers), "part").drop("part").sortWithinPartitions("target", "role", "source")
     scored = meeting.mapInArrow(score, "at long, s double, n double").groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
     return {names[r["at"]]: (r["s"] / r["n"], int(r["n"])) for r in scored if r["n"]}

@@ -153,6 +153,21 @@ def test_silhouettes_of_one_and_three_columns(spark):
         assert found[0] == (pytest.approx(brute(x, labels)[0], abs=1e-8), 350)
 
 
+def test_a_task_holds_what_meets_in_one_cell(spark, monkeypatch):
+    """Points are sent by tasks of few rows, and no task sorts the rows of two target cells."""
+    x = made(3, 1500)
+    frame = frame_of(spark, x, c=(x[:, 0] > 3).astype(int))
+    kind, met = type(frame), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: met.append(self) or plain(self, *a, **b))
+    monkeypatch.setattr(celltree, "MEETING_ROWS", 2000, raising=False)
+    found = euclidean_silhouettes(frame, ["x", "y"], {0: (F.col("c"), [0, 1])}, 20)
+    assert found[0] == (pytest.approx(brute(x, (x[:, 0] > 3).astype(int))[0], abs=1e-8), len(x))
+    meeting = next(m for m in met if "target" in m.columns)
+    per_task = meeting.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("target").alias("targets")).collect()
+    assert len(per_task) > 10 and {r["targets"] for r in per_task} == {1}
+
+
 def test_one_cluster_has_no_silhouette(spark):
     with pytest.raises(ValueError):
         euclidean_silhouettes(frame_of(spark, made(1, 30)), ["x", "y"], {0: (F.lit(0), [0, 1])})
