@@ -63,8 +63,15 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.pair_rank = np.append(np.array(merged, np.int64)[order], self.size)
+        self.pair_hashes = np.zeros(1 << 22, bool)
+        self.pair_hashes[self._hash(self.pair_keys)] = True
         self._build_trie(usable)
 
+    @staticmethod
+    def _hash(pairs: np.ndarray) -> np.ndarray:
+        """22 bits of each pair's key; the product may overflow."""
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
     def _merged_below(self, token: bytes, limit: int) -> list[int]:
         """Ranks of the parts that merges of a rank under ``limit`` leave."""
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -115,9 +122,11 @@ class Vocabulary:
         limit = np.full(len(a), self.size, np.int64)
         while len(at):
             key = a * self.size + b
-            found = np.searchsorted(self.pair_keys, key)
-            rank = np.where(self.pair_keys[found] == key, self.pair_rank[found], self.size)
-            bad = rank < limit
+            # Most pairs never merge, which a look at their hash tells.
+            maybe = np.flatnonzero(self.pair_hashes[self._hash(key)])
+            found = np.searchsorted(self.pair_keys, key[maybe])
+            bad = np.zeros(len(at), bool)
+            bad[maybe] = np.where(self.pair_keys[found] == key[maybe], self.pair_rank[found], self.size) < limit[maybe]
             ok[at[bad]] = False
             splits_a, splits_b = self.left[a] >= 0, self.left[b] >= 0
             go = ~bad & (splits_a | splits_b)
@@ -149,10 +158,10 @@ class Vocabulary:
 
     def last_tokens(self, pieces: list[bytes]) -> np.ndarray:
         """The table: row i, column j is the last token of the first j bytes of piece i, -1 beyond its end."""
-        width = max(map(len, pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(lengths.max())
         data = np.full((len(pieces), width), -1, np.int16)
-        for i, piece in enumerate(pieces):
-            data[i, : len(piece)] = np.frombuffer(piece, np.uint8)
+        data[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
         last = np.full((len(pieces), width + 1), -1, np.int32)
         by_end: list[list] = [[] for _ in range(width + 1)]
         for length, (rows, starts, tokens) in enumerate(self.tokens_from(data), 1):
@@ -176,21 +185,24 @@ class Vocabulary:
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as 32-bit integers; a piece that is a token is that token."""
         result: list[bytes | None] = [self.ids_of[x] if x in self.ids_of else (b"" if not x else None) for x in pieces]
-        rest = sorted((i for i, x in enumerate(result) if x is None), key=lambda i: len(pieces[i]))
+        rest = np.array([i for i, x in enumerate(result) if x is None], np.int64)
+        lengths = np.array([len(pieces[i]) for i in rest.tolist()], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        rest, lengths = rest[order], lengths[order]
         start = 0
         while start < len(rest):
             # Pieces of like length side by side; a table of bounded size at once.
-            stop = start + 1
-            while stop < len(rest) and (stop - start + 1) * (len(pieces[rest[stop]]) + 1) <= 400_000 and len(pieces[rest[stop]]) <= 2 * len(pieces[rest[start]]) + 4:
-                stop += 1
-            group = rest[start:stop]
-            for i, ids in zip(group, self._walk_back(self.last_tokens([pieces[i] for i in group]), [len(pieces[i]) for i in group]), strict=True):
+            alike = min(int(np.searchsorted(lengths, 2 * lengths[start] + 4, side="right")), start + 400_000)
+            cells = np.arange(1, alike - start + 1) * (lengths[start:alike] + 1)
+            stop = start + max(1, int(np.searchsorted(cells, 400_000, side="right")))
+            group = rest[start:stop].tolist()
+            for i, ids in zip(group, self._walk_back(self.last_tokens([pieces[i] for i in group]), lengths[start:stop]), strict=True):
                 result[i] = ids
             start = stop
         return result
 
-    def _walk_back(self, last: np.ndarray, lengths: list[int]) -> list[bytes]:
-        place, rows, steps = np.array(lengths), np.arange(len(lengths)), []
+    def _walk_back(self, last: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        place, rows, steps = lengths.copy(), np.arange(len(lengths)), []
         while (place > 0).any():
             token = np.where(place > 0, last[rows, place], -1)
             steps.append(token)

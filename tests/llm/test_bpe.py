@@ -72,3 +72,22 @@ def test_documents(spark, ranks, library):
     back = {r["doc_id"]: r["text"] for r in bpe.decode(rows, ranks).collect()}
     assert all(back[i] == (text or "") for i, text in enumerate(texts, 10))
     assert bpe.encode(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_only_pairs_that_may_merge_are_searched_for(encoder, library, monkeypatch):
+    """Pieces of all lengths side by side are encoded as by the library, and few of their pairs need the search."""
+    random.seed(8)
+    pieces = ["".join(random.choice("etaoinshré") for _ in range(random.choice((0, 1, 3, 9, 9, 40, 300)))) for _ in range(1500)]
+    vocabulary, asked, searched = encoder.vocabulary, [], []
+    follow, search = vocabulary.may_follow, np.searchsorted
+
+    def counted(keys, values, *a, **b):
+        if keys is vocabulary.pair_keys:
+            searched.append(len(values))
+        return search(keys, values, *a, **b)
+
+    monkeypatch.setattr(vocabulary, "may_follow", lambda a, b: asked.append(len(a)) or follow(a, b))
+    monkeypatch.setattr(np, "searchsorted", counted)
+    found = vocabulary.encode([x.encode() for x in pieces])
+    assert [np.frombuffer(x, np.int32).tolist() for x in found] == [library._encode_single_piece(x) if x else [] for x in pieces]
+    assert 0 < sum(searched) < sum(asked)
