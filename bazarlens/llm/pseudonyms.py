@@ -53,11 +53,15 @@ def _quoted(text: str) -> str:
 
 
 def _feistel(value: str, left: str, right: str, tweak: str, key: str) -> str:
-    """The permuted place of ``value`` among ``left * right`` values; both sizes are bigints."""
+    """The permuted place of ``value`` among ``left * right`` values; both sizes are bigints.
+
+    All three are named once, as the expression is large enough to plan as it is.
+    """
     mixed = f"CAST(conv(substr(sha2(concat_ws('|', {_quoted(key)}, {tweak}, CAST(r AS STRING), CAST(s.b AS STRING)), 256), 1, 15), 16, 10) AS BIGINT)"
-    start = f"named_struct('a', CAST(({value}) DIV ({right}) AS BIGINT), 'b', CAST(({value}) % ({right}) AS BIGINT))"
-    step = f"named_struct('a', s.b, 'b', CAST(pmod(s.a + {mixed}, IF(r % 2 = 0, {left}, {right})) AS BIGINT))"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> s.a * ({right}) + s.b)"
+    start = "named_struct('a', CAST(f.v DIV f.r AS BIGINT), 'b', CAST(f.v % f.r AS BIGINT))"
+    step = f"named_struct('a', s.b, 'b', CAST(pmod(s.a + {mixed}, IF(r % 2 = 0, f.l, f.r)) AS BIGINT))"
+    moved = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> s.a * f.r + s.b)"
+    return _let("f", f"named_struct('v', {value}, 'l', {left}, 'r', {right})", moved)
 
 
 def _digits(text: str) -> str:
@@ -65,8 +69,10 @@ def _digits(text: str) -> str:
 
 
 def _power(base: int, exponent: str) -> str:
-    # A table of whole numbers; pow() would go through doubles.
-    values = ", ".join(f"{base**i}L" for i in range(0, 14 if base == 26 else 19))
+    # Whole numbers; pow() would go through doubles.
+    if base == 10:
+        return f"CAST(rpad('1', CAST({exponent} AS INT) + 1, '0') AS BIGINT)"
+    values = ", ".join(f"{base**i}L" for i in range(0, 14))
     return f"element_at(array({values}), CAST({exponent} AS INT) + 1)"
 
 
@@ -118,19 +124,34 @@ def _is_card(digits: str) -> str:
     return f"(length({digits}) BETWEEN 13 AND 19 AND {digits} NOT RLIKE '^([0-9])\\\\1*$' AND {_luhn_sum(digits)} % 10 = 0)"
 
 
-def _card_run(m: str, key: str) -> str:
-    """A run as one number or, if it is none, the numbers between borders of its groups; other formats in the rest."""
+#: Kinds of pieces: text that stays, a value of another format, a card number.
+STAYS, VALUE, NUMBER = 0, 1, 2
+
+
+def _piece(kind: int, text: str) -> str:
+    return f"named_struct('k', {kind}, 't', {text})"
+
+
+def _pieces(m: str) -> str:
+    """A value as one piece; a run of digits cut at the card numbers between borders of its groups, and at values of other formats in the rest.
+
+    What is cut here is replaced elsewhere, so each format's expression stands in the plan once.
+    """
+    # The whole run comes before any other reading.
+    whole = f"array(named_struct('k', -1, 'p', 1, 'c', {m}))"
     readings = ", ".join(f"named_struct('k', {k}, 'p', p, 'c', regexp_extract(w, {_quoted('^(?:' + x + ')(?![0-9])')}, 0))" for k, x in enumerate(CARD_LAYOUTS))
     starts = f"filter(sequence(1, length({m})), p -> p = 1 OR substr({m}, p - 1, 1) IN (' ', '-'))"
-    every = f"flatten(transform({starts}, p -> {_let('w', f'substr({m}, p, 40)', f'array({readings})')}))"
+    every = f"concat({whole}, flatten(transform({starts}, p -> {_let('w', f'substr({m}, p, 40)', f'array({readings})')})))"
     valid = f"array_sort(filter({every}, x -> {_let('d', _digits('x.c'), _is_card('d'))}))"
     clear = "exists(s, y -> x.p < y.p + length(y.c) AND y.p < x.p + length(x.c))"
     chosen = f"aggregate(v, filter(v, x -> false), (s, x) -> IF({clear}, s, concat(s, array(x))))"
     ordered = f"concat(array_sort(transform({_let('v', valid, chosen)}, x -> named_struct('p', x.p, 'c', x.c))), array(named_struct('p', length({m}) + 1, 'c', '')))"
-    rest = _let("z", f"substr({m}, s.at, x.p - s.at)", _replaced("z", IN_RUN, key))
-    number = f"IF(x.c = '', '', {_let('y', 'x.c', _card('y', key))})"
-    parts = f"aggregate({ordered}, named_struct('o', '', 'at', 1), (s, x) -> named_struct('o', concat(s.o, {rest}, {number}), 'at', x.p + length(x.c)), s -> s.o)"
-    return f"IF({_let('d', _digits(m), _is_card('d'))}, {_card(m, key)}, {parts})"
+    pattern = _quoted("|".join(f"(?:{PATTERNS[name]})" for name in IN_RUN))
+    rest = f"flatten(zip_with(split(z, {pattern}, -1), regexp_extract_all(z, {pattern}, 0), (x, y) -> array({_piece(STAYS, 'x')}, {_piece(VALUE, "coalesce(y, '')")})))"
+    rest = _let("z", f"substr({m}, s.at, x.p - s.at)", rest)
+    start = "named_struct('o', CAST(array() AS ARRAY<STRUCT<k: INT, t: STRING>>), 'at', 1)"
+    parts = f"aggregate({ordered}, {start}, (s, x) -> named_struct('o', concat(s.o, {rest}, array({_piece(NUMBER, 'x.c')})), 'at', x.p + length(x.c)), s -> s.o)"
+    return f"IF({m} RLIKE {_quoted('^(?:' + PATTERNS['card'] + ')$')}, {parts}, array({_piece(VALUE, m)}))"
 
 
 def _ssn(m: str, key: str) -> str:
@@ -207,24 +228,24 @@ def _email(m: str, key: str) -> str:
     return _let("u", f"substring_index({m}, '@', 1)", f"concat({local}, '@', substring_index({m}, '@', -1))")
 
 
-def pseudonym(match: str, key: str, names: tuple[str, ...] = tuple(PATTERNS)) -> str:
+def pseudonym(match: str, key: str) -> str:
     """SQL for the pseudonym of the SQL string ``match``; what fails its format's check stays as it is."""
-    makers = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "nanp": _nanp, "phone": _phone, "card": _card_run}
+    makers = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "nanp": _nanp, "phone": _phone}
     whole = lambda name: _quoted("^(?:" + PATTERNS[name] + ")$")
-    cases = " ".join(f"WHEN {match} RLIKE {whole(name)} THEN {makers[name](match, key)}" for name in names)
-    return f"CASE {cases} ELSE {match} END"
+    cases = " ".join(f"WHEN j.t RLIKE {whole(name)} THEN {maker('j.t', key)}" for name, maker in makers.items())
+    moved = f"CASE WHEN j.k = {STAYS} OR j.t = '' THEN j.t WHEN j.k = {NUMBER} THEN {_card('j.t', key)} {cases} ELSE j.t END"
+    return f"array_join(transform({_pieces(match)}, j -> {moved}), '')"
 
 
-def _replaced(text: str, names: tuple[str, ...], key: str) -> str:
-    """SQL for the string ``text`` with every value of the named formats replaced."""
-    pattern = _quoted("|".join(f"(?:{PATTERNS[name]})" for name in names))
-    moved = f"transform(regexp_extract_all({text}, {pattern}, 0), m -> {pseudonym('m', key, names)})"
-    return f"array_join(flatten(zip_with(split({text}, {pattern}, -1), {moved}, (x, y) -> array(x, coalesce(y, '')))), '')"
+def _replaced(text: str, key: str) -> str:
+    """SQL for the string ``text`` with every value of a known format replaced."""
+    moved = f"transform(regexp_extract_all({text}, {_quoted(ANY)}, 0), m -> {pseudonym('m', key)})"
+    return f"array_join(flatten(zip_with(split({text}, {_quoted(ANY)}, -1), {moved}, (x, y) -> array(x, coalesce(y, '')))), '')"
 
 
 def pseudonymised(text: str, key: str) -> Column:
     """The string column ``text`` with every value of a known format replaced."""
-    joined = _replaced(f"`{text}`", tuple(PATTERNS), key)
+    joined = _replaced(f"`{text}`", key)
     # Texts without a digit or an at sign, the most, are not searched.
     return F.expr(f"CASE WHEN `{text}` RLIKE '[0-9@]' AND `{text}` RLIKE {_quoted(ANY)} THEN {joined} ELSE `{text}` END")
 

@@ -113,3 +113,16 @@ def test_digit_and_letter_strings_are_permuted(spark):
 def test_plan_has_no_python(spark):
     plan = pseudonyms.pseudonymise(documents(spark, ["a"]).select("doc_id", "text"), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_each_format_stands_in_the_plan_once(spark):
+    """Nine networks: letters and digits of addresses, and one for each other format. The driver plans all of it."""
+    plan = pseudonyms.pseudonymise(documents(spark, ["a"]), KEY)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sha2(") == 9
+
+
+def test_values_inside_runs_move_as_they_do_alone(spark):
+    values = ["4111 1111 1111 1111", "2024-02-29", "123-45-6789", "212-555-0123"]
+    together = " ".join(values) + " 77"
+    moved = replaced(spark, *values, together)
+    assert moved[-1] == " ".join(moved[:-1]) + " 77" and all(a != b for a, b in zip(values, moved, strict=False))
