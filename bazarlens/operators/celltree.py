@@ -27,12 +27,19 @@ from bazarlens.session import materialize
 CELL_BITS = 14
 # Cells that silhouettes are computed by: 2^10 at most, of about so many rows.
 GROUP_BITS = 10
-GROUP_ROWS = 1000
+GROUP_ROWS = 1 << 15
+# Points of near cells that meet those of a cell at once.
+MEETING_POINTS = 1 << 16
+# A box with more points is halved; so many distances are computed at once.
+LEAF_POINTS = 64
+DIRECT_PAIRS = 1 << 16
 # Rows that a task sends to the cells that its points are near to.
 MEETING_ROWS = 1 << 19
 QUANTILE_ACCURACY = 10_000
 # Rows of border cells that the fit holds; beyond it they are added up by a job per pass.
-HELD_ROWS = 1 << 18
+HELD_ROWS = 1 << 20
+# Ranges of cells that a scan is told to look at.
+SCAN_RANGES = 48
 # Points per dimension that stand in for a cell. With gaps of at least GAP times
 # the half side, a distance is off by less than 3e-8 of itself.
 NODES = 8
@@ -185,17 +192,26 @@ class CellTree:
         """Fetch the rows of these finest cells, as far as the budget allows; returns the cells that stay away.
 
         Neighbours under the same cell two levels up come along, since a
-        border moves on to them.
+        border moves on to them; all cells do once that is most of the rows.
         """
         away = cells[self.spans[cells, 0] < 0]
         if not len(away):
             return away
         dims, n = len(self.columns), self.levels[-1].n
         around = np.flatnonzero(np.isin(self.codes >> 2 * dims, self.codes[away] >> 2 * dims) & (self.spans[:, 0] < 0))
-        wanted = next((x for x in (around, away) if len(self.held) + n[x].sum() <= self.held_rows), None)
+        rest = np.flatnonzero(self.spans[:, 0] < 0)
+        choices = ([rest] if 2 * n[around].sum() > n[rest].sum() else []) + [around, away]
+        wanted = next((x for x in choices if len(self.held) + n[x].sum() <= self.held_rows), None)
         if wanted is None:
             return away
-        got = self.rows.where(self._among(wanted)).select("cell", *self.columns).toPandas().sort_values("cell", kind="stable")
+        codes = self.codes[wanted]
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_places(codes, batch.column(0).to_numpy())[1]))
+
+        schema = ", ".join(f"`{c}` {'long' if c == 'cell' else 'double'}" for c in ["cell", *self.columns])
+        got = self.rows.where(self._among(wanted)).select("cell", *self.columns).mapInArrow(keep, schema).toPandas().sort_values("cell", kind="stable")
         edges = len(self.held) + np.searchsorted(got["cell"].to_numpy(), self.codes[wanted])
         self.spans[wanted, 0], self.spans[wanted, 1] = edges, edges + n[wanted]
         self.held = np.concatenate([self.held, got[self.columns].to_numpy(float)])
@@ -203,8 +219,10 @@ class CellTree:
         return away[:0]
 
     def _among(self, cells: np.ndarray) -> Column:
-        """Rows of these cells, as ranges that the scan can skip by."""
-        breaks = np.flatnonzero(np.diff(cells) > 1) + 1
+        """Rows of these cells and of some between them: few ranges, which the scan can skip by and compiled code holds."""
+        cells = np.sort(cells)
+        breaks = np.flatnonzero(np.diff(cells) > 1)
+        breaks = np.sort(breaks[np.argsort(np.diff(cells)[breaks], kind="stable")[-SCAN_RANGES + 1 :]]) + 1
         runs = [(self.codes[run[0]], self.codes[run[-1]]) for run in np.split(cells, breaks)]
         return F.expr(" OR ".join(f"cell BETWEEN {a} AND {b}" for a, b in runs))
 
@@ -220,8 +238,8 @@ class CellTree:
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = [np.zeros((len(centres), 2 + dims)) for centres in models]
             for batch in batches:
-                at = np.searchsorted(codes, batch.column(0).to_numpy())
-                x = np.stack([batch.column(1 + d).to_numpy() for d in range(dims)], axis=1)
+                at, among = _places(codes, batch.column(0).to_numpy())
+                at, x = at[among], np.stack([batch.column(1 + d).to_numpy() for d in range(dims)], axis=1)[among]
                 for centres, mine, total in zip(models, crossed, sums):
                     points = x[mine[at]]
                     gap = sum((points[:, d, None] - centres[None, :, d]) ** 2 for d in range(dims))
@@ -250,7 +268,7 @@ class CellTree:
         for i, (centres, (counts, sums, cost, border)) in enumerate(zip(models, by_cells)):
             here = border[self.spans[border, 0] >= 0]
             points = self.held[_ranges(self.spans[here, 0], self.spans[here, 1])]
-            gap = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2)
+            gap = sum((points[:, d, None] - centres[None, :, d]) ** 2 for d in range(points.shape[1]))
             own = gap.argmin(axis=1)
             counts = counts + np.bincount(own, minlength=len(centres))
             sums = sums + np.stack([np.bincount(own, points[:, d], len(centres)) for d in range(points.shape[1])], axis=1)
@@ -263,6 +281,12 @@ class CellTree:
         return moved, costs
 
 
+def _places(codes: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of each cell in ascending ``codes``, whether it is one of them)."""
+    at = np.minimum(np.searchsorted(codes, cell), len(codes) - 1)
+    return at, codes[at] == cell
+
+
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The numbers from each first up to its last, one range after the other."""
     many = last - first
@@ -282,13 +306,12 @@ def cell_nodes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def node_shares(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How much each node of the box stands for each point: a function's values at the nodes, weighted so, give it at the point."""
     roots = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
-    order = np.arange(1, NODES)
-    at_roots = np.cos(order[:, None] * np.arccos(roots)[None])
+    at_roots = np.cos(np.arange(1, NODES)[:, None] * np.arccos(roots)[None])
     shares = np.ones((len(points), 1))
     for d in range(points.shape[1]):
         half = (high[d] - low[d]) / 2
         place = np.clip((points[:, d] - (low[d] + high[d]) / 2) / half, -1, 1) if half > 0 else np.zeros(len(points))
-        own = (1 + 2 * np.cos(np.arccos(place)[:, None] * order[None]) @ at_roots) / NODES
+        own = (1 + 2 * np.polynomial.chebyshev.chebvander(place, NODES - 1)[:, 1:] @ at_roots) / NODES
         shares = (shares[:, :, None] * own[:, None, :]).reshape(len(points), -1)
     return shares
 
@@ -301,45 +324,120 @@ def far_apart(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_hi
 
 
 def _direct(targets: np.ndarray, sources: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    step = max(1, (1 << 21) // max(1, len(sources)))
+    step = max(1, DIRECT_PAIRS // max(1, len(sources)))
     out = np.empty((len(targets), weights.shape[1]))
+    columns = np.ascontiguousarray(sources.T)
     for start in range(0, len(targets), step):
         part = targets[start : start + step]
         square = np.zeros((len(part), len(sources)))
         for d in range(targets.shape[1]):
-            gap = part[:, d, None] - sources[None, :, d]
-            square += gap * gap
-        out[start : start + step] = np.sqrt(square) @ weights
+            gap = part[:, d, None] - columns[d]
+            gap *= gap
+            square += gap
+        out[start : start + step] = np.sqrt(square, out=square) @ weights
     return out
 
 
+class _Boxes:
+    """Points halved across the longest side of their box, where asked for, until ``leaf`` or fewer are left."""
+
+    def __init__(self, points: np.ndarray, leaf: int) -> None:
+        most = 4 * len(points) // leaf + 3
+        self.points, self.order, self.leaf, self.n = points, np.arange(len(points)), leaf, 0
+        self.first, self.last = np.zeros(most, int), np.zeros(most, int)
+        self.low, self.high = np.zeros((most, points.shape[1])), np.zeros((most, points.shape[1]))
+        #: The first of a box's two children, which follow each other; 0 if it has none.
+        self.child = np.zeros(most, int)
+        self._add(0, len(points))
+
+    def _add(self, first: int, last: int) -> None:
+        at, self.n = self.n, self.n + 1
+        mine = self.points[first:last]
+        self.first[at], self.last[at], self.low[at], self.high[at] = first, last, mine.min(axis=0), mine.max(axis=0)
+
+    def is_leaf(self, boxes: np.ndarray) -> np.ndarray:
+        return self.last[boxes] - self.first[boxes] <= self.leaf
+
+    def halves(self, boxes: np.ndarray) -> np.ndarray:
+        """The first child of each box, which is made if it is not there."""
+        for at in np.unique(boxes[self.child[boxes] == 0]):
+            a, b = self.first[at], self.last[at]
+            half = (b - a) // 2
+            by_side = np.argpartition(self.points[a:b, (self.high[at] - self.low[at]).argmax()], half)
+            self.order[a:b], self.points[a:b] = self.order[a:b][by_side], self.points[a:b][by_side]
+            self.child[at] = self.n
+            self._add(a, a + half)
+            self._add(a + half, b)
+        return self.child[boxes]
+
+    def mine(self, at: int) -> slice:
+        return slice(self.first[at], self.last[at])
+
+
+def _pairs_of_boxes(a: _Boxes, b: _Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of boxes that lie far apart, pairs of leaves that do not): every pair of points is in one of them."""
+    open_, far, near = np.zeros((1, 2), int), [], []
+    while len(open_):
+        i, j = open_.T
+        between = np.maximum(0, np.maximum(b.low[j] - a.high[i], a.low[i] - b.high[j]))
+        side, other = (a.high[i] - a.low[i]).max(axis=1), (b.high[j] - b.low[j]).max(axis=1)
+        gap = np.sqrt((between * between).sum(axis=1))
+        apart = (gap > 0) & (gap >= GAP * np.maximum(side, other) / 2)
+        last = ~apart & a.is_leaf(i) & b.is_leaf(j)
+        far.append(open_[apart])
+        near.append(open_[last])
+        halve_a = ~a.is_leaf(i) & (b.is_leaf(j) | (side >= other))
+        x, y = open_[~apart & ~last & halve_a], open_[~apart & ~last & ~halve_a]
+        left, right = a.halves(x[:, 0]), b.halves(y[:, 1])
+        open_ = np.concatenate([np.stack(pair, axis=1) for more in (0, 1) for pair in ((left + more, x[:, 1]), (y[:, 0], right + more))])
+    return np.concatenate(far), np.concatenate(near)
+
+
+def _by_first(pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, its seconds) of pairs."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+        if len(part):
+            yield int(part[0, 0]), part[:, 1]
+
+
 def distance_sums(targets: np.ndarray, sources: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Per target and column of ``weights``: the weighted sum of distances to the sources.
 
-    Two sets that lie far apart meet through the nodes of their boxes; else
-    the set with the larger box is halved, until the sets are small.
+    Both sets are halved into boxes where they lie near each other. Two boxes
+    that lie far apart meet through their nodes, and only points of near leaves
+    meet themselves, so the work grows about as the number of points.
     """
     stand_in = NODES ** targets.shape[1]
     if len(targets) * len(sources) <= 1 << 14 or max(len(targets), len(sources)) <= stand_in:
         return _direct(targets, sources, weights)
-    low, high, other_low, other_high = targets.min(axis=0), targets.max(axis=0), sources.min(axis=0), sources.max(axis=0)
-    if far_apart(low, high, other_low, other_high):
-        if len(sources) > stand_in:
-            weights = node_shares(sources, other_low, other_high).T @ weights
-            sources = cell_nodes(other_low, other_high)
-        if len(targets) > stand_in:
-            return node_shares(targets, low, high) @ _direct(cell_nodes(low, high), sources, weights)
-        return _direct(targets, sources, weights)
-    halve_targets = len(targets) > stand_in and (len(sources) <= stand_in or (high - low).max() >= (other_high - other_low).max())
-    points, box = (targets, high - low) if halve_targets else (sources, other_high - other_low)
-    order = np.argpartition(points[:, box.argmax()], len(points) // 2)
-    parts = order[: len(points) // 2], order[len(points) // 2 :]
-    if halve_targets:
-        out = np.empty((len(targets), weights.shape[1]))
-        for part in parts:
-            out[part] = distance_sums(targets[part], sources, weights)
-        return out
-    return sum(distance_sums(targets, sources[part], weights[part]) for part in parts)
+    leaf = max(LEAF_POINTS, 2 * stand_in)
+    a, b = _Boxes(targets.copy(), leaf), _Boxes(sources.copy(), leaf)
+    far, near = _pairs_of_boxes(a, b)
+    weights, out = weights[b.order], np.zeros((len(targets), weights.shape[1]))
+    # What stands for each source box that is met from afar: its nodes, or its points if they are few.
+    met = np.unique(far[:, 1])
+    stand_x, stand_w = [np.zeros((0, targets.shape[1]))], [np.zeros((0, weights.shape[1]))]
+    for at in met:
+        mine = b.mine(at)
+        many = b.last[at] - b.first[at] > stand_in
+        stand_x.append(cell_nodes(b.low[at], b.high[at]) if many else b.points[mine])
+        stand_w.append(node_shares(b.points[mine], b.low[at], b.high[at]).T @ weights[mine] if many else weights[mine])
+    ends = np.cumsum([len(x) for x in stand_x])
+    all_x, all_w = np.concatenate(stand_x), np.concatenate(stand_w)
+    for at, seconds in _by_first(far):
+        place, mine = np.searchsorted(met, seconds), a.mine(at)
+        rows = _ranges(ends[place], ends[place + 1])
+        if a.last[at] - a.first[at] > stand_in:
+            out[mine] += node_shares(a.points[mine], a.low[at], a.high[at]) @ _direct(cell_nodes(a.low[at], a.high[at]), all_x[rows], all_w[rows])
+        else:
+            out[mine] += _direct(a.points[mine], all_x[rows], all_w[rows])
+    for at, seconds in _by_first(near):
+        rows = _ranges(b.first[seconds], b.last[seconds])
+        out[a.mine(at)] += _direct(a.points[a.mine(at)], b.points[rows], weights[rows])
+    back = np.empty_like(out)
+    back[a.order] = out
+    return back
 
 
 # --- silhouettes ---------------------------------------------------------------
@@ -364,15 +462,17 @@ def euclidean_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, t
     offsets, width = {}, 0
     for name, (_, ids) in labels.items():
         offsets[name], width = width, width + len(ids)
-    label_columns = []
+    label_columns, numbers_of = [], []
     for at, name in enumerate(names):
         label, ids = labels[name]
         number = F.lit(None).cast("int")
         for j, i in enumerate(ids):
-            number = F.when(label == i, F.lit(j)).otherwise(number)
-        label_columns.append(number.alias(f"label{at}"))
+            number = F.when(F.col(f"label{at}") == i, F.lit(j)).otherwise(number)
+        label_columns.append(label.alias(f"label{at}"))
+        numbers_of.append(number.alias(f"label{at}"))
     own = [f"label{at}" for at in range(len(names))]
-    labelled = finite_rows(df.select(*columns, *label_columns), columns)
+    # A label is computed once for a row, then numbered.
+    labelled = finite_rows(df.select(*columns, *label_columns).select(*columns, *numbers_of), columns)
     points = materialize(labelled.groupBy(*columns, *own).agg(F.count(F.lit(1)).cast("double").alias("w")), "points")
     most = GROUP_BITS // dims
     cuts, n = quantile_cuts(points, columns, most)
@@ -439,6 +539,13 @@ def euclidean_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, t
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(len(names)), np.zeros(len(names))
         group, held, sums = None, [], None
+        others_near: list[tuple] = []
+
+        def meet() -> None:
+            nonlocal sums, others_near
+            x, weights = (np.concatenate(part) for part in zip(*others_near))
+            sums += distance_sums(held[0], x, weights)
+            others_near = []
 
         def begin() -> None:
             nonlocal sums, held
@@ -454,6 +561,8 @@ def euclidean_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, t
                     sums += _direct(x, nodes, weights)
 
         def finish() -> None:
+            if others_near:
+                meet()
             _, mine, weights = held
             rows = np.arange(len(mine))
             for at, name in enumerate(names):
@@ -485,7 +594,9 @@ def euclidean_silhouettes(df: DataFrame, columns: list[str], labels: dict[int, t
                     continue
                 if sums is None:
                     begin()
-                sums += distance_sums(held[0], x[part], weights[part])
+                others_near.append((x[part], weights[part]))
+                if sum(len(points) for points, _ in others_near) >= MEETING_POINTS:
+                    meet()
         if group is not None:
             finish()
         yield pa.record_batch([pa.array(np.arange(len(names))), pa.array(total), pa.array(count)], names=["at", "s", "n"])

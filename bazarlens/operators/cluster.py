@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,11 +125,29 @@ def starting_centres_all(df: DataFrame, columns: list[str], key: str, k: int, se
     point = F.struct(*columns)
     firsts = df.agg(*[F.min_by(point, F.struct(hash_order(F.col(key), seed), F.col(key))) for seed in seeds]).first()
     starts = [[tuple(float(x) for x in first)] for first in firsts]
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    names = ["at", "gap", "key", *[f"x{d}" for d in range(len(columns))]]
+    schema = f"at int, gap double, key {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{x} double" for x in names[3:])
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's farthest row of every seed."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, x = batch.column(0), [batch.column(1 + d).to_numpy() for d in range(len(columns))]
+            picked = []
+            for centres in starts:
+                gap = np.min([sum((v - c) * (v - c) for v, c in zip(x, centre)) for centre in centres], axis=0)
+                ties = np.flatnonzero(gap == gap.max())
+                least = pc.sort_indices(keys.take(pa.array(ties)))[0].as_py() if len(ties) > 1 else 0
+                picked.append((ties[least], gap[ties[least]]))
+            chosen = batch.take(pa.array([row for row, _ in picked]))
+            yield pa.record_batch([pa.array(np.arange(len(starts), dtype=np.int32)), pa.array([gap for _, gap in picked]), *chosen.columns], names=names)
+
     for _ in range(k - 1):
-        gaps = [nearest(columns, list(enumerate(centres)))["dist2"].alias(f"gap{i}") for i, centres in enumerate(starts)]
-        farthest = [F.max_by(point, F.struct(F.col(f"gap{i}"), -F.col(key))) for i in range(len(starts))]
-        for centres, best in zip(starts, df.select(key, *columns, *gaps).agg(*farthest).first()):
-            centres.append(tuple(float(x) for x in best))
+        found = rows.mapInArrow(farthest, schema).groupBy("at").agg(F.max_by(F.struct(*names[3:]), F.struct("gap", -F.col("key"))).alias("best"))
+        for r in found.collect():
+            starts[r["at"]].append(tuple(r["best"]))
     return [np.array(centres) for centres in starts]
 
 

@@ -190,3 +190,47 @@ def test_border_rows_are_added_up_per_cluster_and_not_per_cell(spark):
         own = gap.argmin(axis=1)
         np.testing.assert_allclose(new, [x[own == j].mean(axis=0) for j in range(len(centres))], rtol=1e-9)
         assert cost == pytest.approx(gap.min(axis=1).sum())
+
+
+def test_a_scan_of_many_cells_is_told_few_ranges(spark):
+    """Thousands of ranges are more than compiled code holds; the rows of other cells are left out by the tasks."""
+    x = np.random.default_rng(8).normal(size=(6000, 2))
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    tree = CellTree.build(frame, ["a", "b"], bits=12, held_rows=4000)
+    cells = np.arange(0, len(tree.codes), 2)
+    assert 1 < str(tree._among(cells)).count("cell <=") <= celltree.SCAN_RANGES
+    centres = x[:3]
+    found = tree.add_up_rows([centres], cells, [cells])
+    assert sum(r[1] for r in found[0]) == tree.levels[-1].n[cells].sum()
+    assert len(tree.hold(cells[: len(cells) // 4])) == 0
+    for cell in np.flatnonzero(tree.spans[:, 0] >= 0):
+        mine = tree.held[slice(*tree.spans[cell])]
+        assert len(mine) == tree.levels[-1].n[cell]
+        assert (mine >= tree.levels[-1].low[cell]).all() and (mine <= tree.levels[-1].high[cell]).all()
+
+
+def test_sums_of_distances_take_few_calls(monkeypatch):
+    """Sources that lie near many boxes are met in one piece; each pair of boxes used to be a call of its own."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 1, (5000, 2)), rng.exponential(3, (4000, 2)), np.tile([[0.5, 0.5]], (1000, 1))])
+    weights = np.eye(3)[rng.integers(0, 3, len(x))]
+    exact, calls = celltree._direct(x, x, weights), []
+    plain = celltree._direct
+    monkeypatch.setattr(celltree, "_direct", lambda t, s, w: calls.append(1) or plain(t, s, w))
+    found = celltree.distance_sums(x, x, weights)
+    assert np.abs(found / exact - 1).max() < 3e-8
+    assert len(calls) < len(x) / 15
+
+
+def test_starting_centres_of_ties_and_missing_keys(spark):
+    """Of equally far rows the least key is taken, one without a key last."""
+    rows = [(7, 0.0, 0.0), (5, 9.0, 0.0), (3, -9.0, 0.0), (None, 0.0, 9.0), (4, 0.0, -9.0)]
+    frame = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    start = cluster.starting_centres_all(frame.where("id = 7 OR id IS NULL"), ["x", "y"], "id", 2, [1, 2])
+    assert [sorted(map(tuple, s)) for s in start] == [[(0.0, 0.0), (0.0, 9.0)]] * 2
+    for first, *others in cluster.starting_centres_all(frame.where("id IS NOT NULL"), ["x", "y"], "id", 4, range(6)):
+        seen = [tuple(first)]
+        for centre in others:
+            gap = {r: min(sum((a - b) ** 2 for a, b in zip(r[1:], c)) for c in seen) for r in rows if r[0] is not None}
+            assert tuple(centre) == min(gap, key=lambda r: (-gap[r], r[0]))[1:]
+            seen.append(tuple(centre))
